@@ -1,11 +1,15 @@
 """The queries of this folder, and SQL where it can express them."""
 
+from octarine.llm.bpe import op6_bpe
+from octarine.llm.language_id import op4_language_id
 from octarine.llm.quality_rules import op7_quality_rules
 from octarine.llm.simhash import op8_simhash
 from octarine.llm.url_filters import OP2_SQL, op2_url_filters
 
 QUERIES = {
     "op2_url_filters": op2_url_filters,
+    "op4_language_id": op4_language_id,
+    "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
 }
