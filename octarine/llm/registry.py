@@ -1,6 +1,7 @@
 """The queries of this folder, and SQL where it can express them."""
 
 from octarine.llm.bpe import op6_bpe
+from octarine.llm.decontamination import op10_decontamination
 from octarine.llm.language_id import op4_language_id
 from octarine.llm.quality_rules import op7_quality_rules
 from octarine.llm.simhash import op8_simhash
@@ -12,5 +13,6 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
+    "op10_decontamination": op10_decontamination,
 }
 SQL = {"op2_url_filters": OP2_SQL}
