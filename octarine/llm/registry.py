@@ -3,6 +3,7 @@
 from octarine.llm.bpe import op6_bpe
 from octarine.llm.decontamination import op10_decontamination
 from octarine.llm.language_id import op4_language_id
+from octarine.llm.line_dedup import OP9_SQL, op9_line_dedup
 from octarine.llm.quality_rules import op7_quality_rules
 from octarine.llm.simhash import op8_simhash
 from octarine.llm.url_filters import OP2_SQL, op2_url_filters
@@ -13,6 +14,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
+    "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
 }
-SQL = {"op2_url_filters": OP2_SQL}
+SQL = {"op2_url_filters": OP2_SQL, "op9_line_dedup": OP9_SQL}
