@@ -4,12 +4,14 @@ from octarine.llm.bpe import op6_bpe
 from octarine.llm.decontamination import op10_decontamination
 from octarine.llm.language_id import op4_language_id
 from octarine.llm.line_dedup import OP9_SQL, op9_line_dedup
+from octarine.llm.lm_scoring import op3_lm_scoring
 from octarine.llm.quality_rules import op7_quality_rules
 from octarine.llm.simhash import op8_simhash
 from octarine.llm.url_filters import OP2_SQL, op2_url_filters
 
 QUERIES = {
     "op2_url_filters": op2_url_filters,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_language_id": op4_language_id,
     "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
