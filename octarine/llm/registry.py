@@ -7,9 +7,11 @@ from octarine.llm.line_dedup import OP9_SQL, op9_line_dedup
 from octarine.llm.lm_scoring import op3_lm_scoring
 from octarine.llm.quality_rules import op7_quality_rules
 from octarine.llm.simhash import op8_simhash
+from octarine.llm.suffix_dedup import op1_suffix_dedup
 from octarine.llm.url_filters import OP2_SQL, op2_url_filters
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_url_filters": op2_url_filters,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_language_id": op4_language_id,
