@@ -1,6 +1,7 @@
 """The queries of this folder, and SQL where it can express them."""
 
 from octarine.llm.bpe import op6_bpe
+from octarine.llm.chat_format import OP5_SQL, op5_chat_format
 from octarine.llm.decontamination import op10_decontamination
 from octarine.llm.language_id import op4_language_id
 from octarine.llm.line_dedup import OP9_SQL, op9_line_dedup
@@ -15,10 +16,11 @@ QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_language_id": op4_language_id,
+    "op5_chat_format": op5_chat_format,
     "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
 }
-SQL = {"op2_url_filters": OP2_SQL, "op9_line_dedup": OP9_SQL}
+SQL = {"op2_url_filters": OP2_SQL, "op5_chat_format": OP5_SQL, "op9_line_dedup": OP9_SQL}
