@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -18,10 +21,10 @@ from pyspark.sql import types as T
 from octarine.llm.common import small_batches, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Entries of a worker's cache of pieces. What is dropped is computed again.
-CACHE = 500_000
-#: Space beside other white space, or at an end: such a text is not cut at its spaces before the pattern is applied.
-_WIDE = regex.compile(r"\s |\A | \s| \Z")
+#: Entries of a worker's caches of words and of pre-tokens. What is dropped is computed again.
+CACHE = 1_000_000
+#: Bytes of pre-tokens above which one is merged alone, and characters of texts whose new pre-tokens are merged at once.
+LONG, TEXTS = 256, 20 << 20
 
 
 class RankMerger:
@@ -108,6 +111,110 @@ class RankMerger:
                 fresh = ((new, k),)
 
 
+class RankBatch:
+    """RankMerger for many short pre-tokens at once, with the same queue over all of their positions.
+
+    A step takes the bucket of the least rank, skips what is stale, merges the leftmost pair of it in each
+    pre-token with array operations, and puts the rest of the bucket back. A pre-token's least rank is no less than
+    the queue's, so each is merged as it would be alone.
+    """
+
+    def __init__(self, merger: RankMerger):
+        self.one = np.array(merger.one, np.int32)
+        keys = np.array(sorted(merger.pairs), np.int64)
+        ranks = np.array([merger.pairs[k] for k in keys.tolist()], np.int32)
+        back = np.argsort(keys & 0xFFFF, kind="stable")
+        self.right, self.right_rank = (keys & 0xFFFF).astype(np.int32), ranks
+        self.left, self.left_rank = (keys[back] >> 16).astype(np.int32), ranks[back]
+        ends = np.arange(0x10001)
+        self.right_at = np.searchsorted(keys >> 16, ends).tolist()
+        self.left_at = np.searchsorted(keys[back] & 0xFFFF, ends).tolist()
+        of_two = [merger.pairs.get(a << 16 | b, -1) for a in merger.one for b in merger.one]
+        self.of_two = np.array(of_two, np.int32)
+
+    @staticmethod
+    def _find(known: np.ndarray, ranks: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.full(len(wanted), -1, np.int32)
+        at = known.searchsorted(wanted)
+        at[at == len(known)] = 0
+        return np.where(known[at] == wanted, ranks[at], -1)
+
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        n, lengths = len(raw), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        last = np.cumsum(lengths) - 1
+        own = np.repeat(np.arange(len(pieces)), lengths)
+        ids = np.append(self.one[raw], np.int32(-1))  # n stands for nothing
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[last] = n
+        before[last - lengths + 1] = n
+        rank_at = np.full(n + 1, -1, np.int32)
+        rank_at[: n - 1] = self.of_two[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        rank_at[last] = -1
+        buckets: dict[int, list[np.ndarray]] = {}
+        low, top = [0] * 256, 0
+
+        def push(at: np.ndarray, ranks: np.ndarray, top: int) -> int:
+            order = ranks.argsort(kind="stable")
+            at, ranks = at[order], ranks[order]
+            starts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist()]
+            for a, b, rank in zip(starts, [*starts[1:], len(at)], ranks[starts].tolist(), strict=True):
+                if (bucket := buckets.get(rank)) is not None:
+                    bucket.append(at[a:b])
+                else:
+                    buckets[rank] = [at[a:b]]
+                    low[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
+            return top
+
+        first = np.flatnonzero(rank_at >= 0)
+        if len(first):
+            top = push(first, rank_at[first], top)
+        while top:
+            j = (top & -top).bit_length() - 1
+            word = low[j]
+            rank = j << 8 | ((word & -word).bit_length() - 1)
+            got = buckets.pop(rank)
+            low[j] = word = word & (word - 1)
+            if not word:
+                top &= top - 1
+            k = got[0] if len(got) == 1 else np.concatenate(got)
+            k = k[rank_at[k] == rank]
+            if len(k) > 1:
+                k.sort()
+                piece = own[k]
+                ahead = np.empty(len(k), bool)
+                ahead[0] = True
+                np.not_equal(piece[1:], piece[:-1], out=ahead[1:])
+                if not ahead.all():
+                    buckets[rank] = [k[~ahead]]
+                    low[j] |= 1 << (rank & 255)
+                    top |= 1 << j
+                    k = k[ahead]
+            elif not len(k):
+                continue
+            gone = after[k]
+            right, left = after[gone], before[k]
+            ids[k] = rank
+            ids[gone] = rank_at[gone] = -1
+            after[k] = right
+            before[right] = k
+            a, b = self.right_at[rank], self.right_at[rank + 1]
+            new = self._find(self.right[a:b], self.right_rank[a:b], ids[right])
+            a, b = self.left_at[rank], self.left_at[rank + 1]
+            other = self._find(self.left[a:b], self.left_rank[a:b], ids[left])
+            rank_at[k], rank_at[left] = new, other
+            rank_at[n] = -1
+            some, more = new >= 0, other >= 0
+            if some.any() or more.any():
+                top = push(np.concatenate([k[some], left[more]]), np.concatenate([new[some], other[more]]), top)
+        left = ids[:n] >= 0
+        ends = np.cumsum(np.bincount(own[left], minlength=len(pieces))).tolist()
+        flat = ids[:n][left].tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 class _Cache(dict):
     """A dict that computes what it lacks, and drops its older half when it is full."""
 
@@ -118,11 +225,14 @@ class _Cache(dict):
         found = self.old.pop(key, None)
         if found is None:
             found = self.compute(key)
-        if len(self) >= self.most:
+        self.put({key: found})
+        return found
+
+    def put(self, found: dict) -> None:
+        if len(self) + len(found) > self.most:
             self.old = dict(self)
             self.clear()
-        self[key] = found
-        return found
+        self.update(found)
 
 
 class Codec:
@@ -132,9 +242,12 @@ class Codec:
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.names = list(map(str, range(max(self.tokens) + 1)))
         self.find = regex.compile(pattern).findall
         self.merger = RankMerger(self.ranks)
+        self.batch = RankBatch(self.merger)
         self.pieces = _Cache(self._encode_piece, cache)
+        #: What stands between two spaces, as if a space stood before it.
         self.words = _Cache(self._encode_word, cache)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -143,26 +256,59 @@ class Codec:
             return [whole]
         return self.merger.merge(piece)
 
-    def _encode_piece(self, piece: str) -> tuple[int, ...]:
-        return tuple(self.merge(piece.encode("utf-8", "replace")))
+    def _encode_piece(self, piece: str) -> tuple[tuple[int, ...], str]:
+        return self._named(self.merge(piece.encode("utf-8", "replace")))
 
     def _encode_word(self, word: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(chain.from_iterable(map(self.pieces.__getitem__, self.find(word))))
-        return ids, ",".join(map(str, ids))
+        return self._joined([" " + word] if word.isalpha() else self.find(" " + word))  # letters alone are one match
 
-    def encode_parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """The text's ids in parts, each with its decimal form.
+    def _named(self, ids: list[int]) -> tuple[tuple[int, ...], str]:
+        return tuple(ids), ",".join(map(self.names.__getitem__, ids))
+
+    def _joined(self, found: list[str]) -> tuple[tuple[int, ...], str]:
+        if len(found) == 1:
+            return self.pieces[found[0]]
+        parts = list(map(self.pieces.__getitem__, found))
+        return tuple(chain.from_iterable([p[0] for p in parts])), ",".join([p[1] for p in parts])
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The text cut at its spaces; None if one stands at an end or beside other white space.
 
-        The pattern starts a new match at every single space between two other characters, so a text without other
-        white space beside its spaces can be cut there first, and what stands between is looked up as a whole.
+        The pattern starts a new match at every single space between two other characters, so that what stands between
+        them can be looked up as a whole.
         """
+        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or not text.replace("\n", "").isprintable():
+            return None
+        return text.split(" ")
+
+    def learn(self, texts: list[str | None]) -> None:
+        """Merges the pre-tokens of these texts that are new to the caches, all at once."""
+        words: set[str] = set()
+        pieces: set[str] = set()
+        for text in texts:
+            if (found := self._cut(text or "")) is None:
+                pieces.update(self.find(text))
+            else:
+                pieces.update(self.find(found[0]))
+                words.update(found[1:])
+        words = {w for w in words if w not in self.words and w not in self.words.old}
+        cut = {w: [" " + w] if w.isalpha() else self.find(" " + w) for w in words}
+        pieces.update(chain.from_iterable(cut.values()))
+        pieces = {p for p in pieces if p not in self.pieces and p not in self.pieces.old}
+        new = {p: x for p in pieces if len(x := p.encode("utf-8", "replace")) <= LONG and x not in self.ranks}
+        if new:
+            self.pieces.put(dict(zip(new, map(self._named, self.batch.merge(list(new.values()))), strict=True)))
+        self.words.put({w: self._joined(found) for w, found in cut.items()})
+
+    def encode_parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+        """The text's ids in parts, each with its decimal form."""
         if not text:
             return []
-        get = self.words.__getitem__
-        if _WIDE.search(text):
-            return list(map(get, self.find(text)))
-        first, *rest = text.split(" ")
-        return [get(first), *[get(" " + x) for x in rest]]
+        found = self._cut(text)
+        if found is None:
+            return [self._joined(self.find(text))]
+        first = self._joined(self.find(found[0]))
+        return [first, *map(self.words.__getitem__, found[1:])]
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(ids for ids, _ in self.encode_parts(text or "")))
@@ -171,6 +317,29 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+@contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Without the collector of cycles, which would walk the caches again and again; nothing here makes any."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
+def gathered(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[list[tuple[pa.RecordBatch, list[str | None]]]]:
+    """The batches with their texts, by TEXTS characters: the new pre-tokens of so many are merged at once."""
+    held, size = [], 0
+    for b in batches:
+        texts = b.column(at).to_pylist()
+        held.append((b, texts))
+        size += sum(len(x) for x in texts if x)
+        if size >= TEXTS:
+            yield held
+            held, size = [], 0
+    yield held
+
+
 @lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
     """One for each Python worker."""
@@ -188,9 +357,12 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokeni
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for b in batches:
-            ids = pa.array([own.encode(x) for x in b.column(len(kept)).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], ids], [*kept, "ids"])
+        for held in gathered(batches, len(kept)):
+            with _no_cycles():
+                own.learn([x for _, texts in held for x in texts])
+            for b, texts in held:
+                ids = pa.array([own.encode(x) for x in texts], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], ids], [*kept, "ids"])
 
     small_batches(docs.sparkSession)
     return docs.select(*kept, text).mapInArrow(run, schema)
@@ -222,15 +394,18 @@ def round_trip(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for b in batches:
-            counts, digests, decoded = [], [], []
-            for x in b.column(len(kept)).to_pylist():
-                parts = own.encode_parts(x or "")
-                ids = list(chain.from_iterable([p[0] for p in parts]))
-                counts.append(len(ids))
-                digests.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], [*kept, *[f.name for f in added]])
+        for held in gathered(batches, len(kept)):
+            with _no_cycles():
+                own.learn([x for _, texts in held for x in texts])
+            for b, texts in held:
+                counts, digests, decoded = [], [], []
+                for x in texts:
+                    parts = own.encode_parts(x or "")
+                    ids = list(chain.from_iterable([p[0] for p in parts]))
+                    counts.append(len(ids))
+                    digests.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], [*kept, *[f.name for f in added]])
 
     small_batches(docs.sparkSession)
     return docs.select(*kept, text).mapInArrow(run, schema)
