@@ -12,22 +12,23 @@ from octarine.llm.common import SPACES, cut, let, table
 MIN_WORDS = 10
 
 
-def _n_words(line: Column) -> Column:
-    return F.size(F.array_remove(F.split(F.translate(line, SPACES[1:], " " * 5), " "), ""))
+def _n_words(line: Column, most: int) -> Column:
+    """Words of the line, or most if it has more: then only so many are looked at."""
+    many = line.rlike(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){%d}[^\x20\x09-\x0D]" % (most - 1))
+    exact = F.size(F.array_remove(F.split(F.translate(line, SPACES[1:], " " * 5), " "), ""))
+    return F.when(many, F.lit(most)).otherwise(exact)
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: gid, doc_id, key, pos, upto, h1, h2, n_words, left, and the blocks that start and end there.
+def suffixes(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """A row for each line with a word: gid, doc_id, key, pos, n, h1, h2, n_words.
 
     gid grows with (doc_id, key, pos), and by one from a line to the next of its document. key tells rows of one
-    doc_id with different texts apart; rows alike in both are taken once. pos is the line's number among all lines,
-    upto that of the next line with a word: lines without one go with the line before them. left: lines from here to
-    the document's end. ahead and back: how many lines from here on, and up to here, have min_words words at the
-    least; null if the document has no so many.
+    doc_id with different texts apart; rows alike in both are taken once. pos is the line's number among all n lines.
+    n_words counts to min_words only, since no sum that matters needs more.
     """
-    split = F.split("text", "\n")
-    rows = docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.posexplode(split).alias("pos", "line"), F.size(split).alias("n"))
-    rows = rows.select("doc_id", "key", "pos", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _n_words(F.col("line")).alias("n_words")).where("n_words > 0")
+    cut_up = docs.where("text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.split("text", "\n").alias("lines"))
+    rows = cut_up.select("doc_id", "key", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
+    rows = rows.select("doc_id", "key", "pos", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), _n_words(F.col("line"), min_words).alias("n_words")).where("n_words > 0")
     placed = rows.dropDuplicates(["doc_id", "key", "pos"]).repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key", "pos")
     return cut(placed.withColumn("gid", F.monotonically_increasing_id()))
 
@@ -58,7 +59,7 @@ def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     min_words lines at most and the doubling ends. Each round is joins on gid and partial aggregations, which a
     line in a third of all documents can't gather in one task, and ends in a checkpoint.
     """
-    lines = cut(_blocks(suffixes(docs), min_words))
+    lines = cut(_blocks(suffixes(docs, min_words), min_words))
     starts = lines.where("ahead is not null").select("gid", F.col("ahead").alias("length"))
     ends = lines.where("back is not null").select((F.col("gid") - F.col("back") + 1).alias("gid"), F.col("back").alias("length"))
     blocks = cut(starts.union(ends).distinct())
