@@ -1,4 +1,6 @@
 """The registered queries of the point-cloud engine, and the SQL that each must equal."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from octarine.plans import sequence_queries, space_queries, tree_queries
+
+QUERIES = tree_queries.QUERIES | space_queries.QUERIES | sequence_queries.QUERIES
+SQL = tree_queries.SQL | space_queries.SQL | sequence_queries.SQL
