@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octarine.llm.common import cut, small_batches, table
+from octarine.llm.common import cut, give_back, small_batches, table
 
 #: Bytes of a string that counts as repeated, and of the anchors within it: SPAN windows of ANCHOR bytes are in LENGTH bytes.
 LENGTH, ANCHOR = 50, 16
@@ -20,7 +20,9 @@ SPAN = LENGTH - ANCHOR + 1
 #: Bytes of context kept before an anchor, and from it on.
 LEFT, RIGHT = LENGTH - ANCHOR, LENGTH
 #: Bytes of text in a block of documents, of text for each group of anchors, and of text worked on at once.
-BLOCK_BYTES, GROUP_BYTES, SLICE = 6 << 20, 32 << 20, 1 << 20
+BLOCK_BYTES, GROUP_BYTES, SLICE = 6 << 20, 24 << 20, 1 << 19
+#: Contexts whose suffix array is built at once.
+CONTEXTS = 20_000
 #: Where a null doc_id stands: after all others.
 LAST = np.iinfo(np.int64).max
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -106,7 +108,8 @@ def anchors(raw: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.n
         found = np.flatnonzero(most == small)
         found = found[(found + lo >= a) & (found + lo < a + SLICE)]
         places.append(found + lo)
-        hashes.append(h[found] >> np.uint64(16))
+        own = h[found]  # the least of many, so mixed again to be spread evenly
+        hashes.append(((own ^ (own >> np.uint64(32))) * _ODD[0]) >> np.uint64(16))
     return np.concatenate(places), np.concatenate(hashes)
 
 
@@ -291,6 +294,23 @@ def _resolve(h: np.ndarray, context: np.ndarray, left: np.ndarray, right: np.nda
     return row, low[pick], high[pick], doc[pick]
 
 
+def _by_ranges(h: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """_resolve() for some thousands of contexts at a time, cut between anchors; the result is in the order of the rows."""
+    order = np.argsort(h, kind="stable")
+    sorted_h = h[order]
+    parts, a = [], 0
+    while a < len(h):
+        b = min(len(h), a + CONTEXTS)
+        b = int(np.searchsorted(sorted_h, sorted_h[b - 1], side="right"))
+        pick = order[a:b]
+        row, low, high, doc = _resolve(h[pick], *[c[pick] for c in columns])
+        parts.append((pick[row].astype(np.uint32), low.astype(np.uint8), high.astype(np.uint8), doc))
+        a = b
+    row, low, high, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(row, kind="stable")
+    return row[order], low[order], high[order], doc[order]
+
+
 def covered(classes: Classes, found: tuple[np.ndarray, ...], size: int) -> np.ndarray:
     """Which bytes of a block strings with an earlier copy cover; found: (class, least, most, doc), as from repeats()."""
     edges = np.zeros(size + 1, np.int32)
@@ -318,11 +338,11 @@ def _listed(blocks_: DataFrame, groups: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                h = np.unique(Block(row["doc_ids"], row["lengths"], row["raw"]).hashes)
+            for block, *parts in zip(*b.columns, strict=True):
+                h = np.unique(Block(*[x.as_py() for x in parts]).hashes)
                 bounds = np.searchsorted(h, [(g << 48) // groups for g in range(groups)]).tolist()
                 some = [(g, x) for g, x in enumerate(np.split(h, bounds[1:])) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in some], pa.int64()), pa.array([row["block"]] * len(some), pa.int64()), pa.array([_pack(x) for _, x in some], pa.binary())], ["part", "block", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in some], pa.int64()), pa.array([block.as_py()] * len(some), pa.int64()), pa.array([_pack(x) for _, x in some], pa.binary())], ["part", "block", "hashes"])
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [_unpack(x, "<u8") for x in rows["hashes"]]
@@ -371,18 +391,21 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, least_groups: int = 1
                 columns = (classes.h, k, classes.left, classes.right, classes.least)
                 packed = [_pack(c[a:b].astype(t)) for c, (_, t) in zip(columns, _SENT, strict=True)]
                 out.append((g, row.own, *packed, zstandard.compress(classes.context[a:b].tobytes(), 1)))
+        give_back()
         return pd.DataFrame(out, columns=["part", "block", *[n for n, _ in _SENT], "context"])
 
     def resolve(rows: pd.DataFrame) -> pd.DataFrame:
         h, k, left, right, doc = (np.concatenate([_unpack(x, t) for x in rows[n]]) for n, t in _SENT)
         sizes = [len(_unpack(x, "u1")) for x in rows["left"]]
         context = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint8).reshape(-1, LEFT + RIGHT) for x in rows["context"]])
-        row, low, high, least = _resolve(h, context, left.astype(np.int64), right.astype(np.int64), doc)
+        row, low, high, least = _by_ranges(h, context, left.astype(np.int64), right.astype(np.int64), doc)
         ends = np.searchsorted(row, np.cumsum([0, *sizes])).tolist()
         packed = []
         for a, b in zip(ends, ends[1:], strict=False):
             values = (k[row[a:b]], low[a:b], high[a:b], least[a:b])
             packed.append(_joined([_pack(v.astype(t)) for v, (_, t) in zip(values, _FOUND, strict=True)]) if b > a else None)
+        del h, k, left, right, doc, context, row, low, high, least
+        give_back()
         return pd.DataFrame({"block": rows["block"], "found": packed})[[x is not None for x in packed]]
 
     def finish(key: tuple, told: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -400,6 +423,7 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, least_groups: int = 1
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist() if mask.any() else []
                 kept = block.raw[a:b][~mask].tobytes() if edges else block.raw[a:b].tobytes()
                 out.append((d if d != LAST else None, b - a, edges[::2], edges[1::2], kept))
+        give_back()
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "starts", "ends", "kept"]).astype({"doc_id": "Int64"})
 
     fields = ", ".join(f"{n} binary" for n, _ in _SENT)
