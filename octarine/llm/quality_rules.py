@@ -129,7 +129,7 @@ def _prune(rule: list[Condition], rows: list[dict]) -> tuple[list[Condition], fl
     return best[1:]
 
 
-def learn(rows: list[dict], features: tuple[str, ...] = FEATURES, max_rules: int = 12, max_conditions: int = 4, n_cuts: int = 40, precision: float = 0.9) -> list[list[Condition]]:
+def learn(rows: list[dict], features: tuple[str, ...] = FEATURES, max_rules: int = 12, max_conditions: int = 4, n_cuts: int = 200, precision: float = 0.9) -> list[list[Condition]]:
     """Sequential covering: a rule is grown on two thirds of the rows and pruned on the rest, and what it covers is left out.
 
     It ends with the first rule that is right on less than the given share of the pruning rows, or covers none of
@@ -142,7 +142,8 @@ def learn(rows: list[dict], features: tuple[str, ...] = FEATURES, max_rules: int
         cuts = {}
         for f in features:
             values = sorted({r[f] for r in grow})
-            cuts[f] = sorted({values[int(k * (len(values) - 1) / n_cuts)] for k in range(n_cuts)}) if values else []
+            steps = {int(k * (len(values) - 1) / n_cuts) for k in range(n_cuts)} if len(values) > 1 else set()
+            cuts[f] = [(values[k] + values[k + 1]) / 2 for k in sorted(steps)]
         rule = _grow(grow, features, cuts, max_conditions)
         if not rule:
             break
