@@ -1,0 +1,363 @@
+"""Each operator on small tables: nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from octarine.llm import bpe, chat_format, common, decontamination, language_id, line_dedup, lm_scoring, quality_rules, simhash, suffix_dedup, url_filters
+
+DOC = "doc_id long, text string"
+
+
+def docs(spark, rows, schema=DOC):
+    return spark.createDataFrame(rows, schema)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+# --- components
+
+
+def test_components_by_union_find(spark):
+    r = random.Random(1)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(40)] + [(500, 600 + k) for k in range(200)] + [(7, 7), (None, 3), (-5, 2)]
+    got = dict(common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None:
+            ra, rb = find(a), find(b)
+            parent[max(ra, rb)] = min(ra, rb)
+    assert got == {x: find(x) for x in parent}
+    assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- 1: suffix arrays
+
+
+def removed(rows):
+    data = [(LAST if i is None else i, i, (t or "").encode()) for i, t in rows]
+    first = {}
+    for key, _, b in sorted(data, key=lambda x: x[0]):
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], key)
+    out = []
+    for key, i, b in data:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < key:
+                gone[k : k + 50] = b"\1" * 50
+        spans = [(m.start(), m.end()) for m in re.finditer(b"\1+", bytes(gone))]
+        out.append((i, len(b), tuple(spans), bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+    return Counter(out)
+
+
+LAST = suffix_dedup.LAST
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh \0é"])
+def test_suffix_dedup_by_brute_force(spark, letters):
+    r = random.Random(7)
+    pool = ["".join(r.choice(letters) for _ in range(r.randrange(40, 160))) for _ in range(6)]
+    rows = []
+    for k in range(120):
+        text = "".join(r.choice(pool)[r.randrange(40) :] + "".join(r.choice(letters) for _ in range(r.randrange(20))) for _ in range(r.randrange(4)))
+        rows.append((k, text))
+    rows += [(3, rows[5][1]), (3, rows[5][1]), (None, rows[8][1]), (9, None), (500, "x" * 5000), (501, "x" * 70)]
+    df = docs(spark, rows).withColumn("kept", F.lit(1)).repartition(3)
+    got = suffix_dedup.dedup(df, block_bytes=1500).collect()
+    assert Counter((g.doc_id, g.n_bytes, tuple(tuple(s) for s in g.spans), bytes(g.kept)) for g in got) == removed(rows)
+
+
+def test_suffix_dedup_of_nothing(spark):
+    assert suffix_dedup.dedup(empty(spark)).count() == 0
+    assert suffix_dedup.dedup(docs(spark, [(1, None), (2, "")])).count() == 2
+
+
+# --- 2: urls
+
+
+def test_rules(spark):
+    urls = [("HTTP://Sub.Example.ORG/en/12?x", "block", "example.org/en/1"), ("http://example.org/en/2", "allow", "org/"), ("http://badexample.org/es/", "allow", "org/"), ("http://a.com/de/x", "block", "com/de/"), ("http://a.com/fr/", "allow", "com/fr/"), ("http://a.org", "allow", None), ("nothing", "allow", None), (None, "allow", None), ("x://h#a://org/", "allow", None), ("http://org/", "allow", "org/")]
+    df = spark.createDataFrame([(k, u, None, "clash") for k, (u, *_) in enumerate(urls)], "page_id int, url string, html string, host string")
+    for rules in (url_filters.RULES, spark.createDataFrame(url_filters.RULES, "verdict string, rule string")):
+        got = {r.page_id: (r.verdict, r.rule) for r in url_filters.judge(df, rules).collect()}
+        assert got == {k: (v, rule) for k, (_, v, rule) in enumerate(urls)}
+    first = url_filters.judge(df).orderBy("page_id").first()
+    assert (first.host, first.path) == ("sub.example.org", "/en/12")
+
+
+def test_block_decisions_spread(spark):
+    link = lambda u: f'<html><head><LINK href="{u}" REL=canonical></head>'
+    move = lambda u: f"<meta http-equiv='refresh' content='0; url={u}'>"
+    pages = [
+        ("http://one.net/a", link("http://two.net/b")),
+        ("http://two.net/b", move("http://bad.com/de/1")),
+        ("http://three.net/c", link("http://one.net/a#top")),
+        ("http://four.net/", "<p>canonical</p>"),
+        ("http://good.org/", link("http://five.net/")),
+        ("http://five.net/", move("http://bad.com/de/2")),
+        ("http://bad.com/de/2", None),
+        ("http://six.net/x", link("/y")),
+        ("http://six.net/y", move("//bad.com/de/9")),
+        ("http://six.net/y", None),
+    ]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id int, url string, html string")
+    got = [r.verdict for r in url_filters.judge(df).orderBy("page_id").collect()]
+    assert got == ["block", "block", "block", "allow", "allow", "allow", "block", "block", "block", "block"]
+    assert url_filters.judge(df.limit(0)).count() == 0
+
+
+# --- 3: language model
+
+
+def slow_base(rows):
+    import math
+
+    token = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b"\n"]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    c = Counter(w for i, t in rows if not held(i) for w in token(t))
+    n, v = sum(c.values()), len(c)
+    return [(i, held(i), len(token(t)), sum(w in c for w in token(t)), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in token(t)), 6)) for i, t in rows]
+
+
+def test_base_scores(spark):
+    r = random.Random(5)
+    words = ["the", "of", "Été", "a\x1cb", "x\x85y", *[f"w{k}" for k in range(400)]]
+    rows = [(k, " \t\n".join(r.choice(words[: 5 + 20 * (k % 20)]) for _ in range(r.randrange(60)))) for k in range(80)]
+    rows += [(81, None), (82, ""), (83, "only here"), (3, rows[3][1]), (3, rows[3][1]), (None, "the of"), (84, "LONG " * 20_000)]
+    df = docs(spark, rows).withColumn("score", F.lit("clash")).withColumn("held_out", common.remainder(F.col("doc_id"), 5) == 1)
+    got = lm_scoring.score(df).collect()
+    assert Counter((g.doc_id, g.held_out, g.n_tokens, g.n_known, g.train_tokens, round(g.base_score, 6)) for g in got) == Counter(slow_base(rows))
+    assert all(g.score < 0 for g in got)
+
+
+def test_scores_without_training_rows(spark):
+    df = docs(spark, [(1, "a b"), (2, None)]).withColumn("held_out", F.lit(True))
+    got = lm_scoring.score(df).collect()
+    assert {(g.n_tokens, g.n_known, g.train_tokens) for g in got} == {(3, 0, 0), (1, 0, 0)}
+    assert lm_scoring.score(df.limit(0)).count() == 0
+
+
+def test_model_beats_the_base_on_held_out_rows(spark):
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(k, " ".join(words[min(2999, int(r.paretovariate(0.8)))] for _ in range(60))) for k in range(300)]
+    got = lm_scoring.score(docs(spark, rows).withColumn("held_out", common.remainder(F.col("doc_id"), 5) == 1)).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
+# --- 4: languages
+
+
+def test_languages(spark):
+    r = random.Random(8)
+    own = {"aa": "kalo mera tino", "bb": "schtr gruck ptzt", "cc": "ñañe ççi øøra"}
+    rows = []
+    for k in range(240):
+        lang = r.choice(list(own))
+        rows.append((k, " ".join(r.choice(own[lang].split()) + r.choice("abc") for _ in range(r.randrange(5, 80))), lang))
+    rows += [(900, None, "aa"), (901, "", "bb"), (902, "123 ...!", "cc"), (903, "kalo mera", None), (904, "kalo mera tino " * 20_000, "aa")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    model = language_id.fit(language_id.known_part(df))
+    got = {g.doc_id: g for g in language_id.predict(df, model).collect()}
+    assert model.languages == ["aa", "bb", "cc"]
+    assert [got[k].lang_pred for k in (900, 901, 902, 903, 904)] == ["und", "und", "und", "aa", "aa"]
+    held = [k for k, _, _ in rows[:240] if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert held and sum(got[k].lang_pred == rows[k][2] for k in held) >= 0.97 * len(held)
+    assert all(0 <= g.score <= 1 for g in got.values())
+    assert language_id.predict(df.limit(0), model).count() == 0
+    nothing = language_id.fit(df.select("text", "lang").limit(0))
+    assert {g.lang_pred for g in language_id.predict(df, nothing).collect()} == {"und"}
+
+
+# --- 5: chats
+
+
+def test_chats(spark):
+    base = [("user", "a"), ("assistant", "b"), ("user", None), (None, "d")]
+    convs = {1: base, 2: base[:2], 3: base, 4: [("user", "x"), *base], 5: base[:3], 6: [("user", "a"), ("assistant", "other")], None: base[:1], 8: [("user", "lone")]}
+    rows = [(c, 10 * k, role, text, "clash") for c, turns in convs.items() for k, (role, text) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, at string")
+    got = {r.conv_id: r for r in chat_format.render(chat_format.maximal(df)).collect()}
+    assert set(got) == {1, 4, 6, 8} and got[1].n_alike == 2
+    assert got[1].chat == "<|user|>\na\n<|assistant|>\nb\n<|user|>\n\n<||>\nd\n"
+    assert chat_format.render(chat_format.maximal(df.limit(0))).count() == 0
+
+
+def test_long_chats_come_in_parts(spark):
+    n = 3 * chat_format.PART + 5
+    rows = [(1, k, "user", f"t{k}") for k in range(n)] + [(2, k, "user", f"t{k}") for k in range(n - 300)] + [(3, None, "user", "t0"), (3, None, "user", "t0")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.render(chat_format.maximal(df)).orderBy("conv_id", "part").collect()
+    assert [(r.conv_id, r.part) for r in got] == [(1, 0), (1, 1), (1, 2), (1, 3), (3, 0)]
+    assert "".join(r.chat for r in got[:4]) == "".join(f"<|user|>\nt{k}\n" for k in range(n))
+
+
+# --- 6: tokens
+
+
+def test_tokens_round_trip(spark):
+    rows = [(1, "Hello  world's\n 12345 naïve 日本"), (2, None), (3, ""), (1, "again again"), (4, "word " * 30_000)]
+    df = docs(spark, rows).withColumn("ids", F.lit("clash")).withColumn("n_tokens", F.lit("clash"))
+    encoded = bpe.encode(df.drop("n_tokens"))
+    assert Counter(r.text for r in bpe.decode(encoded).collect()) == Counter((t or "") for _, t in rows)
+    by = {hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows}
+    got = bpe.round_trip(df).collect()
+    assert {r.decoded_sha256 for r in got} == by and len(got) == 5
+    ids = {hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest(): len(r.ids) for r in encoded.collect()}
+    assert {r.ids_sha256: r.n_tokens for r in got} == ids
+    assert bpe.round_trip(df.limit(0)).count() == 0
+
+
+# --- 7: quality
+
+
+def slow_statistics(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+    repeated = {k + j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)}
+    lines, seen, dup = text.split("\n"), set(), 0
+    for line in lines:
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(repeated)
+
+
+def test_statistics(spark):
+    r = random.Random(9)
+    texts = [None, "", " \n\t", "a", "a b", "a b c", "a b c a b c", "x\x0by\x85z é|#\n\nx\n x\nx", "a a a a a", "w " * 40_000]
+    texts += ["".join(r.choice("ab \n|é\t") for _ in range(r.randrange(120))) for _ in range(150)]
+    df = docs(spark, list(enumerate(texts))).withColumn("_w", F.lit(1)).withColumn("n_lines", F.lit("clash"))
+    for row in quality_rules.statistics(df).collect():
+        want = slow_statistics(texts[row.doc_id])
+        assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == want, texts[row.doc_id]
+        assert row.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+
+
+def test_rules_are_learned(spark):
+    r = random.Random(10)
+    rows, labels = [], []
+    for k in range(240):
+        words = [f"w{r.randrange(1000)}" for _ in range(80)]
+        bad = k % 4 == 0
+        rows.append((k, " ".join(w + "###" * bad for w in words)))
+        if k < 200:
+            labels.append((k, int(not bad)))
+    labels += [(5, None), (None, 0), (4, 0)]
+    got = {x.doc_id: x for x in quality_rules.judge(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    assert all(got[k].kept == (k % 4 != 0) for k in range(240))
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert all(x.kept for x in quality_rules.judge(docs(spark, rows), none).collect())
+    assert quality_rules.judge(empty(spark), none).count() == 0
+
+
+# --- 8: fingerprints
+
+
+def test_near_groups_by_brute_force(spark):
+    r = random.Random(11)
+    rows, words = [], [f"w{k}" for k in range(500)]
+    for k in range(60):
+        base = [r.choice(words) for _ in range(300)]
+        for _ in range(r.randrange(1, 4)):
+            copy = list(base)
+            for _ in range(r.randrange(3)):
+                copy[r.randrange(300)] = "edit"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(900, None), (901, ""), (902, " \n"), (903, "One two"), (904, "one TWO"), (5, rows[7][1]), (None, rows[9][1]), (905, "long " * 30_000)]
+    got = simhash.near_groups(docs(spark, rows).withColumn("component_id", F.lit("clash"))).collect()
+    fps = sorted({g.fp & (1 << 64) - 1 for g in got})
+    group = {f: f for f in fps}
+    changed = True
+    while changed:
+        changed = False
+        for a in fps:
+            for b in fps:
+                if (a ^ b).bit_count() <= 2 and group[a] != group[b]:
+                    group[a] = group[b] = min(group[a], group[b])
+                    changed = True
+    least = {}
+    for g in got:
+        key = group[g.fp & (1 << 64) - 1]
+        if g.doc_id is not None:
+            least[key] = min(least.get(key, g.doc_id), g.doc_id)
+    assert len(got) == len(rows) and all(g.component_id == least.get(group[g.fp & (1 << 64) - 1]) for g in got)
+    assert len(set(least.values())) < len(fps)
+    kept = simhash.near_unique(docs(spark, rows)).collect()
+    assert {x.doc_id for x in kept} == set(least.values()) | {None}
+    assert simhash.near_groups(empty(spark)).count() == 0
+    with pytest.raises(ValueError):
+        simhash.near_pairs(empty(spark), 4)
+
+
+# --- 9: lines
+
+
+def slow_lines(rows, least):
+    lines = {i: (t.split("\n") if t is not None else []) for i, t in rows}
+    units = {i: [k for k, x in enumerate(ls) if x.split()] for i, ls in lines.items()}
+    gone = {i: set() for i in lines}
+    seen = {}
+    order = sorted(lines, key=lambda i: (i is not None, i))
+    for i in order:
+        for a in range(len(units[i])):
+            for b in range(a + 1, len(units[i]) + 1):
+                block = tuple(lines[i][k] for k in units[i][a:b])
+                if sum(len(x.split()) for x in block) >= least:
+                    if block in seen:
+                        gone[i] |= set(range(a, b))
+                    else:
+                        seen[block] = (i, a)
+    out = {}
+    for i, ls in lines.items():
+        cut = set()
+        for u in gone[i]:
+            end = units[i][u + 1] if u + 1 < len(units[i]) else len(ls)
+            cut |= set(range(units[i][u], end))
+        out[i] = (None if dict(rows)[i] is None else "\n".join(x for k, x in enumerate(ls) if k not in cut), len(ls), len(cut))
+    return out
+
+
+def test_line_runs_by_brute_force(spark):
+    r = random.Random(12)
+    pool = ["a", "b b", "c c c", "d d d d", "", " ", "e e e e e e e"]
+    rows = [(k, "\n".join(r.choice(pool) for _ in range(r.randrange(9)))) for k in range(60)]
+    rows += [(100, None), (101, ""), (None, "a\nb b\nc c c"), (102, "\n".join(["z z z z z z"] * 300))]
+    df = docs(spark, rows).withColumn("_gone", F.lit(1)).withColumn("key", F.lit("clash"))
+    for least in (6, 1):
+        got = {g.doc_id: (g.text, g.n_lines, g.n_removed) for g in line_dedup.dedup(df, least).collect()}
+        assert got == slow_lines(rows, least)
+    twice = line_dedup.dedup(df.union(df), 6).collect()
+    assert len(twice) == 2 * len(rows) and {g.doc_id: g.text for g in twice} == {i: x[0] for i, x in slow_lines(rows, 6).items()}
+    assert line_dedup.dedup(empty(spark)).count() == 0
+
+
+# --- 10: benchmark
+
+
+def test_contaminated_pairs(spark):
+    item = [f"w{k}" for k in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (2, None), (3, ""), (None, "p q r s t u v")], "item_id long, text string")
+    rows = [(1, "x " + " ".join(item[10:] + ["y"] + item[:10])), (2, " ".join(item[:9])), (3, None), (4, ""), (1, " ".join(item)), (5, "noise " * 30_000 + "P q, r s t u v!"), (None, " ".join(item))]
+    df = docs(spark, rows).withColumn("item_id", F.lit("clash"))
+    got = Counter((r.doc_id, r.item_id, r.n_words) for r in decontamination.pairs(df, bench).collect())
+    assert got == Counter([(1, 1, 20), (1, 1, 20), (5, None, 7), (None, 1, 20)])
+    assert sorted(r.doc_id for r in decontamination.clean(df, bench).collect()) == [2, 3, 4]
+    assert decontamination.pairs(df, bench.limit(0)).count() == 0 and decontamination.clean(df, bench.limit(0)).count() == len(rows)
+    assert decontamination.pairs(empty(spark), bench).count() == 0
+    assert len(list(decontamination.blocks(bench, 40))) > 1
