@@ -18,13 +18,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from octarine.llm.common import small_batches, table
+from octarine.llm.common import give_back, small_batches, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Entries of a worker's caches of words and of pre-tokens. What is dropped is computed again.
-CACHE = 1_000_000
+#: Entries of a worker's cache of words, some 200 bytes each. What is dropped is computed again.
+CACHE = 600_000
 #: Bytes of pre-tokens above which one is merged alone, and characters of texts whose new pre-tokens are merged at once.
-LONG, TEXTS = 256, 20 << 20
+LONG, TEXTS = 256, 12 << 20
 
 
 class RankMerger:
@@ -140,7 +140,8 @@ class RankBatch:
         at[at == len(known)] = 0
         return np.where(known[at] == wanted, ranks[at], -1)
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each, as 16-bit numbers."""
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         n, lengths = len(raw), np.fromiter(map(len, pieces), np.int64, len(pieces))
         last = np.cumsum(lengths) - 1
@@ -210,29 +211,35 @@ class RankBatch:
             if some.any() or more.any():
                 top = push(np.concatenate([k[some], left[more]]), np.concatenate([new[some], other[more]]), top)
         left = ids[:n] >= 0
-        ends = np.cumsum(np.bincount(own[left], minlength=len(pieces))).tolist()
-        flat = ids[:n][left].tolist()
+        ends = np.cumsum(2 * np.bincount(own[left], minlength=len(pieces))).tolist()
+        flat = ids[:n][left].astype("<u2").tobytes()
         return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 class _Cache(dict):
-    """A dict that computes what it lacks, and drops its older half when it is full."""
+    """A dict that computes what it lacks. turn() drops what was not used since the turn before, if it has grown full."""
 
     def __init__(self, compute, most: int):
         self.compute, self.most, self.old = compute, most // 2, {}
 
     def __missing__(self, key):
-        found = self.old.pop(key, None)
+        found = self.old.get(key)
         if found is None:
             found = self.compute(key)
-        self.put({key: found})
+        if len(self) >= 2 * self.most:
+            self.turn()
+        self[key] = found
         return found
 
-    def put(self, found: dict) -> None:
-        if len(self) + len(found) > self.most:
+    def turn(self) -> None:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        self.update(found)
+
+    def lacks(self, keys: Iterable[str]) -> list[str]:
+        """Those that are not here; what the turn before left is taken over."""
+        self.update({k: old for k in keys if k not in self and (old := self.old.get(k)) is not None})
+        return [k for k in keys if k not in self]
 
 
 class Codec:
@@ -241,14 +248,16 @@ class Codec:
     def __init__(self, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, cache: int = CACHE):
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.names = list(map(str, range(max(self.tokens) + 1)))
+        self.tokens = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            self.tokens[rank] = token
+        self.names = list(map(str, range(len(self.tokens))))
         self.find = regex.compile(pattern).findall
         self.merger = RankMerger(self.ranks)
         self.batch = RankBatch(self.merger)
-        self.pieces = _Cache(self._encode_piece, cache)
-        #: What stands between two spaces, as if a space stood before it.
+        #: What stands between two spaces, as if a space stood before it; and pre-tokens of no space and letters.
         self.words = _Cache(self._encode_word, cache)
+        self.marks = _Cache(self._encode_piece, cache // 8)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -256,20 +265,17 @@ class Codec:
             return [whole]
         return self.merger.merge(piece)
 
-    def _encode_piece(self, piece: str) -> tuple[tuple[int, ...], str]:
-        return self._named(self.merge(piece.encode("utf-8", "replace")))
+    def _encode_piece(self, piece: str) -> bytes:
+        return np.array(self.merge(piece.encode("utf-8", "replace")), "<u2").tobytes()
 
-    def _encode_word(self, word: str) -> tuple[tuple[int, ...], str]:
-        return self._joined([" " + word] if word.isalpha() else self.find(" " + word))  # letters alone are one match
+    def _encode_word(self, word: str) -> bytes:
+        return self._encode_piece(" " + word) if word.isalpha() else self._joined(self.find(" " + word))  # letters alone are one match
 
-    def _named(self, ids: list[int]) -> tuple[tuple[int, ...], str]:
-        return tuple(ids), ",".join(map(self.names.__getitem__, ids))
+    def _piece(self, piece: str) -> bytes:
+        return self.words[piece[1:]] if piece[0] == " " and piece[1:].isalpha() else self.marks[piece]
 
-    def _joined(self, found: list[str]) -> tuple[tuple[int, ...], str]:
-        if len(found) == 1:
-            return self.pieces[found[0]]
-        parts = list(map(self.pieces.__getitem__, found))
-        return tuple(chain.from_iterable([p[0] for p in parts])), ",".join([p[1] for p in parts])
+    def _joined(self, found: list[str]) -> bytes:
+        return b"".join(map(self._piece, found))
 
     def _cut(self, text: str) -> list[str] | None:
         """The text cut at its spaces; None if one stands at an end or beside other white space.
@@ -283,35 +289,44 @@ class Codec:
 
     def learn(self, texts: list[str | None]) -> None:
         """Merges the pre-tokens of these texts that are new to the caches, all at once."""
+        self.words.turn()
+        self.marks.turn()
         words: set[str] = set()
-        pieces: set[str] = set()
+        found: list[str] = []
         for text in texts:
-            if (found := self._cut(text or "")) is None:
-                pieces.update(self.find(text))
+            if (parts := self._cut(text or "")) is None:
+                found += self.find(text)
+            else:
+                found += self.find(parts[0])
+                words.update(parts)
+        words = set(self.words.lacks(words))
+        cut = {w: self.find(" " + w) for w in words if not w.isalpha()}
+        words.difference_update(cut)
+        marks: set[str] = set()
+        for p in chain(found, chain.from_iterable(cut.values())):
+            if p[0] == " " and p[1:].isalpha():
+                words.add(p[1:])
             else:
-                pieces.update(self.find(found[0]))
-                words.update(found[1:])
-        words = {w for w in words if w not in self.words and w not in self.words.old}
-        cut = {w: [" " + w] if w.isalpha() else self.find(" " + w) for w in words}
-        pieces.update(chain.from_iterable(cut.values()))
-        pieces = {p for p in pieces if p not in self.pieces and p not in self.pieces.old}
-        new = {p: x for p in pieces if len(x := p.encode("utf-8", "replace")) <= LONG and x not in self.ranks}
-        if new:
-            self.pieces.put(dict(zip(new, map(self._named, self.batch.merge(list(new.values()))), strict=True)))
-        self.words.put({w: self._joined(found) for w, found in cut.items()})
-
-    def encode_parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """The text's ids in parts, each with its decimal form."""
+                marks.add(p)
+        for keys, cache, before in ((words, self.words, " "), (marks, self.marks, "")):
+            raw = {k: x for k in cache.lacks(keys) if len(x := (before + k).encode("utf-8", "replace")) <= LONG and x not in self.ranks}
+            if raw:
+                cache.update(zip(raw, self.batch.merge(list(raw.values())), strict=True))
+        self.words.update({w: self._joined(parts) for w, parts in cut.items()})
+
+    def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         found = self._cut(text)
         if found is None:
-            return [self._joined(self.find(text))]
-        first = self._joined(self.find(found[0]))
-        return [first, *map(self.words.__getitem__, found[1:])]
+            packed = self._joined(self.find(text))
+        else:
+            packed = b"".join([self._joined(self.find(found[0])), *map(self.words.__getitem__, found[1:])])
+        return np.frombuffer(packed, "<u2").tolist()
 
-    def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.encode_parts(text or "")))
+    def digest(self, ids: Iterable[int]) -> str:
+        """SHA-256 of the decimal ids, joined by commas."""
+        return hashlib.sha256(",".join(map(self.names.__getitem__, ids)).encode()).hexdigest()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -400,12 +415,12 @@ def round_trip(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_to
             for b, texts in held:
                 counts, digests, decoded = [], [], []
                 for x in texts:
-                    parts = own.encode_parts(x or "")
-                    ids = list(chain.from_iterable([p[0] for p in parts]))
+                    ids = own.encode(x)
                     counts.append(len(ids))
-                    digests.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
+                    digests.append(own.digest(ids))
                     decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], [*kept, *[f.name for f in added]])
+            give_back()
 
     small_batches(docs.sparkSession)
     return docs.select(*kept, text).mapInArrow(run, schema)
