@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from octarine.functions import bits as B
+from octarine.functions.lineage import cut
 
 AXES = ("x", "y", "z")
 
@@ -29,13 +30,13 @@ def placed(points: DataFrame, box: DataFrame, frame: str = "frame", axes: Sequen
     return met.withColumn("_v", values).withColumns({f"p{k}": F.get("_v", F.col(f"axis_{k}")) - F.col(f"offset_{k}") for k in range(len(axes))}).drop("_v")
 
 
-def encode(points: DataFrame, radius: float, max_layers: int = 64, frame: str = "frame", axes: Sequence[str] = AXES, cut: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def encode(points: DataFrame, radius: float, max_layers: int = 64, frame: str = "frame", axes: Sequence[str] = AXES, cut: Callable[[DataFrame], DataFrame] = cut) -> tuple[DataFrame, DataFrame]:
     """(boxes, symbols): symbols are (frame, layer, node, dims, flag, n), a row for each node.
 
     On every layer a box is halved on the axes whose half side is over the radius. A node with no point farther than
     the radius from its middle on any axis has flag 0 and ends; else flag has a bit for each child box with points.
     node is a path that starts with 1. A layer is one partial aggregation by node and a join back; their number is bounded by the largest box,
-    and cut writes a checkpoint every few layers, where given. Empty frames have no rows.
+    and cut writes a checkpoint after every other one. Empty frames have no rows.
     """
     if radius <= 0:
         raise ValueError("the radius must be above 0")
@@ -63,7 +64,7 @@ def encode(points: DataFrame, radius: float, max_layers: int = 64, frame: str =
         moved = [F.when(big[k], F.col(f"p{k}") + F.when(F.col(f"p{k}") >= 0, -half[k]).otherwise(half[k])).otherwise(F.col(f"p{k}")) for k in range(d)]
         path = F.call_function("shiftleft", F.col("node"), F.col("dims")).bitwiseOR(F.col("child"))
         now = alive.select(frame, path.alias("node"), *[m.alias(f"p{k}") for k, m in enumerate(moved)], *[h.alias(f"box_{k}") for k, h in enumerate(half)])
-        if cut and layer % 4 == 3:
+        if layer % 2:
             now = cut(now)
     if out is None:
         out = now.select(frame, F.lit(0).alias("layer"), "node", F.lit(0).alias("dims"), F.lit(0).cast("bigint").alias("flag"), F.lit(1).cast("bigint").alias("n")).where("false")
@@ -78,6 +79,7 @@ def decode(box: DataFrame, symbols: DataFrame, radius: float, frame: str = "fram
     top = symbols.agg(F.max("layer")).first()[0]
     for layer in range(0 if top is None else top + 1):
         met = now.join(symbols.where(F.col("layer") == layer).select(frame, "node", "dims", "flag"), [frame, "node"], "left")
+        met = cut(met) if layer % 2 else met
         done = met.where("flag is null or flag = 0").select(frame, *[f"c{k}" for k in range(d)])
         leaves = done if leaves is None else leaves.unionByName(done)
         kids = met.where("flag != 0").withColumn("child", F.explode(F.filter(F.sequence(F.lit(0), F.lit((1 << d) - 1)), lambda k: F.call_function("bit_get", F.col("flag"), k) == 1)))
@@ -99,7 +101,7 @@ def prune(points: DataFrame, radius: float, node: Sequence[str] = ("frame",), ax
     return points.groupBy(*node).agg(F.bool_or(far).alias("keep"), F.count(F.lit(1)).alias("n"))
 
 
-def mean_split(points: DataFrame, radius: float, max_layers: int, frame: str = "frame", axes: Sequence[str] = AXES, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def mean_split(points: DataFrame, radius: float, max_layers: int, frame: str = "frame", axes: Sequence[str] = AXES, cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(frame, layer, node, dims, flag, n, mean_<axis>, box_<axis>): each node has a box of its own, split at the mean of its points.
 
     A node's box is the largest distance from its mean on each axis; it is split on the axes where that is over
@@ -116,10 +118,53 @@ def mean_split(points: DataFrame, radius: float, max_layers: int, frame: str = "
         child: Column = B.total([F.when(b & (F.col(a) >= F.col(f"mean_{a}")), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k, (a, b) in enumerate(zip(axes, big, strict=True))])
         dims = sum((b.cast("int") for b in big[1:]), big[0].cast("int"))
         met = met.withColumns({"child": child, "dims": dims})
-        met = cut(met) if cut else met
+        met = cut(met)  # it is read twice: a plan without cuts would double with each layer
         at = F.when(F.col("dims") > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("child").cast("int"))).otherwise(F.lit(0).cast("bigint"))
         firsts = [F.first(f"{p}_{a}").alias(f"{p}_{a}") for p in ("mean", "box") for a in axes]
         rows = met.groupBy(frame, "node").agg(F.max("dims").alias("dims"), F.bit_or(at).alias("flag"), F.count(F.lit(1)).alias("n"), *firsts).withColumn("layer", F.lit(layer))
         out = rows if out is None else out.unionByName(rows)
         now = met.where("dims > 0").select(frame, (F.shiftleft("node", d) + F.col("child")).alias("node"), *axes)
     return out
+
+
+def mean_leaves(symbols: DataFrame, frame: str = "frame", axes: Sequence[str] = AXES) -> DataFrame:
+    """(frame, node, n, axes): the means of the leaves of mean_split(): nodes of flag 0, and those of the last layer."""
+    last = symbols.groupBy(frame).agg(F.max("layer").alias("_last"))
+    leaves = symbols.join(last, frame).where("flag = 0 or layer = _last")
+    return leaves.select(frame, "node", "n", *[F.col(f"mean_{a}").alias(a) for a in axes])
+
+
+def streams(symbols: DataFrame, frame: str = "frame") -> DataFrame:
+    """(frame, n, bits, stream) of encode(): each flag in two to the dims bits, by layer and node."""
+    from octarine.operators import entropy
+
+    sized = symbols.where("dims > 0").withColumn("width", F.call_function("shiftleft", F.lit(1), F.col("dims")))
+    return entropy.streams(sized, frame, order=("layer", "node"))
+
+
+def read_streams(written: DataFrame, box: DataFrame, radius: float, max_layers: int = 64, frame: str = "frame", d: int = 3) -> DataFrame:
+    """(frame, layer, node, dims, flag) from streams(): a layer's dimension follows from the box, its number of symbols from the flags above."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from octarine.functions.ranges import BitReader
+
+    schema = T.StructType([written.schema[frame], *[T.StructField(c, t) for c, t in (("layer", T.IntegerType()), ("node", T.LongType()), ("dims", T.IntegerType()), ("flag", T.LongType()))]])
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                source, nodes, sides = BitReader(bytes(r["stream"])), [1], [r[f"box_{k}"] for k in range(d)]
+                for layer in range(max_layers):
+                    dims, below = sum(s > radius for s in sides), []
+                    if not dims or not nodes:
+                        break
+                    for node in nodes:
+                        flag = source.read(1 << dims)
+                        rows.append((r[frame], layer, node, dims, flag))
+                        below += [node << dims | k for k in range(1 << dims) if flag >> k & 1]
+                    nodes, sides = below, [s / 2 if s > radius else s for s in sides]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return written.join(box, frame).mapInPandas(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from octarine.functions import ranges as R
+from octarine.functions.lineage import cut
 
 
 def frequencies(symbols: DataFrame, by: Sequence[str], symbol: str = "flag") -> DataFrame:
@@ -117,7 +118,7 @@ def range_decoded(coded: DataFrame, frame: str = "frame") -> DataFrame:
     return coded.select(frame, "n", "counts", "stream").mapInPandas(run, schema)
 
 
-def bit_entropy(codes: DataFrame, width: int, rounds: int, frame: str = "frame", key: str = "code", cut=None) -> DataFrame:
+def bit_entropy(codes: DataFrame, width: int, rounds: int, frame: str = "frame", key: str = "code", cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(frame, key, e): for each code the skew of each bit in the node where it was chosen, as an array by bit, over the frame's size.
 
     In each round a node's codes, as bits of +1 and -1, are summed; a code takes the sum of its node's most skewed unused
@@ -135,5 +136,20 @@ def bit_entropy(codes: DataFrame, width: int, rounds: int, frame: str = "frame",
         met = now.join(chosen, [frame, "node"])
         at = F.call_function("shiftrightunsigned", F.col(key), F.col("bit")).bitwiseAND(F.lit(1).cast("bigint"))
         now = met.select(frame, key, (F.col("node") * 2 + at).alias("node"), F.col("used").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).alias("used"), *[F.when(F.col("bit") == k, F.col("s")).otherwise(F.col(f"e{k}")).alias(f"e{k}") for k in range(width)])
-        now = cut(now) if cut else now
+        now = cut(now)
     return now.join(n, frame).select(frame, key, F.array(*[F.col(f"e{k}") / F.col("_total") for k in range(width)]).alias("e"))
+
+
+def by_skew(mapped: DataFrame, width: int, key: str = "code") -> DataFrame:
+    """bit_entropy() rows with p and sorted_code: each code's own permutation, bits of the larger absolute e to the higher places.
+
+    Bits never chosen come first, in their order; ties keep the lower bit lower. B.permute_by() with p brings the code back.
+    """
+    weight = F.array(*[F.struct(F.coalesce(F.abs(F.get("e", F.lit(k))), F.lit(-1.0)).alias("w"), F.lit(k).alias("b")) for k in range(width)])
+    p = F.transform(F.sort_array(weight), lambda x: x["b"])
+    held = mapped.withColumn("p", p)
+    new = [F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.col(key), F.get("p", F.lit(j)).cast("int")).bitwiseAND(F.lit(1).cast("bigint")), F.lit(j)) for j in range(width)]
+    out = new[0]
+    for c in new[1:]:
+        out = out + c
+    return held.withColumn("sorted_code", out)

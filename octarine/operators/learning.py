@@ -72,3 +72,8 @@ def combined(parts: Sequence[tuple[float, Column]]) -> Column:
     for weight, loss in parts:
         out = out + weight * loss
     return out
+
+
+def sliced(values: Column, start: int, length: int, metric) -> Column:
+    """A metric over part of an array: metric gets the slice (start from 0) and gives an aggregation."""
+    return metric(F.slice(values, start + 1, length))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from octarine.functions import bits as B
+from octarine.functions.lineage import cut
 
 MOST_DIM = 6
 
@@ -145,11 +146,11 @@ def undo_differential(first: DataFrame, deltas: DataFrame) -> DataFrame:
     return deltas.join(before, ["layer", "parent"], "left").select("layer", "parent", F.col("delta").bitwiseXOR(F.coalesce("_before", F.lit(0).cast("bigint"))).alias("flag"))
 
 
-def permutation(codes: DataFrame, width: int, frame: str = "frame", depth: int | None = None, cut=None) -> DataFrame:
+def permutation(codes: DataFrame, width: int, frame: str = "frame", depth: int | None = None, cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(frame, layer, node, choice, n, ones): trees that split each node at its most skewed bit that is left; choice is that bit.
 
     A loop over layers, each a partial aggregation of bit counts by node and a join back; cut writes a checkpoint
-    after each, where given. Ties: the lowest bit. Nodes of one code, or without bits left, end.
+    after each. Ties: the lowest bit. Nodes of one code, or without bits left, end.
     """
     now = codes.select(frame, "code", F.lit(1).cast("bigint").alias("node"), F.lit(0).cast("bigint").alias("used"))
     out = None
@@ -158,11 +159,11 @@ def permutation(codes: DataFrame, width: int, frame: str = "frame", depth: int |
         sums = now.groupBy(frame, "node", "used").agg(F.count(F.lit(1)).alias("n"), *ones).where("n > 1")
         skew = F.array(*[F.struct(F.when(B.bit(F.col("used"), k) == 1, F.lit(-1).cast("bigint")).otherwise(F.greatest(F.col(f"_{k}"), F.col("n") - F.col(f"_{k}"))).alias("w"), F.lit(-k).alias("b"), F.col(f"_{k}").alias("ones")) for k in range(width)])
         chosen = sums.withColumn("_best", F.array_max(skew)).select(frame, "node", "n", (-F.col("_best.b")).alias("choice"), F.col("_best.ones").alias("ones")).withColumn("layer", F.lit(layer))
-        chosen = cut(chosen) if cut else chosen
+        chosen = cut(chosen)
         out = chosen if out is None else out.unionByName(chosen)
         at = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("choice"))
         now = now.join(chosen.select(frame, "node", "choice"), [frame, "node"]).select(frame, "code", (F.col("node") * 2 + (F.col("code").bitwiseAND(at) != 0).cast("bigint")).alias("node"), F.col("used").bitwiseOR(at).alias("used"))
-        now = cut(now) if cut else now
+        now = cut(now)
     return out.select(frame, "layer", "node", "choice", "n", "ones")
 
 
