@@ -93,11 +93,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star round over (a, b) with a > b."""
+    """One star round over (a, b) with a > b. The least neighbours are written first: then both sides of the join are exchanged, and a hub's edges can be split."""
+    least = cut(edges.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")))
     if large:  # every larger neighbour of a node goes to the node's least neighbour, or to the node itself
-        least = edges.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
-        up = edges.join(least, edges.b == least.n, "left").select("a", F.coalesce("m", "b").alias("b"))
-        return up.distinct()
-    least = edges.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+        return edges.join(least, edges.b == least.n, "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
     down = edges.join(least, edges.a == least.n).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return down.union(least.select("n", "m")).distinct()

@@ -57,28 +57,29 @@ def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     in which the common prefix is 2k or more; a block of another length is met as two overlapping classes. A block is
     an earlier one's copy if the least gid of its class is less than its own. A line has one word at least, so blocks have
     min_words lines at most and the doubling ends. Each round is joins on gid and partial aggregations, which a
-    line in a third of all documents can't gather in one task, and ends in a checkpoint.
+    line in a third of all documents can't gather in one task: what is aggregated is written before it is joined, so
+    that both sides of the join are exchanged and a crowded key can be split.
     """
     lines = cut(_blocks(suffixes(docs, min_words), min_words))
     starts = lines.where("ahead is not null").select("gid", F.col("ahead").alias("length"))
     ends = lines.where("back is not null").select((F.col("gid") - F.col("back") + 1).alias("gid"), F.col("back").alias("length"))
     blocks = cut(starts.union(ends).distinct())
-    first = lines.groupBy("h1", "h2").agg(F.min("gid").alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = cut(lines.groupBy("h1", "h2").agg(F.min("gid").alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     classes = cut(lines.select("gid", "left", "h1", "h2").join(first, ["h1", "h2"]).select("gid", "left", "name"))
     found, size = None, 1
     while size <= min_words:
         here = blocks.where((F.col("length") >= size) & (F.col("length") < 2 * size))
         a = classes.select("gid", F.col("name").alias("a"))
         b = classes.select(F.col("gid").alias("gid_b"), F.col("name").alias("b"))
-        met = here.join(a, "gid").withColumn("gid_b", F.col("gid") + F.col("length") - size).join(b, "gid_b").select("gid", "length", "a", "b")
-        least = met.groupBy("a", "b", "length").agg(F.min("gid").alias("least"))
+        met = cut(here.join(a, "gid").withColumn("gid_b", F.col("gid") + F.col("length") - size).join(b, "gid_b").select("gid", "length", "a", "b"))
+        least = cut(met.groupBy("a", "b", "length").agg(F.min("gid").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
         copies = cut(met.join(least, ["a", "b", "length"]).where("least < gid").select("gid", "length"))
         found = copies if found is None else found.union(copies)
         if 2 * size > min_words:
             break
         pairs = classes.where(F.col("left") >= 2 * size).join(b.withColumn("gid", F.col("gid_b") - size).drop("gid_b"), "gid").select("gid", "left", F.col("name").alias("a"), "b")
         pairs = cut(pairs)
-        names = pairs.groupBy("a", "b").agg(F.min("gid").alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        names = cut(pairs.groupBy("a", "b").agg(F.min("gid").alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
         classes = cut(pairs.join(names, ["a", "b"]).select("gid", "left", "name"))
         size *= 2
         if classes.isEmpty():
