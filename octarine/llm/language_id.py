@@ -22,6 +22,8 @@ GRAMS = (2, 3, 4)
 #: About how many labelled texts per language centroids are clustered from: those whose hash is in a share of the range.
 MOST_TEXTS = 600
 CENTROIDS = 4
+#: Languages that one model can hold, as every task has all centroids; more are an error.
+MOST_LANGUAGES = 1000
 #: A text is rejected if its cosine is below this share of what the given quantile of the texts clustered has, at its length.
 REJECT_SHARE, REJECT_QUANTILE = 0.6, 0.01
 UNKNOWN = "und"
@@ -137,7 +139,10 @@ def fit(docs: DataFrame, most: int = MOST_TEXTS, centroids: int = CENTROIDS) ->
     n, df = document_frequencies(known)
     idf = np.where(df > 0, np.log((1 + n) / (1 + df)) + 0.05, 0.0)
     hashed = known.withColumn("h", F.xxhash64("text"))
-    share = hashed.groupBy("lang").agg((F.lit(float(most)) / F.approx_count_distinct("h")).alias("share"))
+    shares = hashed.groupBy("lang").agg((F.lit(float(most)) / F.approx_count_distinct("h")).alias("share")).limit(MOST_LANGUAGES + 1).collect()
+    if len(shares) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the model would not fit a task")
+    share = spark.createDataFrame(shares, "lang string, share double")
     some = hashed.join(F.broadcast(share), "lang").where(F.shiftrightunsigned("h", 1) < F.col("share") * float(1 << 63))
     texts = some.dropDuplicates(["lang", "h"])
     schema = "lang string, centers array<binary>, least array<double>"
