@@ -147,24 +147,26 @@ class Classes:
     def __init__(self, block: Block, at: np.ndarray, h: np.ndarray, doc: np.ndarray):
         left, right = np.minimum(LEFT, at - block.starts[doc]), np.minimum(RIGHT, block.ends[doc] - at)
         padded = np.concatenate([np.zeros(LEFT, np.uint8), block.raw, np.zeros(RIGHT, np.uint8)])
-        context = np.empty((len(at), LEFT + RIGHT), np.uint8)
-        step = 1 << 16
-        columns = np.arange(LEFT + RIGHT)
-        for a in range(0, len(at), step):
-            part = padded[at[a : a + step, None] + columns]
-            part[columns < LEFT - left[a : a + step, None]] = 0
-            part[columns >= LEFT + right[a : a + step, None]] = 0
-            context[a : a + step] = part
-        digest = digests(context, left, right)
+        columns, step = np.arange(LEFT + RIGHT), 1 << 15
+
+        def contexts(rows: np.ndarray) -> np.ndarray:
+            part = padded[at[rows, None] + columns]
+            part[columns < LEFT - left[rows, None]] = 0
+            part[columns >= LEFT + right[rows, None]] = 0
+            return part
+
+        pieces = [np.arange(a, min(a + step, len(at))) for a in range(0, len(at), step)]
+        digest = np.concatenate([digests(contexts(k), left[k], right[k]) for k in pieces])
         order = np.lexsort((digest, h))
         h, digest = h[order], digest[order]
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (digest[1:] != digest[:-1])])
         first = np.flatnonzero(new)
-        #: By occurrence: its class, place, id of its document, and bytes of context.
+        #: By occurrence: its class, place, and the id of its document.
         self.of, self.at, self.doc = np.cumsum(new) - 1, at[order], block.doc_ids[doc[order]]
         #: By class.
         some = order[first]
-        self.h, self.left, self.right, self.context = h[first], left[some], right[some], context[some]
+        self.h, self.left, self.right = h[first], left[some], right[some]
+        self.context = np.concatenate([contexts(some[a : a + step]) for a in range(0, len(some), step)])
         self.least = np.minimum.reduceat(self.doc, first)
 
 
