@@ -24,8 +24,11 @@ MOST_TEXTS = 600
 CENTROIDS = 4
 #: Languages that one model can hold, as every task has all centroids; more are an error.
 MOST_LANGUAGES = 1000
-#: A text is rejected if its cosine is below this share of what the given quantile of the texts clustered has, at its length.
-REJECT_SHARE, REJECT_QUANTILE = 0.6, 0.01
+#: A text is rejected if its cosine is below this share of the median that the clustered texts of its language have at its size.
+#: Random letters have under half of it, and texts of the language seldom less than two thirds.
+REJECT_SHARE = 0.6
+#: Classes of texts' sizes, two for each doubling, and of how many texts of like size the median is taken.
+SIZES, LIKE = 2 * 12 + 1, 60
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -63,9 +66,30 @@ def vector(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (v / norm if norm > 0 else v).astype(np.float32)
 
 
-def _size_class(found: np.ndarray) -> int:
-    """Binary order of a text's length, by which what cosine is usual differs."""
-    return min(15, int(found.sum()).bit_length())
+def _size(found: np.ndarray) -> int:
+    """How many different buckets a text has: a cosine grows with the root of it, however often the text repeats itself."""
+    return max(1, int((found > 0).sum()))
+
+
+def _size_class(size: np.ndarray) -> np.ndarray:
+    return np.minimum(SIZES - 1, 2 * np.log2(size)).astype(np.int64)
+
+
+def thresholds(cosine: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """By size class, the least cosine over the root of the size that is not rejected.
+
+    It comes from the LIKE texts nearest in size at least, so a class with few texts shares those of its neighbours.
+    Almost half of them can be junk. Without a text nothing is rejected.
+    """
+    least = np.zeros(SIZES)
+    if len(size) == 0:
+        return least
+    each, at = cosine / np.sqrt(size), np.log2(size)
+    for k in range(SIZES):
+        away = np.abs(at - (k + 0.5) / 2)
+        like = each[away <= max(0.25, np.sort(away)[min(LIKE, len(away)) - 1])]
+        least[k] = REJECT_SHARE * np.median(like)
+    return least
 
 
 @dataclass
@@ -74,7 +98,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # a row each
     of: np.ndarray  # the language of each centroid
-    least: np.ndarray  # the least cosine that is not rejected, by language and size class
+    least: np.ndarray  # thresholds() of each language
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[bool]]:
         """Language, cosine with its nearest centroid, and whether that is too far: for a text without a letter und, 0 and True."""
@@ -89,7 +113,7 @@ class Model:
         for f, b, s in zip(found, best, score, strict=True):
             k = self.of[b]
             names.append(UNKNOWN if f is None else self.languages[k])
-            far.append(f is None or bool(s < self.least[k, _size_class(f)]))
+            far.append(f is None or bool(s < self.least[k, _size_class(_size(f))] * np.sqrt(_size(f))))
         return names, np.where([f is None for f in found], 0.0, score), far
 
 
@@ -152,18 +176,17 @@ def fit(docs: DataFrame, most: int = MOST_TEXTS, centroids: int = CENTROIDS) ->
         if not found:
             return pd.DataFrame({"lang": [], "centers": [], "least": []})
         x = np.stack([vector(f, idf) for f in found])
-        centers = cluster(x, centroids)
-        own, sizes = (x @ centers.T).max(1), np.array([_size_class(f) for f in found])
-        least = np.zeros(16)
-        for size in range(16):  # longer texts are nearer, so what shorter ones have bounds them too
-            same = own[sizes == size]
-            least[size] = REJECT_SHARE * np.quantile(same, REJECT_QUANTILE) if len(same) >= 10 else 0.0
+        centers, size = cluster(x, centroids), np.array([_size(f) for f in found])
+        # each half is judged by centroids of the other, as texts are nearer to their own
+        halves = [(x[k::2], x[1 - k :: 2], size[k::2]) for k in range(2)] if len(x) > 1 else []
+        cosine = [(one @ cluster(other, centroids).T).max(1) for one, other, _ in halves]
+        least = thresholds(np.concatenate([np.zeros(0), *cosine]), np.concatenate([np.zeros(0), *[n for _, _, n in halves]]))
         return pd.DataFrame({"lang": [key[0]], "centers": [[c.astype("<f4").tobytes() for c in centers]], "least": [least.tolist()]})
 
     got = sorted(texts.groupBy("lang").applyInPandas(grouped, schema).collect(), key=lambda r: r.lang)
     centers = [np.frombuffer(c, "<f4") for r in got for c in r.centers]
     of = [k for k, r in enumerate(got) for _ in r.centers]
-    return Model([r.lang for r in got], idf, np.array(centers, np.float32).reshape(-1, BUCKETS), np.array(of, np.int64), np.array([r.least for r in got]).reshape(-1, 16))
+    return Model([r.lang for r in got], idf, np.array(centers, np.float32).reshape(-1, BUCKETS), np.array(of, np.int64), np.array([r.least for r in got]).reshape(-1, SIZES))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
