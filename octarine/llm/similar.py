@@ -1,0 +1,134 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: candidates by banded MinHash, each verified on whole sets."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
+
+from octarine.llm.common import connected_components, cut, small_batches
+
+#: Words of a shingle, and the least similarity of two texts that are linked.
+WORDS, LEAST = 5, 0.8
+#: Texts of that similarity share none of the bands, and are missed, with a probability of (1 - 0.8 ** 5) ** 40, about one in eight million.
+BANDS, ROWS, SEED = 40, 5, 42
+#: Shingles that are hashed at once.
+BLOCK = 1 << 11
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted different 64-bit hashes of the text's shingles.
+
+    A-Z are lower-cased; words are what stands between ASCII white space. Fewer words than a shingle has are one
+    shingle; a null text or one without words has none.
+    """
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(tokens) - words + 1) if tokens else 0
+    joined = map(b" ".join, zip(*[tokens[k:] for k in range(words)], strict=False)) if len(tokens) > words else [b" ".join(tokens)][:n]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in joined), np.uint64, n))
+
+
+def key(found: np.ndarray) -> int:
+    """What texts of equal shingles share: 0 for none."""
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED) if len(found) else 0
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """Hashes of ROWS least values each, that of a band being met by no other band; none without a shingle."""
+    if not len(found):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(found), BLOCK):
+        least = np.minimum(least, (_ODD[:, None] * found[at : at + BLOCK]).min(1))
+    return [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _signed(x: list[int]) -> np.ndarray:
+    return np.array(x, np.uint64).view(np.int64)
+
+
+def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, text_key, key, n, bands) of each row of docs (doc_id, text): n is the number of its different shingles."""
+    small_batches(docs.sparkSession)
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, t) for c, t in (("text_key", T.LongType()), ("key", T.LongType()), ("n", T.LongType()), ("bands", T.ArrayType(T.LongType())))]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(x, words) for x in b.column(2).to_pylist()]
+            own = [pa.array(_signed([key(f) for f in found])), pa.array([len(f) for f in found], pa.int64()), pa.array([_signed(bands(f)) for f in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *own], schema.names)
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, schema)
+
+
+def sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
+    """(key, shingles) of the texts of docs whose text_key is in wanted: a row for each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(x, words) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(_signed([key(f) for f in found])), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["key", "shingles"])
+
+    some = docs.select("text", F.xxhash64("text").alias("text_key")).join(wanted.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
+    return some.select("text").mapInArrow(run, "key long, shingles array<long>").dropDuplicates(["key"])
+
+
+def verified(pairs: DataFrame, found: DataFrame, least: float = LEAST) -> DataFrame:
+    """The pairs (a, b) of keys whose sets in found (key, shingles) are that similar."""
+    side = lambda c: found.select(F.col("key").alias(c), F.col("shingles").alias(f"of_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("same"), (F.size("of_a") + F.size("of_b")).alias("n"))
+    return both.where(F.col("same") / (F.col("n") - F.col("same")) >= least).select("a", "b")
+
+
+def similar_pairs(owners: DataFrame, docs: DataFrame, least: float = LEAST, words: int = WORDS) -> DataFrame:
+    """(a, b): pairs of keys of owners (key, text_key, n, bands) that link all that are similar, though not each pair of them.
+
+    Texts that share a band are candidates. First each is held against the least key of its band. What this links needs
+    no further pairs, so a crowd of like texts costs one pair for each; then all pairs of a band that are not linked yet
+    are held against each other. Sizes alone rule out many.
+    """
+    close = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-6
+    at = owners.select("key", "n", F.explode("bands").alias("band"))
+    first = F.first(F.struct("key", "n")).over(W.partitionBy("band").orderBy("key"))
+    met = cut(at.withColumn("first", first).where("first.key != key"))
+    members = met.select("band", "key", "n").union(met.select("band", "first.key", "first.n")).distinct()
+    found = cut(sets(docs, owners.join(members.select("key").distinct(), "key", "left_semi"), words))
+    tried = met.where(close(F.col("n"), F.col("first.n"))).select(F.col("first.key").alias("a"), F.col("key").alias("b")).distinct()
+    linked = cut(verified(tried, found, least))
+    groups = connected_components(linked)
+    named = members.join(groups, members.key == groups.node, "left").select("band", "key", "n", F.coalesce("component", "key").alias("component"))
+    named = cut(named)
+    open_ = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high and size > 2").select("band")
+    left = cut(named.join(open_, "band", "left_semi"))
+    other = left.select("band", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
+    rest = left.join(other, "band").where("key < b and component != component_b").where(close(F.col("n"), F.col("n_b"))).select(F.col("key").alias("a"), "b").distinct()
+    return linked.union(verified(rest.join(tried, ["a", "b"], "left_anti"), found, least))
+
+
+def near_groups(docs: DataFrame, least: float = LEAST, words: int = WORDS) -> DataFrame:
+    """doc_id and component_id of each row of docs (doc_id, text): the least doc_id that links of similar texts reach.
+
+    Texts of equal shingles are one before anything is paired; those without a word are one group. A null doc_id counts
+    for nothing in a component; a component of none but null ids has a null component_id. Repeated rows come back as often.
+    """
+    marked = cut(signatures(docs, words))
+    owners = cut(marked.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    groups = connected_components(similar_pairs(owners, docs, least, words))
+    named = owners.join(groups, owners.key == groups.node, "left").select("key", F.coalesce("component", "key").alias("component"), "least")
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return marked.join(named.join(ids, "component").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
+def near_unique(docs: DataFrame, least: float = LEAST, words: int = WORDS) -> DataFrame:
+    """The rows of docs whose doc_id is the least of its group, and those without a doc_id."""
+    groups = near_groups(docs.select("doc_id", "text"), least, words)
+    others = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(others, docs.doc_id == F.col("_id"), "left_anti")

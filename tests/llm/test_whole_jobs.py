@@ -2,7 +2,8 @@
 
 import random
 
-from octarine.llm import language_id
+import corpus_pipeline
+from octarine.llm import language_id, similar
 
 # --- 4: languages
 
@@ -41,3 +42,42 @@ def test_sparse_sizes_share_their_neighbours_threshold():
     least = language_id.thresholds(0.02 * np.sqrt(size), size)
     assert (least > 0.01).all() and (least < 0.02).all()
     assert not language_id.thresholds(np.zeros(0), np.zeros(0)).any()
+
+
+# --- pipeline: near-duplicates
+
+
+def slow_sets(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_duplicates_by_brute_force(spark):
+    r = random.Random(12)
+    rows, words = [], [f"w{k}" for k in range(400)]
+    for _ in range(30):
+        base = [r.choice(words) for _ in range(r.choice((12, 60, 300)))]
+        for _ in range(r.randrange(1, 7)):
+            copy = list(base)
+            for _ in range(r.randrange(len(base) // 45 + 2)):
+                copy[r.randrange(len(base))] = f"edit{r.randrange(900)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(900, None), (901, ""), (902, " \n"), (903, "One two"), (904, "one TWO"), (5, rows[7][1]), (None, rows[9][1]), (905, "a b c d e f g h"), (906, "a b c d e f g h i")]
+    r.shuffle(rows)
+    found = [slow_sets(t) for _, t in rows]
+    group = list(range(len(rows)))
+    near = lambda a, b: a == b or (a and b and len(a & b) / len(a | b) >= 0.8)
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and near(found[i], found[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for (d, _), g in zip(rows, group, strict=True):
+        if d is not None:
+            least[g] = min(least.get(g, d), d)
+    others = {d for (d, _), g in zip(rows, group, strict=True) if d is not None and d != least[g]}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert sorted(x.doc_id or -1 for x in got.collect()) == sorted(d or -1 for d, _ in rows if d not in others)
+    assert len({x for x in group}) < len({frozenset(f) for f in found}) - 10
+    assert similar.near_groups(df.limit(0)).count() == 0
