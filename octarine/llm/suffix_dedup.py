@@ -94,7 +94,7 @@ def anchors(raw: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.n
     np.add.at(inside, ends[long_] - LENGTH + 1, -1)
     inside = np.cumsum(inside[:-1]) > 0
     places, hashes = [], []
-    for a in range(0, len(raw) - LENGTH + 1, SLICE):
+    for a in range(0, len(raw) - ANCHOR + 1, SLICE):
         lo = max(0, a - SPAN + 1)  # strings that an anchor from a on may be the least of start here
         n = min(len(raw) - ANCHOR + 1, a + SLICE + SPAN - 1) - lo
         one, two = _words(raw, lo, n), _words(raw, lo + 8, n)
