@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: 64-bit fingerprints of word shingles, met on the variants within half the radius."""
+"""SimHash near-duplicates: fingerprints of words, met on all variants within half the radius, and verified."""
 
 from __future__ import annotations
 
@@ -7,36 +7,53 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from octarine.llm.common import connected_components, cut, small_batches, table
+from octarine.llm.common import connected_components, cut, fresh, small_batches, table
 
 BITS, SEED, WORDS, RADIUS = 64, 42, 3, 2
 #: Shingle hashes whose bits are counted at once.
 BLOCK = 1 << 16
+#: For texts of like words: words of a shingle, and the least Jaccard similarity of two texts that are linked.
+LIKE_WORDS, LEAST = 5, 0.8
+#: Fingerprints of a text that near copies are looked for by, and the bits of each.
+TABLES, SLOT_BITS = 12, 32
+#: A word weighs its bytes, up to so many in a fingerprint of a text.
+HEAVIEST = 12
+#: Of all TABLES * SLOT_BITS bits, the share in which texts of the least similarity may differ: 0.15 is expected at worst, and 0.02 a standard deviation.
+FAR = 0.25
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, TABLES * SLOT_BITS // 64, np.uint64) << np.uint64(1) | np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """Unsigned. A bit is set if it is set in over half the hashes of the text's shingles, repeats included.
+def words_of(text: str | None) -> list[bytes]:
+    """A-Z lower-cased; words are what stands between ASCII white space."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
-    A-Z are lower-cased; words are what stands between ASCII white space. Fewer words than a shingle has are one
-    shingle; a null text or one without words gives 0.
-    """
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return 0
+
+def hashes(tokens: list[bytes], words: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; fewer words than a shingle has are one shingle, and no words none."""
     if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(tokens), seed)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(tokens), seed)][: len(tokens)], np.uint64)
     joined = map(b" ".join, zip(*[tokens[k:] for k in range(words)], strict=False))
-    digest = xxhash.xxh64_intdigest
-    n, counts = len(tokens) - words + 1, np.zeros(BITS, np.int64)
-    hashes = np.fromiter((digest(x, seed) for x in joined), np.uint64, n)
-    for at in range(0, n, BLOCK):
-        counts += np.unpackbits(hashes[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+    return np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in joined), np.uint64, len(tokens) - words + 1)
+
+
+def _majority(found: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Of 64-bit numbers, the one whose bits are set in over half of them, as eight bytes."""
+    counts, total = np.zeros(BITS), len(found) if weights is None else weights.sum()
+    for at in range(0, len(found), BLOCK):
+        bits = np.unpackbits(found[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64) if weights is None else weights[at : at + BLOCK] @ bits
+    return np.packbits(2 * counts > total, bitorder="little")
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """Unsigned. A bit is set if it is set in over half the hashes of the text's shingles, repeats included; a text without words gives 0."""
+    return int.from_bytes(_majority(hashes(words_of(text), words, seed)).tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
@@ -53,18 +70,23 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -> Dat
     return docs.select(*kept, text).mapInArrow(run, schema)
 
 
+def _variants(value: str, bits: int) -> Column:
+    """The value and all that differ from it in one of its lowest bits."""
+    masks = [0] + [(1 << k) - (1 << 64 if k == 63 else 0) for k in range(bits)]
+    return F.explode(F.array(*[F.col(value).bitwiseXOR(F.lit(m).cast("long")) for m in masks]))
+
+
 def near_pairs(distinct: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
     """(a, b): pairs of the different fingerprints in fp that link all within the radius, though not each pair of them.
 
     Meet in the middle: each fingerprint goes to all values within half the radius of it (itself and, for a radius
-    of two, its 64 one-bit neighbours); two fingerprints within the radius meet at one value at least. At most
+    of two, its one-bit neighbours); two fingerprints within the radius meet at one value at least. At most
     65 different fingerprints can stand at one value, so no group is large however many copies there are; there each
     is paired with the next, and the pair is verified. A larger radius is refused: the variants would be too many.
     """
     if radius not in (0, 2):
         raise ValueError("radius must be 0 or 2")
-    masks = [0] + [(1 << k) - (1 << 64 if k == 63 else 0) for k in range(bits if radius > 1 else 0)]
-    at = distinct.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(m)) for m in masks])).alias("variant"))
+    at = distinct.select("fp", _variants("fp", bits if radius > 1 else 0).alias("variant"))
     last = F.lag("fp").over(W.partitionBy("variant").orderBy("fp"))
     met = at.withColumn("before", last).where("before is not null")
     pairs = met.select(F.col("before").alias("a"), F.col("fp").alias("b"))
@@ -77,20 +99,158 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> Da
     Fingerprints are made distinct before anything is paired, so copies cost one fingerprint. A null doc_id counts for
     nothing in a component; a component of none but null ids has a null component_id. Repeated rows come back as often.
     """
-    marked = cut(fingerprints(docs, words=words))
+    marked = cut(fingerprints(docs.drop("component_id"), words=words))
     owners = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = connected_components(near_pairs(owners.select("fp"), radius))
-    named = owners.join(groups, owners.fp == groups.node, "left").select(F.col("fp"), F.coalesce("component", "fp").alias("component"), "least")
+    groups = connected_components(cut(near_pairs(owners.select("fp"), radius)))
+    named = owners.join(groups, owners.fp == groups.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = named.select("fp", "component").join(least, "component").select(F.col("fp").alias("_fp"), "component_id")
-    return marked.drop("component_id").join(found, marked.fp == F.col("_fp")).drop("_fp")
+    return marked.join(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "fp").select(*marked.columns, "component_id")
+
+
+# --- texts of like words
+
 
+def shingles(tokens: list[bytes], words: int = LIKE_WORDS) -> np.ndarray:
+    """Sorted different hashes of the shingles."""
+    return np.unique(hashes(tokens, words))
 
-def near_unique(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its group, and those without a doc_id."""
-    groups = near_groups(docs.select("doc_id", "text"), radius, words)
-    others = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(others, docs.doc_id == F.col("_id"), "left_anti")
+
+def key_of(found: np.ndarray) -> int:
+    """What texts of equal shingles share: 0 for none."""
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED) if len(found) else 0
+
+
+def slots(tokens: list[bytes]) -> np.ndarray:
+    """TABLES fingerprints of SLOT_BITS bits, of the different words with their bytes as weights; each with its table's number above it.
+
+    Copies with an edited word share all its other words, but lose up to five shingles of five: so the words differ in far
+    fewer bits than the shingles do.
+    """
+    own = list(set(tokens))
+    h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in own), np.uint64, len(own))
+    weights = np.minimum(np.fromiter(map(len, own), np.float64, len(own)), HEAVIEST)
+    bits = []
+    for odd in _ODD:
+        mixed = h * odd
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+        bits.append(_majority(mixed ^ (mixed >> np.uint64(29)), weights))
+    return np.concatenate(bits).view("<u4").astype(np.int64) | np.arange(TABLES) << SLOT_BITS
+
+
+def _signed(x: list[int]) -> np.ndarray:
+    return np.array(x, np.uint64).view(np.int64)
+
+
+def signatures(docs: DataFrame, words: int = LIKE_WORDS) -> DataFrame:
+    """(doc_id, text_key, key, n, slots) of each row of docs (doc_id, text): n is the number of its different shingles; no slots without one."""
+    small_batches(docs.sparkSession)
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, t) for c, t in (("text_key", T.LongType()), ("key", T.LongType()), ("n", T.LongType()), ("slots", T.ArrayType(T.LongType())))]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, n, own = [], [], []
+            for x in b.column(2).to_pylist():
+                tokens = words_of(x)
+                found = shingles(tokens, words)
+                keys.append(key_of(found))
+                n.append(len(found))
+                own.append(slots(tokens) if len(found) else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_signed(keys)), pa.array(n, pa.int64()), pa.array(own, pa.list_(pa.int64()))], schema.names)
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, schema)
+
+
+def sets(docs: DataFrame, wanted: DataFrame, words: int = LIKE_WORDS) -> DataFrame:
+    """(key, shingles) of the texts of docs whose text_key is in wanted: a row for each key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(words_of(x), words) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(_signed([key_of(f) for f in found])), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["key", "shingles"])
+
+    some = docs.select("text", F.xxhash64("text").alias("text_key")).join(wanted.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
+    return some.select("text").mapInArrow(run, "key long, shingles array<long>").dropDuplicates(["key"])
+
+
+def near_slots(found: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
+    """(a, b): all pairs of different slots of found (slot) within two bits: they meet on their one-bit variants, where no more than bits + 1 can stand."""
+    at = found.select("slot", _variants("slot", bits).alias("variant"))
+    met = cut(at.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("variant"))).where("n > 1").select("variant", "slot"))
+    other = met.select("variant", F.col("slot").alias("b"))
+    return met.join(other, "variant").where("slot < b").select(F.col("slot").alias("a"), "b").distinct()
+
+
+def verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame, least: float, words: int) -> DataFrame:
+    """The pairs (a, b) of keys whose texts are that similar: sizes and all bits of the slots first, then whole sets of shingles."""
+    side = lambda c: owners.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("slots").alias(f"of_{c}"))
+    differ = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    met = met.where(F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b") - 1e-6).where(differ <= FAR * TABLES * SLOT_BITS)
+    met = cut(met.select("a", "b"))
+    named = cut(met.select(F.col("a").alias("key")).union(met.select("b")).distinct())
+    whole = cut(sets(docs, owners.join(named, "key", "left_semi"), words))
+    one = lambda c: whole.select(F.col("key").alias(c), F.col("shingles").alias(f"of_{c}"))
+    both = met.join(one("a"), "a").join(one("b"), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("same"), (F.size("of_a") + F.size("of_b")).alias("n"))
+    return both.where(F.col("same") >= F.lit(least) * (F.col("n") - F.col("same")) - 1e-9).select("a", "b")
+
+
+def like_pairs(owners: DataFrame, docs: DataFrame, least: float = LEAST, words: int = LIKE_WORDS) -> DataFrame:
+    """(a, b): pairs of keys of owners (key, text_key, n, slots) that link all similar ones, though not each pair of them.
+
+    Texts whose slots of one table are within two bits are candidates. First each is held against the one of most
+    neighbours around it, so that a crowd of copies costs some pairs for each and finds what they are copies of. What this
+    links needs no further pairs; then all candidates that aren't linked yet are held against each other. Slots
+    are made distinct before they are paired, and crowded slots are joined, never gathered.
+    """
+    members = owners.select("key", F.explode("slots").alias("slot"))
+    own = cut(members.groupBy("slot").agg(F.count(F.lit(1)).alias("n")))
+    near = cut(near_slots(own))
+    both = near.union(near.select("b", "a"))
+    around = both.join(own, both.b == own.slot).groupBy("a").agg(F.sum("n").alias("n_around"))
+    crowd = own.join(around, own.slot == around.a, "left").select("slot", (F.col("n") + F.coalesce("n_around", F.lit(0))).alias("crowd"), "n").where("crowd > 1")
+    at = cut(members.join(cut(crowd), "slot"))
+    dense = cut(at.groupBy("key").agg(F.sum("crowd").alias("dense")))
+    top = cut(at.join(dense, "key").groupBy("slot").agg(F.max(F.struct("dense", "key")).alias("top")))
+    over = both.join(top, both.b == top.slot).select("a", "top").union(top.select("slot", "top")).groupBy("a").agg(F.max("top").alias("top"))
+    tried = cut(at.join(cut(over), at.slot == F.col("a")).select(F.col("top.key").alias("centre"), "key").where("key != centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct())
+    linked = cut(verified(tried, owners, docs, least, words))
+    groups = connected_components(linked)
+    named = cut(at.select("key", "slot").join(groups, at.key == groups.node, "left").select("slot", "key", F.coalesce("component", "key").alias("component")))
+    span = cut(named.groupBy("slot").agg(F.min("component").alias("low"), F.max("component").alias("high")))
+    of = lambda c: span.select(F.col("slot").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"))
+    open_ = near.union(span.select("slot", "slot")).join(of("a"), "a").join(of("b"), "b").where("least(low_a, low_b) != greatest(high_a, high_b)").select("a", "b")
+    left = named.select(F.col("slot").alias("a"), F.col("key").alias("x"), F.col("component").alias("cx"))
+    right = named.select(F.col("slot").alias("b"), F.col("key").alias("y"), F.col("component").alias("cy"))
+    rest = cut(open_).join(left, "a").join(right, "b").where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return linked.union(verified(rest.join(tried, ["a", "b"], "left_anti"), owners, docs, least, words))
+
+
+def like_groups(docs: DataFrame, least: float = LEAST, words: int = LIKE_WORDS) -> DataFrame:
+    """doc_id, text_key and component of each row of docs (doc_id, text): the group of texts that links of a Jaccard similarity of at least least join.
+
+    Texts of equal shingles are one before anything is paired; those without a word are one group. Repeated rows come back as
+    often. Candidates are found by fingerprints, so a pair that nothing else links may be missed: of copies with scattered
+    edits at 0.8 about one in a thousand, of a text with a quarter as much put at its end about one in five; nothing that isn't similar is linked.
+    """
+    marked = cut(signatures(docs, words))
+    owners = cut(marked.groupBy("key").agg(F.first("text_key").alias("text_key"), F.first("n").alias("n"), F.first("slots").alias("slots")))
+    groups = connected_components(cut(like_pairs(owners, docs, least, words)))
+    named = owners.select("key").join(groups, owners.key == groups.node, "left").select("key", F.coalesce("component", "key").alias("component"))
+    return marked.select("doc_id", "text_key", "key").join(named, "key").select("doc_id", "text_key", "component")
+
+
+def near_unique(docs: DataFrame, least: float = LEAST, words: int = LIKE_WORDS) -> DataFrame:
+    """The rows of docs that are the first of their group by doc_id and a hash of the text, and those without a doc_id; see like_groups().
+
+    Rows alike in doc_id and text are one document, and stay or go together.
+    """
+    groups = like_groups(docs.select("doc_id", "text"), least, words)
+    first = groups.where("doc_id is not null").withColumn("own", F.struct("doc_id", "text_key"))
+    lead = first.groupBy("component").agg(F.min("own").alias("lead"))
+    one, two = fresh(docs, 2)
+    others = first.join(cut(lead), "component").where("own != lead").select(F.col("doc_id").alias(one), F.col("text_key").alias(two)).distinct()
+    return docs.join(others, (docs.doc_id == F.col(one)) & (F.xxhash64(docs.text) == F.col(two)), "left_anti")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ from collections import Counter
 import pytest
 import tiktoken
 from oracle import differences
-from test_operators import removed, slow_base, slow_lines, slow_statistics
+from test_llm_operators import removed, slow_base, slow_lines, slow_statistics
+from test_whole_jobs import first_of_like
 
 import corpus_pipeline
 from octarine.llm import bpe, decontamination, language_id, registry, simhash, suffix_dedup
@@ -111,8 +112,8 @@ def test_pipeline_stage_by_stage(spark, sf):
     keep = {r.doc_id for r in language_id.predict(docs, model).where("not rejected").collect()}
     rows = [(i, t) for i, t in texts(spark, sf) if i in keep]
     rows = [(i, x[0]) for i, x in slow_lines(rows, 10).items()]
-    least = groups(rows)
-    rows = [(i, t) for i, t in rows if least[i] == i]
+    keep = first_of_like(rows)
+    rows = [(i, t) for i, t in rows if i in keep]
     items = [decontamination.words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     rows = [(i, t) for i, t in rows if not leaked(t, items)]
     own = bpe.Codec()

@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from octarine.llm import language_id, similar
+from octarine.llm import language_id, simhash
 
 # --- 4: languages
 
@@ -49,7 +51,34 @@ def test_sparse_sizes_share_their_neighbours_threshold():
 
 def slow_sets(text):
     words = (text or "").lower().split()
-    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def like_groups(rows):
+    """The number of each row's group, by all pairs of different sets."""
+    found = [slow_sets(t) for _, t in rows]
+    names = {x: k for k, x in enumerate(dict.fromkeys(found))}
+    group = list(range(len(names)))
+    some = list(names)
+    holders = {}
+    for k, x in enumerate(some):
+        for g in x:
+            holders.setdefault(g, []).append(k)
+    for i, a in enumerate(some):
+        for j in {j for g in a for j in holders[g] if j < i}:
+            b = some[j]
+            if group[i] != group[j] and len(a & b) >= 0.8 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    return [group[names[x]] for x in found]
+
+
+def first_of_like(rows):
+    least = {}
+    of = like_groups(rows)
+    for (d, _), g in zip(rows, of, strict=True):
+        if d is not None:
+            least[g] = min(least.get(g, d), d)
+    return {d for (d, _), g in zip(rows, of, strict=True) if d is None or d == least[g]}
 
 
 def test_near_duplicates_by_brute_force(spark):
@@ -60,24 +89,38 @@ def test_near_duplicates_by_brute_force(spark):
         for _ in range(r.randrange(1, 7)):
             copy = list(base)
             for _ in range(r.randrange(len(base) // 45 + 2)):
-                copy[r.randrange(len(base))] = f"edit{r.randrange(900)}"
+                copy[r.randrange(len(base))] = f"w{r.randrange(400, 999)}"
             rows.append((len(rows), " ".join(copy)))
-    rows += [(900, None), (901, ""), (902, " \n"), (903, "One two"), (904, "one TWO"), (5, rows[7][1]), (None, rows[9][1]), (905, "a b c d e f g h"), (906, "a b c d e f g h i")]
+    rows += [(900, None), (901, ""), (902, " \n"), (903, "One two"), (904, "one TWO"), (None, rows[9][1]), (905, "a b c d e f g h"), (906, "a b c d e f g h i")]
     r.shuffle(rows)
-    found = [slow_sets(t) for _, t in rows]
-    group = list(range(len(rows)))
-    near = lambda a, b: a == b or (a and b and len(a & b) / len(a | b) >= 0.8)
-    for i in range(len(rows)):
-        for j in range(i):
-            if group[i] != group[j] and near(found[i], found[j]):
-                group = [group[j] if g == group[i] else g for g in group]
-    least = {}
-    for (d, _), g in zip(rows, group, strict=True):
-        if d is not None:
-            least[g] = min(least.get(g, d), d)
-    others = {d for (d, _), g in zip(rows, group, strict=True) if d is not None and d != least[g]}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = corpus_pipeline.near_duplicates(spark, df, "")
-    assert sorted(x.doc_id or -1 for x in got.collect()) == sorted(d or -1 for d, _ in rows if d not in others)
-    assert len({x for x in group}) < len({frozenset(f) for f in found}) - 10
-    assert similar.near_groups(df.limit(0)).count() == 0
+    keep = first_of_like(rows)
+    assert sorted(x.doc_id or -1 for x in got.collect()) == sorted(d or -1 for d in keep)
+    assert len(keep) < len({slow_sets(t) for _, t in rows}) - 10
+    assert simhash.like_groups(df.limit(0)).count() == 0 and simhash.near_unique(df.limit(0)).count() == 0
+
+
+def test_a_star_of_copies_is_one_group(spark):
+    r = random.Random(13)
+    words = [f"word{k}" for k in range(2000)]
+    base = [r.choice(words) for _ in range(400)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 150):
+        copy = list(base)
+        for _ in range(8):
+            copy[r.randrange(400)] = f"edit{r.randrange(9999)}"
+        rows.append((k, " ".join(copy)))
+    rows += [(1000 + k, " ".join(r.choice(words) for _ in range(400))) for k in range(50)]
+    kept = {x.doc_id for x in simhash.near_unique(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == first_of_like(rows)
+    assert len([k for k in kept if k < 1000]) <= 3
+
+
+def test_near_unique_judges_rows_by_id_and_text(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(3, b), (5, b), (5, a), (7, a), (3, b)]
+    df = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, _id string").withColumn("lead", F.lit(1)).withColumn("key", F.lit(2))
+    got = simhash.near_unique(df)
+    assert got.columns == df.columns
+    assert sorted((x.doc_id, x.text) for x in got.collect()) == [(3, b), (3, b), (5, a)]
