@@ -186,24 +186,66 @@ def test_languages(spark):
 # --- 5: chats
 
 
+TURN = "conv_id long, turn long, role string, text string"
+
+
+def slow_chats(rows, most):
+    """(conv_id, part, n_turns, n_alike, chat) by comparing all conversations."""
+    null = lambda x: (x is not None, x or "")
+    convs = {}
+    for c, turn, role, text in sorted(rows, key=lambda x: ((x[1] is not None, x[1] or 0), null(x[2] and x[2][:64]), null(x[3] and x[3][:64]), null(x[2]), null(x[3]))):
+        convs.setdefault(c, []).append((role, text))
+    out = []
+    for c, turns in convs.items():
+        alike = [x for x, t in convs.items() if t == turns]
+        if any(len(t) > len(turns) and t[: len(turns)] == turns for t in convs.values()) or c != min(alike, key=lambda x: (x is not None, x or 0)):
+            continue
+        for k in range(0, len(turns), most):
+            out.append((c, k // most, len(turns), len(alike), "".join(f"<|{r or ''}|>\n{t or ''}\n" for r, t in turns[k : k + most])))
+    return sorted(out, key=str)
+
+
+def chats(spark, rows, most=chat_format.PART):
+    df = spark.createDataFrame([(*x, 1, "clash") for x in rows], f"{TURN}, number int, at string")
+    return sorted((tuple(r) for r in chat_format.render(chat_format.maximal(df), most).collect()), key=str)
+
+
 def test_chats(spark):
     base = [("user", "a"), ("assistant", "b"), ("user", None), (None, "d")]
-    convs = {1: base, 2: base[:2], 3: base, 4: [("user", "x"), *base], 5: base[:3], 6: [("user", "a"), ("assistant", "other")], None: base[:1], 8: [("user", "lone")]}
-    rows = [(c, 10 * k, role, text, "clash") for c, turns in convs.items() for k, (role, text) in enumerate(turns)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, at string")
-    got = {r.conv_id: r for r in chat_format.render(chat_format.maximal(df)).collect()}
-    assert set(got) == {1, 4, 6, 8} and got[1].n_alike == 2
-    assert got[1].chat == "<|user|>\na\n<|assistant|>\nb\n<|user|>\n\n<||>\nd\n"
-    assert chat_format.render(chat_format.maximal(df.limit(0))).count() == 0
+    convs = {1: base, 2: base[:2], 3: base, 4: [("user", "x"), *base], 5: base[:3], 6: [("user", "a"), ("assistant", "other")], None: base[:1], 8: [("user", "lone")], 9: [("user", ""), ("", "q")], 10: [("user", None), (None, "q")]}
+    rows = [(c, 10 * k, role, text) for c, turns in convs.items() for k, (role, text) in enumerate(turns)]
+    got = chats(spark, rows)
+    assert got == slow_chats(rows, chat_format.PART) and {x[0] for x in got} == {1, 4, 6, 8, 9, 10}
+    assert chats(spark, []) == []
+
+
+def test_a_null_is_no_text(spark):
+    assert len(chats(spark, [(1, 0, None, "a"), (2, 0, "a", None)])) == 2
+
+
+def test_places_not_numbers_cut_a_chat(spark):
+    rows = [(1, 1000, "user", "a"), (1, 2000, "user", "b"), (1, -5, None, None)]
+    got = chats(spark, rows)
+    assert got == slow_chats(rows, chat_format.PART) and len(got) == 1
+
+
+def test_random_chats_by_brute_force(spark):
+    r = random.Random(14)
+    rows = []
+    for c in [None, *range(60)]:
+        for k in range(r.randrange(1, 7)):
+            rows.append((c, r.choice([None, k, k, 3]), r.choice([None, "", "u"]), r.choice([None, "", "x", "y" * 70 + r.choice("ab")])))
+    assert chats(spark, rows, 2) == slow_chats(rows, 2)
 
 
 def test_long_chats_come_in_parts(spark):
-    n = 3 * chat_format.PART + 5
-    rows = [(1, k, "user", f"t{k}") for k in range(n)] + [(2, k, "user", f"t{k}") for k in range(n - 300)] + [(3, None, "user", "t0"), (3, None, "user", "t0")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = chat_format.render(chat_format.maximal(df)).orderBy("conv_id", "part").collect()
-    assert [(r.conv_id, r.part) for r in got] == [(1, 0), (1, 1), (1, 2), (1, 3), (3, 0)]
-    assert "".join(r.chat for r in got[:4]) == "".join(f"<|user|>\nt{k}\n" for k in range(n))
+    n = 2 * chat_format.CHUNK + 5
+    rows = [(1, k, "user", f"t{k}") for k in range(n)] + [(2, k, "user", f"t{k}") for k in range(n - 300)] + [(4, k, "user", "other" if k == n - 1 else f"t{k}") for k in range(n)] + [(3, None, "user", "t0"), (3, None, "user", "t0")]
+    rows.append((5, 0, "user", "w" * 300_000))
+    got = chats(spark, rows)
+    assert [x for x in got if x[0] == 5][0][4] == f"<|user|>\n{'w' * 300_000}\n"
+    assert {x[0] for x in got} == {1, 3, 4, 5}
+    assert "".join(x[4] for x in sorted(x for x in got if x[0] == 1)) == "".join(f"<|user|>\nt{k}\n" for k in range(n))
 
 
 # --- 6: tokens
