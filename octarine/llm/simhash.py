@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from octarine.llm.common import connected_components, cut, fresh, small_batches, table
 
@@ -26,7 +27,13 @@ HEAVIEST = 12
 #: Of all TABLES * SLOT_BITS bits, the share in which texts of the least similarity may differ: 0.15 is expected at worst, and 0.02 a standard deviation.
 FAR = 0.25
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, TABLES * SLOT_BITS // 64, np.uint64) << np.uint64(1) | np.uint64(1)
+#: An odd factor that spreads values over 64 bits, and its inverse.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_UNMIX = np.uint64(pow(int(_MIX), -1, 1 << 64))
+#: Values whose variants are made at once, and variants that one task sorts.
+SLICE, GROUP = 1 << 16, 1 << 22
+#: Texts that are looked up by a broadcast of their keys; more are joined by a shuffle.
+MOST_SENT = 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -70,27 +77,62 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -> Dat
     return docs.select(*kept, text).mapInArrow(run, schema)
 
 
-def _variants(value: str, bits: int) -> Column:
-    """The value and all that differ from it in one of its lowest bits."""
-    masks = [0] + [(1 << k) - (1 << 64 if k == 63 else 0) for k in range(bits)]
-    return F.explode(F.array(*[F.col(value).bitwiseXOR(F.lit(m).cast("long")) for m in masks]))
+def _masks(bits: int) -> np.ndarray:
+    return np.array([0, *[1 << k for k in range(bits)]], np.uint64)
 
 
 def near_pairs(distinct: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
-    """(a, b): pairs of the different fingerprints in fp that link all within the radius, though not each pair of them.
+    """(a, b): all pairs of the different values in fp that differ in one to radius of their lowest bits.
 
-    Meet in the middle: each fingerprint goes to all values within half the radius of it (itself and, for a radius
-    of two, its one-bit neighbours); two fingerprints within the radius meet at one value at least. At most
-    65 different fingerprints can stand at one value, so no group is large however many copies there are; there each
-    is paired with the next, and the pair is verified. A larger radius is refused: the variants would be too many.
+    Meet in the middle: each value goes to all variants within half the radius of it (itself and, for a radius of two,
+    those with one bit changed); two values within the radius meet at one variant at least. At most 65 different values can
+    stand at one variant, so no group is large however many copies there are. Variants travel in packed lists, by ranges of their hashes:
+    sorted, as differences, each with the number of the bit that tells which value it comes from. A larger radius is
+    refused: the variants would be too many.
     """
     if radius not in (0, 2):
         raise ValueError("radius must be 0 or 2")
-    at = distinct.select("fp", _variants("fp", bits if radius > 1 else 0).alias("variant"))
-    last = F.lag("fp").over(W.partitionBy("variant").orderBy("fp"))
-    met = at.withColumn("before", last).where("before is not null")
-    pairs = met.select(F.col("before").alias("a"), F.col("fp").alias("b"))
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    if radius == 0:
+        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
+    masks = _masks(bits)
+    groups = max(12, distinct.count() * len(masks) // GROUP + 1)
+    width = np.uint64((1 << 64) // groups)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for at in range(0, len(values), SLICE):
+                spread = ((values[at : at + SLICE, None] ^ masks) * _MIX).ravel()  # one to one, as _MIX is odd
+                order = np.argsort(spread, kind="stable")
+                spread, which = spread[order], (order % len(masks)).astype(np.uint8)
+                group = np.minimum(spread // width, groups - 1)
+                starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                parts = [(int(group[x]), spread[x:y], which[x:y]) for x, y in zip(starts, [*starts[1:], len(group)], strict=True)]
+                packed = [zstandard.compress(np.diff(v, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + w.tobytes(), 1) for _, v, w in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, *_ in parts], pa.int64()), pa.array(packed, pa.binary())], ["part", "packed"])
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        spread, which = [], []
+        for x in rows["packed"]:
+            raw = np.frombuffer(zstandard.decompress(x), np.uint8)
+            n = len(raw) // 9
+            spread.append(np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).reshape(-1).view(np.uint64)))
+            which.append(raw[8 * n :])
+        v, w = np.concatenate(spread), np.concatenate(which)
+        order = np.argsort(v, kind="stable")
+        v, w = v[order], w[order]
+        found = []
+        for step in range(1, len(masks)):
+            same = np.flatnonzero(v[step:] == v[:-step])
+            if not len(same):
+                break
+            one, two = ((v[k] * _UNMIX) ^ masks[w[k]] for k in (same, same + step))
+            found.append(np.stack([one, two]))
+        pairs = np.unique(np.sort(np.concatenate(found, 1).view(np.int64), 0), axis=1) if found else np.zeros((2, 0), np.int64)
+        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+
+    dealt = distinct.select("fp").mapInArrow(deal, "part long, packed binary")
+    return dealt.groupBy("part").applyInPandas(meet, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
@@ -168,18 +210,12 @@ def sets(docs: DataFrame, wanted: DataFrame, words: int = LIKE_WORDS) -> DataFra
             found = [shingles(words_of(x), words) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(_signed([key_of(f) for f in found])), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], ["key", "shingles"])
 
-    some = docs.select("text", F.xxhash64("text").alias("text_key")).join(wanted.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
+    keys = cut(wanted.select("text_key").distinct())
+    keys = F.broadcast(keys) if keys.count() <= MOST_SENT else keys
+    some = docs.select("text", F.xxhash64("text").alias("text_key")).join(keys, "text_key", "left_semi").dropDuplicates(["text_key"])
     return some.select("text").mapInArrow(run, "key long, shingles array<long>").dropDuplicates(["key"])
 
 
-def near_slots(found: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
-    """(a, b): all pairs of different slots of found (slot) within two bits: they meet on their one-bit variants, where no more than bits + 1 can stand."""
-    at = found.select("slot", _variants("slot", bits).alias("variant"))
-    met = cut(at.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("variant"))).where("n > 1").select("variant", "slot"))
-    other = met.select("variant", F.col("slot").alias("b"))
-    return met.join(other, "variant").where("slot < b").select(F.col("slot").alias("a"), "b").distinct()
-
-
 def verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame, least: float, words: int) -> DataFrame:
     """The pairs (a, b) of keys whose texts are that similar: sizes and all bits of the slots first, then whole sets of shingles."""
     side = lambda c: owners.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("slots").alias(f"of_{c}"))
@@ -205,7 +241,7 @@ def like_pairs(owners: DataFrame, docs: DataFrame, least: float = LEAST, words:
     """
     members = owners.select("key", F.explode("slots").alias("slot"))
     own = cut(members.groupBy("slot").agg(F.count(F.lit(1)).alias("n")))
-    near = cut(near_slots(own))
+    near = cut(near_pairs(own.select(F.col("slot").alias("fp")), RADIUS, SLOT_BITS))
     both = near.union(near.select("b", "a"))
     around = both.join(own, both.b == own.slot).groupBy("a").agg(F.sum("n").alias("n_around"))
     crowd = own.join(around, own.slot == around.a, "left").select("slot", (F.col("n") + F.coalesce("n_around", F.lit(0))).alias("crowd"), "n").where("crowd > 1")
