@@ -1,9 +1,9 @@
-"""Language-model scoring: a log-bilinear neural model over word classes, trained by noise-contrastive estimation."""
+"""Language-model scoring: a log-bilinear neural model with a vector for each word, trained by noise-contrastive estimation."""
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,13 +20,16 @@ from octarine.llm.common import cut, give_back, remainder, small_batches, table
 
 #: The end of a text; no word has this form.
 END = "\n"
-#: Classes: 0 is an unknown word, then one for each of the commonest words, then bands of words of like counts.
-COMMON, CLASSES = 191, 256
-#: The class before a text begins.
-START = CLASSES
-DIM, NOISE, ROUNDS, BATCH, RATE = 24, 48, 2, 4096, 0.08
-#: Tasks that train at once, whose parameters are averaged after each round.
-SHARDS = 12
+#: A word has vectors of its own if it occurs in the training rows as often as the root of all their tokens over ROOT, or
+#: LEAST times: so the vocabulary grows with the root of the corpus, and the model stays one that a task can hold.
+ROOT, LEAST = 16.0, 8
+#: Bands of the other words, by how often they occur: one vector each.
+BANDS = 192
+DIM, NOISE, CLASS_NOISE, ROUNDS, BATCH, RATE = 16, 4, 24, 2, 8192, 0.1
+#: Tokens that are scored at once.
+SCORED = 1 << 15
+#: Blocks that one task trains on, at least SHARDS tasks; their parameters are averaged after each round, by CHUNK numbers.
+SHARD_BLOCKS, SHARDS, CHUNK = 64, 12, 1 << 16
 #: Bytes of text in one block of documents. Words are counted within a block before they are shuffled.
 BLOCK_BYTES = 12 << 20
 #: Words of blocks that one task adds up.
@@ -47,16 +50,16 @@ def unpack(x: bytes, kind: str) -> np.ndarray:
 
 
 def band(count: np.ndarray) -> np.ndarray:
-    """Class of words that are not common, by how often they occur: 0 for never, and two to three for each doubling."""
+    """Band of words without a vector of their own, by how often they occur: 0 for never, and two to three for each doubling."""
     c = np.maximum(count, 1)
-    return np.where(count > 0, np.minimum(CLASSES - 1, COMMON + 1 + np.where(c <= 4, c - 1, 2.5 * np.log2(c) - 1).astype(np.int64)), 0)
+    return np.where(count > 0, np.minimum(BANDS - 1, np.where(c <= 4, c, 2.5 * np.log2(c)).astype(np.int64)), 0)
 
 
 def blocks(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text, held_out) as blocks: documents as numbers of the block's own words, in the order of their hashes, and how often training rows have each."""
     small_batches(docs.sparkSession)
     binary = [T.StructField(c, T.BinaryType()) for c in ("held", "lengths", "ids", "words", "n")]
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("size", T.LongType()), T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)), *binary])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("size", T.LongType()), T.StructField("tokens", T.LongType()), T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)), *binary])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -73,7 +76,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             named = zstandard.compress(b" ".join([words[k] for k in order.tolist()]), 1)
             one = lambda x, t: pa.array([x], t)
             packed = (pack(h), pack(np.array(lengths, np.int32)), pack(ids), named, pack(known))
-            return pa.RecordBatch.from_arrays([one(number, pa.int64()), one(len(words), pa.int64()), one(docs_, pa.list_(kind)), *[one(x, pa.binary()) for x in packed]], schema.names)
+            return pa.RecordBatch.from_arrays([one(number, pa.int64()), one(len(words), pa.int64()), one(int(known.sum()), pa.int64()), one(docs_, pa.list_(kind)), *[one(x, pa.binary()) for x in packed]], schema.names)
 
         for b in batches:
             kind = b.schema.field(0).type
@@ -102,10 +105,10 @@ def counts(made: DataFrame) -> DataFrame:
     """How often all training rows have the words of each block: (block, part, counts), the parts in the order of the block's words.
 
     Blocks deal their words out by ranges of hashes, each word once, and get its sum back. For each part there is
-    also a row without a block: n and v (tokens and different words), mass (tokens by band) and top (the commonest words).
+    also a row without a block: n and v (tokens and different words), mass (tokens by band, of words without vectors of their own) and top (the words with).
     """
-    entries = made.agg(F.sum("size")).first()[0] or 0
-    parts = max(12, int(entries // PART_WORDS))
+    entries, tokens_ = made.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    parts, least = max(12, int(entries // PART_WORDS)), max(LEAST, math.sqrt(tokens_) / ROOT)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,8 +129,9 @@ def counts(made: DataFrame) -> DataFrame:
                 total[w] = get(w, 0) + k
         sums = [pack(np.fromiter(map(total.__getitem__, words), np.int64, len(words))) for words in lists]
         c = np.fromiter(total.values(), np.int64, len(total))
-        mass = np.bincount(band(c), c, CLASSES).astype(np.int64).tolist()
-        top = [(w.decode("utf-8", "replace"), k) for w, k in heapq.nsmallest(COMMON, total.items(), key=lambda x: (-x[1], x[0])) if k]
+        rare = c[c < least]
+        mass = np.bincount(band(rare), rare, BANDS).astype(np.int64).tolist()
+        top = [(w.decode("utf-8", "replace"), k) for w, k in total.items() if k >= least]
         out = [(b, key[0], x, None, None, None, None) for b, x in zip(rows["block"].tolist(), sums, strict=True)]
         out.append((None, key[0], None, int(c.sum()), int((c > 0).sum()), mass, [{"word": w, "c": k} for w, k in top]))
         return pd.DataFrame(out, columns=["block", "part", "counts", "n", "v", "mass", "top"]).astype({"block": "Int64", "n": "Int64", "v": "Int64"})
@@ -138,53 +142,66 @@ def counts(made: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """What holds of the whole training corpus: tokens, different ones, the commonest words, and the tokens of each band without those."""
+    """What holds of the whole training corpus.
+
+    n tokens, v different ones, the words with vectors of their own, the tokens of each band. Units are those words and the bands, in the order of how
+    often they occur: of_word and of_band are their numbers, counts their tokens.
+    """
 
     n: int
     v: int
-    top: tuple[bytes, ...]
-    mass: tuple[int, ...]
+    words: tuple[bytes, ...]
+    mass: np.ndarray
+    of_word: np.ndarray
+    of_band: np.ndarray
+    counts: np.ndarray
 
 
 def vocabulary(counted: DataFrame) -> Vocabulary:
-    """From the summaries of counts(): as many rows as there are classes reach the driver."""
+    """From the summaries of counts(): the words with vectors reach the driver, some root of the corpus."""
     own = counted.where("block is null")
     n, v = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    top = own.select(F.explode("top").alias("t")).select("t.word", "t.c").orderBy(F.desc("c"), "word").limit(COMMON).collect()
-    mass = np.zeros(CLASSES, np.int64)
+    top = own.select(F.explode("top").alias("t")).select("t.word", "t.c").orderBy(F.desc("c"), "word").collect()
+    mass = np.zeros(BANDS, np.int64)
     for r in own.select(F.posexplode("mass").alias("k", "m")).groupBy("k").agg(F.sum("m").alias("m")).collect():
         mass[r.k] = r.m
-    for r in top:
-        mass[band(np.array([r.c]))[0]] -= r.c
-    return Vocabulary(int(n), int(v), tuple(r.word.encode() for r in top), tuple(mass.tolist()))
+    counts_ = np.concatenate([np.array([r.c for r in top], np.int64), mass])
+    order = np.argsort(-counts_, kind="stable")
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    return Vocabulary(int(n), int(v), tuple(r.word.encode() for r in top), mass, number[: len(top)], number[len(top) :], counts_[order])
 
 
 def classed(made: DataFrame, counted: DataFrame, voc: Vocabulary) -> DataFrame:
-    """Blocks with their words' counts, as classes.
+    """Blocks with their words' counts, as units.
 
-    Per block: lengths, known (tokens with a count), base and within (sums by document), classes for scoring and for
+    Per block: lengths, known (tokens with a count), base and within (sums by document), units for scoring and for
     training. A token of a training row is trained as its count would be without itself, so a word that occurs once
-    stands for the unknown ones.
+    stands for the unknown ones. A word of a band has its share of the band's tokens.
     """
-    schema = T.StructType([made.schema["doc_ids"], *[T.StructField(c, T.BinaryType()) for c in ("held", "lengths", "known", "base", "within", "classes", "trained")]])
+    schema = T.StructType([made.schema["doc_ids"], *[T.StructField(c, T.BinaryType()) for c in ("held", "lengths", "known", "base", "within", "units", "trained")]])
+    sent = made.sparkSession.sparkContext.broadcast(voc)
 
     def run(key: tuple, sums: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        own, out = sent.value, []
         count = np.concatenate([unpack(x, "<i8") for x in sums.sort_values("part")["counts"]])
-        mass, bands, out = np.array(voc.mass), band(count), []
+        bands = band(count)
         for r in rows.itertuples():
             at = {w: k for k, w in enumerate(zstandard.decompress(r.words).split(b" "))}
-            top = np.full(len(count), -1)
-            for k, w in enumerate(voc.top):
-                if w in at:
-                    top[at[w]] = k
-            of_word = np.where(top >= 0, 1 + top, bands)
-            in_training = np.where(top >= 0, 1 + top, band(count - 1))
-            base = np.log10((count + 0.5) / (voc.n + 0.5 * (voc.v + 1)))
-            within = np.where((top < 0) & (count > 0), np.log10(np.maximum(count, 1) / np.maximum(mass[bands], 1)), 0.0)
+            of = np.full(len(count), -1)
+            found = [(at[w], u) for w, u in zip(own.words, own.of_word.tolist(), strict=True) if w in at]
+            if found:
+                places, numbers = zip(*found, strict=True)
+                of[list(places)] = numbers
+            unit = np.where(of >= 0, of, own.of_band[bands]).astype(np.int32)
+            in_training = np.where(of >= 0, of, own.of_band[band(count - 1)]).astype(np.int32)
+            base = np.log10((count + 0.5) / (own.n + 0.5 * (own.v + 1)))
+            within = np.where((of < 0) & (count > 0), np.log10(np.maximum(count, 1) / np.maximum(own.mass[bands], 1)), 0.0)
             lengths, ids = unpack(r.lengths, "<i4"), unpack(r.ids, "<i4")
             start = np.cumsum(lengths) - lengths
             sums_ = lambda x: pack(np.add.reduceat(x[ids], start))  # noqa: B023, E731
-            out.append((r.doc_ids, r.held, r.lengths, sums_((count > 0).astype(np.int64)), sums_(base), sums_(within), pack(of_word[ids].astype(np.uint8)), pack(in_training[ids].astype(np.uint8))))
+            trained = in_training[ids[np.repeat(~unpack(r.held, "?"), lengths)]]
+            out.append((r.doc_ids, r.held, r.lengths, sums_((count > 0).astype(np.int64)), sums_(base), sums_(within), pack(unit[ids]), pack(trained)))
         return pd.DataFrame(out, columns=schema.names)
 
     own = made.select(F.col("block").alias("own"), "doc_ids", "held", "lengths", "ids", "words")
@@ -192,45 +209,37 @@ def classed(made: DataFrame, counted: DataFrame, voc: Vocabulary) -> DataFrame:
     return sums.groupBy("block").cogroup(own.groupBy("own")).applyInPandas(run, schema)
 
 
-def contexts(classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The classes of the token before and of the one before that; START before a text."""
-    one = np.concatenate([[START], classes[:-1].astype(np.int64)])
-    two = np.concatenate([[START, START], classes[:-2].astype(np.int64)])[: len(classes)]
+def contexts(units: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The unit before each token and the one before that; start before a text."""
+    one = np.concatenate([[start], units[:-1]]).astype(np.int32)
+    two = np.concatenate([[start, start], units[:-2]]).astype(np.int32)[: len(units)]
     first = np.cumsum(lengths) - lengths
-    one[first] = two[first] = START
-    second = first[lengths > 1] + 1
-    two[second] = START
+    one[first] = two[first] = start
+    two[first[lengths > 1] + 1] = start
     return one, two
 
 
-def trigrams(blocks_: DataFrame) -> DataFrame:
-    """(key, n): how often each class follows each two in the training rows: what the model is trained on."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for held, lengths, classes in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                held, lengths, classes = unpack(held, "?"), unpack(lengths, "<i4"), unpack(classes, "u1")
-                one, two = contexts(classes, lengths)
-                keys = ((two * (CLASSES + 1) + one) * CLASSES + classes)[np.repeat(~held, lengths)]
-                keys, n = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
-
-    return blocks_.select("held", "lengths", "trained").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
 class LogBilinear:
-    """P(class | two classes before): softmax of (R[one] * C1 + R[two] * C2) . Q[class] + bias."""
+    """P(unit | the two before): h = R[one] * C1 + R[two] * C2, then the softmax of h . S + d over classes of units, times that of h . Q + b over the units of the class.
+
+    Units are numbered by how often they occur, and a class is the root of their number of them, in that order; so each
+    probability takes two short matrix products, and those of all units sum to 1. R has a row more: what stands before a text.
+    """
 
-    def __init__(self, share: np.ndarray, seed: int = 42):
+    def __init__(self, counts_: np.ndarray, seed: int = 42):
         rng = np.random.default_rng(seed)
-        self.share = share
-        self.r = rng.normal(0, 0.1, (CLASSES + 1, DIM))
-        self.c = np.ones((2, DIM))
-        self.q = rng.normal(0, 0.1, (CLASSES, DIM))
-        self.bias = np.log(share)
+        n = len(counts_)
+        self.n, self.size = n, max(1, math.isqrt(max(0, n - 1)) + 1)
+        self.starts = np.arange(0, n, self.size)
+        self.share = (counts_ + 0.5) / (counts_ + 0.5).sum()
+        self.of_class = np.add.reduceat(self.share, self.starts)
+        small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        self.r, self.c, self.s, self.q = small(n + 1, DIM), np.ones((2, DIM), np.float32), small(len(self.starts), DIM), small(n, DIM)
+        self.d = np.log(self.of_class).astype(np.float32)
+        self.b = np.log(self.share / self.of_class[np.arange(n) // self.size]).astype(np.float32)
 
     def parts(self) -> tuple[np.ndarray, ...]:
-        return self.r, self.c, self.q, self.bias
+        return self.r, self.c, self.s, self.q, self.d, self.b
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts()])
@@ -242,64 +251,121 @@ class LogBilinear:
             at += p.size
         return self
 
-    def train(self, keys: np.ndarray, counts: np.ndarray, seed: int) -> None:
-        """One pass of noise-contrastive estimation with AdaGrad: each class seen is told from NOISE classes drawn by their shares."""
-        rng = np.random.default_rng(seed)
-        order = rng.permutation(len(keys))
-        log_noise = np.log(NOISE * self.share)
-        squares = [np.full(p.shape, 1e-2) for p in self.parts()]
-        spread = lambda at, g, n: np.stack([np.bincount(at, g[:, d], n) for d in range(DIM)], 1)
-        for start in range(0, len(order), BATCH):
-            own = order[start : start + BATCH]
-            key, weight = keys[own], counts[own] / counts[own].sum()
-            w, one, two = key % CLASSES, key // CLASSES % (CLASSES + 1), key // CLASSES // (CLASSES + 1)
-            drawn = rng.choice(CLASSES, NOISE, p=self.share)
-            r1, r2 = self.r[one], self.r[two]
-            h = r1 * self.c[0] + r2 * self.c[1]
-            up = weight / (1 + np.exp(np.clip((h * self.q[w]).sum(1) + self.bias[w] - log_noise[w], -30, 30)))
-            down = -weight[:, None] / (1 + np.exp(-np.clip(h @ self.q[drawn].T + self.bias[drawn] - log_noise[drawn], -30, 30)))
-            gh = up[:, None] * self.q[w] + down @ self.q[drawn]
-            gq, gb = spread(w, up[:, None] * h, CLASSES), np.bincount(w, up, CLASSES)
-            np.add.at(gq, drawn, down.T @ h)
-            np.add.at(gb, drawn, down.sum(0))
-            gr = spread(one, gh * self.c[0], CLASSES + 1) + spread(two, gh * self.c[1], CLASSES + 1)
-            gc = np.stack([(gh * r1).sum(0), (gh * r2).sum(0)])
-            for p, g, s in zip(self.parts(), (gr, gc, gq, gb), squares, strict=True):
-                s += g * g
-                p += RATE * g / np.sqrt(s)
-
-    def log_probabilities(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """log10 of P(class | one, two) for all classes, a row for each context, in batches of one matrix product; each row sums to 1."""
-        out = np.empty((len(one), CLASSES), np.float32)
-        for a in range(0, len(one), BATCH):
-            s = (self.r[one[a : a + BATCH]] * self.c[0] + self.r[two[a : a + BATCH]] * self.c[1]) @ self.q.T + self.bias
-            top = s.max(1, keepdims=True)
-            out[a : a + BATCH] = (s - top - np.log(np.exp(s - top).sum(1, keepdims=True))) / np.log(10)
-        return out
-
-
-def fit(grams: DataFrame, rounds: int = ROUNDS) -> LogBilinear:
-    """Trained over all of grams (key, n): a fixed number of tasks, each with its share of the keys, whose parameters are averaged after each round."""
-    total = np.zeros(CLASSES)
-    for r in grams.groupBy((F.col("key") % CLASSES).cast("int").alias("w")).agg(F.sum("n").alias("n")).collect():
-        total[r.w] = r.n
-    model = LogBilinear((total + 0.5) / (total + 0.5).sum())
-    dealt = cut(grams.repartition(SHARDS, "key"))
-    for k in range(rounds):
-        start, share = model.flat(), model.share
-
-        def run(batches: Iterator[pa.RecordBatch], start=start, share=share, k=k) -> Iterator[pa.RecordBatch]:
-            got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-            if got and sum(len(x) for x, _ in got):
-                keys, n = (np.concatenate(x) for x in zip(*got, strict=True))
-                order = np.argsort(keys)
-                own = LogBilinear(share).load(start)
-                own.train(keys[order], n[order].astype(np.float64), k + 1)
-                yield pa.RecordBatch.from_arrays([pa.array([own.flat().tobytes()], pa.binary()), pa.array([float(n.sum())])], ["flat", "n"])
-
-        found = dealt.mapInArrow(run, "flat binary, n double").collect()
+    def train(self, parts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], seed: int) -> int:
+        """One pass over (one, two, unit) by noise-contrastive estimation with AdaGrad; returns the number of tokens.
+
+        A token's class is told from CLASS_NOISE classes drawn by their shares, the unit from NOISE units drawn by their shares from its class.
+        """
+        rng, seen = np.random.default_rng(seed), 0
+        squares = [np.full(p.shape, 1.0, np.float32) for p in self.parts()]
+        ends, sums = np.cumsum(self.share), np.concatenate([[0.0], np.cumsum(self.of_class)])
+        log_class = np.log(CLASS_NOISE * self.of_class).astype(np.float32)
+        log_unit = np.log(NOISE * self.share / self.of_class[np.arange(self.n) // self.size]).astype(np.float32)
+        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+        def step(k: int, rows: np.ndarray | None, g: np.ndarray) -> None:
+            p, q = self.parts()[k], squares[k]
+            if rows is None:
+                q += g * g
+                p += RATE * g / np.sqrt(q)
+                return
+            order = np.argsort(rows, kind="stable")
+            rows = rows[order]
+            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            g, rows = np.add.reduceat(g[order], first), rows[first]
+            q[rows] += g * g
+            p[rows] += RATE * g / np.sqrt(q[rows])
+
+        for one, two, unit in parts:
+            seen += len(unit)
+            for at in range(0, len(unit), BATCH):
+                o, t, w = one[at : at + BATCH], two[at : at + BATCH], unit[at : at + BATCH]
+                r1, r2, of = self.r[o], self.r[t], w // self.size
+                h = r1 * self.c[0] + r2 * self.c[1]
+                drawn = rng.choice(len(self.starts), CLASS_NOISE, p=self.of_class)
+                up = 1 - sigmoid((h * self.s[of]).sum(1) + self.d[of] - log_class[of])
+                down = -sigmoid(h @ self.s[drawn].T + self.d[drawn] - log_class[drawn])
+                gh = up[:, None] * self.s[of] + down @ self.s[drawn]
+                noise = np.minimum(np.searchsorted(ends, sums[of, None] + rng.random((len(w), NOISE)) * self.of_class[of, None]), np.minimum((of + 1) * self.size, self.n)[:, None] - 1)
+                noise = np.maximum(noise, of[:, None] * self.size)
+                near, far = self.q[w], self.q[noise]
+                right = 1 - sigmoid((h * near).sum(1) + self.b[w] - log_unit[w])
+                wrong = -sigmoid(np.einsum("id,ikd->ik", h, far) + self.b[noise] - log_unit[noise])
+                gh += right[:, None] * near + np.einsum("ik,ikd->id", wrong, far)
+                gq = np.concatenate([right[:, None] * h, (wrong[:, :, None] * h[:, None, :]).reshape(-1, DIM)])
+                rows = np.concatenate([w, noise.ravel()])
+                step(3, rows, gq)
+                step(5, rows, np.concatenate([right, wrong.ravel()]))
+                step(2, np.concatenate([of, drawn]), np.concatenate([up[:, None] * h, down.T @ h]))
+                step(4, np.concatenate([of, drawn]), np.concatenate([up, down.sum(0)]))
+                step(0, np.concatenate([o, t]), np.concatenate([gh * self.c[0], gh * self.c[1]]))
+                step(1, None, np.stack([(gh * r1).mean(0), (gh * r2).mean(0)]))
+        return seen
+
+    def log_probabilities(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """log10 of P(unit | one, two), for each token; matrix products over SCORED tokens at once, and over those of each class."""
+        out = np.empty(len(unit), np.float32)
+
+        def log_softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+            x -= x.max(1, keepdims=True)
+            picked = x[np.arange(len(x)), at]
+            return picked - np.log(np.exp(x, out=x).sum(1))
+
+        for a in range(0, len(unit), SCORED):
+            w = unit[a : a + SCORED]
+            of = w // self.size
+            order = np.argsort(of, kind="stable")
+            w, of = w[order], of[order]
+            h = self.r[one[a : a + SCORED][order]] * self.c[0] + self.r[two[a : a + SCORED][order]] * self.c[1]
+            got = log_softmax(h @ self.s.T + self.d, of)
+            bounds = np.searchsorted(of, np.arange(len(self.starts) + 1)).tolist()
+            for k, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                if i < j:
+                    members = slice(k * self.size, min(self.n, (k + 1) * self.size))
+                    got[i:j] += log_softmax(h[i:j] @ self.q[members].T + self.b[members], w[i:j] - k * self.size)
+            out[a : a + SCORED][order] = got
+        return out / np.float32(np.log(10))
+
+
+def fit(blocks_: DataFrame, voc: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
+    """Trained over all training tokens of blocks_ (held, lengths, trained), each document in one of the rounds.
+
+    Tasks go through their blocks one after another; their parameters are averaged by the tokens seen, in pieces, so that the driver gets one
+    model, of a size that grows with the root of the corpus.
+    """
+    model = LogBilinear(voc.counts)
+    n = blocks_.count()
+    own = blocks_.select("held", "lengths", "trained").coalesce(max(SHARDS, n // SHARD_BLOCKS))
+    spark = blocks_.sparkSession
+    for k in range(rounds if voc.n else 0):
+        held = spark.sparkContext.broadcast((voc.counts, model.flat()))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, k=k) -> Iterator[pa.RecordBatch]:
+            counts_, flat = held.value
+            mine = LogBilinear(counts_).load(flat)
+
+            def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                for b in batches:
+                    for is_held, lengths, units in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                        lengths, units = unpack(lengths, "<i4")[~unpack(is_held, "?")], unpack(units, "<i4")
+                        mine_ = np.arange(len(lengths)) % rounds == k
+                        tokens_, lengths = units[np.repeat(mine_, lengths)], lengths[mine_]
+                        if len(tokens_):
+                            yield (*contexts(tokens_, lengths, mine.n), tokens_)
+
+            seen = mine.train(parts(), k + 1)
+            flat = mine.flat()
+            if seen:
+                pieces = [flat[a : a + CHUNK].astype("<f4").tobytes() for a in range(0, len(flat), CHUNK)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int64()), pa.array(pieces, pa.binary()), pa.array([float(seen)] * len(pieces))], ["piece", "flat", "n"])
+
+        def mean(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            flat = np.average([np.frombuffer(x, "<f4") for x in rows["flat"]], axis=0, weights=rows["n"])
+            return pd.DataFrame({"piece": [key[0]], "flat": [flat.astype("<f4").tobytes()]})
+
+        found = own.mapInArrow(run, "piece long, flat binary, n double").groupBy("piece").applyInPandas(mean, "piece long, flat binary").collect()
         if found:
-            model.load(np.average([np.frombuffer(r.flat) for r in found], axis=0, weights=[r.n for r in found]))
+            model.load(np.concatenate([np.frombuffer(r.flat, "<f4") for r in sorted(found)]))
     return model
 
 
@@ -307,32 +373,31 @@ def scored(blocks_: DataFrame, model: LogBilinear, voc: Vocabulary) -> DataFrame
     """A row for each document of the blocks."""
     doc_id = T.StructField("doc_id", blocks_.schema["doc_ids"].dataType.elementType)
     schema = T.StructType([doc_id, *[T.StructField(c, t) for c, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))]])
-    flat, n = blocks_.sparkSession.sparkContext.broadcast(model.flat().tobytes()), voc.n
+    sent, n = blocks_.sparkSession.sparkContext.broadcast((voc.counts, model.flat())), voc.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = LogBilinear(np.full(CLASSES, 1 / CLASSES)).load(np.frombuffer(flat.value))
+        counts_, flat = sent.value
+        own = LogBilinear(counts_).load(flat)
         for b in batches:
             for k in range(b.num_rows):
-                held, lengths, known, base, within, classes = (unpack(b.column(c)[k].as_py(), t) for c, t in zip(range(1, 7), ("?", "<i4", "<i8", "<f8", "<f8", "u1"), strict=True))
-                one, two = contexts(classes, lengths)
+                held, lengths, known, base, within, units = (unpack(b.column(c)[k].as_py(), t) for c, t in zip(range(1, 7), ("?", "<i4", "<i8", "<f8", "<f8", "<i4"), strict=True))
+                one, two = contexts(units, lengths, own.n)
                 at = np.cumsum(lengths) - lengths
-                seen, context = np.unique((two * (CLASSES + 1) + one).astype(np.int32), return_inverse=True)
-                logs = own.log_probabilities(seen % (CLASSES + 1), seen // (CLASSES + 1))
-                score = np.add.reduceat(logs[context, classes].astype(np.float64), at) + within
+                score = np.add.reduceat(own.log_probabilities(one, two, units).astype(np.float64), at) + within
                 ids = b.column(0)[k].values
-                del one, two, context, logs
+                del one, two, units
                 give_back()
                 yield pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array(lengths.astype(np.int64)), pa.array(known), pa.array(np.full(len(known), n, np.int64)), pa.array(base), pa.array(score)], schema.names)
 
-    return blocks_.select("doc_ids", "held", "lengths", "known", "base", "within", "classes").mapInArrow(run, schema)
+    return blocks_.select("doc_ids", "held", "lengths", "known", "base", "within", "units").mapInArrow(run, schema)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text, held_out).
 
     The base and the model learn from the rows that are not held out, all of them. A null text counts as empty: its one
-    token is the end. The model's vocabulary is every training word and one unknown word: P(word) = P(class | the classes
-    of the two tokens before) * the word's share of its class; the probabilities of a context sum to 1. Repeated rows
+    token is the end. The model's vocabulary is every training word and one unknown word: P(word) = P(unit | the two units
+    before), a unit being a word or, for rare words, a band of words of like counts, in which a word has its share of the tokens; the probabilities of a context sum to 1. Repeated rows
     count and come back as often; other columns are ignored; an empty table gives no rows. Without training rows all
     words are unknown.
     """
@@ -340,7 +405,7 @@ def score(docs: DataFrame) -> DataFrame:
     counted = cut(counts(made))
     voc = vocabulary(counted)
     blocks_ = cut(classed(made, counted, voc))
-    return scored(blocks_, fit(trigrams(blocks_)), voc)
+    return scored(blocks_, fit(blocks_, voc), voc)
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,12 +151,43 @@ def test_scores_without_training_rows(spark):
     assert lm_scoring.score(df.limit(0)).count() == 0
 
 
-def test_model_beats_the_base_on_held_out_rows(spark):
+def test_a_contexts_probabilities_sum_to_one():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    model = lm_scoring.LogBilinear(r.integers(0, 500, 97))
+    units = r.integers(0, 97, 5000)
+    model.train([(*lm_scoring.contexts(units, np.array([4000, 1, 999]), 97), units)], 1)
+    for one, two in ((97, 97), (0, 97), (5, 96)):
+        each = lm_scoring.LogBilinear.log_probabilities(model, np.full(97, one), np.full(97, two), np.arange(97))
+        assert (10.0**each).sum() == pytest.approx(1, abs=1e-4)
+        h = model.r[one].astype(float) * model.c[0] + model.r[two].astype(float) * model.c[1]
+        for u in range(97):  # slowly, in double precision
+            k = u // model.size
+            of = np.exp(h @ model.s.T.astype(float) + model.d)
+            inside = np.exp(h @ model.q[k * model.size : (k + 1) * model.size].T.astype(float) + model.b[k * model.size : (k + 1) * model.size])
+            assert each[u] == pytest.approx(np.log10(of[k] / of.sum() * inside[u % model.size] / inside.sum()), abs=1e-4)
+
+
+def test_contexts_end_with_the_text():
+    import numpy as np
+
+    one, two = lm_scoring.contexts(np.array([5, 6, 7, 8, 9]), np.array([3, 1, 1]), 99)
+    assert one.tolist() == [99, 5, 6, 99, 99] and two.tolist() == [99, 99, 5, 99, 99]
+
+
+def test_model_learns_what_follows_what(spark):
     r = random.Random(6)
-    words = [f"w{k}" for k in range(3000)]
-    rows = [(k, " ".join(words[min(2999, int(r.paretovariate(0.8)))] for _ in range(60))) for k in range(300)]
-    got = lm_scoring.score(docs(spark, rows).withColumn("held_out", common.remainder(F.col("doc_id"), 5) == 1)).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert got[0] > got[1]
+    words = [f"w{k}" for k in range(400)]
+    follow = {w: r.sample(words, 3) for w in words}
+    rows = []
+    for k in range(500):
+        text = [r.choice(words)]
+        while len(text) < 80:
+            text.append(r.choice(follow[text[-1]]) if r.random() < 0.8 else r.choice(words))
+        rows.append((k, " ".join(text)))
+    got = lm_scoring.score(docs(spark, rows).withColumn("held_out", common.remainder(F.col("doc_id"), 5) == 1)).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (got[0] - got[1]) / got[2] > 0.2
 
 
 # --- 4: languages
