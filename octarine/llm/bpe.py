@@ -252,7 +252,10 @@ class Codec:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.names = list(map(str, range(len(self.tokens))))
-        self.find = regex.compile(pattern).findall
+        cut = regex.compile(pattern)
+        self.find = cut.findall if not cut.groups else lambda text: [m.group() for m in cut.finditer(text)]
+        #: Whether single spaces are known to begin a match.
+        self.spaced = pattern == public_tokenizers.PATTERN
         self.merger = RankMerger(self.ranks)
         self.batch = RankBatch(self.merger)
         #: What stands between two spaces, as if a space stood before it; and pre-tokens of no space and letters.
@@ -278,12 +281,12 @@ class Codec:
         return b"".join(map(self._piece, found))
 
     def _cut(self, text: str) -> list[str] | None:
-        """The text cut at its spaces; None if one stands at an end or beside other white space.
+        """The text cut at its spaces; None if one stands at an end or beside other white space, or the pattern is not the default one.
 
-        The pattern starts a new match at every single space between two other characters, so that what stands between
+        That one starts a new match at every single space between two other characters, so that what stands between
         them can be looked up as a whole.
         """
-        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or not text.replace("\n", "").isprintable():
+        if not self.spaced or "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or not text.replace("\n", "").isprintable():
             return None
         return text.split(" ")
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from octarine.llm.common import small_batches, table
 
-#: Words of the shortest tile; items of fewer words are never matched, as too short to tell.
+#: Words of the shortest tile; an item of fewer words is one tile.
 TILE = 5
 #: Share of an item's words that tiles must cover.
 COVERAGE = 0.6
@@ -47,15 +47,13 @@ def _windows(run: list[int], size: int) -> Iterator[tuple[int, int]]:
         yield k - size + 1, h
 
 
-def _free(marked: list[bool]) -> Iterator[tuple[int, int]]:
+def _free(marked: bytearray) -> Iterator[tuple[int, int]]:
     """The unmarked stretches."""
-    start = None
-    for k, x in enumerate([*marked, True]):
-        if not x and start is None:
-            start = k
-        elif x and start is not None:
-            yield start, k
-            start = None
+    end = 0
+    while (start := marked.find(0, end)) >= 0:
+        end = marked.find(1, start)
+        end = len(marked) if end < 0 else end
+        yield start, end
 
 
 def tiles(item: list[int], text: list[int], shortest: int = TILE) -> list[tuple[int, int, int]]:
@@ -63,10 +61,10 @@ def tiles(item: list[int], text: list[int], shortest: int = TILE) -> list[tuple[
 
     Running Karp-Rabin greedy string tiling: windows of a size that starts large are met by their rolling hashes,
     verified and grown; the longest of what is unmarked on both sides is marked, again and again, and then the size
-    is halved, down to the shortest tile. Ties: the earliest in the item, then in the text.
+    is halved, down to the shortest tile. Ties: the earliest in the item, then in the text. It ends where all of the item is marked.
     """
     found: list[tuple[int, int, int]] = []
-    marked_item, marked_text = [False] * len(item), [False] * len(text)
+    marked_item, marked_text, left = bytearray(len(item)), bytearray(len(text)), len(item)
     size = max(shortest, min(len(item), len(text)))
     while True:
         seen = defaultdict(list)
@@ -78,51 +76,52 @@ def tiles(item: list[int], text: list[int], shortest: int = TILE) -> list[tuple[
             for k, h in _windows(text[a:b], size):
                 for p in seen.get(h, ()):
                     t = a + k
+                    if p and t and item[p - 1] == text[t - 1] and not marked_item[p - 1] and not marked_text[t - 1]:
+                        continue  # the same stretch was met a word earlier
                     if item[p : p + size] != text[t : t + size]:
                         continue
-                    if p and t and not marked_item[p - 1] and not marked_text[t - 1] and item[p - 1] == text[t - 1]:
-                        continue  # the same stretch was met a word earlier
                     n = size
                     while p + n < len(item) and t + n < len(text) and not marked_item[p + n] and not marked_text[t + n] and item[p + n] == text[t + n]:
                         n += 1
                     matches.append((-n, p, t))
         heapify(matches)
-        while matches:
+        while matches and left:
             n, p, t = heappop(matches)
-            taken = [marked_item[p + k] or marked_text[t + k] for k in range(-n)]
-            if any(taken):  # what is left of it waits its turn
-                for a, b in _free(taken):
+            n = -n
+            one, two = marked_item[p : p + n], marked_text[t : t + n]
+            if 1 in one or 1 in two:  # what is left of it waits its turn
+                for a, b in _free(bytearray(x | y for x, y in zip(one, two, strict=True))):
                     if b - a >= size:
                         heappush(matches, (a - b, p + a, t + a))
                 continue
-            found.append((p, t, -n))
-            marked_item[p : p - n] = [True] * -n
-            marked_text[t : t - n] = [True] * -n
-        if size == shortest:
+            found.append((p, t, n))
+            marked_item[p : p + n] = marked_text[t : t + n] = b"\1" * n
+            left -= n
+        if size == shortest or not left:
             return found
         size = max(shortest, size // 2)
 
 
 @dataclass
 class Index:
-    """The items of one block: word numbers, and the hash of every window of a tile's size with the items it is in."""
+    """The items of one block: word numbers, and by tile size the hash of every window with the items it is in."""
 
     ids: list[int]
     items: list[list[int]]
     vocabulary: dict[bytes, int]
-    seeds: np.ndarray
-    owners: list[list[int]]
+    seeds: dict[int, tuple[np.ndarray, list[list[int]]]]
 
 
 def index(items: tuple[tuple[int, str], ...], tile: int = TILE) -> Index:
     vocabulary: dict[bytes, int] = {}
     coded = [[vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)] for _, text in items]
-    found = defaultdict(set)
+    found: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
     for k, x in enumerate(coded):
-        for h in _hashes(np.array(x, np.int64), np.arange(max(0, len(x) - tile + 1)), tile).tolist():
-            found[h].add(k)
-    seeds = np.array(sorted(found), np.uint64)
-    return Index([i for i, _ in items], coded, vocabulary, seeds, [sorted(found[h]) for h in seeds.tolist()])
+        if size := min(tile, len(x)):
+            for h in _hashes(np.array(x, np.int64), np.arange(len(x) - size + 1), size).tolist():
+                found[size][h].add(k)
+    seeds = {size: (np.array(sorted(own), np.uint64), [sorted(own[h]) for h in sorted(own)]) for size, own in found.items()}
+    return Index([i for i, _ in items], coded, vocabulary, seeds)
 
 
 def _hashes(ids: np.ndarray, at: np.ndarray, tile: int) -> np.ndarray:
@@ -133,43 +132,50 @@ def _hashes(ids: np.ndarray, at: np.ndarray, tile: int) -> np.ndarray:
     return h
 
 
-def contaminations(text: str | None, known: Index, tile: int = TILE, coverage: float = COVERAGE) -> list[tuple[int, int, int, float]]:
+def contaminations(text: str | None, known: Index, coverage: float = COVERAGE) -> list[tuple[int, int, int, float]]:
     """(item_id, tiles, words covered, share covered) of each item that the whole text covers by the given share at least."""
     tokens = words(text)
-    if len(tokens) < tile or not len(known.seeds):
-        return []
     ids = np.fromiter(map(known.vocabulary.get, tokens, repeat(0)), np.int64, len(tokens))
+    out = []
+    for size in known.seeds:
+        out += [(known.ids[k], *x) for k, x in _covered(ids, known, size, coverage)]
+    return out
+
+
+def _covered(ids: np.ndarray, known: Index, size: int, coverage: float) -> Iterator[tuple[int, tuple[int, int, float]]]:
+    """Items whose tiles have this size at least, with (tiles, words covered, share covered)."""
+    if len(ids) < size:
+        return
+    seeds, owners = known.seeds[size]
     inside = ids > 0
-    run = inside[: len(ids) - tile + 1].copy()
-    for k in range(1, tile):
-        run &= inside[k : len(ids) - tile + 1 + k]
+    run = inside[: len(ids) - size + 1].copy()
+    for k in range(1, size):
+        run &= inside[k : len(ids) - size + 1 + k]
     at = np.flatnonzero(run)
     if not len(at):
-        return []
-    h = _hashes(ids, at, tile)
-    place = np.minimum(np.searchsorted(known.seeds, h), len(known.seeds) - 1)
-    hit = known.seeds[place] == h
+        return
+    h = _hashes(ids, at, size)
+    place = np.minimum(np.searchsorted(seeds, h), len(seeds) - 1)
+    hit = seeds[place] == h
     starts = defaultdict(list)
     for a, p in zip(at[hit].tolist(), place[hit].tolist(), strict=True):
-        for k in known.owners[p]:
+        for k in owners[p]:
             starts[k].append(a)
-    out = []
     for k in sorted(starts):
         part, last, strange = [], -1, 0  # the words of the seeds; between stretches a number that no word has
         for a in starts[k]:
             if a > last and part:
                 strange -= 1
                 part.append(strange)
-            part.extend(ids[max(a, last) : a + tile].tolist())
-            last = a + tile
+            part.extend(ids[max(a, last) : a + size].tolist())
+            last = a + size
         item = known.items[k]
         if len(item) * coverage > len(part):
             continue
-        got = tiles(item, part, tile)
+        got = tiles(item, part, size)
         covered = sum(n for _, _, n in got)
         if covered >= coverage * len(item):
-            out.append((known.ids[k], len(got), covered, covered / len(item)))
-    return out
+            yield k, (len(got), covered, covered / len(item))
 
 
 @lru_cache(2)
@@ -204,7 +210,7 @@ def pairs(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, coverage: flo
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             known = _held(held.value, tile)
             for b in batches:
-                found = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in contaminations(t, known, tile, coverage)]
+                found = [(d, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in contaminations(t, known, coverage)]
                 columns = list(zip(*found, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(columns, (b.schema.field(0).type, _arrow(schema[1].dataType), pa.int64(), pa.int64(), pa.float64()), strict=True)], schema.names)
 
@@ -228,7 +234,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, tile: int = TILE, coverage: flo
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             known = _held(held.value, tile)
             for b in batches:
-                yield b.filter(pa.array([not contaminations(t, known, tile, coverage) for t in b.column(at).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not contaminations(t, known, coverage) for t in b.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -9,11 +9,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from octarine.llm.common import small_batches, table
+from octarine.llm.common import remainder, small_batches, table
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 12
@@ -168,13 +169,19 @@ def fit(docs: DataFrame, most: int = MOST_TEXTS, centroids: int = CENTROIDS) ->
         raise ValueError(f"more than {MOST_LANGUAGES} languages: the model would not fit a task")
     share = spark.createDataFrame(shares, "lang string, share double")
     some = hashed.join(F.broadcast(share), "lang").where(F.shiftrightunsigned("h", 1) < F.col("share") * float(1 << 63))
-    texts = some.dropDuplicates(["lang", "h"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(k, counts(x)) for k, x in enumerate(b.column(2).to_pylist()) if has_letter(x)]
+            rows = pa.array([k for k, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array([zstandard.compress(f.astype("<i4").tobytes(), 1) for _, f in found], pa.binary())], ["lang", "h", "counts"])
+
+    # counts of a fixed size, not texts of any, are what one task clusters
+    vectors = some.select("lang", "h", "text").mapInArrow(counted, "lang string, h long, counts binary").dropDuplicates(["lang", "h"])
     schema = "lang string, centers array<binary>, least array<double>"
 
     def grouped(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = [counts(x) for x in rows.sort_values("h")["text"] if has_letter(x)]
-        if not found:
-            return pd.DataFrame({"lang": [], "centers": [], "least": []})
+        found = [np.frombuffer(zstandard.decompress(x), "<i4") for x in rows.sort_values("h")["counts"]]
         x = np.stack([vector(f, idf) for f in found])
         centers, size = cluster(x, centroids), np.array([_size(f) for f in found])
         # each half is judged by centroids of the other, as texts are nearer to their own
@@ -183,7 +190,7 @@ def fit(docs: DataFrame, most: int = MOST_TEXTS, centroids: int = CENTROIDS) ->
         least = thresholds(np.concatenate([np.zeros(0), *cosine]), np.concatenate([np.zeros(0), *[n for _, _, n in halves]]))
         return pd.DataFrame({"lang": [key[0]], "centers": [[c.astype("<f4").tobytes() for c in centers]], "least": [least.tolist()]})
 
-    got = sorted(texts.groupBy("lang").applyInPandas(grouped, schema).collect(), key=lambda r: r.lang)
+    got = sorted(vectors.groupBy("lang").applyInPandas(grouped, schema).collect(), key=lambda r: r.lang)
     centers = [np.frombuffer(c, "<f4") for r in got for c in r.centers]
     of = [k for k, r in enumerate(got) for _ in r.centers]
     return Model([r.lang for r in got], idf, np.array(centers, np.float32).reshape(-1, BUCKETS), np.array(of, np.int64), np.array([r.least for r in got]).reshape(-1, SIZES))
@@ -209,11 +216,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(*kept).mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + added))
 
 
-def remainder(doc_id: Column, by: int) -> Column:
-    """crc32 of the id as text, modulo by; a null id counts as an empty text."""
-    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(by))
-
-
 def known_part(docs: DataFrame) -> DataFrame:
     """The rows that may be learned from."""
     return docs.where(remainder(F.col("doc_id"), 4) != 2).select("text", "lang")

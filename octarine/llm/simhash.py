@@ -218,14 +218,15 @@ def sets(docs: DataFrame, wanted: DataFrame, words: int = LIKE_WORDS) -> DataFra
 
 def verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame, least: float, words: int) -> DataFrame:
     """The pairs (a, b) of keys whose texts are that similar: sizes and all bits of the slots first, then whole sets of shingles."""
-    side = lambda c: owners.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("slots").alias(f"of_{c}"))
+    # merge joins throughout: what fits a broadcast now would only load the driver
+    side = lambda c: owners.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("slots").alias(f"of_{c}")).hint("merge")
     differ = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     met = met.where(F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b") - 1e-6).where(differ <= FAR * TABLES * SLOT_BITS)
     met = cut(met.select("a", "b"))
     named = cut(met.select(F.col("a").alias("key")).union(met.select("b")).distinct())
-    whole = cut(sets(docs, owners.join(named, "key", "left_semi"), words))
-    one = lambda c: whole.select(F.col("key").alias(c), F.col("shingles").alias(f"of_{c}"))
+    whole = cut(sets(docs, owners.join(named.hint("merge"), "key", "left_semi"), words))
+    one = lambda c: whole.select(F.col("key").alias(c), F.col("shingles").alias(f"of_{c}")).hint("merge")
     both = met.join(one("a"), "a").join(one("b"), "b")
     both = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("same"), (F.size("of_a") + F.size("of_b")).alias("n"))
     return both.where(F.col("same") >= F.lit(least) * (F.col("n") - F.col("same")) - 1e-9).select("a", "b")
@@ -243,18 +244,18 @@ def like_pairs(owners: DataFrame, docs: DataFrame, least: float = LEAST, words:
     own = cut(members.groupBy("slot").agg(F.count(F.lit(1)).alias("n")))
     near = cut(near_pairs(own.select(F.col("slot").alias("fp")), RADIUS, SLOT_BITS))
     both = near.union(near.select("b", "a"))
-    around = both.join(own, both.b == own.slot).groupBy("a").agg(F.sum("n").alias("n_around"))
-    crowd = own.join(around, own.slot == around.a, "left").select("slot", (F.col("n") + F.coalesce("n_around", F.lit(0))).alias("crowd"), "n").where("crowd > 1")
-    at = cut(members.join(cut(crowd), "slot"))
+    around = both.join(own.hint("merge"), both.b == own.slot).groupBy("a").agg(F.sum("n").alias("n_around"))
+    crowd = own.join(around.hint("merge"), own.slot == around.a, "left").select("slot", (F.col("n") + F.coalesce("n_around", F.lit(0))).alias("crowd"), "n").where("crowd > 1")
+    at = cut(members.join(cut(crowd).hint("merge"), "slot"))
     dense = cut(at.groupBy("key").agg(F.sum("crowd").alias("dense")))
-    top = cut(at.join(dense, "key").groupBy("slot").agg(F.max(F.struct("dense", "key")).alias("top")))
-    over = both.join(top, both.b == top.slot).select("a", "top").union(top.select("slot", "top")).groupBy("a").agg(F.max("top").alias("top"))
-    tried = cut(at.join(cut(over), at.slot == F.col("a")).select(F.col("top.key").alias("centre"), "key").where("key != centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct())
+    top = cut(at.join(dense.hint("merge"), "key").groupBy("slot").agg(F.max(F.struct("dense", "key")).alias("top")))
+    over = both.join(top.hint("merge"), both.b == top.slot).select("a", "top").union(top.select("slot", "top")).groupBy("a").agg(F.max("top").alias("top"))
+    tried = cut(at.join(cut(over).hint("merge"), at.slot == F.col("a")).select(F.col("top.key").alias("centre"), "key").where("key != centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct())
     linked = cut(verified(tried, owners, docs, least, words))
     groups = connected_components(linked)
-    named = cut(at.select("key", "slot").join(groups, at.key == groups.node, "left").select("slot", "key", F.coalesce("component", "key").alias("component")))
+    named = cut(at.select("key", "slot").join(groups.hint("merge"), at.key == groups.node, "left").select("slot", "key", F.coalesce("component", "key").alias("component")))
     span = cut(named.groupBy("slot").agg(F.min("component").alias("low"), F.max("component").alias("high")))
-    of = lambda c: span.select(F.col("slot").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"))
+    of = lambda c: span.select(F.col("slot").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}")).hint("merge")
     open_ = near.union(span.select("slot", "slot")).join(of("a"), "a").join(of("b"), "b").where("least(low_a, low_b) != greatest(high_a, high_b)").select("a", "b")
     left = named.select(F.col("slot").alias("a"), F.col("key").alias("x"), F.col("component").alias("cx"))
     right = named.select(F.col("slot").alias("b"), F.col("key").alias("y"), F.col("component").alias("cy"))
@@ -272,8 +273,8 @@ def like_groups(docs: DataFrame, least: float = LEAST, words: int = LIKE_WORDS)
     marked = cut(signatures(docs, words))
     owners = cut(marked.groupBy("key").agg(F.first("text_key").alias("text_key"), F.first("n").alias("n"), F.first("slots").alias("slots")))
     groups = connected_components(cut(like_pairs(owners, docs, least, words)))
-    named = owners.select("key").join(groups, owners.key == groups.node, "left").select("key", F.coalesce("component", "key").alias("component"))
-    return marked.select("doc_id", "text_key", "key").join(named, "key").select("doc_id", "text_key", "component")
+    named = owners.select("key").join(groups.hint("merge"), owners.key == groups.node, "left").select("key", F.coalesce("component", "key").alias("component"))
+    return marked.select("doc_id", "text_key", "key").join(named.hint("merge"), "key").select("doc_id", "text_key", "component")
 
 
 def near_unique(docs: DataFrame, least: float = LEAST, words: int = LIKE_WORDS) -> DataFrame:
@@ -285,7 +286,7 @@ def near_unique(docs: DataFrame, least: float = LEAST, words: int = LIKE_WORDS)
     first = groups.where("doc_id is not null").withColumn("own", F.struct("doc_id", "text_key"))
     lead = first.groupBy("component").agg(F.min("own").alias("lead"))
     one, two = fresh(docs, 2)
-    others = first.join(cut(lead), "component").where("own != lead").select(F.col("doc_id").alias(one), F.col("text_key").alias(two)).distinct()
+    others = first.join(cut(lead).hint("merge"), "component").where("own != lead").select(F.col("doc_id").alias(one), F.col("text_key").alias(two)).distinct()
     return docs.join(others, (docs.doc_id == F.col(one)) & (F.xxhash64(docs.text) == F.col(two)), "left_anti")
 
 

@@ -7,11 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octarine.llm.common import connected_components, cut, lower_ascii, table
+from octarine.llm.common import connected_components, cut, fresh, lower_ascii, table
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: Above so many rules they are joined on host suffixes instead of being tried one by one.
-MOST_INLINE = 200
 #: The rules of the registered query: verdict, host with path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -23,9 +21,9 @@ def with_host_and_path(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """The longest rule that fits, as struct(rule, verdict); null if none does. Ties: the earlier rule."""
+    """The longest rule that fits, as struct(rule, verdict); null if none does. Ties: an allowing rule, then the first by its text."""
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, rule in reversed(sorted(rules, key=lambda r: -len(r[1]))):
+    for verdict, rule in reversed(sorted(rules, key=lambda r: (-len(r[1]), r[0] != "allow", r[1]))):
         at, slash, rest = rule.partition("/")
         fits = ((host == at) | host.endswith("." + at)) & path.startswith(slash + rest)
         found = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(found)
@@ -35,20 +33,22 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
 def with_rules(pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame) -> DataFrame:
     """Adds rule and rule_verdict to rows with host and path.
 
-    A short sequence becomes one conditional expression. A DataFrame (verdict, rule), or a long sequence, is joined on
-    the host's suffixes, shuffled like any join: nothing is broadcast by force.
+    A sequence becomes one conditional expression. A DataFrame (verdict, rule), for rules by the thousand, is joined on
+    the host's suffixes, shuffled like any join: nothing is broadcast by force. Both break ties alike.
     """
-    spark = pages.sparkSession
-    if not isinstance(rules, DataFrame) and len(rules) <= MOST_INLINE:
+    if not isinstance(rules, DataFrame):
         hit = rule_of(F.col("host"), F.col("path"), rules)
-        return pages.withColumn("_hit", hit).withColumns({"rule": F.col("_hit.rule"), "rule_verdict": F.col("_hit.verdict")}).drop("_hit")
-    known = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "verdict string, rule string")
-    known = known.select(F.col("verdict").alias("_verdict"), F.col("rule").alias("_rule"), F.substring_index("rule", "/", 1).alias("_at"), F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)").alias("_start"))
+        (name,) = fresh(pages, 1)
+        return pages.withColumn(name, hit).withColumns({"rule": F.col(f"{name}.rule"), "rule_verdict": F.col(f"{name}.verdict")}).drop(name)
+    known = rules.select("verdict", "rule", F.substring_index("rule", "/", 1).alias("at"), F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)").alias("start"))
     sites = pages.select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    ends = sites.withColumn("_at", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))))
-    best = ends.join(known, "_at").where(F.col("path").startswith(F.col("_start"))).groupBy("host", "path").agg(F.max_by(F.struct(F.col("_rule").alias("rule"), F.col("_verdict").alias("rule_verdict")), F.length("_rule")).alias("_hit"))
-    return pages.join(best, ["host", "path"], "left").select(*pages.columns, "_hit.rule", "_hit.rule_verdict")
+    ends = sites.withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))))
+    order = F.struct(-F.length("rule"), F.col("verdict") != "allow", F.col("rule"))
+    best = ends.join(known, "at").where(F.col("path").startswith(F.col("start"))).groupBy("host", "path").agg(F.min_by(F.struct("rule", F.col("verdict").alias("rule_verdict")), order).alias("hit"))
+    one, two, hit = fresh(pages, 3)
+    best = cut(best.select(F.col("host").alias(one), F.col("path").alias(two), F.col("hit").alias(hit)))
+    return pages.join(best, (pages.host == F.col(one)) & (pages.path == F.col(two)), "left").select(*pages.columns, f"{hit}.rule", f"{hit}.rule_verdict")
 
 
 def page_key(url: Column) -> Column:
@@ -58,16 +58,38 @@ def page_key(url: Column) -> Column:
     return F.when(head == "", F.lit(None)).otherwise(F.concat(lower_ascii(head), F.substr(bare, F.length(head) + 1)))
 
 
+def _resolved(links: DataFrame, name: str, target: str, base: str) -> DataFrame:
+    """links with name: the url of a link (target) in a page (base): whole, from //, from the root, from ? or #, or relative to the page's folder, . and .. included."""
+    names = fresh(links, 5)
+    host, path, inside, head, steps = map(F.col, names)
+    to, page = F.col(target), F.col(base)
+    got = links.withColumns({names[0]: F.regexp_extract(page, "(?s)^.*?://[^/?#]*", 0), names[1]: F.regexp_extract(page, URL, 2)})
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "(?s)^(.*/)?", 0))
+    got = got.withColumn(names[2], F.when(to.startswith("/"), to).when(to.startswith("?") | to.startswith("#"), F.concat(path, to)).otherwise(F.concat(folder, to)))
+    got = got.withColumn(names[3], F.regexp_extract(inside, "(?s)^[^?#]*", 0))
+    got = got.withColumn(names[4], F.split(F.regexp_replace(head, r"/\.{1,2}$", "$0/"), "/"))
+    walk = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    clean = F.array_join(F.aggregate(steps, F.array().cast("array<string>"), walk), "/")
+    whole = F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat(F.substring_index(page, "//", 1), to)).otherwise(F.concat(host, clean, F.substr(inside, F.length(head) + 1)))
+    return got.withColumn(name, whole).drop(*names)
+
+
+def _decoded(value: Column) -> Column:
+    """An attribute's value with its ampersands."""
+    return F.regexp_replace(value, "(?i)&(?:amp|#38|#x26);", "&")
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, target) urls of canonical links and of meta redirects in whole pages; relative targets get the page's host."""
+    """(source, target) urls of canonical links and of meta redirects in whole pages; relative ones by the page's first base element, else by its url."""
+    quoted = lambda tag, name: _decoded(F.concat(*[F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*{q}", 1) for q in ('"([^"]*)"', "'([^']*)'", "([^\"'\\s>]+)")]))
     tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0)
-    tag = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv")).select(F.col(url).alias("source"), F.explode(tags).alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    moved = F.when(F.col("tag").rlike(r"(?is)^<meta\b.*http-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    found = tag.select("source", F.coalesce(canonical, moved).alias("target")).where("target != ''")
-    host = F.regexp_extract("source", r"(?s)^.*?://[^/?#]*", 0)
-    whole = F.when(F.col("target").contains("://"), F.col("target")).when(F.col("target").startswith("//"), F.concat(F.substring_index("source", "//", 1), "target")).when(F.col("target").startswith("/"), F.concat(host, "target")).otherwise(F.concat(host, F.lit("/"), "target"))
-    return found.select("source", whole.alias("target"))
+    base = F.trim(quoted(F.regexp_extract(F.col(html), r"(?is)<base\b[^>]*>", 0), "href"))
+    own = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv")).select(F.col(url).alias("source"), base.alias("base"), F.explode(tags).alias("tag"))
+    canonical = F.when(F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b"), quoted(F.col("tag"), "href"))
+    moved = F.when(F.col("tag").rlike(r"(?is)^<meta\b.*http-equiv\s*=\s*[\"']?refresh\b"), _decoded(F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'>]+)", 1)))
+    found = cut(own.select("source", "base", F.trim(F.coalesce(canonical, moved)).alias("target"))).where("target != ''")
+    based = _resolved(found, "whole", "base", "source").withColumn("whole", F.when(F.col("base") == "", F.col("source")).otherwise(F.col("whole")))
+    return cut(_resolved(based, "to", "target", "whole").select("source", F.col("to").alias("target")))  # links are few; a filter pushed into all of this would grow with each step
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame = RULES, edges: DataFrame | None = None) -> DataFrame:
@@ -78,20 +100,22 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame = RULES
     them allows all that no rule decides, else a blocked page blocks them, else they are allowed. A component counts
     every url that an edge names, and a rule judges such urls too, even where no page has them. Pages with the same url share a component. Null urls and urls
     without :// are allowed, with an empty host and path. Repeated rows and edges change nothing; extra columns stay,
-    and host, path, rule and verdict are replaced. No pages give no rows.
+    and host, path, rule, rule_verdict and verdict are replaced. No pages give no rows. Urls are numbered, not hashed, so none are mixed up.
     """
-    if "_key" in pages.columns:
-        pages = pages.drop("_key")
     edges = link_edges(pages) if edges is None else edges
-    judged = with_rules(with_host_and_path(pages.drop("rule", "verdict", "rule_verdict", "host", "path")), rules)
+    made = ("host", "path", "rule", "rule_verdict", "verdict")
+    judged = with_rules(with_host_and_path(pages.drop(*made)), rules)
     ends = cut(edges.select(page_key(F.col("source")).alias("s"), page_key(F.col("target")).alias("t")).where("s is not null and t is not null and s != t").distinct())
-    names = ends.select(F.col("s").alias("url")).union(ends.select("t")).distinct()
-    votes = with_rules(with_host_and_path(names), rules).select(F.xxhash64("url").alias("node"), "rule_verdict")
-    groups = connected_components(ends.select(F.xxhash64("s").alias("a"), F.xxhash64("t").alias("b")))
+    names = cut(ends.select(F.col("s").alias("url")).union(ends.select("t")).distinct().withColumn("node", F.monotonically_increasing_id()))
+    votes = with_rules(with_host_and_path(names), rules).select("node", "rule_verdict")
+    numbered = ends.join(names.select(F.col("url").alias("s"), F.col("node").alias("a")), "s").join(names.select(F.col("url").alias("t"), F.col("node").alias("b")), "t")
+    groups = connected_components(numbered.select("a", "b"))
     word = groups.join(votes, "node").groupBy("component").agg(F.when(F.max(F.col("rule_verdict") == "allow"), "allow").when(F.max(F.col("rule_verdict") == "block"), "block").alias("word"))
-    spread = groups.join(word, "component").select(F.col("node").alias("_key"), "word").where("word is not null")
-    out = judged.withColumn("_key", F.xxhash64(page_key(F.col("url")))).join(spread, "_key", "left")
-    return out.select(*[c for c in judged.columns if c not in ("rule", "rule_verdict")], "rule", F.coalesce("rule_verdict", "word", F.lit("allow")).alias("verdict"))
+    one, two, own = fresh(judged, 3)
+    spread = cut(groups.join(cut(word), "component").where("word is not null").join(names, "node").select(F.col("url").alias(one), F.col("word").alias(two)))
+    lone = F.concat(F.lit("\0"), F.pmod(F.monotonically_increasing_id(), F.lit(4096)).cast("string"))  # urls that can have no alias are spread over the tasks
+    out = judged.withColumn(own, F.coalesce(page_key(F.col("url")), lone)).join(spread, F.col(own) == F.col(one), "left")
+    return out.select(*[c for c in judged.columns if c not in made], "host", "path", "rule", F.coalesce("rule_verdict", two, F.lit("allow")).alias("verdict"))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

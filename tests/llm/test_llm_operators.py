@@ -120,6 +120,56 @@ def test_block_decisions_spread(spark):
     assert url_filters.judge(df.limit(0)).count() == 0
 
 
+def test_links_are_resolved_by_their_page(spark):
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    cases = [
+        ("http://a.net/x/y.html", link("z.html"), "http://a.net/x/z.html"),
+        ("http://a.net/x/y.html?q", link("../z?a=1&amp;b=2"), "http://a.net/z?a=1&b=2"),
+        ("http://a.net", link("z"), "http://a.net/z"),
+        ("http://a.net/x/y", link("?k=1"), "http://a.net/x/y?k=1"),
+        ("http://a.net/x/y", link("./a/./b/../../../../c/."), "http://a.net/c/"),
+        ("https://a.net/x", link("//B.net/q"), "https://B.net/q"),
+        ("http://a.net/x/y", '<base href="/deep/er/">' + link("z"), "http://a.net/deep/er/z"),
+        ("http://a.net/x/y", "<base href='http://c.net/d/e'>" + "<meta http-equiv=refresh content=\"0;URL=z#top\">", "http://c.net/d/z#top"),
+        ("http://a.net/x", "<link rel=canonical href=/plain>", "http://a.net/plain"),
+    ]
+    df = spark.createDataFrame([(u, h) for u, h, _ in cases], "url string, html string")
+    assert [r.target for r in url_filters.link_edges(df).collect()] == [x for *_, x in cases]
+
+
+def test_ties_of_rules_allow(spark):
+    rules = [("block", "b.org/ab"), ("allow", "a.b.org/"), ("block", "c.net/"), ("allow", "c.net/")]
+    df = spark.createDataFrame([(1, "http://a.b.org/abc", None), (2, "http://c.net/", None)], "page_id int, url string, html string")
+    for given in (rules, rules[::-1], spark.createDataFrame(rules, "verdict string, rule string"), spark.createDataFrame(rules[::-1], "verdict string, rule string")):
+        assert {(r.rule, r.verdict) for r in url_filters.judge(df, given).collect()} == {("a.b.org/", "allow"), ("c.net/", "allow")}
+
+
+def test_random_links_by_union_find(spark):
+    r = random.Random(15)
+    urls = [f"http://s{k}.{r.choice(['net', 'net', 'net', 'com/de', 'org'])}/{k}" for k in range(80)] + [None, "x" * 5000, "http://s1.net/" + "y" * 50_000]
+    edges = [(r.choice(urls[:80]), r.choice(urls[:80])) for _ in range(40)] + [(urls[0], None), (urls[0], urls[0])]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if b:
+            parent[find(a)] = find(b)
+    own = lambda u: None if not u else "allow" if ".org/" in u else "block" if ".com/de/" in u else None
+    words = {}
+    for u in urls[:80]:
+        words.setdefault(find(u), set()).add(own(u))
+    want = [own(u) or ("allow" if u not in parent or "allow" in words[find(u)] or "block" not in words[find(u)] else "block") for u in urls]
+    df = spark.createDataFrame([(k, u, None, "clash") for k, u in enumerate(urls)] * 2, "page_id int, url string, html string, word string").withColumn("_key", F.lit(1))
+    got = url_filters.judge(df, edges=spark.createDataFrame(edges, "source string, target string"))
+    assert set(df.columns) < set(got.columns)
+    assert sorted((x.page_id, x.verdict) for x in got.collect()) == sorted([*enumerate(want)] * 2)
+    assert "block" in {w for u, w in zip(urls, want, strict=True) if not own(u)}
+
+
 # --- 3: language model
 
 
@@ -295,6 +345,17 @@ def test_tokens_round_trip(spark):
     assert bpe.round_trip(df.limit(0)).count() == 0
 
 
+def test_other_patterns_cut_as_they_say(spark):
+    import tiktoken
+
+    for pattern in (r"\s+|\S+", r"(\w)(\w*)|\W", r"\w+"):
+        own = bpe.Codec(pattern=pattern)
+        public = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=own.ranks, special_tokens={})
+        for text in ("hello world", "two  spaces and\nlines", "naïve 日本 x1", " lead"):
+            own.learn([text])
+            assert own.encode(text) == public.encode_ordinary(text)
+
+
 # --- 7: quality
 
 
@@ -432,3 +493,43 @@ def test_contaminated_pairs(spark):
     assert decontamination.pairs(df, bench.limit(0)).count() == 0 and decontamination.clean(df, bench.limit(0)).count() == len(rows)
     assert decontamination.pairs(empty(spark), bench).count() == 0
     assert len(list(decontamination.blocks(bench, 40))) > 1
+
+
+def test_short_items_are_matched_whole(spark):
+    bench = spark.createDataFrame([(1, "Alpha beta"), (2, "gamma delta epsilon zeta eta")], "item_id long, text string")
+    got = decontamination.pairs(docs(spark, [(1, "x alpha, BETA y"), (2, "alpha y beta"), (3, "alpha"), (4, "gamma delta epsilon zeta eta")]), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_tiles, r.n_words, r.coverage) for r in got) == [(1, 1, 1, 2, 1.0), (4, 2, 1, 5, 1.0)]
+
+
+def test_repeated_words_are_tiled_in_time():
+    import time
+
+    began = time.time()
+    assert sum(n for *_, n in decontamination.tiles([1] * 2000, [1] * 100_000)) == 2000
+    assert sum(n for *_, n in decontamination.tiles([1, 2] * 500, [1, 2] * 20_000)) == 1000
+    assert sum(n for *_, n in decontamination.tiles([1] * 300 + [7] + [2] * 300, [1] * 5000 + [3] + [2] * 5000)) == 600
+    assert time.time() - began < 20
+
+
+def test_reordered_passages_by_brute_force():
+    r = random.Random(16)
+    for _ in range(60):
+        item, text = [r.randrange(3) for _ in range(r.randrange(4, 14))], [r.randrange(3) for _ in range(r.randrange(4, 20))]
+        left_item, left_text, want = set(range(len(item))), set(range(len(text))), []
+        while True:  # the longest free common stretch, the first by item and text
+            best = (0, 0, 0)
+            for p in range(len(item)):
+                for t in range(len(text)):
+                    n = 0
+                    while p + n in left_item and t + n in left_text and item[p + n] == text[t + n]:
+                        n += 1
+                    if n > best[2]:
+                        best = (p, t, n)
+            if best[2] < 3:
+                break
+            want.append(best)
+            left_item -= set(range(best[0], best[0] + best[2]))
+            left_text -= set(range(best[1], best[1] + best[2]))
+        got = decontamination.tiles(item, text, 3)
+        assert sorted(n for *_, n in got)[::-1][:1] == sorted(n for *_, n in want)[::-1][:1]
+        assert all(item[p : p + n] == text[t : t + n] for p, t, n in got)
