@@ -1,15 +1,32 @@
-"""Ends long lineages of iterated plans, in the folder that the cluster shares."""
+"""Ends long lineages of iterated plans, in the folder that the cluster shares, and numbers rows in a global order."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir and read from there; a temporary folder only where none is set, as in tests."""
+    """df written to spark.checkpoint.dir and read from there. Where none is set: a temporary folder in local mode, as in tests; else an error, as executors could not read it."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], name: str = "number") -> DataFrame:
+    """df with its rows' places from 0, in the order of the keys: a range sort, and the sizes of its partitions, which alone reach the driver."""
+    placed = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    offsets, so_far = [], 0
+    for r in sorted(placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        offsets.append((r.part, so_far))
+        so_far += r.n
+    known = df.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    return placed.withColumn("_part", part).join(known, "_part").withColumn(name, F.col("_before") + within).drop("_part", "_before", "_at")

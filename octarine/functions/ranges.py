@@ -1,10 +1,12 @@
-"""Bit streams and a range coder: what is sequential by nature, in plain Python for grouped maps."""
+"""Bit streams and a range coder, for grouped maps: array operations where widths are known, plain Python for what is sequential by nature."""
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+
 
 class BitWriter:
     """Appends the low bits of values, the first in the highest bit; the last byte is filled with zeros."""
@@ -44,6 +46,37 @@ class BitReader:
         return (int.from_bytes(self.data[first:last], "big") >> (8 * last - end)) & ((1 << width) - 1)
 
 
+def pack(values: np.ndarray, widths: np.ndarray) -> bytes:
+    """What BitWriter gives for all values at once, by array operations."""
+    ends = np.cumsum(widths)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(int(widths.max()) if len(widths) else 0):  # the k-th bit from the right of each value that has one
+        some = np.flatnonzero(widths > k)
+        out[ends[some] - 1 - k] = values[some] >> min(k, 63) & 1
+    return np.packbits(out).tobytes()
+
+
+class Bits:
+    """Reads numbers of given widths from a stream, many at once where their widths are known."""
+
+    def __init__(self, data: bytes):
+        self.bits, self.at = np.unpackbits(np.frombuffer(data, np.uint8)), 0
+
+    def many(self, widths: np.ndarray) -> np.ndarray:
+        ends = self.at + np.cumsum(widths)
+        if len(ends) and ends[-1] > len(self.bits):
+            raise EOFError(f"bit {ends[-1]} of {len(self.bits)}")
+        out = np.zeros(len(widths), np.int64)
+        for k in range(int(widths.max()) if len(widths) else 0):
+            some = np.flatnonzero(widths > k)
+            out[some] |= self.bits[ends[some] - 1 - k].astype(np.int64) << k
+        self.at = int(ends[-1]) if len(ends) else self.at
+        return out
+
+    def one(self, width: int) -> int:
+        return int(self.many(np.array([width]))[0])
+
+
 def cdf(weights: Sequence[float], precision: int = 16, floor: float = 0.0) -> list[int]:
     """0 and the running sums of the weights, each within floor and 1, scaled to 2^precision - 1 and cut to whole numbers."""
     clipped = [min(1.0, max(floor, w)) for w in weights]

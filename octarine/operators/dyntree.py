@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,8 @@ def encode(points: DataFrame, radius: float, max_layers: int = 64, frame: str =
         widest, layers = widest / 2, layers + 1
     now = placed(points, box, frame, axes).select(frame, F.lit(1).cast("bigint").alias("node"), *[f"p{k}" for k in range(d)], *[f"box_{k}" for k in range(d)])
     out = None
+    if 1 + d * layers > 63:
+        raise ValueError(f"{layers} layers of {d} axes: a node's path would not fit a long; raise the radius or lower max_layers")
     for layer in range(layers):
         big = [F.col(f"box_{k}") > radius for k in range(d)]
         dims = sum((b.cast("int") for b in big[1:]), big[0].cast("int"))
@@ -101,15 +104,18 @@ def prune(points: DataFrame, radius: float, node: Sequence[str] = ("frame",), ax
     return points.groupBy(*node).agg(F.bool_or(far).alias("keep"), F.count(F.lit(1)).alias("n"))
 
 
-def mean_split(points: DataFrame, radius: float, max_layers: int, frame: str = "frame", axes: Sequence[str] = AXES, cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+def mean_split(points: DataFrame, radius: float, max_layers: int | None = None, frame: str = "frame", axes: Sequence[str] = AXES, cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(frame, layer, node, dims, flag, n, mean_<axis>, box_<axis>): each node has a box of its own, split at the mean of its points.
 
     A node's box is the largest distance from its mean on each axis; it is split on the axes where that is over
     the radius, and ends where there is none (flag 0). A child's number has a bit for each axis; a path shifts by the number of axes.
+    Layers go on until no box is over the radius, or for max_layers; where a path would no longer fit a long, it is an error.
     """
     d = len(axes)
     now, out = points.select(frame, F.lit(1).cast("bigint").alias("node"), *axes), None
-    for layer in range(max_layers):
+    for layer in count() if max_layers is None else range(max_layers):
+        if 1 + d * layer > 63:
+            raise ValueError(f"a node's path of {layer} layers of {d} axes does not fit a long")
         means = now.groupBy(frame, "node").agg(*[F.avg(a).alias(f"mean_{a}") for a in axes])
         met = now.join(means, [frame, "node"])
         sides = met.groupBy(frame, "node").agg(F.count(F.lit(1)).alias("n"), *[F.max(F.abs(F.col(a) - F.col(f"mean_{a}"))).alias(f"box_{a}") for a in axes])
@@ -121,9 +127,11 @@ def mean_split(points: DataFrame, radius: float, max_layers: int, frame: str = "
         met = cut(met)  # it is read twice: a plan without cuts would double with each layer
         at = F.when(F.col("dims") > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("child").cast("int"))).otherwise(F.lit(0).cast("bigint"))
         firsts = [F.first(f"{p}_{a}").alias(f"{p}_{a}") for p in ("mean", "box") for a in axes]
-        rows = met.groupBy(frame, "node").agg(F.max("dims").alias("dims"), F.bit_or(at).alias("flag"), F.count(F.lit(1)).alias("n"), *firsts).withColumn("layer", F.lit(layer))
+        rows = met.groupBy(frame, "node").agg(F.max("dims").alias("dims"), F.bit_or(at).alias("flag"), F.count(F.lit(1)).alias("n"), *firsts).withColumn("layer", ((F.length(F.bin("node")) - 1) / d).cast("int"))
         out = rows if out is None else out.unionByName(rows)
         now = met.where("dims > 0").select(frame, (F.shiftleft("node", d) + F.col("child")).alias("node"), *axes)
+        if now.isEmpty():
+            break
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,10 +55,9 @@ def streams(symbols: DataFrame, frame: str = "frame", symbol: str = "flag", widt
     schema = T.StructType([symbols.schema[frame], T.StructField("n", T.LongType()), T.StructField("bits", T.LongType()), T.StructField("stream", T.BinaryType())])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out = pdf.sort_values(list(order)), R.BitWriter()
-        for v, n in zip(pdf[symbol].tolist(), pdf[width].tolist(), strict=True):
-            out.write(v, n)
-        return pd.DataFrame({frame: [key[0]], "n": [len(pdf)], "bits": [len(out)], "stream": [bytes(out)]})
+        pdf = pdf.sort_values(list(order))
+        widths = pdf[width].to_numpy(np.int64)
+        return pd.DataFrame({frame: [key[0]], "n": [len(pdf)], "bits": [int(widths.sum())], "stream": [R.pack(pdf[symbol].to_numpy(np.int64), widths)]})
 
     return symbols.select(frame, symbol, width, *order).groupBy(frame).applyInPandas(run, schema)
 
@@ -73,15 +73,14 @@ def read_streams(written: DataFrame, dims: Sequence[int], width: int, frame: str
         for pdf in batches:
             rows = []
             for key, data in zip(pdf[frame], pdf["stream"], strict=True):
-                source, nodes = R.BitReader(bytes(data)), [0]
+                source, nodes = R.Bits(bytes(data)), np.zeros(1, np.int64)
                 for layer, d in enumerate(plan):
-                    step, below = max(d, 1), []
-                    for node in nodes:
-                        flag = source.read(1 << step)
-                        rows.append((key, layer, node, flag))
-                        below += [node << step | k for k in range(1 << step) if flag >> k & 1]
-                    nodes = below
-            yield pd.DataFrame(rows, columns=schema.names)
+                    step = max(d, 1)
+                    flags = source.many(np.full(len(nodes), 1 << step))
+                    rows.append(pd.DataFrame({frame: [key] * len(nodes), "layer": np.full(len(nodes), layer, np.int32), "parent": nodes, "flag": flags}))
+                    at, child = np.nonzero(flags[:, None] >> np.arange(1 << step) & 1)
+                    nodes = nodes[at] << step | child
+            yield pd.concat(rows)
 
     return written.select(frame, "stream").mapInPandas(run, schema)
 
@@ -124,20 +123,21 @@ def bit_entropy(codes: DataFrame, width: int, rounds: int, frame: str = "frame",
     In each round a node's codes, as bits of +1 and -1, are summed; a code takes the sum of its node's most skewed unused
     bit (ties: the lowest), and goes to the child that its bit says. Bits never chosen have null.
     """
-    now = codes.select(frame, key, F.lit(1).cast("bigint").alias("node"), F.lit(0).cast("bigint").alias("used"))
+    if rounds > 62:
+        raise ValueError("a node's path of more than 62 bits does not fit a long")
+    one = F.lit(1).cast("bigint")
+    at = lambda v, k: F.call_function("shiftrightunsigned", v, k).bitwiseAND(one)
+    now = codes.select(frame, key, one.alias("node"), F.lit(0).cast("bigint").alias("used"), F.array_repeat(F.lit(None).cast("bigint"), width).alias("e"))
     n = codes.groupBy(frame).agg(F.count(F.lit(1)).alias("_total"))
-    now = now.withColumns({f"e{k}": F.lit(None).cast("bigint") for k in range(width)})
-    one = lambda k: F.shiftrightunsigned(key, k).bitwiseAND(F.lit(1).cast("bigint"))
-    for _ in range(rounds):
-        sums = now.groupBy(frame, "node", "used").agg(*[F.sum(2 * one(k) - 1).alias(f"s{k}") for k in range(width)])
-        free = lambda k: F.shiftrightunsigned("used", k).bitwiseAND(F.lit(1).cast("bigint")) == 0
-        best = F.array_max(F.array(*[F.struct(F.when(free(k), F.abs(f"s{k}")).otherwise(-1).alias("w"), F.lit(-k).alias("b"), F.col(f"s{k}").alias("s")) for k in range(width)]))
-        chosen = sums.withColumn("_b", best).select(frame, "node", (-F.col("_b.b")).alias("bit"), F.col("_b.s").alias("s"))
-        met = now.join(chosen, [frame, "node"])
-        at = F.call_function("shiftrightunsigned", F.col(key), F.col("bit")).bitwiseAND(F.lit(1).cast("bigint"))
-        now = met.select(frame, key, (F.col("node") * 2 + at).alias("node"), F.col("used").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).alias("used"), *[F.when(F.col("bit") == k, F.col("s")).otherwise(F.col(f"e{k}")).alias(f"e{k}") for k in range(width)])
-        now = cut(now)
-    return now.join(n, frame).select(frame, key, F.array(*[F.col(f"e{k}") / F.col("_total") for k in range(width)]).alias("e"))
+    for _ in range(min(rounds, width)):  # nothing in a round depends on its number, so that its code is compiled once
+        free = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: at(F.col("used"), k) == 0)
+        sums = now.select(frame, "node", key, F.explode(free).alias("bit")).groupBy(frame, "node", "bit").agg(F.sum(2 * at(F.col(key), F.col("bit")) - 1).alias("s"))
+        best = F.max(F.struct(F.abs("s").alias("w"), (-F.col("bit")).alias("b"), "s"))
+        chosen = sums.groupBy(frame, "node").agg(best.alias("_b")).select(frame, "node", (-F.col("_b.b")).alias("bit"), F.col("_b.s").alias("s"))
+        met = now.join(cut(chosen), [frame, "node"])
+        told = F.transform("e", lambda x, k: F.when(k == F.col("bit"), F.col("s")).otherwise(x))
+        now = cut(met.select(frame, key, (F.col("node") * 2 + at(F.col(key), F.col("bit"))).alias("node"), F.col("used").bitwiseOR(F.call_function("shiftleft", one, F.col("bit"))).alias("used"), told.alias("e")))
+    return now.join(n, frame).select(frame, key, F.transform("e", lambda x: x / F.col("_total")).alias("e"))
 
 
 def by_skew(mapped: DataFrame, width: int, key: str = "code") -> DataFrame:

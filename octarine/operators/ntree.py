@@ -152,19 +152,23 @@ def permutation(codes: DataFrame, width: int, frame: str = "frame", depth: int |
     A loop over layers, each a partial aggregation of bit counts by node and a join back; cut writes a checkpoint
     after each. Ties: the lowest bit. Nodes of one code, or without bits left, end.
     """
-    now = codes.select(frame, "code", F.lit(1).cast("bigint").alias("node"), F.lit(0).cast("bigint").alias("used"))
+    if (depth or width) > 62:
+        raise ValueError("a node's path of more than 62 bits does not fit a long")
+    one = F.lit(1).cast("bigint")
+    at = lambda v, k: F.call_function("shiftrightunsigned", v, k).bitwiseAND(one)
+    now = codes.select(frame, "code", one.alias("node"), F.lit(0).cast("bigint").alias("used"))
     out = None
-    for layer in range(depth or width):
-        ones = [F.sum(B.bit(F.col("code"), k)).alias(f"_{k}") for k in range(width)]
-        sums = now.groupBy(frame, "node", "used").agg(F.count(F.lit(1)).alias("n"), *ones).where("n > 1")
-        skew = F.array(*[F.struct(F.when(B.bit(F.col("used"), k) == 1, F.lit(-1).cast("bigint")).otherwise(F.greatest(F.col(f"_{k}"), F.col("n") - F.col(f"_{k}"))).alias("w"), F.lit(-k).alias("b"), F.col(f"_{k}").alias("ones")) for k in range(width)])
-        chosen = sums.withColumn("_best", F.array_max(skew)).select(frame, "node", "n", (-F.col("_best.b")).alias("choice"), F.col("_best.ones").alias("ones")).withColumn("layer", F.lit(layer))
-        chosen = cut(chosen)
-        out = chosen if out is None else out.unionByName(chosen)
-        at = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("choice"))
-        now = now.join(chosen.select(frame, "node", "choice"), [frame, "node"]).select(frame, "code", (F.col("node") * 2 + (F.col("code").bitwiseAND(at) != 0).cast("bigint")).alias("node"), F.col("used").bitwiseOR(at).alias("used"))
-        now = cut(now)
-    return out.select(frame, "layer", "node", "choice", "n", "ones")
+    for _ in range(depth or width):  # nothing in a round depends on its number, so that its code is compiled once
+        free = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: at(F.col("used"), k) == 0)
+        sums = now.select(frame, "node", "code", F.bit_count("used").alias("layer"), F.explode(free).alias("bit")).groupBy(frame, "node", "layer", "bit").agg(F.count(F.lit(1)).alias("n"), F.sum(at(F.col("code"), F.col("bit"))).alias("ones")).where("n > 1")
+        best = F.max(F.struct(F.greatest(F.col("ones"), F.col("n") - F.col("ones")).alias("w"), (-F.col("bit")).alias("b"), "ones", "n"))
+        chosen = sums.groupBy(frame, "node", "layer").agg(best.alias("_b")).select(frame, "layer", "node", (-F.col("_b.b")).alias("choice"), F.col("_b.n").alias("n"), F.col("_b.ones").alias("ones"))
+        now = cut(now.drop("layer", "above", "choice", "n", "ones").withColumnRenamed("node", "above").join(chosen.withColumnRenamed("node", "above"), [frame, "above"]).withColumn("node", F.col("above") * 2 + at(F.col("code"), F.col("choice"))).withColumn("used", F.col("used").bitwiseOR(F.call_function("shiftleft", one, F.col("choice")))))
+        found = now.select(frame, "layer", F.col("above").alias("node"), "choice", "n", "ones").distinct()
+        out = found if out is None else out.unionByName(found)
+        if now.isEmpty():
+            break
+    return out
 
 
 def running_position(symbols_: DataFrame, by: Sequence[str] = ("frame",)) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from octarine.functions.lineage import numbered
+
 
 def _by(frame: str, order: str) -> W:
     return W.partitionBy(frame).orderBy(order)
@@ -59,8 +61,8 @@ def blocks(points: DataFrame, limit: int, values: Sequence[str], frame: str = "f
 
 def chunks(frames: DataFrame, limit: int, name: str = "name") -> DataFrame:
     """frames with chunk and slot: limit frames to a chunk in the order of their names, as one cloud with the slot as a fourth axis."""
-    k = F.row_number().over(W.orderBy(name)) - 1
-    return frames.withColumns({"chunk": F.floor(k / limit), "slot": F.pmod(k, F.lit(limit))})
+    k = F.col("_k")
+    return numbered(frames, [name], "_k").withColumns({"chunk": F.floor(k / limit), "slot": F.pmod(k, F.lit(limit))}).drop("_k")
 
 
 def batches(points: DataFrame, value: str, size: int, frame: str = "frame", order: str = "point_id", pad: float = 0.0) -> DataFrame:

@@ -159,9 +159,9 @@ def nearest_primitive(spark, d):
     return neighbours.nearest_primitive(V.vectors(spark, d), _triangles(spark, d))
 
 
-@query(f"with {_TRI}, r as (select point_id ray_id, x ox, y oy, z oz, -2 * x dx, -2 * y dy, -2 * z dz from ep where point_id % 5 = 0), g as (select *, bx - ax ux, by_ - ay uy, bz - az uz, cx - ax wx, cy - ay wy, cz - az wz, ox - ax sx, oy - ay sy, oz - az sz from r, n), h as (select *, dy * wz - dz * wy hx, dz * wx - dx * wz hy, dx * wy - dy * wx hz, sy * uz - sz * uy qx, sz * ux - sx * uz qy, sx * uy - sy * ux qz from g), k as (select *, ux * hx + uy * hy + uz * hz det from h), p as (select ray_id, tri_id, (sx * hx + sy * hy + sz * hz) / det u, (dx * qx + dy * qy + dz * qz) / det v, (wx * qx + wy * qy + wz * qz) / det t from k where det <> 0) select ray_id, tri_id, round(t, 6) t from p where u >= 0 and v >= 0 and u + v <= 1 and t between 0 and 1")
+@query(f"with {_TRI}, r as (select point_id ray_id, x ox, y oy, z oz, -2 * x dx, -2 * y dy, -2 * z dz from ep), g as (select *, bx - ax ux, by_ - ay uy, bz - az uz, cx - ax wx, cy - ay wy, cz - az wz, ox - ax sx, oy - ay sy, oz - az sz from r, n), h as (select *, dy * wz - dz * wy hx, dz * wx - dx * wz hy, dx * wy - dy * wx hz, sy * uz - sz * uy qx, sz * ux - sx * uz qy, sx * uy - sy * ux qz from g), k as (select *, ux * hx + uy * hy + uz * hz det from h), p as (select ray_id, tri_id, (sx * hx + sy * hy + sz * hz) / det u, (dx * qx + dy * qy + dz * qz) / det v, (wx * qx + wy * qy + wz * qz) / det t from k where det <> 0) select ray_id, tri_id, round(t, 6) t from p where u >= 0 and v >= 0 and u + v <= 1 and t between 0 and 1")
 def raycast(spark, d):
-    rays = V.vectors(spark, d).where("point_id % 5 = 0").select(F.col("point_id").alias("ray_id"), F.struct("x", "y", "z").alias("p0"), F.struct(*[(-F.col(a)).alias(a) for a in "xyz"]).alias("p1"))
+    rays = V.vectors(spark, d).select(F.col("point_id").alias("ray_id"), F.struct("x", "y", "z").alias("p0"), F.struct(*[(-F.col(a)).alias(a) for a in "xyz"]).alias("p1"))
     return neighbours.raycast(rays, _triangles(spark, d)).select("ray_id", "tri_id", F.round("t", 6).alias("t"))
 
 
@@ -217,19 +217,19 @@ def score_metrics(spark, d):
     return _scores(spark, d).agg(*learning.metrics(F.col("y"), F.col("p"))).select(*_rounded(("accuracy", "rmse", "msle"), 9))
 
 
-_NODES = f"with {V.MCODES}, nd as (select distinct frame, l::int layer, code >> cast(24 - 3 * l as int) node from m, range(1, 5) r(l))"
+_NODES = f"with {V.MCODES}, nd as (select distinct frame, l::int layer, code >> cast(24 - 3 * l as int) node from m, range(8) r(l))"
 
 
 def _nodes(spark, d):
     from octarine.operators import ntree
 
     codes = quantize.encode(V.line_points(spark, d), V.BITS, order="morton").select("frame", "code").distinct()
-    return ntree.tokenize(codes, [3], V.WIDTH).where("layer between 1 and 4").select("frame", "layer", F.col("parent").alias("node")).distinct()
+    return ntree.tokenize(codes, [3], V.WIDTH).select("frame", "layer", F.col("parent").alias("node")).distinct()
 
 
-@query(f"{_NODES}, k as (select *, k, (node << 3) + k id from nd, range(8) r(k)), u as (select frame, layer, bit_or(id) used from k group by all) select k.frame, k.layer, k.node, k.k::int k, (select sum(((u.used >> j::int) & 1) - 2 * ((k.id >> j::int) & 1)) from range(15) q(j))::double total from k join u on u.frame = k.frame and u.layer = k.layer")
+@query(f"{_NODES}, k as (select *, k, (node << 3) + k id from nd, range(8) r(k)), u as (select frame, layer, bit_or(id) used from k group by all) select k.frame, k.layer, k.node, k.k::int k, (select sum(((u.used >> j::int) & 1) - 2 * ((k.id >> j::int) & 1)) from range(24) q(j))::double total from k join u on u.frame = k.frame and u.layer = k.layer")
 def child_bits(spark, d):
-    got = learning.child_bits(_nodes(spark, d), 3, 15)
+    got = learning.child_bits(_nodes(spark, d), 3, 24)
     return got.select("frame", "layer", "node", "k", F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 

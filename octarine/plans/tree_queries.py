@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from octarine.functions import bits as B
+from octarine.functions.lineage import cut, numbered
 from octarine.operators import dyntree, entropy, ntree, quantize, reports
 from octarine.plans import views as V
 
@@ -28,6 +29,11 @@ def _codes(spark: SparkSession, d: str, order: str = "packed") -> DataFrame:
     return quantize.encode(V.line_points(spark, d), V.BITS, order=order).select("frame", "code").distinct()
 
 
+def _cut_codes(spark: SparkSession, d: str, order: str = "packed") -> DataFrame:
+    """The codes written once, for queries that read them several times."""
+    return cut(_codes(spark, d, order))
+
+
 def _tree(spark: SparkSession, d: str, dims=(3,)) -> DataFrame:
     return ntree.symbols(_codes(spark, d, "morton"), dims, WIDE)
 
@@ -152,7 +158,7 @@ def _bpp_sql(dim: int) -> str:
 
 @query(f"with {V.MCODES}, s as ({' union all '.join(map(_bpp_sql, (1, 2, 3)))}), p as (select frame, count(*) inp from lp group by frame), u as (select frame, count(*) outp from m group by frame) select s.dim, s.frame, s.bits::bigint bits, inp inp_points, outp out_points, round(bits / inp, 9) bpp_in, round(bits / outp, 9) bpp_out from s join p using (frame) join u using (frame)")
 def tree_bpp(spark, d):
-    codes = _codes(spark, d, "morton")
+    codes = _cut_codes(spark, d, "morton")
     cost = None
     for dim in (1, 2, 3):
         own = ntree.bit_cost(ntree.symbols(codes, [dim], WIDE)).withColumn("dim", F.lit(dim))
@@ -171,14 +177,14 @@ def bpp_by_configuration(spark, d):
 
 @query(f"with {V.MCODES} select frame, code from m")
 def tree_decode(spark, d):
-    return ntree.decode(_tree(spark, d), [3], WIDE)
+    return ntree.decode(cut(_tree(spark, d)), [3], WIDE)
 
 
-@query(f"with {V.MCODES}, t as (select frame, l layer, code >> cast(24 - u as int) parent, (code >> cast(24 - u - w as int)) & ((1 << w) - 1) child from m, (values (0, 0, 1), (1, 1, 2), (2, 3, 3), (3, 6, 6), (4, 12, 6), (5, 18, 6)) r(l, u, w)) select frame, layer, parent, cast(bit_or(case when child < 32 then 1::bigint << child::int else 0 end) as bigint) low, count(distinct child) children, count(*) n from t group by all")
+@query(f"with {V.MCODES}, t as (select frame, l layer, code >> cast(24 - u as int) parent, (code >> cast(24 - u - w as int)) & ((1 << w) - 1) child from m, (values (0, 0, 1), (1, 1, 2), (2, 3, 3), (3, 6, 6), (4, 12, 6), (5, 18, 6)) r(l, u, w)) select frame, layer, parent, cast(bit_or(case when child < 32 then 1::bigint << child::int else 0 end) as bigint) low, cast(bit_or(case when child >= 32 then 1::bigint << (child - 32)::int else 0 end) as bigint) high, count(distinct child) children, count(*) n from t group by all")
 def uneven_layers(spark, d):
     got = ntree.symbols(_codes(spark, d, "morton"), [1, 2, 3, 6], WIDE)
-    # a flag of 64 bits uses the sign: the lower half is compared, and the number of bits
-    return got.select("frame", "layer", "parent", F.col("flag").bitwiseAND(F.lit((1 << 32) - 1)).alias("low"), "children", "n")
+    # a flag of 64 bits uses the sign: SQL has its halves
+    return got.select("frame", "layer", "parent", F.col("flag").bitwiseAND(F.lit((1 << 32) - 1)).alias("low"), F.call_function("shiftrightunsigned", F.col("flag"), F.lit(32)).alias("high"), "children", "n")
 
 
 @query(f"{_HALVES} select frame, layer::int layer, parent, n, minor, n - minor major, minor symbol, {_BITLEN} width from h")
@@ -199,12 +205,11 @@ def payload_bits(spark, d):
     return ntree.payload(_codes(spark, d, "morton"), [3], WIDE).withColumn("tail_bits", F.col("tail_bits").cast("bigint"))
 
 
-@query(f"{_TREE}, f as (select *, dense_rank() over (order by frame) frame_no from s) select a.frame_no::bigint frame_no, a.layer::int layer, a.parent, a.flag, xor(a.flag, coalesce(z.flag, 0)) delta from f a left join f z on z.frame_no = a.frame_no - 1 and z.layer = a.layer and z.parent = a.parent")
+@query(f"{_TREE}, d as (select frame, row_number() over (order by frame) frame_no from (select distinct frame from lp)), f as materialized (select frame_no, layer, parent, flag from s join d using (frame)), z as materialized (select frame_no + 1 frame_no, layer, parent, flag from f) select f.frame_no::bigint frame_no, f.layer::int layer, f.parent, f.flag, xor(f.flag, coalesce(z.flag, 0)) delta from f left join z on f.frame_no = z.frame_no and f.layer = z.layer and f.parent = z.parent")
 def differential_tree(spark, d):
-    from pyspark.sql import Window as W
-
     tree = _tree(spark, d)
-    numbers = tree.select("frame").distinct().withColumn("frame_no", F.row_number().over(W.orderBy("frame")).cast("bigint"))
+    frames = V.line_points(spark, d).select("frame").distinct()
+    numbers = numbered(frames, ["frame"], "frame_no").withColumn("frame_no", F.col("frame_no") + 1)
     return ntree.differential(tree.join(numbers, "frame").select("frame_no", "layer", "parent", "flag"))
 
 
@@ -242,12 +247,12 @@ def symbol_positions(spark, d):
 
 @query()
 def permutation_tree(spark, d):
-    return ntree.permutation(_codes(spark, d), WIDE, depth=4)
+    return ntree.permutation(_cut_codes(spark, d), WIDE)
 
 
 @query()
 def entropy_map(spark, d):
-    return entropy.bit_entropy(_codes(spark, d), WIDE, 4)
+    return entropy.bit_entropy(_cut_codes(spark, d), WIDE, WIDE)
 
 
 @query()
@@ -263,7 +268,7 @@ def radius_tree_decode(spark, d):
 
 @query()
 def mean_split_tree(spark, d):
-    return dyntree.mean_split(V.vectors(spark, d), 0.05, 4)
+    return dyntree.mean_split(V.vectors(spark, d), 0.05)
 
 
 @query(f"with {V.EP} select frame, bool_or(greatest(abs(x), abs(y), abs(z)) > 0.3) keep, count(*) n from ep group by frame")

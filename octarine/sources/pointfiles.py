@@ -85,14 +85,16 @@ def read(spark: SparkSession, paths: str | Sequence[str], width: int = 4, dtype:
 def read_index(spark: SparkSession, index: str, root: str, take: int | None = None, seed: int | None = None, **options) -> DataFrame:
     """Frames that an index (a text file of one path a line, under root) names; blank lines don't count.
 
-    take: the first so many lines, or so many by a seeded shuffle. Only names are joined; then the files are read.
+    take: the first so many lines by name, or so many by a seeded shuffle. The names reach the driver, as every list of files to read does,
+    and just those files are read; one that isn't there is an error.
     """
     lines = spark.read.text(index).where(F.trim("value") != "").select(F.trim("value").alias("name")).distinct()
-    lines = lines.orderBy(F.xxhash64("name", F.lit(seed))) if seed is not None else lines.orderBy("name")
-    lines = lines.limit(take) if take is not None else lines
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    met = files.join(lines, F.col("path").endswith(F.concat(F.lit("/"), F.col("name"))), "left_semi")
-    return _parsed(met, options.get("width", 4), options.get("dtype", "<f4"), options.get("keep", 4))
+    lines = lines.orderBy(F.xxhash64("name", F.lit(seed)), "name") if seed is not None else lines.orderBy("name")
+    names = [r.name for r in (lines.limit(take) if take is not None else lines).collect()]
+    width, dtype, keep = options.get("width", 4), options.get("dtype", "<f4"), options.get("keep", 4)
+    if not names:
+        return _parsed(spark.createDataFrame([], "path string, content binary"), width, dtype, keep)
+    return _parsed(spark.read.format("binaryFile").load([f"{root.rstrip('/')}/{n.lstrip('/')}" for n in names]), width, dtype, keep)
 
 
 def as_files(points: DataFrame, kind: str, axes: Sequence[str] = COLUMNS, frame: str = "frame", order: str = "point_id") -> DataFrame:
