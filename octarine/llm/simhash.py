@@ -82,11 +82,12 @@ def _masks(bits: int) -> np.ndarray:
 
 
 def near_pairs(distinct: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
-    """(a, b): all pairs of the different values in fp that differ in one to radius of their lowest bits.
+    """(a, b): pairs of the different values in fp that link all that differ in no more than radius of their lowest bits, though not each pair of them.
 
     Meet in the middle: each value goes to all variants within half the radius of it (itself and, for a radius of two,
     those with one bit changed); two values within the radius meet at one variant at least. At most 65 different values can
-    stand at one variant, so no group is large however many copies there are. Variants travel in packed lists, by ranges of their hashes:
+    stand at one variant, so no group is large however many copies there are; there each is paired with the first and with the one before it, as
+    all of them are within the radius of each other. Variants travel in packed lists, by ranges of their hashes:
     sorted, as differences, each with the number of the bit that tells which value it comes from. A larger radius is
     refused: the variants would be too many.
     """
@@ -121,14 +122,13 @@ def near_pairs(distinct: DataFrame, radius: int = RADIUS, bits: int = BITS) -> D
         v, w = np.concatenate(spread), np.concatenate(which)
         order = np.argsort(v, kind="stable")
         v, w = v[order], w[order]
-        found = []
-        for step in range(1, len(masks)):
-            same = np.flatnonzero(v[step:] == v[:-step])
-            if not len(same):
-                break
-            one, two = ((v[k] * _UNMIX) ^ masks[w[k]] for k in (same, same + step))
-            found.append(np.stack([one, two]))
-        pairs = np.unique(np.sort(np.concatenate(found, 1).view(np.int64), 0), axis=1) if found else np.zeros((2, 0), np.int64)
+        begins = np.concatenate([[True], v[1:] != v[:-1]])
+        first = np.maximum.accumulate(np.where(begins, np.arange(len(v)), 0))
+        later = np.flatnonzero(~begins)
+        value = lambda k: ((v[k] * _UNMIX) ^ masks[w[k]]).view(np.int64)
+        mine = value(later)
+        pairs = np.concatenate([np.stack([value(first[later]), mine]), np.stack([value(later - 1), mine])], 1)
+        pairs = np.unique(np.sort(pairs, 0), axis=1)
         return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
     dealt = distinct.select("fp").mapInArrow(deal, "part long, packed binary")
@@ -232,35 +232,48 @@ def verified(pairs: DataFrame, owners: DataFrame, docs: DataFrame, least: float,
     return both.where(F.col("same") >= F.lit(least) * (F.col("n") - F.col("same")) - 1e-9).select("a", "b")
 
 
+def _tops(at: DataFrame, near: DataFrame) -> DataFrame:
+    """(slot, top): of the texts in slots up to two steps of near away, the one in the most crowded slots, as (dense, key); at: key, slot, dense."""
+    top = cut(at.groupBy("slot").agg(F.max(F.struct("dense", "key")).alias("top")))
+    for _ in range(2):
+        there = near.join(top.hint("merge"), near.b == top.slot).select(F.col("a").alias("slot"), "top")
+        top = cut(there.union(top).groupBy("slot").agg(F.max("top").alias("top")))
+    return top
+
+
 def like_pairs(owners: DataFrame, docs: DataFrame, least: float = LEAST, words: int = LIKE_WORDS) -> DataFrame:
-    """(a, b): pairs of keys of owners (key, text_key, n, slots) that link all similar ones, though not each pair of them.
+    """(a, b): pairs of keys of owners (key, text_key, n, slots) that link similar ones, though not each pair of them.
 
-    Texts whose slots of one table are within two bits are candidates. First each is held against the one of most
-    neighbours around it, so that a crowd of copies costs some pairs for each and finds what they are copies of. What this
-    links needs no further pairs; then all candidates that aren't linked yet are held against each other. Slots
-    are made distinct before they are paired, and crowded slots are joined, never gathered.
+    Texts whose slots of one table are within two bits are candidates. Each is held against the centres of its slots: the texts
+    around which most others lie, which are what a crowd of copies was made from. First against its best centre; then, if that doesn't link them,
+    against those of its other tables; last, what is left over around a centre chooses a centre of its own. So a crowd
+    costs some pairs for each text, never all pairs. Slots are made distinct before they are paired, and crowded ones are joined, never gathered.
     """
     members = owners.select("key", F.explode("slots").alias("slot"))
     own = cut(members.groupBy("slot").agg(F.count(F.lit(1)).alias("n")))
-    near = cut(near_pairs(own.select(F.col("slot").alias("fp")), RADIUS, SLOT_BITS))
-    both = near.union(near.select("b", "a"))
-    around = both.join(own.hint("merge"), both.b == own.slot).groupBy("a").agg(F.sum("n").alias("n_around"))
-    crowd = own.join(around.hint("merge"), own.slot == around.a, "left").select("slot", (F.col("n") + F.coalesce("n_around", F.lit(0))).alias("crowd"), "n").where("crowd > 1")
+    near = near_pairs(own.select(F.col("slot").alias("fp")), RADIUS, SLOT_BITS)
+    near = cut(near.union(near.select("b", "a")))
+    around = near.join(own.hint("merge"), near.b == own.slot).groupBy("a").agg(F.sum("n").alias("n_around"))
+    crowd = own.join(around.hint("merge"), own.slot == around.a, "left").select("slot", (F.col("n") + F.coalesce("n_around", F.lit(0))).alias("crowd")).where("crowd > 1")
     at = cut(members.join(cut(crowd).hint("merge"), "slot"))
-    dense = cut(at.groupBy("key").agg(F.sum("crowd").alias("dense")))
-    top = cut(at.join(dense.hint("merge"), "key").groupBy("slot").agg(F.max(F.struct("dense", "key")).alias("top")))
-    over = both.join(top.hint("merge"), both.b == top.slot).select("a", "top").union(top.select("slot", "top")).groupBy("a").agg(F.max("top").alias("top"))
-    tried = cut(at.join(cut(over).hint("merge"), at.slot == F.col("a")).select(F.col("top.key").alias("centre"), "key").where("key != centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct())
-    linked = cut(verified(tried, owners, docs, least, words))
-    groups = connected_components(linked)
-    named = cut(at.select("key", "slot").join(groups.hint("merge"), at.key == groups.node, "left").select("slot", "key", F.coalesce("component", "key").alias("component")))
-    span = cut(named.groupBy("slot").agg(F.min("component").alias("low"), F.max("component").alias("high")))
-    of = lambda c: span.select(F.col("slot").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}")).hint("merge")
-    open_ = near.union(span.select("slot", "slot")).join(of("a"), "a").join(of("b"), "b").where("least(low_a, low_b) != greatest(high_a, high_b)").select("a", "b")
-    left = named.select(F.col("slot").alias("a"), F.col("key").alias("x"), F.col("component").alias("cx"))
-    right = named.select(F.col("slot").alias("b"), F.col("key").alias("y"), F.col("component").alias("cy"))
-    rest = cut(open_).join(left, "a").join(right, "b").where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return linked.union(verified(rest.join(tried, ["a", "b"], "left_anti"), owners, docs, least, words))
+    dense = at.groupBy("key").agg(F.sum("crowd").alias("dense"))
+    at = cut(at.select("key", "slot").join(cut(dense).hint("merge"), "key"))
+    pair = lambda df: df.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
+    met = cut(at.join(_tops(at, near).hint("merge"), "slot").where("top.key != key").groupBy("key", F.col("top.key").alias("centre")).agg(F.max("top.dense").alias("dense")))
+    linked = cut(verified(pair(met.groupBy("key").agg(F.max(F.struct("dense", "centre")).alias("m")).select("key", "m.centre")), owners, docs, least, words))
+    linked = cut(linked.union(verified(pair(_apart(met, linked, "key", "centre")), owners, docs, least, words)).distinct())
+    left = _apart(at.join(_tops(at, near).hint("merge"), "slot").select("key", "slot", "dense", F.col("top.key").alias("centre")), linked, "key", "centre").select("key", "slot", "dense")
+    left = cut(left)
+    rest = left.join(_tops(left, near).hint("merge"), "slot").where("top.key != key").select("key", F.col("top.key").alias("centre"))
+    return linked.union(verified(pair(rest), owners, docs, least, words))
+
+
+def _apart(pairs: DataFrame, linked: DataFrame, one: str, two: str) -> DataFrame:
+    """The rows of pairs whose ends are not joined by links yet."""
+    groups = cut(connected_components(linked))
+    side = lambda c: groups.select(F.col("node").alias(f"_{c}"), F.col("component").alias(f"of_{c}")).hint("merge")
+    met = pairs.join(side(one), F.col(one) == F.col(f"_{one}"), "left").join(side(two), F.col(two) == F.col(f"_{two}"), "left")
+    return met.where(F.coalesce(f"of_{one}", one) != F.coalesce(f"of_{two}", two)).select(*pairs.columns)
 
 
 def like_groups(docs: DataFrame, least: float = LEAST, words: int = LIKE_WORDS) -> DataFrame:
@@ -268,7 +281,8 @@ def like_groups(docs: DataFrame, least: float = LEAST, words: int = LIKE_WORDS)
 
     Texts of equal shingles are one before anything is paired; those without a word are one group. Repeated rows come back as
     often. Candidates are found by fingerprints, so a pair that nothing else links may be missed: of copies with scattered
-    edits at 0.8 about one in a thousand, of a text with a quarter as much put at its end about one in five; nothing that isn't similar is linked.
+    edits at 0.8 about one in a thousand, of a text with a quarter as much put at its end about one in five; and of a crowd
+    of copies, pairs that are similar to each other but to no centre of it. Nothing that isn't similar is linked.
     """
     marked = cut(signatures(docs, words))
     owners = cut(marked.groupBy("key").agg(F.first("text_key").alias("text_key"), F.first("n").alias("n"), F.first("slots").alias("slots")))
