@@ -26,6 +26,8 @@ ROOT, LEAST = 16.0, 8
 #: Bands of the other words, by how often they occur: one vector each.
 BANDS = 192
 DIM, NOISE, CLASS_NOISE, ROUNDS, BATCH, RATE = 16, 4, 24, 2, 8192, 0.1
+#: Draws of noise that are made for each class beforehand.
+POOL = 4096
 #: Tokens that are scored at once.
 SCORED = 1 << 15
 #: Blocks that one task trains on, at least SHARDS tasks; their parameters are averaged after each round, by CHUNK numbers.
@@ -259,22 +261,22 @@ class LogBilinear:
         rng, seen = np.random.default_rng(seed), 0
         squares = [np.full(p.shape, 1.0, np.float32) for p in self.parts()]
         ends, sums = np.cumsum(self.share), np.concatenate([[0.0], np.cumsum(self.of_class)])
+        # units drawn from each class beforehand, of which the noise is picked
+        pool = np.searchsorted(ends, sums[:-1, None] + rng.random((len(self.starts), POOL)) * self.of_class[:, None])
+        pool = np.clip(pool, self.starts[:, None], np.minimum(self.starts + self.size, self.n)[:, None] - 1).astype(np.int32)
         log_class = np.log(CLASS_NOISE * self.of_class).astype(np.float32)
         log_unit = np.log(NOISE * self.share / self.of_class[np.arange(self.n) // self.size]).astype(np.float32)
         sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-        def step(k: int, rows: np.ndarray | None, g: np.ndarray) -> None:
-            p, q = self.parts()[k], squares[k]
-            if rows is None:
-                q += g * g
-                p += RATE * g / np.sqrt(q)
-                return
-            order = np.argsort(rows, kind="stable")
+        def step(rows: np.ndarray, *changes: tuple[int, np.ndarray]) -> None:
+            order = np.argsort(rows.astype(np.uint16) if self.n < 1 << 16 else rows, kind="stable")  # short numbers are sorted by their digits
             rows = rows[order]
             first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            g, rows = np.add.reduceat(g[order], first), rows[first]
-            q[rows] += g * g
-            p[rows] += RATE * g / np.sqrt(q[rows])
+            rows = rows[first]
+            for k, g in changes:
+                g, p, q = np.add.reduceat(g[order], first), self.parts()[k], squares[k]
+                q[rows] += g * g
+                p[rows] += RATE * g / np.sqrt(q[rows])
 
         for one, two, unit in parts:
             seen += len(unit)
@@ -286,20 +288,18 @@ class LogBilinear:
                 up = 1 - sigmoid((h * self.s[of]).sum(1) + self.d[of] - log_class[of])
                 down = -sigmoid(h @ self.s[drawn].T + self.d[drawn] - log_class[drawn])
                 gh = up[:, None] * self.s[of] + down @ self.s[drawn]
-                noise = np.minimum(np.searchsorted(ends, sums[of, None] + rng.random((len(w), NOISE)) * self.of_class[of, None]), np.minimum((of + 1) * self.size, self.n)[:, None] - 1)
-                noise = np.maximum(noise, of[:, None] * self.size)
+                noise = pool[of[:, None], rng.integers(0, POOL, (len(w), NOISE), np.int32)]
                 near, far = self.q[w], self.q[noise]
                 right = 1 - sigmoid((h * near).sum(1) + self.b[w] - log_unit[w])
                 wrong = -sigmoid(np.einsum("id,ikd->ik", h, far) + self.b[noise] - log_unit[noise])
                 gh += right[:, None] * near + np.einsum("ik,ikd->id", wrong, far)
                 gq = np.concatenate([right[:, None] * h, (wrong[:, :, None] * h[:, None, :]).reshape(-1, DIM)])
-                rows = np.concatenate([w, noise.ravel()])
-                step(3, rows, gq)
-                step(5, rows, np.concatenate([right, wrong.ravel()]))
-                step(2, np.concatenate([of, drawn]), np.concatenate([up[:, None] * h, down.T @ h]))
-                step(4, np.concatenate([of, drawn]), np.concatenate([up, down.sum(0)]))
-                step(0, np.concatenate([o, t]), np.concatenate([gh * self.c[0], gh * self.c[1]]))
-                step(1, None, np.stack([(gh * r1).mean(0), (gh * r2).mean(0)]))
+                step(np.concatenate([w, noise.ravel()]), (3, gq), (5, np.concatenate([right, wrong.ravel()])))
+                step(np.concatenate([of, drawn]), (2, np.concatenate([up[:, None] * h, down.T @ h])), (4, np.concatenate([up, down.sum(0)])))
+                step(np.concatenate([o, t]), (0, np.concatenate([gh * self.c[0], gh * self.c[1]])))
+                gc = np.stack([(gh * r1).mean(0), (gh * r2).mean(0)])
+                squares[1] += gc * gc
+                self.c += RATE * gc / np.sqrt(squares[1])
         return seen
 
     def log_probabilities(self, one: np.ndarray, two: np.ndarray, unit: np.ndarray) -> np.ndarray:
@@ -314,7 +314,7 @@ class LogBilinear:
         for a in range(0, len(unit), SCORED):
             w = unit[a : a + SCORED]
             of = w // self.size
-            order = np.argsort(of, kind="stable")
+            order = np.argsort(of.astype(np.uint16), kind="stable")
             w, of = w[order], of[order]
             h = self.r[one[a : a + SCORED][order]] * self.c[0] + self.r[two[a : a + SCORED][order]] * self.c[1]
             got = log_softmax(h @ self.s.T + self.d, of)
