@@ -34,7 +34,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder: the lineage ends here, in files that all executors can read."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # A checkpoint keeps the planner's guess of its size, and a join's is the product of its sides': over iterated joins the number
+    # doubles its digits with each round, until it fills the driver. So the rows are taken up anew, without a guess.
+    done, spark = df.checkpoint(eager=True), df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
