@@ -176,3 +176,81 @@ def read_streams(written: DataFrame, box: DataFrame, radius: float, max_layers:
             yield pd.DataFrame(rows, columns=schema.names)
 
     return written.join(box, frame).mapInPandas(run, schema)
+
+
+def mean_bits(symbols: DataFrame, frame: str = "frame") -> DataFrame:
+    """(frame, bits) of mean_split(): a node takes two to the number of its split axes, so one bit where there is none."""
+    return symbols.groupBy(frame).agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("dims"))).alias("bits"))
+
+
+def mean_streams(symbols: DataFrame, radius: float, frame: str = "frame", axes: Sequence[str] = AXES) -> DataFrame:
+    """(frame, n, bits, stream) of mean_split(): by layer and node, which axes are split, in a bit each, and the children in two to their number of bits."""
+    from octarine.operators import entropy
+
+    d = len(axes)
+    split = B.total([F.when(F.col(f"box_{a}") > radius, F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for k, a in enumerate(axes)])
+    at = F.filter(F.sequence(F.lit(0), F.lit((1 << d) - 1)), lambda c: c.cast("bigint").bitwiseAND(F.bitwise_not(split)) == 0)  # children that can be, in their order
+    flags = F.aggregate(F.transform(at, lambda c, j: F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.col("flag"), c.cast("int")).bitwiseAND(F.lit(1).cast("bigint")), j)), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    width = F.call_function("shiftleft", F.lit(1), F.col("dims"))
+    value = F.call_function("shiftleft", split, width) + flags
+    return entropy.streams(symbols.select(frame, "layer", "node", value.alias("value"), (width + d).alias("width")), frame, symbol="value", order=("layer", "node"))
+
+
+def read_mean_streams(written: DataFrame, frame: str = "frame", d: int = 3) -> DataFrame:
+    """(frame, layer, node, dims, split, flag) from mean_streams(): a node's children follow from its flag, and end where nothing is split."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from octarine.functions.ranges import Bits
+
+    schema = T.StructType([written.schema[frame], *[T.StructField(c, t) for c, t in (("layer", T.IntegerType()), ("node", T.LongType()), ("dims", T.IntegerType()), ("split", T.LongType()), ("flag", T.LongType()))]])
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                source, nodes, layer = Bits(bytes(r["stream"])), [1], 0
+                while nodes:
+                    below = []
+                    for node in nodes:
+                        split = source.one(d)
+                        can = [c for c in range(1 << d) if not c & ~split]
+                        told = source.one(len(can))
+                        some = [c for j, c in enumerate(can) if told >> j & 1] if split else []
+                        rows.append((r[frame], layer, node, split.bit_count(), split, sum(1 << c for c in some)))
+                        below += [node << d | c for c in some]
+                    nodes, layer = below, layer + 1
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return written.select(frame, "stream").mapInPandas(run, schema)
+
+
+def mean_decode(symbols: DataFrame, box: DataFrame, frame: str = "frame", axes: Sequence[str] = AXES) -> DataFrame:
+    """(frame, node, axes): leaves of read_mean_streams() without the means: each split halves the box (frame, mean_<axis>, box_<axis> of the root) about its middle.
+
+    The encoder splits at means that are not written, so a leaf is as far off as the means were from the middles.
+    """
+    d = len(axes)
+    now = box.select(frame, F.lit(1).cast("bigint").alias("node"), *[F.col(f"mean_{a}").alias(f"c_{a}") for a in axes], *[F.col(f"box_{a}").alias(f"h_{a}") for a in axes])
+    out, top = None, symbols.agg(F.max("layer")).first()[0]
+    own = cut(symbols.select(frame, "node", "split", "flag"))
+    for _ in range(0 if top is None else top + 1):
+        met = cut(now.join(own, [frame, "node"]))
+        done = met.where("flag = 0").select(frame, "node", *[F.col(f"c_{a}").alias(a) for a in axes])
+        out = done if out is None else out.unionByName(done)
+        kids = met.where("flag != 0").withColumn("child", F.explode(F.filter(F.sequence(F.lit(0), F.lit((1 << d) - 1)), lambda k: F.call_function("bit_get", F.col("flag"), k) == 1)))
+        is_split = lambda k: F.call_function("bit_get", F.col("split"), F.lit(k)) == 1
+        half = [F.when(is_split(k), F.col(f"h_{a}") / 2).otherwise(F.col(f"h_{a}")) for k, a in enumerate(axes)]
+        sign = [F.when(F.call_function("bit_get", F.col("child").cast("bigint"), F.lit(k)) == 1, half[k]).otherwise(-half[k]) for k in range(d)]
+        now = kids.select(frame, (F.shiftleft("node", d) + F.col("child")).alias("node"), *[(F.col(f"c_{a}") + F.when(is_split(k), sign[k]).otherwise(0.0)).alias(f"c_{a}") for k, a in enumerate(axes)], *[h.alias(f"h_{a}") for h, a in zip(half, axes, strict=True)])
+    return out
+
+
+def unit_cells(nodes: DataFrame, layer: int, node: str = "node", axes: Sequence[str] = AXES) -> DataFrame:
+    """nodes with the axes of their cell's middle in the unit box: a step of 0.5 ^ (layer + 1) to each side, layer by layer; a path's layers have a bit for each axis."""
+    d = len(axes)
+    out = {}
+    for k, a in enumerate(axes):
+        steps = [F.when(F.shiftright(node, d * (layer - 1 - j) + k).bitwiseAND(F.lit(1).cast("bigint")) == 1, 0.5 ** (j + 1)).otherwise(-(0.5 ** (j + 1))) for j in range(layer)]
+        out[a] = B.total(steps) if steps else F.lit(0.0)
+    return nodes.withColumns(out)

@@ -153,3 +153,39 @@ def by_skew(mapped: DataFrame, width: int, key: str = "code") -> DataFrame:
     for c in new[1:]:
         out = out + c
     return held.withColumn("sorted_code", out)
+
+
+def coded_by(symbols: DataFrame, frame: str = "frame", symbol: str = "symbol", weights: str = "weights", order: str = "point_id", floor: float = 1e-6) -> DataFrame:
+    """(frame, n, stream): each frame's symbols, range coded by the weights that a model gave for each place: symbol k by weights[k - 1], as 0 can't be.
+
+    Weights are taken over their largest, none below floor. The frame is one task's, as one scan is.
+    """
+    schema = T.StructType([symbols.schema[frame], T.StructField("n", T.LongType()), T.StructField("stream", T.BinaryType())])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = R.RangeEncoder()
+        for s, w in zip(*[pdf.sort_values(order)[c] for c in (symbol, weights)], strict=True):
+            sums = _sums(w, floor)
+            out.encode(sums[s - 1], sums[s], sums[-1])
+        return pd.DataFrame({frame: [key[0]], "n": [len(pdf)], "stream": [out.finish()]})
+
+    return symbols.select(frame, order, symbol, weights).groupBy(frame).applyInPandas(run, schema)
+
+
+def _sums(weights: Sequence[float], floor: float) -> list[int]:
+    top = max(weights) or 1.0
+    sums = R.cdf([w / top for w in weights], floor=floor)
+    return [s + k for k, s in enumerate(sums)]  # each symbol keeps a range of its own
+
+
+def decoded_by(coded: DataFrame, models: DataFrame, frame: str = "frame", weights: str = "weights", order: str = "point_id", floor: float = 1e-6) -> DataFrame:
+    """(frame, order, symbol) from coded_by(), by the same weights (frame, order, weights)."""
+    schema = T.StructType([models.schema[frame], models.schema[order], T.StructField("symbol", T.LongType())])
+
+    def run(key: tuple, streams_: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        source = R.RangeDecoder(bytes(streams_["stream"].iloc[0])) if len(streams_) else None
+        found = [source.decode(_sums(w, floor)) + 1 for w in pdf[weights]] if source else []
+        return pd.DataFrame({frame: pdf[frame][: len(found)], order: pdf[order][: len(found)], "symbol": found})
+
+    return coded.groupBy(frame).cogroup(models.select(frame, order, weights).groupBy(frame)).applyInPandas(run, schema)

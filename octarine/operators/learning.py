@@ -77,3 +77,49 @@ def combined(parts: Sequence[tuple[float, Column]]) -> Column:
 def sliced(values: Column, start: int, length: int, metric) -> Column:
     """A metric over part of an array: metric gets the slice (start from 0) and gives an aggregation."""
     return metric(F.slice(values, start + 1, length))
+
+
+def candidate_centres(nodes: DataFrame, axes: Sequence[str] = AXES) -> DataFrame:
+    """nodes (axes: a box's middle, box_<axis>: its half sides) with a row and k for each of the two to the axes children: c_<axis> is the child's middle."""
+    kids = nodes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit((1 << len(axes)) - 1))))
+    side = lambda j: F.when(F.shiftright("k", j).bitwiseAND(1) == 1, 0.5).otherwise(-0.5)
+    return kids.withColumns({f"c_{a}": F.col(a) + side(j) * F.col(f"box_{a}") for j, a in enumerate(axes)})
+
+
+def halves_of(values: Column) -> Column:
+    """The positive parts of an array of numbers, then the sizes of its negative ones."""
+    return F.concat(F.transform(values, lambda v: F.greatest(v, F.lit(0.0))), F.transform(values, lambda v: F.greatest(-v, F.lit(0.0))))
+
+
+def box_features(nodes: DataFrame, width: int, by: Sequence[str] = ("frame", "layer"), axes: Sequence[str] = AXES) -> DataFrame:
+    """nodes (node, axes, box_<axis>) with features: the middle, the box, the path's bits as 1 and -1, and the place in the order of each axis."""
+    placed = ranks(nodes, by, axes)
+    bits = [(2 * B.bit(F.col("node"), k) - 1).cast("double") for k in range(width)]
+    return placed.withColumn("features", F.array(*[F.col(a) for a in axes], *[F.col(f"box_{a}") for a in axes], *bits, *[F.col(f"rank_{a}").cast("double") for a in axes]))
+
+
+def mean_labels(nodes: DataFrame, dim: int, axes: Sequence[str] = AXES, size: int = 16) -> DataFrame:
+    """labels() with the mean's distance from the middle, in half boxes, after them: (mean_<axis> - axis) / box_<axis>."""
+    rest = [F.coalesce(F.try_divide(F.col(f"mean_{a}") - F.col(a), F.col(f"box_{a}")), F.lit(0.0)) for a in axes]
+    return labels(nodes, dim, size).withColumn("label", F.concat("label", F.array(*rest)))
+
+
+def dataset(rows: DataFrame, features: str, label: str, by: Sequence[str] = ("frame", "layer"), order: str = "node", most: int = 4096) -> DataFrame:
+    """(by, batch, features, labels): rows in their order as arrays, at most so many to a batch, for a trainer that reads the table."""
+    k = F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1
+    got = rows.withColumn("_k", k).withColumn("batch", F.floor(F.col("_k") / most))
+    both = F.sort_array(F.collect_list(F.struct("_k", F.col(features).alias("f"), F.col(label).alias("l"))))
+    return got.groupBy(*by, "batch").agg(both.alias("_r")).select(*by, "batch", F.col("_r.f").alias("features"), F.col("_r.l").alias("labels"))
+
+
+def places(rows: DataFrame, by: Sequence[str], order: str, start: float | None = None, stop: float | None = None) -> DataFrame:
+    """rows with place: 0 to n - 1 in their order, or as many even steps from start to before stop."""
+    k = F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1
+    if start is None or stop is None:
+        return rows.withColumn("place", k.cast("double"))
+    return rows.withColumn("place", F.lit(float(start)) + k * (F.lit(float(stop - start)) / F.count(F.lit(1)).over(W.partitionBy(*by))))
+
+
+def append_metrics(metrics_: DataFrame, path: str, epoch: int) -> None:
+    """Adds an epoch's metrics to a table: a folder for each epoch, which a repeated run overwrites."""
+    metrics_.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")

@@ -10,22 +10,38 @@ from pyspark.sql import functions as F
 
 from octarine.functions import bits as B
 from octarine.functions import geometry as G
-from octarine.operators import entropy, ntree, quantize
+from octarine.functions.lineage import cut
+from octarine.operators import coding, entropy, ntree, quantize, sequences
 
 
 @dataclass(frozen=True)
 class Config:
-    """axes and their bits; dims of the layers; order of the bits (packed, morton, or a permutation); spherical: code u, v, d instead."""
+    """What frames are coded by, and decoded.
+
+    axes and their bits; dims of the layers, which name their coders (see coding.symbols); order of the bits (packed, morton, or a
+    permutation); spherical: code u, v, d instead; sort_bits: each frame's bits by how rare they are; payload: lone codes as they are;
+    chunk: so many frames coded as one, each with its place in chunk_bits of its own; archive: deflate the streams, whose size then counts.
+    """
 
     axes: Sequence[str] = ("x", "y", "z")
     bits: Sequence[int] = (16, 16, 16)
     dims: Sequence[int] = (3,)
     order: str | Sequence[int] = "morton"
     spherical: bool = False
+    sort_bits: bool = False
+    payload: bool = False
+    chunk: int = 1
+    chunk_bits: int = 8
+    archive: bool = False
 
     @property
     def width(self) -> int:
-        return sum(self.bits)
+        return sum(self.bits) + (self.chunk_bits if self.chunk > 1 else 0)
+
+    @property
+    def bins(self) -> int:
+        """Symbols that a node of the largest dimension can have."""
+        return 1 << (1 << max(0, *self.dims))
 
     @property
     def depth(self) -> int:
@@ -70,3 +86,49 @@ def reordered(codes: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     order = quantize.bit_order(quantize.bit_counts(codes, width, ["frame"]), ["frame"])
     new = B.total([F.shiftleft(F.call_function("shiftrightunsigned", F.col("code"), F.get("p", F.lit(j)).cast("int")).bitwiseAND(F.lit(1).cast("bigint")), j) for j in range(width)])
     return codes.join(order, "frame").select("frame", new.alias("code")), order
+
+
+def compress(points: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """A row for each frame, or chunk of frames: what decoding needs, the streams and their sizes; points: frame and the axes.
+
+    Points that are no numbers are dropped, equal codes are one. inp_points, out_points, flag_bits, payload_bits and archive_bits give the bits per point.
+    """
+    kept = points.where(G.finite([F.col(a) for a in cfg.axes])).select("frame", *cfg.axes)
+    if cfg.spherical:
+        back = G.spherical(*[F.col(a) for a in cfg.axes])
+        kept = kept.select("frame", *[F.coalesce(c, F.lit(0.0)).alias(a) for a, c in zip(cfg.axes, back, strict=True)])
+    names = None
+    if cfg.chunk > 1:
+        if cfg.chunk > 1 << cfg.chunk_bits:
+            raise ValueError(f"{cfg.chunk} frames need more than {cfg.chunk_bits} bits")
+        placed = sequences.chunks(kept.select("frame").distinct(), cfg.chunk, "frame")
+        kept = kept.join(placed, "frame").withColumn("frame", F.col("chunk")).drop("chunk")
+        names = placed.groupBy(F.col("chunk").alias("frame")).agg(F.sort_array(F.collect_list(F.struct("slot", F.col("frame").alias("name")))).alias("frames"))
+    codes = quantize.encode(kept, cfg.bits, cfg.axes, order=cfg.order)
+    if cfg.chunk > 1:
+        codes = codes.withColumn("code", F.col("code") + F.shiftleft(F.col("slot").cast("bigint"), sum(cfg.bits)))
+    codes = cut(codes.select("frame", "code").distinct())
+    heads = quantize.frame_stats(kept, cfg.axes).withColumnRenamed("n", "inp_points").join(codes.groupBy("frame").agg(F.count(F.lit(1)).alias("out_points")), "frame")
+    if cfg.sort_bits:
+        order = cut(quantize.bit_order(quantize.bit_counts(codes, cfg.width, ["frame"]), ["frame"]))
+        codes, heads = coding.sorted_bits(codes, order, cfg.width), heads.join(order, "frame")
+    written = coding.write(*coding.symbols(codes, cfg.dims, cfg.width, cfg.payload), archive=cfg.archive)
+    heads = heads if names is None else heads.join(names, "frame")
+    return heads.join(written, "frame").withColumn("archive_bits", 8 * F.octet_length("archive").cast("bigint"))
+
+
+def expand(compressed: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """(frame, axes) from compress(): the middles of the occupied cells; of chunks the frames by their own names."""
+    codes = coding.read(compressed, cfg.dims, cfg.width, cfg.payload)
+    if cfg.sort_bits:
+        codes = coding.unsorted_bits(codes, compressed, cfg.width)
+    low = sum(cfg.bits)
+    codes = codes.withColumn("slot", F.shiftright("code", low) if cfg.chunk > 1 else F.lit(0).cast("bigint")).withColumn("code", F.col("code").bitwiseAND(F.lit((1 << low) - 1)))
+    keep = [f"{k}_{a}" for a in cfg.axes for k in ("offset", "scale")] + (["frames"] if cfg.chunk > 1 else [])
+    cells = quantize.decode(codes, cfg.bits, cfg.axes, cfg.order).join(compressed.select("frame", *keep), "frame")
+    named = F.element_at(F.filter("frames", lambda x: x["slot"] == F.col("slot")), 1)["name"] if cfg.chunk > 1 else F.col("frame")
+    real = quantize.realize(cells, cfg.bits, cfg.axes).select(named.alias("frame"), *[F.col(f"r{a}").alias(a) for a in cfg.axes])
+    if not cfg.spherical:
+        return real
+    back = G.cartesian(*[F.col(a) for a in cfg.axes])
+    return real.select("frame", *[c.alias(a) for a, c in zip(cfg.axes, back, strict=True)])

@@ -154,9 +154,26 @@ def plane_distance(spark, d):
     return neighbours.plane_distance(neighbours.nearest(truth, sample), truth, sample, neighbours.plane_normals(sample))
 
 
-@query()
+def _primitive_sql() -> str:
+    """Every point against every triangle: the foot in the plane where it is inside, else the nearest point of an edge."""
+    dot = lambda a, b: "(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b, strict=True)) + ")"
+    minus = lambda a, b: [f"({x} - {y})" for x, y in zip(a, b, strict=True)]
+    cross = lambda a, b: [f"({a[1]} * {b[2]} - {a[2]} * {b[1]})", f"({a[2]} * {b[0]} - {a[0]} * {b[2]})", f"({a[0]} * {b[1]} - {a[1]} * {b[0]})"]
+    v = {"a": ["ax", "ay", "az"], "b": ["bx", "by_", "bz"], "c": ["cx", "cy", "cz"], "p": ["x", "y", "z"], "n": ["nx", "ny", "nz"], "f": ["fx", "fy", "fz"]}
+    edges = [("a", "b"), ("b", "c"), ("c", "a")]
+    plane = f"g as (select *, {dot(minus(v['p'], v['a']), v['n'])} / nullif({dot(v['n'], v['n'])}, 0) t from ep, n)"
+    foot = "h as (select *, " + ", ".join(f"{x} - t * n{x} f{x}" for x in "xyz") + ", " + ", ".join(f"least(1.0, greatest(0.0, coalesce({dot(minus(v['p'], v[a]), minus(v[b], v[a]))} / nullif({dot(minus(v[b], v[a]), minus(v[b], v[a]))}, 0), 0.0))) s{k}" for k, (a, b) in enumerate(edges)) + " from g)"
+    inside = " and ".join(f"{dot(cross(minus(v[b], v[a]), minus(v['f'], v[a])), v['n'])} >= 0" for a, b in edges)
+    on = [[f"({x} + s{k} * ({y} - {x}))" for x, y in zip(v[a], v[b], strict=True)] for k, (a, b) in enumerate(edges)]
+    far = lambda q: dot(minus(v["p"], q), minus(v["p"], q))
+    best = f"k as (select *, case when t is not null and {inside} then [{far(v['f'])}, {', '.join(v['f'])}] else list_min([{', '.join(f'[{far(q)}, ' + ', '.join(q) + ']' for q in on)}]) end w from h)"
+    return f"with {_TRI}, {plane}, {foot}, {best}, m as (select point_id, min((w[1], tri_id)) r, arg_min(w, (w[1], tri_id)) w, arg_min(tri_id, (w[1], tri_id)) tri_id from k group by 1) select point_id, tri_id, round(w[1], 6) dist2, round(w[2], 6) px, round(w[3], 6) py, round(w[4], 6) pz from m"
+
+
+@query(_primitive_sql())
 def nearest_primitive(spark, d):
-    return neighbours.nearest_primitive(V.vectors(spark, d), _triangles(spark, d))
+    got = neighbours.nearest_primitive(V.vectors(spark, d), _triangles(spark, d))
+    return got.select("point_id", "tri_id", *_rounded(("dist2", "px", "py", "pz")))
 
 
 @query(f"with {_TRI}, r as (select point_id ray_id, x ox, y oy, z oz, -2 * x dx, -2 * y dy, -2 * z dz from ep), g as (select *, bx - ax ux, by_ - ay uy, bz - az uz, cx - ax wx, cy - ay wy, cz - az wz, ox - ax sx, oy - ay sy, oz - az sz from r, n), h as (select *, dy * wz - dz * wy hx, dz * wx - dx * wz hy, dx * wy - dy * wx hz, sy * uz - sz * uy qx, sz * ux - sx * uz qy, sx * uy - sy * ux qz from g), k as (select *, ux * hx + uy * hy + uz * hz det from h), p as (select ray_id, tri_id, (sx * hx + sy * hy + sz * hz) / det u, (dx * qx + dy * qy + dz * qz) / det v, (wx * qx + wy * qy + wz * qz) / det t from k where det <> 0) select ray_id, tri_id, round(t, 6) t from p where u >= 0 and v >= 0 and u + v <= 1 and t between 0 and 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from octarine.functions import bits as B
 from octarine.functions.lineage import cut, numbered
-from octarine.operators import dyntree, entropy, ntree, quantize, reports
+from octarine.operators import coding, dyntree, entropy, ntree, quantize, reports
 from octarine.plans import views as V
 
 QUERIES: dict = {}
@@ -245,14 +245,33 @@ def symbol_positions(spark, d):
     return ntree.running_position(_tree(spark, d)).select("frame", "layer", "parent", "start")
 
 
-@query()
+def _permutation_sql(keep: int) -> tuple[str, str]:
+    """CTEs of all layers of a tree of chosen bits, and of the choices; keep: the least number of codes in a node that is split."""
+    parts = ["p0 as materialized (select frame, code, 1::bigint node, 0::bigint used from c)"]
+    for k in range(WIDE):
+        parts += [
+            f"b{k} as (select frame, node, bit_count(used)::int layer, k::int k, count(*) n, sum((code >> k::int) & 1)::bigint ones from p{k}, range({WIDE}) r(k) where (used >> k::int) & 1 = 0 group by all having count(*) >= {keep})",
+            f"c{k} as materialized (select frame, node, layer, arg_max(k, (greatest(ones, n - ones), -k)) choice, any_value(n) n, arg_max(ones, (greatest(ones, n - ones), -k)) ones from b{k} group by all)",
+            f"p{k + 1} as materialized (select p.frame, p.code, node * 2 + ((p.code >> z.choice) & 1) node, used | (1::bigint << z.choice) used, z.choice, z.n, z.ones from p{k} p join c{k} z using (frame, node))",
+        ]
+    return ", ".join(parts), " union all ".join(f"select * from c{k}" for k in range(WIDE))
+
+
+_CHOSEN, _CHOICES = _permutation_sql(2)
+_ALL, _ = _permutation_sql(1)
+_SKEWS = " union all ".join(f"select frame, code, choice, 2 * ones - n s from p{k + 1}" for k in range(WIDE))
+
+
+@query(f"with {V.CODES}, {_CHOSEN} select frame, layer, node, choice, n, ones from ({_CHOICES})")
 def permutation_tree(spark, d):
     return ntree.permutation(_cut_codes(spark, d), WIDE)
 
 
-@query()
+@query(f"with {V.CODES}, {_ALL}, e as ({_SKEWS}), t as (select frame, count(*) total from c group by 1) select frame, code, string_agg(round((s / total) * 1e6)::bigint::varchar, ',' order by choice) e from e join t using (frame) group by all")
 def entropy_map(spark, d):
-    return entropy.bit_entropy(_cut_codes(spark, d), WIDE, WIDE)
+    """The skews in millionths, by bit."""
+    got = entropy.bit_entropy(_cut_codes(spark, d), WIDE, WIDE)
+    return got.select("frame", "code", F.array_join(F.transform("e", lambda x: F.round(x * 1e6).cast("bigint").cast("string")), ",").alias("e"))
 
 
 @query()
@@ -266,9 +285,111 @@ def radius_tree_decode(spark, d):
     return dyntree.decode(*dyntree.encode(points, 0.05), 0.05)
 
 
-@query()
+def _mean_sql(radius: float, layers: int) -> str:
+    axes = list(zip("xyz", ("hx", "hy", "hz"), ("mx", "my", "mz"), strict=True))
+    dims = " + ".join(f"({h} > {radius})::int" for _, h, _ in axes)
+    child = " + ".join(f"({h} > {radius} and {a} >= {m})::int * {1 << j}" for j, (a, h, m) in enumerate(axes))
+    own = "frame, node, n, mx, my, mz, hx, hy, hz"
+    parts = [V.EP, "p0 as materialized (select frame, 1::bigint node, x, y, z from ep)"]
+    for k in range(layers):
+        parts += [
+            f"m{k} as materialized (select frame, node, count(*) n, " + ", ".join(f"avg({a}) {m}" for a, _, m in axes) + f" from p{k} group by all)",
+            f"s{k} as materialized (select frame, node, " + ", ".join(f"max(abs({a} - {m})) {h}" for a, h, m in axes) + f" from p{k} join m{k} using (frame, node) group by all)",
+            f"q{k} as materialized (select {own}, x, y, z, {dims} dims, {child} child from p{k} join m{k} using (frame, node) join s{k} using (frame, node))",
+            f"o{k} as (select {own}, dims, {k} layer, cast(bit_or(case when dims > 0 then 1::bigint << child else 0 end) as bigint) flag from q{k} group by {own}, dims)",
+            f"p{k + 1} as materialized (select frame, (node << 3) + child node, x, y, z from q{k} where dims > 0)",
+        ]
+    rows = " union all ".join(f"select * from o{k}" for k in range(layers))
+    return f"with {', '.join(parts)} select frame, layer, node, dims, flag, n, " + ", ".join(f"round({m}, 6) mean_{a}, round({h}, 6) box_{a}" for a, h, m in axes) + f" from ({rows})"
+
+
+@query(_mean_sql(0.05, 20))
 def mean_split_tree(spark, d):
-    return dyntree.mean_split(V.vectors(spark, d), 0.05)
+    got = dyntree.mean_split(V.vectors(spark, d), 0.05)
+    return got.select("frame", "layer", "node", "dims", "flag", "n", *[F.round(f"{p}_{a}", 6).alias(f"{p}_{a}") for p in ("mean", "box") for a in "xyz"])
+
+
+def _round_trip(spark, d, dims, order="packed", payload=False, sort=False):
+    """Codes through bit streams and back."""
+    codes = _cut_codes(spark, d, order)
+    sizes = codes.groupBy("frame").agg(F.count(F.lit(1)).alias("out_points"))
+    back = codes
+    if sort:
+        bits = cut(quantize.bit_order(quantize.bit_counts(codes, WIDE, ["frame"]), ["frame"]))
+        back = coding.sorted_bits(codes, bits, WIDE)
+    written = coding.write(*coding.symbols(back, dims, WIDE, payload))
+    read = coding.read(written.join(sizes, "frame"), dims, WIDE, payload)
+    return coding.unsorted_bits(read, bits, WIDE) if sort else read
+
+
+@query(f"with {V.MCODES} select frame, code from m")
+def occupancy_payload_round_trip(spark, d):
+    return _round_trip(spark, d, [3], "morton", payload=True)
+
+
+@query(f"with {V.CODES} select frame, code from c")
+def counter_round_trip(spark, d):
+    return _round_trip(spark, d, [0])
+
+
+@query(f"with {V.CODES} select frame, code from c")
+def overflow_payload_round_trip(spark, d):
+    return _round_trip(spark, d, [-1], payload=True)
+
+
+@query(f"with {V.CODES} select frame, code from c")
+def mixed_round_trip(spark, d):
+    """Counts in the first layers, then flags of growing dimensions; bits sorted by frame."""
+    return _round_trip(spark, d, [0, 0, -1, 1, 2, 4], payload=True, sort=True)
+
+
+@query(f"with {V.CODES} select frame, code from c")
+def permutation_round_trip(spark, d):
+    codes = _cut_codes(spark, d)
+    return coding.decode_permutation(*coding.symbols(codes, [-2], WIDE), WIDE)
+
+
+@query(f"{_TREE}, d as (select frame, row_number() over (order by frame) frame_no from (select distinct frame from lp)) select frame_no::bigint frame_no, layer::int layer, parent, flag from s join d using (frame)")
+def differential_round_trip(spark, d):
+    return coding.undo_differences(differential_tree(spark, d).drop("flag")).select("frame_no", "layer", "parent", "flag")
+
+
+@query(f"{_HALVES}, w as (select frame, sum(length(bin(n)))::bigint flag_bits, count(*) n from h group by 1) select frame, n, flag_bits, ((flag_bits + 7) // 8)::bigint bytes from w")
+def counter_stream_sizes(spark, d):
+    written = coding.write(*coding.symbols(_codes(spark, d, "morton"), [0], WIDE))
+    return written.select("frame", "n", "flag_bits", F.octet_length("flags").cast("bigint").alias("bytes"))
+
+
+_CELL = ", ".join(f"round(q{a} * (s{a} / 127.5) - o{a} + (s{a} / 127.5) / 2, 6) {a}" for a in "xyz")
+
+
+@query(f"with {V.LP}, {V.STATS}, {V.Q}, u as (select distinct frame, qx, qy, qz from q) select frame, {_CELL} from u join st on frame = f")
+def point_round_trip(spark, d):
+    """Points through compress() and expand()."""
+    from octarine.plans import codec
+
+    cfg = codec.Config(bits=V.BITS, payload=True, sort_bits=True, archive=True)
+    back = codec.expand(cut(codec.compress(V.line_points(spark, d), cfg)), cfg)
+    return back.select("frame", *[F.round(a, 6).alias(a) for a in "xyz"])
+
+
+@query(f"with {V.LP} select chunk::bigint chunk, count(*) frames, sum(n)::bigint inp_points from (select frame, count(*) n, (row_number() over (order by frame) - 1) // 2 chunk from lp group by 1) group by 1")
+def chunk_round_trip(spark, d):
+    """Two frames to a chunk, coded as one cloud with the place as a fourth axis: the frames that come back."""
+    from octarine.plans import codec
+
+    cfg = codec.Config(bits=V.BITS, chunk=2, chunk_bits=2)
+    made = cut(codec.compress(V.line_points(spark, d), cfg))
+    back = codec.expand(made, cfg).select("frame").distinct()
+    own = made.select(F.col("frame").alias("chunk"), "inp_points", F.explode("frames.name").alias("frame"))
+    return own.join(back, "frame").groupBy("chunk", "inp_points").agg(F.count(F.lit(1)).alias("frames")).select("chunk", "frames", "inp_points")
+
+
+@query()
+def mean_stream_round_trip(spark, d):
+    """The mean-split trees' flags through bit streams and back."""
+    written = dyntree.mean_streams(dyntree.mean_split(V.vectors(spark, d), 0.05), 0.05)
+    return dyntree.read_mean_streams(written)
 
 
 @query(f"with {V.EP} select frame, bool_or(greatest(abs(x), abs(y), abs(z)) > 0.3) keep, count(*) n from ep group by frame")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 COLUMNS = ("x", "y", "z", "i")
 #: PLY's names of number types.
 PLY_TYPES = {"char": "i1", "uchar": "u1", "short": "i2", "ushort": "u2", "int": "i4", "uint": "u4", "float": "f4", "double": "f8", "int8": "i1", "uint8": "u1", "int16": "i2", "uint16": "u2", "int32": "i4", "uint32": "u4", "float32": "f4", "float64": "f8"}
-FORMATS = ("bin", "npy", "ply")
+FORMATS = ("bin", "npy", "ply", "pcd")
 
 
 def decode(data: bytes, kind: str, width: int = 4, dtype: str = "<f4") -> np.ndarray:
@@ -25,6 +25,8 @@ def decode(data: bytes, kind: str, width: int = 4, dtype: str = "<f4") -> np.nda
         return np.load(io.BytesIO(data), allow_pickle=False)
     if kind == "ply":
         return _ply(data)
+    if kind == "pcd":
+        return _pcd(data)
     if kind == "bin":
         row = np.dtype(dtype).itemsize * width
         return np.frombuffer(data[: len(data) // row * row], dtype).reshape(-1, width)
@@ -43,6 +45,21 @@ def _ply(data: bytes) -> np.ndarray:
     return np.stack([rows[a].astype(float) for a, _ in fields], 1) if n else np.zeros((0, len(fields)))
 
 
+def _pcd(data: bytes) -> np.ndarray:
+    """A .pcd file's rows, of ascii or binary data; a field of several numbers gives as many columns."""
+    at = data.index(b"\n", data.index(b"\nDATA ") + 1) + 1
+    head = {x.split()[0]: x.split()[1:] for x in data[:at].decode("ascii").split("\n") if x and not x.startswith("#")}
+    counts = list(map(int, head.get("COUNT", ["1"] * len(head["FIELDS"]))))
+    types = [{"F": "f", "I": "i", "U": "u"}[t] + s for t, s in zip(head["TYPE"], head["SIZE"], strict=True)]
+    n = int(head["POINTS"][0])
+    if head["DATA"] == ["ascii"]:
+        return np.array(data[at:].split(), float).reshape(n, sum(counts))
+    if head["DATA"] != ["binary"]:
+        raise ValueError("compressed .pcd files are not read")
+    rows = np.frombuffer(data[at:], np.dtype([(f"c{k}", "<" + t, (c,)) for k, (t, c) in enumerate(zip(types, counts, strict=True))]), n)
+    return np.concatenate([rows[f"c{k}"].astype(float) for k in range(len(types))], 1) if n else np.zeros((0, sum(counts)))
+
+
 def encode(rows: np.ndarray, kind: str) -> bytes:
     """The rows as a file of 32-bit floats; PLY is little-endian."""
     rows = np.ascontiguousarray(rows, "<f4")
@@ -56,6 +73,10 @@ def encode(rows: np.ndarray, kind: str) -> bytes:
         names = ("x", "y", "z", "intensity")[: rows.shape[1]]
         head = ["ply", "format binary_little_endian 1.0", f"element vertex {len(rows)}", *[f"property float {a}" for a in names], "end_header", ""]
         return "\n".join(head).encode() + rows.tobytes()
+    if kind == "pcd":
+        names, k = ("x", "y", "z", "intensity")[: rows.shape[1]], rows.shape[1]
+        head = ["# .PCD v0.7", "VERSION 0.7", f"FIELDS {' '.join(names)}", f"SIZE {' '.join('4' * k)}", f"TYPE {' '.join('F' * k)}", f"COUNT {' '.join('1' * k)}", f"WIDTH {len(rows)}", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", f"POINTS {len(rows)}", "DATA binary", ""]
+        return "\n".join(head).encode() + rows.tobytes()
     raise ValueError(f"unknown format: {kind}")
 
 
