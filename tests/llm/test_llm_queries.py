@@ -5,11 +5,12 @@ from collections import Counter
 import pytest
 import tiktoken
 from oracle import differences
+from pyspark.sql import functions as F
 from test_llm_operators import removed, slow_base, slow_lines, slow_statistics
 from test_whole_jobs import first_of_like
 
 import corpus_pipeline
-from octarine.llm import bpe, decontamination, language_id, registry, simhash, suffix_dedup
+from octarine.llm import bpe, decontamination, language_id, quality_rules, registry, simhash, suffix_dedup
 
 
 def texts(spark, sf):
@@ -41,7 +42,8 @@ def test_op3(spark, sf):
         assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == want[g.doc_id][:4]
         assert g.base_score == pytest.approx(want[g.doc_id][4], abs=1e-5)
     held = [g for g in got if g.held_out]
-    assert sum(g.score for g in held) > sum(g.base_score for g in held)
+    gain = sum(g.score - g.base_score for g in held) / sum(g.n_tokens for g in held)
+    assert gain > 0.1  # in powers of ten, for each token
 
 
 def test_op4(spark, sf):
@@ -65,6 +67,19 @@ def test_op7(spark, sf):
         assert r.kept <= (not r.base_failed)
 
 
+def test_op7_learns_what_labels_tell(spark):
+    """Fitted on two thirds of the labelled rows, held against the rest."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    got = quality_rules.judge(docs, labels.where(~held)).join(labels.where(held).select("doc_id", "quality", "toxic"), "doc_id").collect()
+    assert any(r.failed_rule for r in got)
+    caught = [r for r in got if r.failed_rule]
+    assert sum(r.quality == 0 or r.toxic == 1 for r in caught) >= 0.9 * len(caught)
+    assert sum(r.failed_rule > 0 for r in got if r.quality == 0) >= 0.85 * sum(r.quality == 0 for r in got)
+    assert sum(r.failed_rule > 0 for r in got if r.toxic == 1) >= 0.4 * sum(r.toxic == 1 for r in got)
+
+
 def groups(rows):
     """The least doc_id of each row's group, by all pairs of fingerprints."""
     fps = {i: simhash.fingerprint(t) for i, t in rows}
