@@ -70,7 +70,7 @@ def _states(n: F.Column) -> F.Column:
 
 def _permuted(codes: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """Symbols of a tree of chosen bits: the bit's number, then the states of both children; lone codes are written with the bits not chosen on their way."""
-    nodes = ntree.permutation(codes, width)
+    nodes = cut(ntree.permutation(codes, width))
     symbol = (F.col("choice") * 16 + _states(F.col("n") - F.col("ones")) * 4 + _states(F.col("ones"))).cast("bigint")
     out = nodes.select("frame", F.col("layer").cast("int").alias("layer"), F.lit(PERMUTATION).alias("dim"), F.col("node").alias("parent"), symbol.alias("symbol"), F.lit((width - 1).bit_length() + 4).alias("width"), "n")
     one = F.lit(1).cast("bigint")
@@ -195,6 +195,7 @@ def decode_permutation(symbols_: DataFrame, tails: DataFrame, width: int) -> Dat
     states = F.col("symbol").bitwiseAND(F.lit(15).cast("bigint"))
     own = symbols_.select("frame", F.col("parent").alias("node"), F.floor(F.col("symbol") / 16).cast("int").alias("choice"), F.floor(states / 4).alias("s0"), states.bitwiseAND(F.lit(3).cast("bigint")).alias("s1"))
     ends = tails.select("frame", F.col("parent").alias("node"), "tail")
+    own, ends = cut(own), cut(ends)
     frames = own.select("frame").union(ends.select("frame")).distinct()
     now, out = frames.select("frame", one.alias("node"), F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("value")), None
     free = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.call_function("shiftrightunsigned", F.col("used"), k).bitwiseAND(one) == 0)
