@@ -36,7 +36,7 @@ def test_ascii_ply_and_bad_formats():
     text = b"ply\nformat ascii 1.0\nelement vertex 2\nproperty float x\nproperty float y\nproperty float z\nend_header\n1 2 3\n4 5 6\n"
     assert P.decode(text, "ply").tolist() == [[1, 2, 3], [4, 5, 6]]
     assert len(P.decode(b"\0" * 35, "bin")) == 2
-    for f in (lambda: P.decode(b"", "pcd"), lambda: P.encode(np.zeros((1, 3)), "pcd")):
+    for f in (lambda: P.decode(b"", "las"), lambda: P.encode(np.zeros((1, 3)), "las")):
         with pytest.raises(ValueError):
             f()
 
