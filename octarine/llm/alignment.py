@@ -6,9 +6,11 @@ import hashlib
 import json
 import os
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain, count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from octarine.llm.bpe import _Cache
+from octarine.llm.bpe import _Cache, _no_cycles
 from octarine.llm.common import checkpoint_dir, give_back, small_batches, table
 
 BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -32,25 +34,24 @@ LOW = 17
 
 def slices(a_ends: Sequence[int], b_ends: Sequence[int]) -> list[tuple[int, int, int, int]]:
     """(from, to, from, to): the groups of tokens of a and b between the ends that both have; ends are cumulative and grow."""
-    at_a, at_b = ({e: k for k, e in enumerate(ends, 1)} for ends in (a_ends, b_ends))
+    at_a, at_b = dict(zip(a_ends, count(1))), dict(zip(b_ends, count(1)))
     out, i, j = [], 0, 0
     for end in sorted(at_a.keys() & at_b.keys()):
-        out.append((i, at_a[end], j, at_b[end]))
-        i, j = at_a[end], at_b[end]
+        out.append((i, i := at_a[end], j, j := at_b[end]))
     return out
 
 
-def links(group: tuple[int, int, int, int], a_ends: Sequence[int], b_ends: Sequence[int]) -> Iterator[tuple[int, int]]:
+def links(group: tuple[int, int, int, int], a_ends: Sequence[int], b_ends: Sequence[int]) -> list[tuple[int, int]]:
     """The places of tokens of a group whose bytes overlap."""
     i, a_to, j, b_to = group
-    while i < a_to and j < b_to:
-        yield i, j
-        if a_ends[i] < b_ends[j]:
-            i += 1
-        elif a_ends[i] > b_ends[j]:
-            j += 1
-        else:
-            i, j = i + 1, j + 1
+    if a_to - i == 1 or b_to - j == 1:
+        return [(x, y) for x in range(i, a_to) for y in range(j, b_to)]
+    out = []
+    while i < a_to:
+        out.append((i, j))
+        one, two = a_ends[i], b_ends[j]
+        i, j = i + (one <= two), j + (two <= one)
+    return out
 
 
 def byte_characters() -> dict[str, int]:
@@ -60,16 +61,15 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Aligned:
-    """A chunk's tokens by both, their groups as text, and its links as codes of id pairs; without tokens if either does not give its bytes."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "text", "codes")
+class Aligned(NamedTuple):
+    """A text's tokens by both: their numbers, the groups as text, and the links as packed codes of id pairs."""
 
-    def __init__(self, a: Sequence[int], b: Sequence[int], a_ends: Sequence[int], b_ends: Sequence[int]):
-        groups = slices(a_ends, b_ends)
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(groups)
-        self.text = ";".join([f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}" for i, k, j, m in groups])
-        self.codes = [b[j] << LOW | a[i] for g in groups for i, j in links(g, a_ends, b_ends)]
+    n_a: int
+    n_b: int
+    n_groups: int
+    n_links: int
+    text: str
+    codes: bytes
 
 
 class Aligner:
@@ -85,6 +85,7 @@ class Aligner:
             self.a_bytes[k] = bytes(map(byte_of.__getitem__, name))
         pieces = map(self.b.id_to_piece, range(self.b.vocab_size()))
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.names = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
         with open(byte_bpe, encoding="utf-8") as file:
             told = json.load(file)
         #: Whether single spaces are known to begin a token of both: a pattern of words with the space before them, and pieces that have a space in front or are all spaces.
@@ -94,15 +95,29 @@ class Aligner:
         self.spaced = plain and not inner and self.b.encode("a") == self.b.encode(["a"])[0] and self.b.id_to_piece(self.b.encode("a")[0]).startswith("▁")
         self.chunks = _Cache(lambda c: self._align([c])[0], cache)
 
+    def _aligned(self, text: str, a: list[int], b: list[int]) -> Aligned | None:
+        """None where the bytes of the tokens are not those of a space and the text."""
+        x, y = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
+        wanted = (" " + text).encode()
+        if b"".join(x) != wanted or b"".join(y) != wanted:
+            return None
+        a_ends, b_ends = list(accumulate(map(len, x))), list(accumulate(map(len, y)))
+        groups, names = slices(a_ends, b_ends), self.names
+        told, codes = [], array("q")
+        for g in groups:
+            i, k, j, m = g
+            if k - i == 1 and m - j == 1:
+                told.append(f"{names[a[i]]}|{names[b[j]]}")
+                codes.append(b[j] << LOW | a[i])
+            else:
+                told.append(f"{','.join([names[t] for t in a[i:k]])}|{','.join([names[t] for t in b[j:m]])}")
+                codes.extend([b[v] << LOW | a[u] for u, v in links(g, a_ends, b_ends)])
+        return Aligned(len(a), len(b), len(groups), len(codes), ";".join(told), codes.tobytes())
+
     def _align(self, texts: list[str]) -> list[Aligned | None]:
-        """Each text with a space before it; None where the bytes of the tokens are not those of the text."""
-        out = []
-        for text, one, b in zip(texts, self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
-            a, wanted = one.ids, (" " + text).encode()
-            x, y = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
-            same = b"".join(x) == wanted and b"".join(y) == wanted
-            out.append(Aligned(a, b, list(accumulate(map(len, x))), list(accumulate(map(len, y)))) if same else None)
-        return out
+        """Each text with a space before it."""
+        ones = self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)
+        return [self._aligned(text, one.ids, b) for text, one, b in zip(texts, ones, self.b.encode(texts, num_threads=1), strict=True)]
 
     def cut(self, text: str) -> list[str] | None:
         """The text cut at its spaces, each of which begins a token of both and so ends a group; None where that is not so for all."""
@@ -122,18 +137,18 @@ class Aligner:
             some = new[k : k + 4096]
             self.chunks.update(zip(some, self._align(some), strict=True))
 
-    def parts(self, text: str | None) -> list[str | Aligned] | None:
-        """What the text consists of: chunks of the cache, or one alignment of the whole; None if it has no tokens."""
+    def parts(self, text: str | None) -> list[str] | list[Aligned]:
+        """What the text consists of: chunks of the cache, or one alignment of the whole. Nothing if that has no tokens; a chunk may have none, and then the text has none either."""
         if not text:
-            return None
-        if (found := self.cut(text)) is None:
-            whole = self._align([text])[0]
-            return whole and [whole]
-        return None if any(self.chunks[c] is None for c in found) else found
+            return []
+        if (found := self.cut(text)) is not None:
+            return found
+        return [whole] if (whole := self._align([text])[0]) else []
 
     def groups(self, text: str | None) -> str:
         """'a1,a2|b1;a3|b2,b3': ids of both by groups, in order."""
-        return ";".join([(p if isinstance(p, Aligned) else self.chunks[p]).text for p in self.parts(text) or ()])
+        met = [p if isinstance(p, Aligned) else self.chunks[p] for p in self.parts(text)]
+        return "" if None in met else ";".join([m.text for m in met])
 
 
 @lru_cache(2)
@@ -201,25 +216,27 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return run[ends] - run[np.concatenate([[0], ends[:-1]])] if len(ends) else np.zeros(0, np.int64)
 
 
+#: Stands for a chunk without tokens.
+NOTHING = Aligned(0, 0, 0, 0, "", b"")
+
+
 def _block(own: Aligner, number: int, ids: list[int | None], texts: list[str | None]) -> dict:
-    chunk_no, pair_no = _Numbers(), _Numbers()
-    chunks: list[int] = []
-    ends, digests = [], []
+    chunk_no = _Numbers()
     own.learn(texts)
-    for text in texts:
-        parts = own.parts(text) or ()
-        chunks += map(chunk_no.__getitem__, parts)
-        ends.append(len(chunks))
-        digests.append(hashlib.sha256(";".join([(p if isinstance(p, Aligned) else own.chunks[p]).text for p in parts]).encode()).hexdigest() if parts else "")
+    docs = [list(map(chunk_no.__getitem__, own.parts(x))) for x in texts]
     met = [p if isinstance(p, Aligned) else own.chunks[p] for p in chunk_no]
-    linked = np.array([pair_no[c] for m in met for c in m.codes], np.int32)
-    link_ends = np.cumsum([len(m.codes) for m in met], dtype=np.int64)
-    at, ends = np.array(chunks, np.int32), np.array(ends, np.int64)
-    per_chunk = np.array([(m.n_a, m.n_b, m.n_groups, len(m.codes)) for m in met], np.int64).reshape(-1, 4)
-    times = np.bincount(at, minlength=len(met)) if len(at) else np.zeros(len(met), np.int64)
-    counts = np.bincount(linked, np.repeat(times, per_chunk[:, 3]), len(pair_no)).astype(np.int64) if len(linked) else np.zeros(0, np.int64)
-    figures = [_sums(per_chunk[at, k], ends) for k in range(4)]
-    return dict(zip([c.split()[0] for c in BLOCKS.split(", ")], [number, ids, *figures, digests, at.tobytes(), ends.tobytes(), linked.tobytes(), link_ends.tobytes(), list(pair_no), counts], strict=True))
+    if None in met:
+        bad = {k for k, m in enumerate(met) if m is None}
+        docs, met = [[] if bad.intersection(d) else d for d in docs], [m or NOTHING for m in met]
+    told = [m.text for m in met]
+    digests = [hashlib.sha256(";".join(map(told.__getitem__, d)).encode()).hexdigest() if d else "" for d in docs]
+    at, ends = np.fromiter(chain.from_iterable(docs), np.int32), np.cumsum([len(d) for d in docs], dtype=np.int64)
+    per_chunk = [np.fromiter((m[k] for m in met), np.int64, len(met)) for k in range(4)]
+    times = np.bincount(at, minlength=len(met))
+    pairs, linked = np.unique(np.frombuffer(b"".join([m.codes for m in met]), np.int64), return_inverse=True)
+    counts = np.bincount(linked, np.repeat(times, per_chunk[3]), len(pairs)).astype(np.int64)
+    figures = [_sums(c[at], ends) for c in per_chunk]
+    return dict(zip([c.split()[0] for c in BLOCKS.split(", ")], [number, ids, *figures, digests, at.tobytes(), ends.tobytes(), linked.astype(np.int32).tobytes(), np.cumsum(per_chunk[3]).tobytes(), pairs, counts], strict=True))
 
 
 def _blocks(docs: DataFrame, byte_bpe: str, piece_bpe: str, id: str, text: str) -> DataFrame:
@@ -230,7 +247,9 @@ def _blocks(docs: DataFrame, byte_bpe: str, piece_bpe: str, id: str, text: str)
         own, part = aligner(byte_bpe, piece_bpe), TaskContext.get().partitionId()
         for k, (held, texts) in enumerate(gathered(batches, 1)):
             ids = [x for b in held for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_pylist([_block(own, part << 32 | k, ids, texts)], arrow)
+            with _no_cycles():
+                made = _block(own, part << 32 | k, ids, texts)
+            yield pa.RecordBatch.from_pylist([made], arrow)
             give_back()
 
     small_batches(docs.sparkSession)

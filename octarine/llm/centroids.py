@@ -27,11 +27,11 @@ def whole_vectors(vectors: DataFrame, name: str, size: int = SIZE, scale: int =
     return vectors.where(some).withColumn(name, whole)
 
 
-def first_centroids(kept: DataFrame, q: str, k: int = K, id: str = "vec_id") -> np.ndarray:
-    """The k vectors of least sha256 of '1:<id>' in their order; a null id comes last, equal ids by their components."""
+def first_centroids(kept: DataFrame, q: str, k: int = K, size: int = SIZE, id: str = "vec_id") -> np.ndarray:
+    """The k vectors of least sha256 of '1:<id>' in their order; a null id comes last, equal ids by their components. Without vectors: one of zeros."""
     key = F.sha2(F.concat(F.lit("1:"), F.col(id).cast("string")), 256)
     rows = kept.select(key.alias("key"), F.col(q).alias("q")).orderBy(F.asc_nulls_last("key"), "q").limit(k).collect()
-    return np.array([r.q for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.q for r in rows], np.int64) if rows else np.zeros((1, size), np.int64)
 
 
 def nearest(products: np.ndarray, norms: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,9 +98,7 @@ def cluster(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, size: int = SI
     names = fresh(vectors, 5)
     q, norm, dots, at, distance = names
     kept = whole_vectors(vectors, q, size, scale, embedding).drop(*[c for c in vectors.columns if c in RESULTS and c != id], embedding)
-    old, new = None, first_centroids(kept, q, k, id)
-    if not len(new):
-        new = np.zeros((1, size), np.int64)
+    old, new = None, first_centroids(kept, q, k, size, id)
     folder = f"{checkpoint_dir(spark)}/centroids-{uuid.uuid4().hex}"
     small_batches(spark, 8192)
     state = kept
@@ -126,7 +124,7 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql(rounds: int = ROUNDS) -> str:
     parts = [
-        f"v as materialized (select row_number() over () rid, vec_id, list_transform(embedding, x -> floor({SCALE} * x::double)) q from embeddings where len(embedding) = {SIZE} and len(list_filter(embedding, x -> x is not null and isfinite(x))) = {SIZE})",
+        f"v as materialized (select row_number() over () rid, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)) q from embeddings where len(embedding) = {SIZE} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {SIZE})",
         f"c0 as materialized (select row_number() over (order by sha256('1:' || vec_id) nulls last, q) - 1 k, q c from v qualify k < {K})",
     ]
     for r in range(rounds + 1):
@@ -134,7 +132,7 @@ def _sql(rounds: int = ROUNDS) -> str:
         if r < rounds:
             parts.append(f"m{r} as (select k, list(m order by j) c from (select k, j, floor(sum(q[j]) / count(*)) m from a{r} join v using (rid), range(1, {SIZE + 1}) t(j) group by k, j) group by k)")
             parts.append(f"c{r + 1} as materialized (select k, coalesce(m{r}.c, c{r}.c) c from c{r} left join m{r} using (k))")
-    return f"with {', '.join(parts)} select vec_id, k::int cluster, d::bigint distance, sum(d) over (partition by k)::bigint cluster_inertia, sum(d) over ()::bigint inertia, sha256(array_to_string(list_transform(c, x -> x::bigint), ',')) centroid_sha256 from a{rounds} join v using (rid) join c{rounds} using (k)"
+    return f"with {', '.join(parts)} select vec_id, k::int cluster, d::bigint distance, sum(d) over (partition by k)::bigint cluster_inertia, sum(d) over ()::bigint inertia, sha256(array_to_string(list_transform(c, lambda x: x::bigint), ',')) centroid_sha256 from a{rounds} join v using (rid) join c{rounds} using (k)"
 
 
 OP11_SQL = _sql()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from octarine.llm.bpe import _Cache, gathered
+from octarine.llm.alignment import byte_characters
+from octarine.llm.bpe import _Cache, _no_cycles, gathered
 from octarine.llm.common import give_back, small_batches, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -28,8 +30,13 @@ NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: The same splitter for lower-cased printable ASCII.
 ASCII = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")
+#: And for lower-cased printable characters below FOREIGN, which are their own normal form: what is a letter or a number among them is fixed.
+LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-\u012f]+|[0-9²³¹¼-¾]|[^ a-z0-9ªµºß-öø-\u012f²³¹¼-¾]+")
+FOREIGN = "\u0130"
 WHITE = re.compile("[ \t-\r]+")
 NEVER = 1 << 62
+#: The character that stands for a byte.
+SHOWN = {b: c for c, b in byte_characters().items()}
 
 
 class Merges:
@@ -56,7 +63,16 @@ class Merges:
             if alive[t]:  # else no word's encoding has it
                 text, of = (name.removesuffix(suffix), self.ending) if name.endswith(suffix) and name != suffix else (name, self.inner)
                 of[text], self.length[t] = t, len(text)
-        self.longest = max(self.length)
+        #: The lengths, from 3 on, of the tokens with these last three characters, longest first.
+        self.inner_tails, self.ending_tails = self._tails(self.inner), self._tails(self.ending)
+
+    @staticmethod
+    def _tails(tokens: dict[str, int]) -> dict[str, list[int]]:
+        out: dict[str, set[int]] = {}
+        for text in tokens:
+            if len(text) > 2:
+                out.setdefault(text[-3:], set()).add(len(text))
+        return {tail: sorted(lengths, reverse=True) for tail, lengths in out.items()}
 
     def _apart(self, a: int, b: int, until: int) -> bool:
         """Whether no merge joins what a ends with to what b begins with, before the merge numbered until.
@@ -103,35 +119,43 @@ class Trie:
         self.kids: dict[int, int] = {}
         self.last = [-1]
 
-    def _token(self, tokens: dict[str, int], word: str, end: int, before: list[int]) -> int:
+    def _token(self, tokens: dict[str, int], tails: dict[str, list[int]], word: str, end: int, before: list[int]) -> int:
         """The last token of word[:end]; before: the last tokens of its prefixes."""
-        for start in range(max(0, end - self.merges.longest), end):
-            t = tokens.get(word[start:end])
-            if t is not None and (start == 0 or self.merges.fits(before[start], t)):
-                return t
+        known, fits = self.merges.known, self.merges.fits
+        for n in (*tails.get(word[end - 3 : end], ()), 2, 1) if end > 2 else (2, 1):
+            if n <= end and (t := tokens.get(word[end - n : end])) is not None:
+                if n == end:
+                    return t
+                left = before[end - n]
+                stands = known.get(left << 16 | t)
+                if stands or stands is None and fits(left, t):
+                    return t
         raise ValueError(f"no token for {word[end - 1]!r}")
 
-    def _ids(self, word: str, before: list[int]) -> list[int]:
-        t, at, ids = self._token(self.merges.ending, word, len(word), before), len(word), []
-        while True:
-            ids.append(t)
-            at -= self.merges.length[t]
-            if not at:
-                return ids[::-1]
+    def _ids(self, word: str, before: list[int]) -> bytes:
+        lengths, at = self.merges.length, len(word)
+        t = self._token(self.merges.ending, self.merges.ending_tails, word, at, before)
+        ids = array("I", (t,))
+        at -= lengths[t]
+        while at:
             t = before[at]
+            ids.append(t)
+            at -= lengths[t]
+        ids.reverse()
+        return ids.tobytes()
 
     def encode(self, words: Iterable[str]) -> dict[str, bytes]:
         """The ids of distinct words, as 32-bit numbers. In their order the trie is walked depth first: the stack of a word starts with what it shares with the one before."""
         if len(self.last) > self.most:
             self.clear()
-        inner, kids, last = self.merges.inner, self.kids, self.last
+        inner, tails, kids, last = self.merges.inner, self.merges.inner_tails, self.kids, self.last
         nodes, before, previous, out = [0], [-1], "", {}
         for word in sorted(words):
             if len(word) > LONG:
                 own = [-1]
                 for end in range(1, len(word)):
-                    own.append(self._token(inner, word, end, own))
-                out[word] = np.array(self._ids(word, own), "<u4").tobytes()
+                    own.append(self._token(inner, tails, word, end, own))
+                out[word] = self._ids(word, own)
                 continue
             shared, most = 0, min(len(word), len(previous)) - 1
             while shared < most and word[shared] == previous[shared]:
@@ -142,10 +166,10 @@ class Trie:
                 node = kids.get(key)
                 if node is None:
                     node = kids[key] = len(last)
-                    last.append(self._token(inner, word, end, before))
+                    last.append(self._token(inner, tails, word, end, before))
                 nodes.append(node)
                 before.append(last[node])
-            out[word], previous = np.array(self._ids(word, before), "<u4").tobytes(), word
+            out[word], previous = self._ids(word, before), word
         return out
 
 
@@ -172,6 +196,8 @@ class Codec:
         """The words of a chunk, each byte as its character, and special tokens."""
         if chunk.isascii() and chunk.isprintable() and "<|" not in chunk:
             return ASCII.findall(chunk.lower())
+        if max(chunk, default="") < FOREIGN and chunk.isprintable() and "<|" not in chunk:
+            return [p if p.isascii() else p.encode().decode("latin-1").translate(SHOWN) for p in LATIN.findall(chunk.lower())]
         out = []
         for part in self.cut_special.split(chunk):
             if part in self.special:
@@ -224,7 +250,8 @@ def _mapped(docs: DataFrame, text: str, added: list[T.StructField], path: str, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for held in gathered(batches, len(kept)):
-            own.learn([x for _, texts in held for x in texts])
+            with _no_cycles():
+                own.learn([x for _, texts in held for x in texts])
             for b, texts in held:
                 rows = [work(own, x) for x in texts]
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[] for _ in added], ARROW[tuple(names)], strict=True)]
