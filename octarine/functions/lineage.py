@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,3 +34,26 @@ def numbered(df: DataFrame, keys: Sequence[str], name: str = "number") -> DataFr
         so_far += r.n
     known = df.sparkSession.createDataFrame(offsets, "_part long, _before long")
     return placed.withColumn("_part", part).join(known, "_part").withColumn(name, F.col("_before") + within).drop("_part", "_before", "_at")
+
+
+#: Rows of a block of prefix(): the most that one window holds.
+BLOCK = 1 << 16
+
+
+def prefix(df: DataFrame, value: str, name: str, frame: str = "frame", at: str = "k", block: int = BLOCK) -> DataFrame:
+    """df with name: the sum of the value over the frame's rows before, in the order of the places 0, 1, ... in at.
+
+    Blocks of places are summed first, and the sums before a block come from its frame's other blocks: a window holds a block's rows or a frame's blocks, never a frame's rows.
+    """
+    own = df.withColumn("_block", F.floor(F.col(at) / F.lit(block)))
+    sums = own.groupBy(frame, "_block").agg(F.sum(value).alias("_sum"))
+    offsets = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(W.partitionBy(frame).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    within = F.coalesce(F.sum(value).over(W.partitionBy(frame, "_block").orderBy(at).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return own.withColumn("_within", within).join(offsets, [frame, "_block"]).withColumn(name, F.col("_before") + F.col("_within")).drop("_block", "_before", "_within")
+
+
+def placed(df: DataFrame, order: Sequence[str], frame: str = "frame", name: str = "k") -> DataFrame:
+    """df with the rows' places within their frame, from 0, in the order given. Frames can be of any size: rows are numbered over the whole table, less where their frame begins."""
+    rows = cut(numbered(df, [frame, *order], "_number"))
+    first = rows.groupBy(frame).agg(F.min("_number").alias("_first"))
+    return rows.join(first, frame).withColumn(name, F.col("_number") - F.col("_first")).drop("_number", "_first")
