@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from octarine.llm.common import SPACES, cut, let, table
+from octarine.llm.common import SPACES, cut, fresh, let, table
 
 #: Words that a repeated run must have in all to be deleted.
 MIN_WORDS = 10
@@ -94,19 +94,21 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A run of lines with min_words words or more in all is deleted where the same lines stand earlier, in the order of
     doc_id (nulls first) and line number, overlaps included: what stays is each run's first copy. Runs are judged on the input, and don't cross documents. Lines
     without a word are ignored between lines, and go or stay with the line before them. A null text stays null, with
-    no lines; an empty one has one line. Rows alike in doc_id and text are taken as one, and come back alike. Extra columns stay.
+    no lines; an empty one has one line. Rows alike in doc_id and text are taken as one, and come back alike. An empty
+    table gives an empty one. Extra columns stay as they are, whatever their names, but for n_lines and n_removed, which are replaced.
     """
     gone = repeated_blocks(docs.select("doc_id", "text"), min_words)
     span = F.sequence(F.col("pos"), F.col("upto") - 1)
-    cuts = gone.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list(span))).alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_gone")
-    own = docs.drop("_id", "_key", "_gone").withColumn("_own", F.xxhash64("doc_id", "text"))
-    met = own.join(cuts, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    id_, key, cut_, own_ = fresh(docs, 4)
+    cuts = gone.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list(span))).alias(cut_)).select(F.col("doc_id").alias(id_), F.col("key").alias(key), cut_)
+    own = docs.withColumn(own_, F.xxhash64("doc_id", "text"))
+    met = own.join(cuts, (F.col(own_) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left")
     split = F.split("text", "\n")
     n = F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size(split)), F.lit(0)).cast("bigint")
-    stay = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda k: x[k]), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(split, stay))
-    kept = [c for c in docs.columns if c not in ("_id", "_key", "_gone", "text", "n_lines", "n_removed")]
-    return met.select(*kept, text.alias("text"), n.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    stay = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(cut_)), lambda k: x[k]), "\n")
+    text = F.when(F.col(cut_).isNull(), F.col("text")).otherwise(let(split, stay))
+    kept = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    return met.select(*kept, text.alias("text"), n.alias("n_lines"), F.coalesce(F.size(cut_), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

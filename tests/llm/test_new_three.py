@@ -223,3 +223,21 @@ def test_trie_over_tables(spark, sf, library):
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert told[r.k] == (ids, library.decode(ids, skip_special_tokens=False))
     assert trie_bpe.round_trip(rows.where("false")).count() == 0
+
+
+# ---- line dedup leaves callers' columns alone
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    from pyspark.sql import functions as F
+
+    from octarine.llm import line_dedup
+
+    run = "\n".join(["one two three four five six", "seven eight nine ten"])
+    names = ("_id", "_key", "_gone", "_own", "key", "pos", "upto", "gid")
+    df = spark.createDataFrame([(1, run), (2, f"first\n{run}"), (3, None), (None, "")], "doc_id long, text string")
+    df = df.select("*", *[F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(n) for n in names], F.lit(7).alias("n_lines"))
+    got = {g.doc_id: g for g in line_dedup.dedup(df).collect()}
+    assert {i: (g.text, g.n_lines, g.n_removed) for i, g in got.items()} == {1: (run, 2, 0), 2: ("first", 3, 2), 3: (None, 0, 0), None: ("", 1, 0)}
+    assert all(g[n] == f"{n}{'null' if i is None else i}" for i, g in got.items() for n in names)
+    assert line_dedup.dedup(df.where("false")).count() == 0

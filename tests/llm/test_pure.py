@@ -110,18 +110,41 @@ def test_decision_lists():
 
 
 def test_model_probabilities_sum_to_one_and_learn():
-    share = np.full(lm_scoring.CLASSES, 1 / lm_scoring.CLASSES)
-    model, c = lm_scoring.LogBilinear(share), lm_scoring.CLASSES
-    one, two = np.array([3, 5, c]), np.array([4, c, c])
-    assert np.allclose((10.0 ** model.log_probabilities(one, two)).sum(1), 1, atol=1e-4)
-    keys = np.array([(4 * (c + 1) + 3) * c + 9, (c * (c + 1) + 5) * c + 11])
-    for k in range(40):
-        model.train(np.repeat(keys, 50), np.ones(100), k)
-    logs = model.log_probabilities(one, two)
-    assert logs[0].argmax() == 9 and logs[1].argmax() == 11
+    n = 40  # seven classes of seven units, the last one short
+    model, start = lm_scoring.LogBilinear(np.arange(n, 0, -1)), n
+    pairs = [(3, 5), (4, start), (start, start)]
+    all_units = np.arange(n)
+    total = lambda one, two: (10.0 ** model.log_probabilities(np.full(n, one), np.full(n, two), all_units)).sum()
+    assert all(total(*p) == pytest.approx(1, abs=1e-4) for p in pairs)
+    one, two, unit = (np.array(x, np.int32) for x in zip(*[(3, 5, 9), (start, 5, 31), (8, 1, 0)], strict=True))
+    before = model.log_probabilities(one, two, unit)
+    assert sum(model.train([(np.repeat(one, 60), np.repeat(two, 60), np.repeat(unit, 60))], k) for k in range(60)) == 60 * 180
+    assert (model.log_probabilities(one, two, unit) > before).all()
+    for o, t, u in zip(one, two, unit, strict=True):
+        assert model.log_probabilities(np.full(n, o), np.full(n, t), all_units).argmax() == u
+    assert all(total(*p) == pytest.approx(1, abs=1e-4) for p in pairs)
+    again = lm_scoring.LogBilinear(np.arange(n, 0, -1), seed=1).load(model.flat())
+    assert (again.log_probabilities(one, two, unit) == model.log_probabilities(one, two, unit)).all()
+
+
+def test_probabilities_by_hand():
+    """The two softmaxes of the docstring, unit by unit."""
+    n = 11
+    model, r = lm_scoring.LogBilinear(np.arange(n, 0, -1)), np.random.default_rng(3)
+    model.load(r.normal(size=len(model.flat())).astype(np.float32))
+    for one, two in ((0, 4), (n, n), (10, 2)):
+        h = model.r[one] * model.c[0] + model.r[two] * model.c[1]
+        of = np.exp(model.s @ h + model.d)
+        for unit in range(n):
+            k = unit // model.size
+            own = np.exp(model.q[k * model.size : (k + 1) * model.size] @ h + model.b[k * model.size : (k + 1) * model.size])
+            wanted = np.log10(of[k] / of.sum() * own[unit % model.size] / own.sum())
+            assert model.log_probabilities(*(np.array([x]) for x in (one, two, unit)))[0] == pytest.approx(wanted, abs=1e-3)
 
 
 def test_contexts_do_not_cross_texts():
-    one, two = lm_scoring.contexts(np.array([5, 6, 7, 8, 9], np.uint8), np.array([3, 1, 1]))
-    s = lm_scoring.START
+    s = 99
+    one, two = lm_scoring.contexts(np.array([5, 6, 7, 8, 9], np.int32), np.array([3, 1, 1]), s)
     assert one.tolist() == [s, 5, 6, s, s] and two.tolist() == [s, s, 5, s, s]
+    one, two = lm_scoring.contexts(np.array([5, 6, 7, 8, 9], np.int32), np.array([1, 2, 2]), s)
+    assert one.tolist() == [s, s, 6, s, 8] and two.tolist() == [s, s, s, s, s]
