@@ -5,19 +5,25 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir and read from there. Where none is set: a temporary folder in local mode, as in tests; else an error, as executors could not read it."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir names. Where none is set: a temporary folder in local mode, as in tests; else an error, as executors could not read it."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc._jsc.sc().isLocal():
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read from there."""
+    checkpoint_folder(df.sparkSession)
     # A checkpoint keeps the planner's guess of its size, and a join's is the product of its sides': over iterated joins the number
     # doubles its digits with each round, until it fills the driver. So the rows are taken up anew, without a guess.
     done, spark = df.checkpoint(eager=True), df.sparkSession

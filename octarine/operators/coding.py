@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from octarine.functions import bits as B
 from octarine.functions import ranges as R
-from octarine.functions.lineage import cut
-from octarine.operators import ntree
+from octarine.functions.lineage import cut, prefix
+from octarine.operators import bitstream, ntree
 
 #: Dimensions that name a coder of binary layers: counts of the rarer bit, the same with an overflow, and bits chosen by node.
 COUNTER, OVERFLOW, PERMUTATION = 0, -1, -2
@@ -126,6 +126,96 @@ def read(written: DataFrame, dims: Sequence[int], width: int, payload: bool = Fa
     return written.select("frame", "flags", "payload", "out_points").mapInPandas(run, schema)
 
 
+def write_streams(symbols_: DataFrame, tails: DataFrame, chunk: int = bitstream.CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(flags, payload, sizes): the symbols and the tails as streams in chunks (see bitstream), which any number of tasks write; sizes: (frame, n, flag_bits, payload_bits).
+
+    As write(), but for symbols with an overflow: of a layer come first the counts of all nodes, then the second words of those at their cap, then the bits that tell which
+    is larger. So a reader knows the widths of all words before it reads them.
+    """
+    b = F.greatest(B.bit_length(F.col("n")) - 1, F.lit(0))
+    right = lambda k: F.call_function("shiftrightunsigned", F.col("symbol"), k)
+    word = lambda plane, value, width: F.struct(F.lit(plane).alias("plane"), value.alias("value"), width.cast("int").alias("width"))
+    low = F.call_function("shiftleft", F.lit(1).cast("bigint"), b) - 1
+    two = [word(0, right(F.col("width") - b), b), word(1, right(F.col("width") - 2 * b).bitwiseAND(low), b)]
+    three = word(2, F.col("symbol").bitwiseAND(F.lit(1).cast("bigint")), F.lit(1))
+    over = (F.col("dim") == OVERFLOW) & (F.col("n") > 1) & (F.col("width") > b)
+    words = F.when(over & (F.col("width") > 2 * b), F.array(*two, three)).when(over, F.array(*two)).otherwise(F.array(word(0, F.col("symbol"), F.col("width"))))
+    laid = symbols_.select("frame", "layer", "parent", F.explode(words).alias("w")).select("frame", "layer", "parent", "w.*")
+    flags, layers = bitstream.write(laid, ("layer", "plane", "parent"), "value", "width", chunk=chunk)
+    payload, below = bitstream.write(tails, ("layer", "parent"), "tail", "tail_bits", chunk=chunk)
+    counts = symbols_.groupBy("frame").agg(F.count(F.lit(1)).alias("n"))
+    bits = counts.join(bitstream.sizes(layers).select("frame", F.col("bits").alias("flag_bits")), "frame", "full").join(bitstream.sizes(below).select("frame", F.col("bits").alias("payload_bits")), "frame", "full")
+    return flags, payload, bits.na.fill(0, ["n", "flag_bits", "payload_bits"])
+
+
+def read_streams(flags: DataFrame, payload_: DataFrame, frames: DataFrame, dims: Sequence[int], width: int, payload: bool = False, chunk: int = bitstream.CHUNK) -> DataFrame:
+    """(frame, code) from write_streams(), with frames (frame, out_points: the number of codes); payload: whether lone codes were written as they are.
+
+    Layer by layer: what is known of the nodes gives the width of each word, prefix sums its bit, and the word the nodes below. Trees of chosen bits
+    are read by frame, or from their tables.
+    """
+    plan = ntree.plan_dims(dims, width)
+    if plan[0] == PERMUTATION:
+        raise ValueError("trees of chosen bits are read by read() or decode_permutation()")
+    zero = F.lit(0).cast("bigint")
+    nodes = frames.where("out_points > 0").select("frame", zero.alias("k"), zero.alias("node"), F.col("out_points").cast("bigint").alias("count"), zero.alias("_at"), zero.alias("_tail"))
+    out, below = None, width
+    for d in plan:
+        lone = None
+        if payload and d <= 0:
+            nodes = cut(prefix(nodes.withColumn("_on", (F.col("count") > 1).cast("bigint")), "_on", "_rank"))
+            lone, nodes = nodes.where("_on = 0").withColumn("_rank", F.col("k") - F.col("_rank")), nodes.where("_on = 1").withColumn("k", F.col("_rank"))
+        if d > 0:
+            size = 1 << d
+            got = bitstream.gather(flags, nodes.select("frame", "k", "node", "_at", "_tail", F.lit(size).alias("_width"), (F.col("_at") + F.col("k") * size).alias("_start")), "_start", "_width", "flag", chunk=chunk)
+            got = got.withColumn("_bits", F.lit(size).cast("bigint"))
+            if payload:
+                got = cut(prefix(got.withColumn("_on", (F.col("flag") != 0).cast("bigint")), "_on", "_rank"))
+                lone = got.where("_on = 0").withColumn("_rank", F.col("k") - F.col("_rank"))
+            set_ = F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda c: F.call_function("shiftrightunsigned", F.col("flag"), c).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+            got = got.withColumn("_kids", F.transform(set_, lambda c: F.struct(c.alias("c"), F.lit(None).cast("bigint").alias("count"))))
+        else:
+            got = _counted(flags, nodes, d, chunk)
+            both = F.array(F.struct(F.lit(0).alias("c"), (F.col("count") - F.col("minor")).alias("count")), F.struct(F.lit(1).alias("c"), F.col("minor").alias("count")))
+            got = got.withColumn("_kids", F.filter(both, lambda x: x["count"] > 0))
+        step = max(d, 1)
+        got = cut(prefix(got.withColumn("_n", F.size("_kids").cast("bigint")), "_n", "_first")) if d <= 0 or not payload else cut(prefix(got.drop("_on", "_rank").withColumn("_n", F.size("_kids").cast("bigint")), "_n", "_first"))
+        ends = got.groupBy("frame").agg((F.max("_at") + F.sum("_bits")).alias("_at"))
+        if lone is not None:
+            tails = bitstream.gather(payload_, lone.select("frame", "node", F.lit(below).alias("_width"), (F.col("_tail") + F.col("_rank") * below).alias("_start")), "_start", "_width", "tail", chunk=chunk)
+            done = tails.select("frame", (F.call_function("shiftleft", F.col("node"), F.lit(below)) + F.col("tail")).alias("code"))
+            out = done if out is None else out.unionByName(done)
+            used = lone.groupBy("frame").agg(F.count(F.lit(1)).alias("_lone"))
+            ends = ends.join(used, "frame", "left").withColumn("_used", F.coalesce("_lone", zero) * below).drop("_lone")
+        else:
+            ends = ends.withColumn("_used", zero)
+        kids = got.select("frame", "_first", "node", "_tail", F.posexplode("_kids").alias("_j", "_kid")).join(ends, "frame")
+        nodes = kids.select("frame", (F.col("_first") + F.col("_j")).alias("k"), (F.shiftleft("node", step) + F.col("_kid.c")).alias("node"), F.col("_kid.count").alias("count"), "_at", (F.col("_tail") + F.col("_used")).alias("_tail"))
+        below -= step
+    rest = nodes.select("frame", F.col("node").alias("code"))
+    return rest if out is None else out.unionByName(rest)
+
+
+def _counted(flags: DataFrame, nodes: DataFrame, d: int, chunk: int) -> DataFrame:
+    """nodes (frame, k, node, count, _at, _tail) with minor, the number of their codes with the bit set, and _bits, what its words took."""
+    if d == COUNTER:
+        asked = cut(prefix(nodes.withColumn("_width", B.bit_length(F.col("count")).cast("int")), "_width", "_start").withColumn("_start", F.col("_at") + F.col("_start")))
+        return bitstream.gather(flags, asked, "_start", "_width", "minor", chunk=chunk).withColumn("_bits", F.col("_width").cast("bigint"))
+    b = F.greatest(B.bit_length(F.col("count")) - 1, F.lit(0)).cast("int")
+    met = nodes.withColumns({"_b": b, "_cap": F.call_function("shiftleft", F.lit(1).cast("bigint"), b) - 1, "_from": F.col("_at"), "_bits": F.lit(0).cast("bigint")})
+    for plane in range(3):
+        some = [F.lit(True), (F.col("count") > 1) & (F.col("_w0") == F.col("_cap")), (F.col("count") > 1) & (F.col("_w0") == F.col("_cap")) & (F.col("_w1") == F.col("_cap")) & (F.col("count") % 2 == 1)][plane]
+        size = [F.greatest("_b", F.lit(1)), F.col("_b"), F.lit(1)][plane]
+        asked = cut(prefix(met.withColumn("_width", F.when(some, size).otherwise(0)), "_width", "_start").withColumn("_start", F.col("_from") + F.col("_start")))
+        read_ = bitstream.gather(flags, asked.where("_width > 0"), "_start", "_width", f"_w{plane}", chunk=chunk)
+        met = read_.unionByName(asked.where("_width = 0").withColumn(f"_w{plane}", F.lit(None).cast("bigint")))
+        ends = asked.groupBy("frame").agg(F.sum("_width").alias("_more"))
+        met = met.withColumn("_bits", F.col("_bits") + F.col("_width")).join(ends, "frame").withColumn("_from", F.col("_from") + F.col("_more")).drop("_width", "_start", "_more")
+    low, high = F.col("_w0"), F.col("_w1")
+    minor = F.when(high.isNull(), low).when(high < F.col("_cap"), F.col("count") - high).when(F.col("count") % 2 == 0, (F.col("count") / 2).cast("bigint")).when(F.col("_w2") == 1, F.col("count") - F.col("_cap")).otherwise(F.col("_cap"))
+    return met.withColumn("minor", minor)
+
+
 def _read_layers(source: R.Bits, tails: R.Bits, plan: Sequence[int], width: int, payload: bool, n: int) -> np.ndarray:
     nodes, counts, below, done = np.zeros(1, np.int64), np.array([n]), width, []
     for d in plan:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from octarine.functions import bits as B
+from octarine.operators import scans
 
 AXES = ("x", "y", "z")
 
@@ -32,6 +33,23 @@ def pivots(nodes: DataFrame, k: int = 2, by: Sequence[str] = ("frame", "layer"),
     return nodes.withColumn("pivots", F.array(*out))
 
 
+def circular_pivots(nodes: DataFrame, k: int = 2, by: Sequence[str] = ("frame", "layer"), axes: Sequence[str] = AXES) -> DataFrame:
+    """candidate_centres() of nodes (by, node, axes, box_<axis>) with pivots: exp of minus the squared distance from the child's middle to each of the k nodes around its parent, in a circle over by in the order of node."""
+    near = scans.around(nodes.withColumn("_p", F.struct(*axes)), "_p", k, by, "node", "_around").drop("_p")
+    square = lambda p: B.total([(F.col(f"c_{a}") - p[a]) * (F.col(f"c_{a}") - p[a]) for a in axes])
+    return candidate_centres(near, axes).withColumn("pivots", F.transform("_around", lambda p: F.exp(-square(p)))).drop("_around")
+
+
+def permutation_bits(nodes: DataFrame, dim: int, width: int, p: str = "p", layer: str = "layer") -> DataFrame:
+    """nodes with features: which of the word's bits the node's layer is made of, by the frame's permutation p (bit j of the sorted word is bit p[j]), as dim times width places of 0 and 1.
+
+    Layers take the sorted word's bits from the lowest up; a place beyond the word is all zeros.
+    """
+    bit = lambda j: F.get(F.col(p), (F.col(layer) * dim + j).cast("int"))
+    hot = [F.coalesce((bit(j) == k).cast("double"), F.lit(0.0)) for j in range(dim) for k in range(width)]
+    return nodes.withColumn("features", F.array(*hot))
+
+
 def ranks(nodes: DataFrame, by: Sequence[str] = ("frame", "layer"), axes: Sequence[str] = AXES) -> DataFrame:
     """nodes with rank_<axis>: the place of each in the order of that axis; ties: the lower node."""
     return nodes.withColumns({f"rank_{a}": F.row_number().over(W.partitionBy(*by).orderBy(a, "node")) for a in axes})

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from octarine.functions.lineage import numbered
+from octarine.operators import scans
+from octarine.operators.scans import keypoints, simplify  # noqa: F401  as sequences.keypoints and .simplify
 
 
 def _by(frame: str, order: str) -> W:
@@ -40,16 +42,7 @@ def rank_rings(rings: DataFrame, height: str = "z", frame: str = "frame") -> Dat
 
 def neighbours(points: DataFrame, value: str, k: int, frame: str = "frame", order: str = "point_id") -> DataFrame:
     """points with around: the values k/2 places before to k/2 after, without the own, in a circle over the frame."""
-    w = _by(frame, order)
-    whole = W.partitionBy(frame)
-    steps = [s for s in range(-(k // 2), k // 2 + 1) if s]
-    numbered = points.withColumns({"_k": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(whole)})
-    edge = k // 2  # only the ends of a frame need what lies around them
-    ends = numbered.where((F.col("_k") < edge) | (F.col("_k") >= F.col("_n") - edge)).groupBy(frame).agg(F.map_from_entries(F.collect_list(F.struct("_k", value))).alias("_ends"))
-    shifted = {f"_s{j}": F.lead(value, s).over(w) if s > 0 else F.lag(value, -s).over(w) for j, s in enumerate(steps)}
-    met = numbered.withColumns(shifted).join(ends, frame)
-    around = F.array(*[F.when(F.col("_k").between(F.lit(max(0, -s)), F.col("_n") - 1 - max(0, s)), F.col(f"_s{j}")).otherwise(F.element_at("_ends", F.pmod(F.col("_k") + s, F.col("_n")).cast("int"))) for j, s in enumerate(steps)])
-    return met.withColumn("around", around).select(*points.columns, "around")
+    return scans.around(points, value, k, [frame], order)
 
 
 def blocks(points: DataFrame, limit: int, values: Sequence[str], frame: str = "frame", order: str = "point_id") -> DataFrame:
@@ -83,84 +76,9 @@ def next_marked(points: DataFrame, mark: str, value: str, frame: str = "frame",
     return points.withColumn("next_value", F.first(F.when(F.col(mark), F.col(value)), ignorenulls=True).over(w))
 
 
-def _grouped(points: DataFrame, frame: str, added: list[T.StructField], run) -> DataFrame:
-    schema = T.StructType([*points.schema.fields, *added])
-    return points.groupBy(frame).applyInPandas(run, schema)
-
-
 def smooth(points: DataFrame, value: str, weight: float = 0.9, frame: str = "frame", order: str = "point_id") -> DataFrame:
-    """points with smoothed: the running mean before the own value is taken in; the first is the value itself.
-
-    A recurrence, so each frame is one task's; a frame is as long as one scan.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        state, out = None, []
-        for x in pdf[value].to_numpy():
-            state = x if state is None else state
-            out.append(state)
-            state = state * weight + x * (1 - weight)
-        return pdf.assign(smoothed=np.array(out, float))
-
-    return _grouped(points, frame, [T.StructField("smoothed", T.DoubleType())], run)
-
-
-def keypoints(points: DataFrame, m: float = 1.0, o: float = 0.0, axes: Sequence[str] = ("x", "y", "z"), frame: str = "frame", order: str = "point_id") -> DataFrame:
-    """points with keypoint: where a scan line turns, by how far the way from the last key point leaves its direction.
-
-    A sequential detector: at each point the squared cosine between the way from the last key point to the point before, and from
-    there to this one, is held against 1 - exp(-o - way / m^2)^4; below it the point before becomes a key point. The first and the last point
-    always are.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = pdf[list(axes)].to_numpy(float)
-        mask = np.zeros(len(x), bool)
-        if len(x):
-            mask[0] = mask[-1] = True
-            key = x[0]
-            for i in range(2, len(x)):
-                p = x[i - 1]
-                way, step = p - key, x[i] - p
-                far, near = float(way @ way), float(step @ step)
-                if far and near:
-                    turn = float(way @ step) ** 2 / (far * near)
-                    if turn < 1 - math.exp(-o - far / m**2) ** 4:
-                        mask[i - 1] = True
-                        key = p
-        return pdf.assign(keypoint=mask)
-
-    return _grouped(points, frame, [T.StructField("keypoint", T.BooleanType())], run)
-
-
-def simplify(points: DataFrame, tolerance: float, max_rounds: int = 200, axes: Sequence[str] = ("x", "y", "z"), frame: str = "frame", order: str = "point_id") -> DataFrame:
-    """points with corner: a polyline that stays within the tolerance; each round adds the farthest point of every segment that doesn't."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = pdf[list(axes)].to_numpy(float)
-        corner = np.zeros(len(x), bool)
-        if len(x):
-            corner[[0, -1]] = True
-        for _ in range(max_rounds):
-            at = np.flatnonzero(corner)
-            added = False
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                if b - a < 2:
-                    continue
-                d, inner = x[b] - x[a], x[a + 1 : b] - x[a]
-                n = d @ d
-                t = np.clip(inner @ d / n, 0, 1)[:, None] if n else 0.0
-                error = ((inner - t * d) ** 2).sum(1)
-                if error.max() > tolerance**2:
-                    corner[a + 1 + error.argmax()] = added = True
-            if not added:
-                break
-        return pdf.assign(corner=corner)
-
-    return _grouped(points, frame, [T.StructField("corner", T.BooleanType())], run)
+    """points with smoothed: the running mean before the own value is taken in; the first is the value itself. Frames are gone through in blocks (see scans.decayed)."""
+    return scans.decayed(points, [value], weight, 1 - weight, frame, order).withColumnRenamed(f"before_{value}", "smoothed")
 
 
 def align(points: DataFrame, axes: Sequence[str] = ("x", "y", "z"), frame: str = "frame") -> DataFrame:

@@ -51,8 +51,11 @@ class Config:
 def encode_frames(points: DataFrame, cfg: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """(headers, symbols) of points (frame and the axes): those that are no numbers are dropped, equal codes are one.
 
-    headers: a row for each frame, with what decoding needs and the sizes; symbols: occupancy by layer and node.
+    headers: a row for each frame, with what decoding needs and the sizes; symbols: occupancy by layer and node. What only streams can hold (payload, sort_bits,
+    chunk, archive, coders other than occupancy) is an error here: compress() has it.
     """
+    if cfg.payload or cfg.sort_bits or cfg.archive or cfg.chunk > 1 or min(ntree.plan_dims(cfg.dims, cfg.width)) <= 0:
+        raise ValueError("tables of symbols have no payload, sorted bits, chunks, archive or counters: use compress()")
     kept = points.where(G.finite([F.col(a) for a in cfg.axes]))
     if cfg.spherical:
         u, v, d = G.spherical(*[F.col(a) for a in cfg.axes])

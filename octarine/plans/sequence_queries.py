@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from octarine.operators import entropy, reports, sequences
+from octarine.operators import entropy, reports, scans, sequences
 from octarine.plans import views as V
 
 QUERIES: dict = {}
@@ -83,12 +83,34 @@ def ewma(spark, d):
     return sequences.smooth(V.signal(spark, d), "y").select("frame", "point_id", F.round("smoothed", 6).alias("smoothed"))
 
 
-@query()
+_EO = f"{V.EP}, k as (select *, row_number() over (partition by frame order by point_id) k, count(*) over (partition by frame) n, lag(x) over w px, lag(y) over w py, lag(z) over w pz from ep window w as (partition by frame order by point_id))"
+_WAY = "(k.px - e.kx) * (k.px - e.kx) + (k.py - e.ky) * (k.py - e.ky) + (k.pz - e.kz) * (k.pz - e.kz)"
+_STEP = "(k.x - k.px) * (k.x - k.px) + (k.y - k.py) * (k.y - k.py) + (k.z - k.pz) * (k.z - k.pz)"
+_DOT = "(k.px - e.kx) * (k.x - k.px) + (k.py - e.ky) * (k.y - k.py) + (k.pz - e.kz) * (k.z - k.pz)"
+
+
+@query(f"with recursive {_EO}, e as (select frame, k, x kx, y ky, z kz, false turn from k where k = 1 union all select frame, k, case when turn then px else kx end, case when turn then py else ky end, case when turn then pz else kz end, turn from (select k.frame, k.k, k.px, k.py, k.pz, e.kx, e.ky, e.kz, k.k > 2 and w > 0 and s > 0 and t * t / (w * s) < 1 - pow(exp(-w), 4) turn from e join k on k.frame = e.frame and k.k = e.k + 1, lateral (select {_WAY} w, {_STEP} s, {_DOT} t))) select k.frame, k.point_id, k.k = 1 or k.k = k.n or coalesce(t.turn, false) keypoint from k left join e t on t.frame = k.frame and t.k = k.k + 1")
 def scan_keypoints(spark, d):
     return sequences.keypoints(V.vectors(spark, d)).select("frame", "point_id", "keypoint")
 
 
-@query()
+def _corner_sql(rounds: int, tolerance: float) -> str:
+    """Rounds over all open segments: g<r> segments, m<r> the farthest point of each that is too far."""
+    axes = "xyz"
+    parts = [V.EP, "k as materialized (select *, row_number() over (partition by frame order by point_id) - 1 k, count(*) over (partition by frame) - 1 n from ep)", "g0 as materialized (select frame, 0::bigint a, max(n) b from k group by 1 having max(n) > 1)"]
+    for r in range(rounds):
+        way = {c: f"(q.{c} - p.{c})" for c in axes}
+        off = {c: f"(i.{c} - p.{c})" for c in axes}
+        n, d = (" + ".join(f"{x[c]} * {way[c]}" for c in axes) for x in (way, off))
+        e = " + ".join(f"({off[c]} - t * {way[c]}) * ({off[c]} - t * {way[c]})" for c in axes)
+        parts.append(f"e{r} as (select g.frame, g.a, g.b, i.k, {e} e from g{r} g join k p on p.frame = g.frame and p.k = g.a join k q on q.frame = g.frame and q.k = g.b join k i on i.frame = g.frame and i.k > g.a and i.k < g.b, lateral (select {n} way2, {d} along), lateral (select case when way2 > 0 then least(1.0, greatest(0.0, along / way2)) else 0.0 end t))")
+        parts.append(f"m{r} as materialized (select frame, a, b, arg_max(k, (e, -k)) m from e{r} group by all having max(e) > {tolerance} * {tolerance})")
+        parts.append(f"g{r + 1} as materialized (select frame, a, m b from m{r} union all select frame, m, b from m{r})")
+    all_ = " union all ".join(f"select frame, m from m{r}" for r in range(rounds))
+    return f"with {', '.join(parts)}, c as ({all_}) select k.frame, k.point_id, k.k = 0 or k.k = k.n or c.m is not null corner from k left join c on c.frame = k.frame and c.m = k.k"
+
+
+@query(_corner_sql(40, 0.2))
 def polyline_corners(spark, d):
     return sequences.simplify(V.vectors(spark, d), 0.2).select("frame", "point_id", "corner")
 
@@ -135,3 +157,10 @@ def adaptive_cost(spark, d):
 def range_round_trip(spark, d):
     """What comes back from the range coder's streams."""
     return entropy.range_decoded(entropy.range_coded(_symbols(spark, d), 64))
+
+
+@query(f"with recursive {V.VP}, s as (select frame, row_number() over (partition by frame order by point_id) k, point_id, trunc(y / 10)::bigint symbol from vp), e as (select frame, k, point_id, symbol, list_transform(range(64), lambda i: 1.0::double) counts from s where k = 1 union all select s.frame, s.k, s.point_id, s.symbol, list_transform(e.counts, lambda c, i: c * 0.98 + (i - 1 = e.symbol)::int) from e join s on s.frame = e.frame and s.k = e.k + 1) select frame, point_id, symbol, round(-log2(counts[symbol + 1] / list_sum(counts)), 6) as \"cost\" from e")
+def fading_cost(spark, d):
+    """Bits under counts that shrink with each symbol."""
+    got = scans.fading_cost(_symbols(spark, d), 64, 0.98)
+    return got.select("frame", "point_id", "symbol", F.round("cost", 6).alias("cost"))

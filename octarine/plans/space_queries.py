@@ -257,6 +257,17 @@ def pivots(spark, d):
     return got.select("frame", "layer", "node", F.round(F.col("pivots")[0], 9).alias("before"), F.round(F.col("pivots")[1], 9).alias("after"))
 
 
+_CIRCLE = f"{_NODES}, w as (select *, (node & 7)::double x, ((node >> 3) & 7)::double y, ((node >> 6) & 7)::double z, row_number() over (partition by frame, layer order by node) - 1 i, count(*) over (partition by frame, layer) n from nd), j as (select a.frame, a.layer, a.node, a.x, a.y, a.z, b.x bx, b.y by_, b.z bz, c.x cx, c.y cy, c.z cz from w a join w b on b.frame = a.frame and b.layer = a.layer and b.i = (a.i - 1 + a.n) % a.n join w c on c.frame = a.frame and c.layer = a.layer and c.i = (a.i + 1) % a.n), o as (select *, x + case when k & 1 = 1 then 0.25 else -0.25 end ox, y + case when k & 2 = 2 then 0.25 else -0.25 end oy, z + case when k & 4 = 4 then 0.25 else -0.25 end oz from j, range(8) r(k))"
+
+
+@query(f"{_CIRCLE} select frame, layer, node, k::int k, round(exp(-((ox - bx) * (ox - bx) + (oy - by_) * (oy - by_) + (oz - bz) * (oz - bz))), 9) before, round(exp(-((ox - cx) * (ox - cx) + (oy - cy) * (oy - cy) + (oz - cz) * (oz - cz))), 9) \"after\" from o")
+def circular_pivots(spark, d):
+    """The middles of children against the nodes around their parent, the last node being beside the first."""
+    n = _nodes(spark, d).withColumns({a: F.shiftright("node", 3 * k).bitwiseAND(7).cast("double") for k, a in enumerate("xyz")} | {f"box_{a}": F.lit(0.5) for a in "xyz"})
+    got = learning.circular_pivots(n)
+    return got.select("frame", "layer", "node", "k", F.round(F.col("pivots")[0], 9).alias("before"), F.round(F.col("pivots")[1], 9).alias("after"))
+
+
 @query(f"with {V.EP} select frame, point_id, row_number() over (partition by frame order by x, point_id)::int rank_x, row_number() over (partition by frame order by y, point_id)::int rank_y, row_number() over (partition by frame order by z, point_id)::int rank_z from ep")
 def axis_ranks(spark, d):
     n = V.vectors(spark, d).withColumnRenamed("point_id", "node")

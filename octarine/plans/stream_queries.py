@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octarine.functions.lineage import cut
-from octarine.operators import bitstream, closedtree, entropy, ntree, quantize, rangestream
+from octarine.functions.lineage import checkpoint_folder, cut, placed
+from octarine.operators import bitstream, closedtree, coding, entropy, ntree, quantize, rangestream
 from octarine.plans import views as V
+from octarine.sources import pointfiles, sink
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -67,8 +70,6 @@ def layered_range_round_trip(spark, d):
     models = cut(rangestream.tables(tree))
     coded = rangestream.write(tree.join(models, ["frame", "layer", "flag"]), chunk=PIECE)
     read = rangestream.read(coded, models, tree.groupBy("frame", "layer").agg(F.count(F.lit(1)).alias("n")), chunk=PIECE)
-    from octarine.functions.lineage import placed
-
     places = placed(tree.select("frame", "layer", "parent"), ["layer", "parent"])
     return places.join(read.drop("layer"), ["frame", "k"]).select("frame", "layer", "parent", "flag")
 
@@ -171,3 +172,40 @@ def foretold_symbols(spark, d):
     """What tables of the layers above foretell of a node's flag and cut, and what is left."""
     got = closedtree.predicted(cut(closedtree.encode(V.vectors(spark, d), RADIUS)[1]))
     return got.select("frame", "layer", "node", "context", "seen", "flag_guess", "hit", "rest_x", "rest_y", "rest_z", F.round("cost", 6).alias("cost"))
+
+
+# ---- codes through chunked streams, points through files
+
+
+def _chunk_round_trip(spark: SparkSession, d: str, dims: list[int]) -> DataFrame:
+    codes = _codes(spark, d)
+    flags, tails, _ = coding.write_streams(*coding.symbols(codes, dims, V.WIDTH, True), chunk=CHUNK)
+    frames = codes.groupBy("frame").agg(F.count(F.lit(1)).alias("out_points"))
+    return coding.read_streams(cut(flags), cut(tails), frames, dims, V.WIDTH, True, chunk=CHUNK)
+
+
+@query(f"with {_ONE} select frame, code from one")
+def occupancy_chunk_round_trip(spark, d):
+    """The whole table's codes as one frame: occupancy flags and tails through chunked streams and back."""
+    return _chunk_round_trip(spark, d, [3])
+
+
+@query(f"with {_ONE} select frame, code from one")
+def mixed_chunk_round_trip(spark, d):
+    """The same by a layer of counts, one of counts with an overflow, and flags of six dimensions."""
+    return _chunk_round_trip(spark, d, [0, -1, 6])
+
+
+@query(f"{_HALVES} select frame, count(*) n, sum(width)::bigint flag_bits, 0::bigint payload_bits from w group by frame")
+def chunk_stream_sizes(spark, d):
+    """What counts of all layers take in chunked streams."""
+    return coding.write_streams(*coding.symbols(_codes(spark, d), [0], V.WIDTH), chunk=CHUNK)[2]
+
+
+@query(f"with {V.EP} select frame::varchar frame, row_number() over (partition by frame order by point_id) - 1 point_id, x, y, z from ep")
+def file_round_trip(spark, d):
+    """Points written as PLY files, a file for each frame, and read again."""
+    folder = f"{checkpoint_folder(spark)}/files-{uuid.uuid4().hex}"
+    sink.write(V.vectors(spark, d), folder, "ply")
+    name = F.regexp_replace(F.element_at(F.split("frame", "/"), -1), "[.]ply$", "")
+    return pointfiles.read(spark, folder, keep=3).select(name.alias("frame"), "point_id", *"xyz")

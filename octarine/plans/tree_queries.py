@@ -205,7 +205,7 @@ def payload_bits(spark, d):
     return ntree.payload(_codes(spark, d, "morton"), [3], WIDE).withColumn("tail_bits", F.col("tail_bits").cast("bigint"))
 
 
-@query(f"{_TREE}, d as (select frame, row_number() over (order by frame) frame_no from (select distinct frame from lp)), f as materialized (select frame_no, layer, parent, flag from s join d using (frame)), z as materialized (select frame_no + 1 frame_no, layer, parent, flag from f) select f.frame_no::bigint frame_no, f.layer::int layer, f.parent, f.flag, xor(f.flag, coalesce(z.flag, 0)) delta from f left join z on f.frame_no = z.frame_no and f.layer = z.layer and f.parent = z.parent")
+@query(f"{_TREE}, d as (select frame, row_number() over (order by frame) frame_no from (select distinct frame from lp)), f as (select frame_no, layer, parent, flag, lag(flag) over w flag0, lag(frame_no) over w frame0 from s join d using (frame) window w as (partition by layer, parent order by frame_no)) select frame_no::bigint frame_no, layer::int layer, parent, flag, xor(flag, case when frame0 = frame_no - 1 then flag0 else 0 end) delta from f")
 def differential_tree(spark, d):
     tree = _tree(spark, d)
     frames = V.line_points(spark, d).select("frame").distinct()

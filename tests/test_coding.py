@@ -53,3 +53,16 @@ def test_differences_of_frames_come_back(spark):
     want = flags.select("frame_no", "layer", "parent", "flag")
     got = coding.undo_differences(ntree.differential(flags).drop("flag")).select(*want.columns)
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize(("dims", "payload"), [((3,), False), ((2, 3, 5), True), ((0,), False), ((0, 0, 2, 3), True), ((-1,), True), ((-1, -1, 1), False)])
+def test_chunked_streams_come_back(spark, dims, payload):
+    width = 9
+    rows = rows_of(4, width, (40, 1, 90, 2))
+    codes = spark.createDataFrame(rows, "frame int, code long")
+    made = coding.symbols(codes, dims, width, payload)
+    flags, tails, sizes = coding.write_streams(*made, chunk=16)
+    told = {r.frame: (r.n, r.flag_bits, r.payload_bits) for r in sizes.collect()}
+    assert told == {r.frame: (r.n, r.flag_bits, r.payload_bits) for r in coding.write(*made).collect()}
+    back = coding.read_streams(flags, tails, codes.groupBy("frame").agg(F.count(F.lit(1)).alias("out_points")), dims, width, payload, chunk=16)
+    assert sorted(map(tuple, back.collect())) == rows
