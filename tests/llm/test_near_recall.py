@@ -72,6 +72,7 @@ def test_first_of_a_variant_links_all(spark):
     r = random.Random(7)
     fps = {r.getrandbits(20) for _ in range(60)}
     fps |= {f ^ 1 << r.randrange(20) ^ 1 << r.randrange(20) for f in list(fps) for _ in range(3)}
+    fps |= {min(fps) ^ 1 << k for k in range(20)}  # a crowd around one value
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
 
     def parts(pairs):
