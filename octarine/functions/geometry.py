@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,27 +51,38 @@ def area(a: Vector, b: Vector, c: Vector) -> Column:
     return magnitude(face_normal(a, b, c), root=True) / 2
 
 
+class Projection(NamedTuple):
+    """A way to write heights as a scanner sees them: told from height, distance and distance in the plane, and the height from what was told and the distance."""
+
+    tell: Callable[[Column, Column, Column, float], Column]
+    height: Callable[[Column, Column, float, float], Column]
+
+
+#: Fixed formulas. stretch belongs to the distance, lift to the height; a cone's height is not the inverse of what it tells.
+PROJECTIONS = {
+    "cone": Projection(lambda h, _, flat, stretch: F.try_divide(h, flat * stretch), lambda told, d, lift, stretch: told * (d + stretch) + lift),
+    "sphere": Projection(lambda h, d, _, stretch: F.asin(F.try_divide(h, d + stretch)), lambda told, d, lift, stretch: F.sin(told) * (d + stretch) - lift),
+}
+
+
+def _projection(mode: str) -> Projection:
+    if found := PROJECTIONS.get(mode):
+        return found
+    raise ValueError(f"a projection is one of {', '.join(PROJECTIONS)}, not {mode!r}")
+
+
 def spherical(x: Column, y: Column, z: Column, z_off: float = 0.0, d_off: float = 0.0, mode: str = "sphere") -> list[Column]:
-    """u = atan2(x, y), v, d. sphere: v = asin((z + z_off) / (d + d_off)); cone: v = (z + z_off) / (length of (x, y) * d_off). A zero divisor gives null."""
-    d = magnitude((x, y, z), root=True)
-    if mode == "sphere":
-        v = F.asin(F.try_divide(z + z_off, d + d_off))
-    elif mode == "cone":
-        v = F.try_divide(z + z_off, magnitude((x, y), root=True) * d_off)
-    else:
-        raise ValueError(f"unknown mode: {mode}")
-    return [F.atan2(x, y), v, d]
+    """The bearing atan2(x, y), what the projection tells of z + z_off, and the distance. A zero divisor gives null."""
+    distance = magnitude((x, y, z), root=True)
+    told = _projection(mode).tell(z + z_off, distance, magnitude((x, y), root=True), d_off)
+    return [F.atan2(x, y), told, distance]
 
 
 def cartesian(u: Column, v: Column, d: Column, z_off: float = 0.0, d_off: float = 0.0, mode: str = "sphere") -> list[Column]:
-    r = d + z_off
-    if mode == "sphere":
-        z = F.sin(v) * (d + d_off) - z_off
-    elif mode == "cone":
-        z = v * (d + d_off) + z_off
-    else:
-        raise ValueError(f"unknown mode: {mode}")
-    return [F.sin(u) * F.cos(v) * r, F.cos(u) * F.cos(v) * r, z]
+    """x, y and z from the bearing u, what was told (v), and the distance."""
+    height = _projection(mode).height(v, d, z_off, d_off)
+    in_plane = F.cos(v) * (d + z_off)
+    return [F.sin(u) * in_plane, F.cos(u) * in_plane, height]
 
 
 def finite(cols: Sequence[Column]) -> Column:

@@ -81,8 +81,8 @@ def smooth(points: DataFrame, value: str, weight: float = 0.9, frame: str = "fra
     return scans.decayed(points, [value], weight, 1 - weight, frame, order).withColumnRenamed(f"before_{value}", "smoothed")
 
 
-def align(points: DataFrame, axes: Sequence[str] = ("x", "y", "z"), frame: str = "frame") -> DataFrame:
-    """points with a<k>: the frame's principal axes, the widest first, about its mean; the signs make each axis' largest part positive.
+def align(points: DataFrame, axes: Sequence[str] = ("x", "y", "z"), frame: str = "frame", keep: bool = False) -> DataFrame:
+    """points with a<k>: the frame's principal axes, the widest first, about its mean; the signs make each axis' largest part positive. keep: with mean and basis, for unalign().
 
     Means and covariances are one aggregation; a row for each frame is solved in Python and joined back.
     """
@@ -112,7 +112,14 @@ def align(points: DataFrame, axes: Sequence[str] = ("x", "y", "z"), frame: str =
         for i in range(1, n):
             s = s + centred[i] * F.col("basis")[k * n + i]
         out[f"a{k}"] = s
-    return met.withColumns(out).drop("mean", "basis")
+    return met.withColumns(out) if keep else met.withColumns(out).drop("mean", "basis")
+
+
+def unalign(aligned: DataFrame, axes: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+    """align()'s rows (a<k>, mean, basis) with the axes back from the principal ones."""
+    n = len(axes)
+    back = {a: sum((F.col(f"a{k}") * F.col("basis")[k * n + i] for k in range(n)), F.col("mean")[i]) for i, a in enumerate(axes)}
+    return aligned.withColumns(back).drop("mean", "basis")
 
 
 def augment(points: DataFrame, seed: int = 42, frame: str = "frame") -> DataFrame:

@@ -21,6 +21,7 @@ class Config:
     axes and their bits; dims of the layers, which name their coders (see coding.symbols); order of the bits (packed, morton, or a
     permutation); spherical: code u, v, d instead; sort_bits: each frame's bits by how rare they are; payload: lone codes as they are;
     chunk: so many frames coded as one, each with its place in chunk_bits of its own; archive: deflate the streams, whose size then counts.
+    offset, scale: of all frames, a number for each axis, in place of each frame's own; sort_absolute: bits by the larger of set and unset; sort_reverse: the other way round.
     """
 
     axes: Sequence[str] = ("x", "y", "z")
@@ -33,6 +34,10 @@ class Config:
     chunk: int = 1
     chunk_bits: int = 8
     archive: bool = False
+    offset: Sequence[float] | None = None
+    scale: Sequence[float] | None = None
+    sort_absolute: bool = False
+    sort_reverse: bool = False
 
     @property
     def width(self) -> int:
@@ -60,9 +65,9 @@ def encode_frames(points: DataFrame, cfg: Config = Config()) -> tuple[DataFrame,
     if cfg.spherical:
         u, v, d = G.spherical(*[F.col(a) for a in cfg.axes])
         kept = kept.select("frame", *[F.coalesce(c, F.lit(0.0)).alias(a) for a, c in zip(cfg.axes, (u, v, d), strict=True)])
-    codes = quantize.encode(kept, cfg.bits, cfg.axes, order=cfg.order).select("frame", "code").distinct()
+    codes = quantize.encode(kept, cfg.bits, cfg.axes, order=cfg.order, offset=cfg.offset, scale=cfg.scale).select("frame", "code").distinct()
     symbols = ntree.symbols(codes, cfg.dims, cfg.width)
-    stats = quantize.frame_stats(kept, cfg.axes).withColumnRenamed("n", "inp_points")
+    stats = quantize.with_fixed(quantize.frame_stats(kept, cfg.axes), cfg.axes, cfg.offset, cfg.scale).withColumnRenamed("n", "inp_points")
     sizes = ntree.bit_cost(symbols).withColumnRenamed("bits", "flag_bits").join(codes.groupBy("frame").agg(F.count(F.lit(1)).alias("out_points")), "frame")
     heads = stats.join(sizes, "frame").withColumns({"payload_bits": F.lit(0).cast("bigint"), "archive_bits": F.lit(None).cast("bigint"), "dims": F.array(*map(F.lit, cfg.dims)), "bits_per_dim": F.array(*map(F.lit, cfg.bits))})
     return heads, symbols
@@ -107,13 +112,14 @@ def compress(points: DataFrame, cfg: Config = Config()) -> DataFrame:
         placed = sequences.chunks(kept.select("frame").distinct(), cfg.chunk, "frame")
         kept = kept.join(placed, "frame").withColumn("frame", F.col("chunk")).drop("chunk")
         names = placed.groupBy(F.col("chunk").alias("frame")).agg(F.sort_array(F.collect_list(F.struct("slot", F.col("frame").alias("name")))).alias("frames"))
-    codes = quantize.encode(kept, cfg.bits, cfg.axes, order=cfg.order)
+    codes = quantize.encode(kept, cfg.bits, cfg.axes, order=cfg.order, offset=cfg.offset, scale=cfg.scale)
     if cfg.chunk > 1:
         codes = codes.withColumn("code", F.col("code") + F.shiftleft(F.col("slot").cast("bigint"), sum(cfg.bits)))
     codes = cut(codes.select("frame", "code").distinct())
-    heads = quantize.frame_stats(kept, cfg.axes).withColumnRenamed("n", "inp_points").join(codes.groupBy("frame").agg(F.count(F.lit(1)).alias("out_points")), "frame")
+    stats = quantize.with_fixed(quantize.frame_stats(kept, cfg.axes), cfg.axes, cfg.offset, cfg.scale)
+    heads = stats.withColumnRenamed("n", "inp_points").join(codes.groupBy("frame").agg(F.count(F.lit(1)).alias("out_points")), "frame")
     if cfg.sort_bits:
-        order = cut(quantize.bit_order(quantize.bit_counts(codes, cfg.width, ["frame"]), ["frame"]))
+        order = cut(quantize.bit_order(quantize.bit_counts(codes, cfg.width, ["frame"]), ["frame"], cfg.sort_absolute, cfg.sort_reverse))
         codes, heads = coding.sorted_bits(codes, order, cfg.width), heads.join(order, "frame")
     written = coding.write(*coding.symbols(codes, cfg.dims, cfg.width, cfg.payload), archive=cfg.archive)
     heads = heads if names is None else heads.join(names, "frame")

@@ -203,6 +203,20 @@ def principal_axes(spark, d):
     return sequences.align(V.vectors(spark, d)).select("frame", "point_id", *[F.round(f"a{k}", 9).alias(f"a{k}") for k in range(3)])
 
 
+@query(f"with {V.EP} select frame, point_id, round(x, 6) x, round(y, 6) y, round(z, 6) z from ep")
+def principal_axes_back(spark, d):
+    """The points from their principal axes."""
+    aligned = sequences.align(V.vectors(spark, d), keep=True).drop(*"xyz")
+    return sequences.unalign(aligned).select("frame", "point_id", *_rounded("xyz"))
+
+
+@query(f"with {V.EP}, s as (select frame, point_id, atan2(x, y) u, asin(z / sqrt(x * x + y * y + z * z)) v, sqrt(x * x + y * y + z * z) d from ep), w as (select frame, " + ", ".join(f"min({a}) l{a}, max({a}) h{a}" for a in "uvd") + " from s group by 1) select frame, point_id, " + ", ".join(f"round(({a} - l{a}) / nullif(h{a} - l{a}, 0), 6) {a}" for a in "uvd") + " from s join w using (frame)")
+def spherical_norm(spark, d):
+    """Spherical coordinates from 0 to 1 in each frame."""
+    s = V.vectors(spark, d).select("frame", "point_id", *[c.alias(n) for n, c in zip("uvd", G.spherical(*_cols()), strict=True)])
+    return quantize.min_max(s, "uvd").select("frame", "point_id", *[F.round(f"n{a}", 6).alias(a) for a in "uvd"])
+
+
 @query()
 def augmented(spark, d):
     return sequences.augment(V.vectors(spark, d)).select("frame", "point_id", *"xyz")

@@ -134,11 +134,26 @@ def bit_algebra(spark, d):
 
 @query(f"with {V.CODES}, k as (select frame, code, row_number() over (partition by frame order by code) - 1 i from c) select frame, i // 48 word, b plane, cast(sum(((code >> (23 - b)::int) & 1) << (47 - i % 48)::int) as bigint) bits from k, range(24) r(b) group by all")
 def bit_transpose(spark, d):
-    from pyspark.sql import Window as W
+    return quantize.bit_planes(_codes(spark, d), WIDE).drop("n")
 
-    k = _codes(spark, d).withColumn("i", F.row_number().over(W.partitionBy("frame").orderBy("code")) - 1)
-    planes = k.select("frame", F.floor(F.col("i") / 48).alias("word"), (F.col("i") % 48).alias("at"), F.posexplode(F.array(*[B.bit(F.col("code"), WIDE - 1 - b) for b in range(WIDE)])).alias("plane", "v"))
-    return planes.groupBy("frame", "word", F.col("plane").cast("bigint").alias("plane")).agg(F.sum(F.call_function("shiftleft", F.col("v"), (47 - F.col("at")).cast("int"))).alias("bits"))
+
+@query(f"with {V.CODES}, k as (select frame, code, row_number() over (partition by frame order by code) - 1 i from c) select frame, i // 48 word, i % 48 as \"at\", code from k")
+def bit_transpose_back(spark, d):
+    """Codes from their bit planes."""
+    return quantize.from_planes(quantize.bit_planes(_codes(spark, d), WIDE), WIDE)
+
+
+_FIXED = ", ".join(f"floor(({a} + {o}) * (127.5 / {s}))::bigint q{a}" for a, o, s in (("x", 1.0, 60.0), ("y", 10.0, 120000.0), ("z", 0.5, 1.0)))
+
+
+@query(f"with {V.LP}, q as (select frame, {_FIXED} from lp), u as (select distinct frame, qx, qy, qz from q) select frame, round(qx * (60.0 / 127.5) - 1.0 + (60.0 / 127.5) / 2, 6) x, round(qy * (120000.0 / 127.5) - 10.0 + (120000.0 / 127.5) / 2, 6) y, round(qz * (1.0 / 127.5) - 0.5 + (1.0 / 127.5) / 2, 6) z from u")
+def fixed_scale_round_trip(spark, d):
+    """Points through compress() and expand() in a box that is given for all frames, with bits sorted by how skewed they are."""
+    from octarine.plans import codec
+
+    cfg = codec.Config(bits=V.BITS, sort_bits=True, sort_absolute=True, sort_reverse=True, offset=(1.0, 10.0, 0.5), scale=(60.0, 120000.0, 1.0))
+    back = codec.expand(cut(codec.compress(V.line_points(spark, d), cfg)), cfg)
+    return back.select("frame", *[F.round(a, 6).alias(a) for a in "xyz"])
 
 
 @query(f"{_TREE} select frame, layer::int layer, 3 dim, parent, flag, children, n from s")
