@@ -289,18 +289,47 @@ def entropy_map(spark, d):
     return got.select("frame", "code", F.array_join(F.transform("e", lambda x: F.round(x * 1e6).cast("bigint").cast("string")), ",").alias("e"))
 
 
-@query()
+def _radius_sql(radius: float, layers: int) -> str:
+    """CTEs of all layers of trees of shared boxes: p<k> the points in their nodes (less the node's middle c), n<k> the nodes, d<k> the leaves."""
+    ks = range(3)
+    sides = ", ".join(f"struct_pack(s := -(max({a}) - min({a})) / 2 - {radius} / 2, axis := {k}, mid := (min({a}) + max({a})) / 2)" for k, a in enumerate("xyz"))
+    own = ", ".join(f"b{k}, a{k}, o{k}, c{k}, p{k}" for k in ks)
+    parts = [
+        V.EP,
+        f"bx as (select frame f, list_sort([{sides}]) s from ep group by frame)",
+        "p0 as materialized (select frame, 1::bigint node, " + ", ".join(f"-s[{k + 1}].s b{k}, s[{k + 1}].axis a{k}, s[{k + 1}].mid o{k}, 0.0::double c{k}, [x, y, z][s[{k + 1}].axis + 1] - s[{k + 1}].mid p{k}" for k in ks) + " from ep join bx on frame = f)",
+    ]
+    for j in range(layers):
+        dims = " + ".join(f"(b{k} > {radius})::int" for k in ks)
+        child = " + ".join(f"(b{k} > {radius} and p{k} >= 0)::int * {1 << k}" for k in ks)
+        parts.append(f"q{j} as materialized (select frame, node, {own}, {dims} dims, {child} child from p{j})")
+        parts.append(f"n{j} as materialized (select frame, node, max(dims) dims, bool_or(greatest({', '.join(f'abs(p{k})' for k in ks)}) > {radius}) keep, bit_or(1::bigint << child)::bigint flag, count(*) n from q{j} where dims > 0 group by all)")
+        parts.append(f"d{j} as (select distinct q.frame, q.node, {', '.join(f'a{k}, o{k}, c{k}' for k in ks)} from q{j} q left join n{j} n on n.frame = q.frame and n.node = q.node where n.node is null or not n.keep)")
+        half = lambda k: f"case when b{k} > {radius} then b{k} / 2 else b{k} end"
+        moved = lambda k: f"case when b{k} > {radius} then p{k} + case when p{k} >= 0 then -(b{k} / 2) else b{k} / 2 end else p{k} end"
+        middle = lambda k: f"case when b{k} > {radius} then c{k} + case when p{k} >= 0 then b{k} / 2 else -(b{k} / 2) end else c{k} end"
+        parts.append(f"p{j + 1} as materialized (select q.frame, (q.node << q.dims) | q.child node, " + ", ".join(f"{half(k)} b{k}, a{k}, o{k}, {middle(k)} c{k}, {moved(k)} p{k}" for k in ks) + f" from q{j} q join n{j} n on n.frame = q.frame and n.node = q.node where n.keep)")
+    return "with " + ", ".join(parts)
+
+
+_RADIUS = _radius_sql(0.05, 10)
+_SYMBOLS = " union all ".join(f"select frame, {j} layer, node, dims, case when keep then flag else 0 end::bigint flag, n from n{j}" for j in range(10))
+_LEAVES = " union all ".join(f"select * from d{j}" for j in range(10))
+
+
+@query(f"{_RADIUS} select * from ({_SYMBOLS})")
 def radius_tree(spark, d):
     return dyntree.encode(V.vectors(spark, d), 0.05)[1]
 
 
-@query()
+@query(f"{_RADIUS} select frame, " + ", ".join("round(" + " + ".join(f"case when a{k} = {j} then c{k} + o{k} else 0.0 end" for k in range(3)) + f", 9) {a}" for j, a in enumerate("xyz")) + f" from ({_LEAVES})")
 def radius_tree_decode(spark, d):
     points = V.vectors(spark, d)
-    return dyntree.decode(*dyntree.encode(points, 0.05), 0.05)
+    back = dyntree.decode(*dyntree.encode(points, 0.05), 0.05)
+    return back.select("frame", *[F.round(a, 9).alias(a) for a in "xyz"])
 
 
-def _mean_sql(radius: float, layers: int) -> str:
+def _mean_sql(radius: float, layers: int, split: bool = False) -> str:
     axes = list(zip("xyz", ("hx", "hy", "hz"), ("mx", "my", "mz"), strict=True))
     dims = " + ".join(f"({h} > {radius})::int" for _, h, _ in axes)
     child = " + ".join(f"({h} > {radius} and {a} >= {m})::int * {1 << j}" for j, (a, h, m) in enumerate(axes))
@@ -315,6 +344,9 @@ def _mean_sql(radius: float, layers: int) -> str:
             f"p{k + 1} as materialized (select frame, (node << 3) + child node, x, y, z from q{k} where dims > 0)",
         ]
     rows = " union all ".join(f"select * from o{k}" for k in range(layers))
+    if split:
+        mask = " + ".join(f"({h} > {radius})::bigint * {1 << j}" for j, (_, h, _) in enumerate(axes))
+        return f"with {', '.join(parts)} select frame, layer, node, dims, ({mask})::bigint split, flag from ({rows})"
     return f"with {', '.join(parts)} select frame, layer, node, dims, flag, n, " + ", ".join(f"round({m}, 6) mean_{a}, round({h}, 6) box_{a}" for a, h, m in axes) + f" from ({rows})"
 
 
@@ -400,7 +432,7 @@ def chunk_round_trip(spark, d):
     return own.join(back, "frame").groupBy("chunk", "inp_points").agg(F.count(F.lit(1)).alias("frames")).select("chunk", "frames", "inp_points")
 
 
-@query()
+@query(_mean_sql(0.05, 20, split=True))
 def mean_stream_round_trip(spark, d):
     """The mean-split trees' flags through bit streams and back."""
     written = dyntree.mean_streams(dyntree.mean_split(V.vectors(spark, d), 0.05), 0.05)
