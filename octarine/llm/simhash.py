@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -80,20 +80,13 @@ def _masks(bits: int) -> np.ndarray:
     return np.array([0, *[1 << k for k in range(bits)]], np.uint64)
 
 
-def near_pairs(distinct: DataFrame, radius: int = RADIUS, bits: int = BITS, before: bool = True) -> DataFrame:
-    """(a, b): pairs of the different values in fp that link all that differ in no more than radius of their lowest bits, though not each pair of them.
+def _met(distinct: DataFrame, bits: int, choose: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """choose(value, number, begins) of each range of hashed variants, over those where different values of fp meet.
 
-    Meet in the middle: each value goes to all variants within half the radius of it (itself and, for a radius of two,
-    those with one bit changed); two values within the radius meet at one variant at least. At most 65 different values can
-    stand at one variant, so no group is large however many copies there are; there each is paired with the first and, if before, with the one before it, as
-    all of them are within the radius of each other. Variants travel in packed lists, by ranges of their hashes:
-    sorted, as differences, each with the number of the bit that tells which value it comes from. A larger radius is
-    refused: the variants would be too many.
+    Each value goes to itself and all values with one of its lowest bits changed. value: what came to a variant; number: 0 for the
+    variant itself, or the changed bit's place and 1, which orders those at one variant; begins: true for the first of each variant. Variants travel in packed lists, by ranges
+    of their hashes: sorted, as differences, each with its number, which tells the value that it comes from.
     """
-    if radius not in (0, 2):
-        raise ValueError("radius must be 0 or 2")
-    if radius == 0:
-        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
     masks = _masks(bits)
     groups = max(12, distinct.count() * len(masks) // GROUP + 1)
     width = np.uint64((1 << 64) // groups)
@@ -121,18 +114,59 @@ def near_pairs(distinct: DataFrame, radius: int = RADIUS, bits: int = BITS, befo
         v, w = np.concatenate(spread), np.concatenate(which)
         order = np.argsort(v, kind="stable")
         v, w = v[order], w[order]
-        begins = np.concatenate([[True], v[1:] != v[:-1]])
-        first = np.maximum.accumulate(np.where(begins, np.arange(len(v)), 0))
+        same = v[1:] == v[:-1]
+        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        v, w = v[shared], w[shared]
+        order = np.lexsort((w, v))
+        v, w = v[order], w[order]
+        return choose(((v * _UNMIX) ^ masks[w]).view(np.int64), w, np.concatenate([[True], v[1:] != v[:-1]])[: len(v)])
+
+    dealt = distinct.select("fp").mapInArrow(deal, "part long, packed binary")
+    return dealt.groupBy("part").applyInPandas(meet, schema)
+
+
+def near_pairs(distinct: DataFrame, radius: int = RADIUS, bits: int = BITS) -> DataFrame:
+    """(a, b): pairs of the different values in fp that link all that differ in no more than radius of their lowest bits, though not each pair of them.
+
+    Meet in the middle: each value goes to all variants within half the radius of it (itself and, for a radius of two,
+    those with one bit changed); two values within the radius meet at one variant at least. At most 65 different values can
+    stand at one variant, so no group is large however many copies there are; there each is paired with the first and with the one before it, as
+    all of them are within the radius of each other. A larger radius is refused: the variants would be too many.
+    """
+    if radius not in (0, 2):
+        raise ValueError("radius must be 0 or 2")
+    if radius == 0:
+        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
+
+    def choose(value: np.ndarray, number: np.ndarray, begins: np.ndarray) -> pd.DataFrame:
+        first = np.maximum.accumulate(np.where(begins, np.arange(len(value)), 0))
         later = np.flatnonzero(~begins)
-        value = lambda k: ((v[k] * _UNMIX) ^ masks[w[k]]).view(np.int64)
-        mine = value(later)
-        pairs = np.stack([value(first[later]), mine])
-        pairs = np.concatenate([pairs, np.stack([value(later - 1), mine])], 1) if before else pairs
+        pairs = np.concatenate([np.stack([value[first[later]], value[later]]), np.stack([value[later - 1], value[later]])], 1)
         pairs = np.unique(np.sort(pairs, 0), axis=1)
         return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "part long, packed binary")
-    return dealt.groupBy("part").applyInPandas(meet, "a long, b long").distinct()
+    return _met(distinct, bits, choose, "a long, b long").distinct()
+
+
+def nearest_crowds(distinct: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
+    """(a, b): for each value a in fp that is within two bits of another, the first of those at its most crowded variant, or what follows it if it is the first.
+
+    One row for each value, so a crowd of values that are all near each other costs no more rows than it has values. Ties: the larger b.
+    """
+
+    def choose(value: np.ndarray, number: np.ndarray, begins: np.ndarray) -> pd.DataFrame:
+        starts = np.flatnonzero(begins)
+        size = np.diff(starts, append=len(value))
+        other = np.repeat(value[starts], size)
+        other[starts] = value[starts + 1]  # at least two stand at each variant
+        size = np.repeat(size, size)
+        order = np.lexsort((other, size, value))
+        value, size, other = value[order], size[order], other[order]
+        last = np.concatenate([value[1:] != value[:-1], [True]])[: len(value)]
+        return pd.DataFrame({"a": value[last], "size": size[last], "b": other[last]})
+
+    met = _met(distinct, bits, choose, "a long, size long, b long")
+    return met.groupBy("a").agg(F.max(F.struct("size", "b")).alias("m")).select("a", "m.b")
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
@@ -243,12 +277,12 @@ def like_pairs(owners: DataFrame, docs: DataFrame, least: float = LEAST, words:
     Texts whose slots of one table are within two bits are candidates. Each is held against the centres of its slots: the texts
     around which most others lie, which are what a crowd of copies was made from. First against its best centre; then, if that doesn't link them,
     against those of its other tables; last, what is left over around a centre chooses a centre of its own. So a crowd
-    costs some pairs for each text, never all pairs. Slots are made distinct before they are paired, and crowded ones are joined, never gathered.
+    costs some pairs for each text, never all pairs. Slots are made distinct before they are paired, each with one other, and crowded ones are joined, never gathered.
     """
     members = owners.select("key", F.explode("slots").alias("slot"))
     own = cut(members.groupBy("slot").agg(F.count(F.lit(1)).alias("n")))
-    near = near_pairs(own.select(F.col("slot").alias("fp")), RADIUS, SLOT_BITS, before=False)
-    near = cut(near.union(near.select("b", "a")))
+    near = nearest_crowds(own.select(F.col("slot").alias("fp")))
+    near = cut(near.union(near.select("b", "a")).distinct())
     around = near.join(own.hint("merge"), near.b == own.slot).groupBy("a").agg(F.sum("n").alias("n_around"))
     crowd = own.join(around.hint("merge"), own.slot == around.a, "left").select("slot", (F.col("n") + F.coalesce("n_around", F.lit(0))).alias("crowd")).where("crowd > 1")
     at = cut(members.join(cut(crowd).hint("merge"), "slot"))
@@ -265,9 +299,14 @@ def like_pairs(owners: DataFrame, docs: DataFrame, least: float = LEAST, words:
 
 
 def _apart(pairs: DataFrame, linked: DataFrame, one: str, two: str) -> DataFrame:
-    """The rows of pairs whose ends are not joined by links yet."""
-    groups = cut(connected_components(linked))
-    side = lambda c: groups.select(F.col("node").alias(f"_{c}"), F.col("component").alias(f"of_{c}")).hint("merge")
+    """The rows of pairs whose ends no two links join yet.
+
+    A label that goes two steps is the same for all that link to one centre. What is joined by longer ways alone is kept, and costs a comparison.
+    """
+    both = cut(linked.union(linked.select("b", "a")))
+    least = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
+    groups = cut(both.join(least.hint("merge"), both.b == least.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("label")))
+    side = lambda c: groups.select(F.col("node").alias(f"_{c}"), F.col("label").alias(f"of_{c}")).hint("merge")
     met = pairs.join(side(one), F.col(one) == F.col(f"_{one}"), "left").join(side(two), F.col(two) == F.col(f"_{two}"), "left")
     return met.where(F.coalesce(f"of_{one}", one) != F.coalesce(f"of_{two}", two)).select(*pairs.columns)
 

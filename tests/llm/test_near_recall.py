@@ -68,11 +68,15 @@ def test_fingerprints_differ_with_the_sets():
     assert len(whole) == simhash.TABLES and (whole >> simhash.SLOT_BITS).tolist() == list(range(simhash.TABLES))
 
 
-def test_first_of_a_variant_links_all(spark):
-    r = random.Random(7)
+def crowded(seed):
+    r = random.Random(seed)
     fps = {r.getrandbits(20) for _ in range(60)}
     fps |= {f ^ 1 << r.randrange(20) ^ 1 << r.randrange(20) for f in list(fps) for _ in range(3)}
-    fps |= {min(fps) ^ 1 << k for k in range(20)}  # a crowd around one value
+    return fps | {min(fps) ^ 1 << k for k in range(20)}  # a crowd around one value
+
+
+def test_pairs_link_what_all_pairs_link(spark):
+    fps = crowded(7)
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
 
     def parts(pairs):
@@ -83,11 +87,30 @@ def test_first_of_a_variant_links_all(spark):
                 f = lead[f]
             return f
 
-        for p in pairs:
-            assert (p.a ^ p.b).bit_count() <= 2
-            lead[max(top(p.a), top(p.b))] = min(top(p.a), top(p.b))
+        for a, b in pairs:
+            lead[max(top(a), top(b))] = min(top(a), top(b))
         return {f: top(f) for f in fps}
 
-    few, many = (simhash.near_pairs(df, 2, 20, before=x).collect() for x in (False, True))
-    assert parts(few) == parts(many) and len(few) < len(many)
-    assert simhash.near_pairs(df.where(F.lit(False)), 2, 20, before=False).count() == 0
+    near = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2]
+    got = [(x.a, x.b) for x in simhash.near_pairs(df, 2, 20).collect()]
+    assert set(got) <= set(near) and parts(got) == parts(near)
+    assert simhash.near_pairs(df.where(F.lit(False)), 2, 20).count() == 0
+
+
+def test_one_other_from_the_most_crowded_variant(spark):
+    fps = crowded(8)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long").repartition(3)
+    steps = [0, *[1 << k for k in range(20)]]
+    at = {}
+    for f in fps:
+        for k, m in enumerate(steps):
+            at.setdefault(f ^ m, []).append((k, f))
+    best = {}
+    for met in at.values():
+        met.sort()
+        for k, (_, f) in enumerate(met):
+            if len(met) > 1:
+                best[f] = max(best.get(f, (0, 0)), (len(met), met[0 if k else 1][1]))
+    got = {x.a: x.b for x in simhash.nearest_crowds(df, 20).collect()}
+    assert got == {f: other for f, (_, other) in best.items()}
+    assert simhash.nearest_crowds(df.where(F.lit(False)), 20).count() == 0
