@@ -67,25 +67,32 @@ def decayed(points: DataFrame, values: Sequence[str], keep: float, gain: float,
     return rows.join(begun, [frame, "_block"]).groupBy(frame, "_block").applyInPandas(run, T.StructType(fields))
 
 
-def fading_cost(symbols: DataFrame, size: int, gate: float, frame: str = "frame", order: str = "point_id", symbol: str = "symbol", block: int = BLOCK) -> DataFrame:
+def fading_cost(symbols: DataFrame, size: int, gate: float, frame: str = "frame", order: str = "point_id", symbol: str = "symbol", block: int = BLOCK, others: bool = False) -> DataFrame:
     """symbols (0 to size - 1) with cost: bits under counts that start at one; before a symbol's own count grows by one, all shrink by gate.
 
-    The counts that a block begins with are a row of size numbers for it, by the same scan as decayed().
+    others: whether there may be symbols of size and above. They are in no count, so their cost is null, and counts only shrink by them. The counts that a block begins with are a row of size numbers for it, by the same scan as decayed().
+    All is in logarithms: what is not seen for long fades below the least number of a double (at a gate of 0.98 after 37,000 symbols), but has a cost.
     """
     rows, key, columns = _blocked(symbols, order, frame, block), symbols.schema[frame], symbols.columns
+    fade = math.log2(gate)
 
     def maps(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         s = pdf.sort_values("_k")[symbol].to_numpy(np.int64)
-        if len(s) and (s.min() < 0 or s.max() >= size):
+        if len(s) and (s.min() < 0 or (s.max() >= size and not others)):
             raise ValueError(f"symbols are to be from 0, and below {size}")
-        sums = np.bincount(s, gate ** np.arange(len(s) - 1, -1, -1.0), size)
+        at = np.flatnonzero(s < size)
+        last = np.zeros(size, np.int64)
+        np.maximum.at(last, s[at], at)
+        sums = np.bincount(s[at], gate ** (last[s[at]] - at).astype(float), size)
+        with np.errstate(divide="ignore"):
+            sums = np.log2(sums) + (len(s) - 1 - last) * fade
         return pd.DataFrame([(k[0], k[1], len(s), sums.tolist())], columns=[frame, "_block", "n", "sums"])
 
     def starts(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, out = pdf.sort_values("_block"), np.ones(size), []
+        pdf, state, out = pdf.sort_values("_block"), np.zeros(size), []
         for n, sums in zip(pdf["n"], pdf["sums"], strict=True):
             out.append(state.tolist())
-            state = gate**n * state + np.array(sums)
+            state = np.logaddexp2(n * fade + state, np.array(sums, float))
         return pd.DataFrame({frame: [k[0]] * len(out), "_block": pdf["_block"], "_state": out})
 
     doubles = T.ArrayType(T.DoubleType())
@@ -94,13 +101,17 @@ def fading_cost(symbols: DataFrame, size: int, gate: float, frame: str = "frame"
 
     def run(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_k")
-        count, since = np.array(pdf["_state"].iloc[0]), np.zeros(size, np.int64)
-        total, out = float(count.sum()), []
-        for t, s in enumerate(pdf[symbol].to_numpy(np.int64)):
-            own = count[s] * gate ** (t - since[s])
-            out.append(-math.log2(own / total))
-            count[s], since[s], total = own * gate + 1, t + 1, total * gate + 1
-        return pdf[columns].assign(cost=out)
+        count, since = np.array(pdf["_state"].iloc[0], float).tolist(), [0] * size
+        total, out = sum(2.0**c for c in count), []
+        for t, s in enumerate(pdf[symbol].tolist()):
+            if s >= size:
+                out.append(None)
+                total *= gate
+                continue
+            own = count[s] + (t - since[s]) * fade
+            out.append(math.log2(total) - own)
+            count[s], since[s], total = math.log2(2.0**own * gate + 1), t + 1, total * gate + 1
+        return pdf[columns].assign(cost=pd.Series(out, pdf.index, object))
 
     return rows.join(begun, [frame, "_block"]).groupBy(frame, "_block").applyInPandas(run, T.StructType([*symbols.schema.fields, T.StructField("cost", T.DoubleType())]))
 

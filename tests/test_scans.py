@@ -49,6 +49,24 @@ def test_decay_and_fading_counts(spark, block):
         scans.fading_cost(table(spark, [("a", 1, 0.0, 0.0, 0.0, 5)]), 5, 0.9).collect()
 
 
+@pytest.mark.parametrize("block", [1, 3, 1 << 16])
+def test_fading_counts_with_symbols_beyond_them(spark, block):
+    symbols = [5, 0, 1, 9, 1, 4, 5, 0]
+    df = table(spark, [("a", k, 0.0, 0.0, 0.0, s) for k, s in enumerate(symbols)])
+    got = {x.point_id: x.cost for x in scans.fading_cost(df, 5, 0.9, block=block, others=True).collect()}
+    counts = [1.0] * 5
+    for k, s in enumerate(symbols):
+        assert got[k] is None if s >= 5 else got[k] == pytest.approx(-math.log2(counts[s] / sum(counts)))
+        counts = [c * 0.9 + (j == s) for j, c in enumerate(counts)]
+
+
+@pytest.mark.parametrize("block", [500, 1 << 16])
+def test_fading_counts_below_the_least_double(spark, block):
+    df = table(spark, [("a", k, 0.0, 0.0, 0.0, int(k == 1200)) for k in range(1201)])
+    got = {x.point_id: x.cost for x in scans.fading_cost(df, 2, 0.5, block=block).collect()}
+    assert got[1200] == pytest.approx(1200 + math.log2(sum(0.5**k for k in range(60))))
+
+
 def slow_keys(x, m, o):
     mask = [k in (0, len(x) - 1) for k in range(len(x))]
     key = x[0]
