@@ -71,9 +71,12 @@ def deltas(points: DataFrame, value: str, frame: str = "frame", order: str = "po
 
 
 def next_marked(points: DataFrame, mark: str, value: str, frame: str = "frame", order: str = "point_id") -> DataFrame:
-    """points with next_value: that of the next marked row after each."""
-    w = _by(frame, order).rowsBetween(1, W.unboundedFollowing)
-    return points.withColumn("next_value", F.first(F.when(F.col(mark), F.col(value)), ignorenulls=True).over(w))
+    """points with next_value: that of the next marked row after each.
+
+    The order is gone through backwards, as a frame that grows keeps its last value, while one that shrinks is read anew for each row.
+    """
+    w = W.partitionBy(frame).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1)
+    return points.withColumn("next_value", F.last(F.when(F.col(mark), F.col(value)), ignorenulls=True).over(w))
 
 
 def smooth(points: DataFrame, value: str, weight: float = 0.9, frame: str = "frame", order: str = "point_id") -> DataFrame:

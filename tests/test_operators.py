@@ -1,6 +1,7 @@
 """Round trips, golden vectors and brute force for the point-cloud operators."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -266,6 +267,15 @@ def test_circular_neighbours_of_short_frames(spark):
     assert got == {k: [float((k + s) % 3) for s in (-2, -1, 1, 2)] for k in range(3)}
 
 
+def test_next_marked_takes_time_in_proportion(spark):
+    n = 100_000
+    df = spark.range(n).select(F.lit(0).alias("frame"), F.col("id").alias("point_id"), F.col("id").cast("double").alias("y"), (F.col("id") % 30_000 == 29_999).alias("mark"))
+    start = time.monotonic()
+    got = {r.point_id: r.next_value for r in sequences.next_marked(df, "mark", "y").collect()}
+    assert time.monotonic() - start < 30  # one read of all later rows for each row took minutes
+    assert all(got[k] == (None if k >= 89_999 else (k + 1) // 30_000 * 30_000 + 29_999.0) for k in range(n))
+
+
 def test_keypoints_and_corners(spark):
     line = [(0, k, float(k), 0.0, 0.0) for k in range(6)] + [(0, 6 + k, 5.0, float(k + 1), 0.0) for k in range(6)]
     df = spark.createDataFrame(line, "frame int, point_id int, x double, y double, z double")
