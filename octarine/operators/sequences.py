@@ -34,9 +34,15 @@ def scan_rings(points: DataFrame, value: str = "y", frame: str = "frame", order:
     return points.withColumn("_t", F.coalesce(turned, F.lit(0))).withColumn("ring", F.sum("_t").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_t")
 
 
-def rank_rings(rings: DataFrame, height: str = "z", frame: str = "frame") -> DataFrame:
-    """(frame, ring, mean, rank): rings in the order of their mean height; ties: the lower ring."""
-    means = rings.groupBy(frame, "ring").agg(F.avg(height).alias("mean"))
+def rank_rings(rings: DataFrame, height: str = "z", frame: str = "frame", digits: int = 9) -> DataFrame:
+    """(frame, ring, mean, rank): rings in the order of their mean height; ties: the lower ring.
+
+    Heights are summed as whole numbers of units of 10^-digits, so that rows in another order give the same mean, and equal means are equal. A ring
+    with heights that are too large for that, or not finite, has the mean of its doubles.
+    """
+    units = F.expr(f"try_cast(round({height} * 1e{digits}) as decimal(28, 0))")
+    exact = (F.count(units) == F.count(F.col(height))) & (F.count(units) > 0)
+    means = rings.groupBy(frame, "ring").agg(F.when(exact, F.try_divide(F.try_divide(F.sum(units).cast("double"), F.count(units)), F.lit(10.0**digits))).otherwise(F.avg(height)).alias("mean"))
     return means.withColumn("rank", F.row_number().over(W.partitionBy(frame).orderBy("mean", "ring")))
 
 

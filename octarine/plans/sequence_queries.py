@@ -33,9 +33,11 @@ def scan_ring(spark, d):
     return sequences.scan_rings(_signal(spark, d, 50)).select("frame", "point_id", "ring")
 
 
-@query(f"{_SHIFTED}, m as (select frame, ring, avg(y) mean from g group by all) select frame, ring, round(mean, 6) mean, row_number() over (partition by frame order by mean, ring)::int rank from m")
+@query(f"{_SHIFTED}, m as (select frame, ring, sum(round(y * 1e9)::decimal(28, 0))::double / count(y) / 1e9 mean from g group by all) select frame, ring, round(mean, 6) mean, row_number() over (partition by frame order by mean, ring)::int rank from m")
 def ring_rank(spark, d):
-    return sequences.rank_rings(sequences.scan_rings(_signal(spark, d, 50)), "y").select("frame", "ring", F.round("mean", 6).alias("mean"), "rank")
+    """Rings in the order of their exact mean; ties: the lower ring."""
+    ranked = sequences.rank_rings(sequences.scan_rings(_signal(spark, d, 50)), "y")
+    return ranked.select("frame", "ring", (F.round(F.col("mean") * 1e6) / 1e6).alias("mean"), "rank")
 
 
 @query(f"with {V.VP}, i as (select frame, point_id, trunc(y)::bigint v from vp) select frame, point_id, coalesce(sum(v) over (partition by frame order by point_id rows between unbounded preceding and 1 preceding), 0)::bigint before, sum(v) over (partition by frame order by point_id rows unbounded preceding)::bigint upto from i")

@@ -267,6 +267,14 @@ def test_circular_neighbours_of_short_frames(spark):
     assert got == {k: [float((k + s) % 3) for s in (-2, -1, 1, 2)] for k in range(3)}
 
 
+def test_rings_of_equal_mean_heights(spark):
+    heights = {0: [0.3, 0.2, 0.1], 1: [0.1, 0.2, 0.3], 2: [0.2], 3: [0.1], 4: [-1e25, 1e25], 5: [float("inf"), 1.0]}
+    df = spark.createDataFrame([(0, r, y) for r, ys in heights.items() for y in ys], "frame int, ring long, y double")
+    got = sequences.rank_rings(df, "y").orderBy("rank").collect()
+    assert [r.ring for r in got] == [4, 3, 0, 1, 2, 5]
+    assert [r.mean for r in got] == [0.0, 0.1, 0.2, 0.2, 0.2, math.inf]
+
+
 def test_next_marked_takes_time_in_proportion(spark):
     n = 100_000
     df = spark.range(n).select(F.lit(0).alias("frame"), F.col("id").alias("point_id"), F.col("id").cast("double").alias("y"), (F.col("id") % 30_000 == 29_999).alias("mark"))
