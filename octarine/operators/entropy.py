@@ -12,7 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from octarine.functions import ranges as R
-from octarine.functions.lineage import cut
+from octarine.functions.lineage import cut, placed
+
+#: Symbols that one task range codes as one stream.
+BLOCK = 1 << 16
 
 
 def frequencies(symbols: DataFrame, by: Sequence[str], symbol: str = "flag") -> DataFrame:
@@ -85,19 +88,23 @@ def read_streams(written: DataFrame, dims: Sequence[int], width: int, frame: str
     return written.select(frame, "stream").mapInPandas(run, schema)
 
 
-def range_coded(symbols: DataFrame, size: int, frame: str = "frame", symbol: str = "symbol", order: str = "point_id") -> DataFrame:
-    """(frame, n, counts, stream): each frame's symbols (below size), range coded by its own counts."""
-    schema = T.StructType([symbols.schema[frame], T.StructField("n", T.LongType()), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("stream", T.BinaryType())])
+def range_coded(symbols: DataFrame, size: int | None = None, frame: str = "frame", symbol: str = "symbol", order: str = "point_id", block: int = BLOCK) -> DataFrame:
+    """(frame, block, n, symbols, counts, stream): each frame's symbols in blocks, range coded by the block's own counts.
+
+    Any whole numbers can be symbols: a block lists those that it has, in ascending order, with their counts. size: symbols are to be from 0, and below that. A
+    block is what one task codes, so frames can be of any size; those of up to so many rows are one stream.
+    """
+    schema = T.StructType([symbols.schema[frame], *[T.StructField(c, T.LongType()) for c in ("block", "n")], *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("symbols", "counts")], T.StructField("stream", T.BinaryType())])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values(order)[symbol].to_numpy()
-        counts = [int((values == k).sum()) for k in range(size)]
-        sums = [0]
-        for c in counts:
-            sums.append(sums[-1] + c)
-        return pd.DataFrame({frame: [key[0]], "n": [len(values)], "counts": [counts], "stream": [R.encode(values.tolist(), sums)]})
+        own, at, counts = np.unique(pdf.sort_values("_k")["_s"].to_numpy(np.int64), return_inverse=True, return_counts=True)
+        if size is not None and (own[0] < 0 or own[-1] >= size):
+            raise ValueError(f"symbols are to be from 0, and below {size}")
+        sums = [0, *np.cumsum(counts).tolist()]
+        return pd.DataFrame({frame: [key[0]], "block": [key[1]], "n": [len(at)], "symbols": [own.tolist()], "counts": [counts.tolist()], "stream": [R.encode(at.tolist(), sums)]})
 
-    return symbols.select(frame, symbol, order).groupBy(frame).applyInPandas(run, schema)
+    rows = placed(symbols.select(frame, F.col(symbol).alias("_s"), F.col(order).alias("_o")), ["_o"], frame, "_k")
+    return rows.select(frame, F.floor(F.col("_k") / F.lit(block)).alias("block"), "_k", "_s").groupBy(frame, "block").applyInPandas(run, schema)
 
 
 def range_decoded(coded: DataFrame, frame: str = "frame") -> DataFrame:
@@ -106,15 +113,14 @@ def range_decoded(coded: DataFrame, frame: str = "frame") -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for key, n, counts, data in zip(pdf[frame], pdf["n"], pdf["counts"], pdf["stream"], strict=True):
-                sums = [0]
-                for c in counts:
-                    sums.append(sums[-1] + int(c))
-                rows += [(key, k, s) for k, s in enumerate(R.decode(bytes(data), sums, int(n)))]
-            yield pd.DataFrame(rows, columns=schema.names)
-
-    return coded.select(frame, "n", "counts", "stream").mapInPandas(run, schema)
+            for key, first, n, own, counts, data in zip(*[pdf[c] for c in (frame, "_first", "n", "symbols", "counts", "stream")], strict=True):
+                at = np.fromiter(R.decode(bytes(data), [0, *np.cumsum(counts).tolist()], int(n)), np.int64, int(n))
+                yield pd.DataFrame({frame: [key] * len(at), "k": int(first) + np.arange(len(at)), "symbol": np.asarray(own)[at]})
+
+    first = F.coalesce(F.sum("n").over(W.partitionBy(frame).orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    # a row is a stream, and some bytes stand for a block of symbols: rows are dealt anew, or all of a frame's would be decoded by one task
+    dealt = coded.select(frame, "block", "n", "symbols", "counts", "stream").withColumn("_first", first).repartition(F.col(frame), F.col("block"))
+    return dealt.mapInPandas(run, schema)
 
 
 def bit_entropy(codes: DataFrame, width: int, rounds: int, frame: str = "frame", key: str = "code", cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:

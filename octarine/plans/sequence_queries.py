@@ -158,7 +158,7 @@ def adaptive_cost(spark, d):
 @query(f"with {V.VP} select frame, row_number() over (partition by frame order by point_id) - 1 k, trunc(y / 10)::bigint symbol from vp")
 def range_round_trip(spark, d):
     """What comes back from the range coder's streams."""
-    return entropy.range_decoded(entropy.range_coded(_symbols(spark, d), 64))
+    return entropy.range_decoded(entropy.range_coded(_symbols(spark, d)))
 
 
 @query(f"with recursive {V.VP}, s as (select frame, row_number() over (partition by frame order by point_id) k, point_id, trunc(y / 10)::bigint symbol from vp), e as (select frame, k, point_id, symbol, list_transform(range(64), lambda i: 1.0::double) counts from s where k = 1 union all select s.frame, s.k, s.point_id, s.symbol, list_transform(e.counts, lambda c, i: c * 0.98 + (i - 1 = e.symbol)::int) from e join s on s.frame = e.frame and s.k = e.k + 1) select frame, point_id, symbol, round(-log2(counts[symbol + 1] / list_sum(counts)), 6) as \"cost\" from e")

@@ -255,6 +255,16 @@ def test_entropy_bounds_the_range_coder(spark):
     assert [r.symbol for r in entropy.range_decoded(coded).orderBy("k").collect()] == [r[2] for r in rows]
 
 
+@pytest.mark.parametrize("block", [1, 7, 1 << 16])
+def test_range_coder_takes_any_symbol(spark, block):
+    rows = [(f"f{k % 2}", k, s) for k, s in enumerate([3, 78, -1, 3, 1 << 40, 64, 3, 3, 0, 78, 64, 5, -(1 << 50)])]
+    df = spark.createDataFrame(rows, "frame string, point_id long, symbol long").repartition(3)
+    got = [(r.frame, r.k, r.symbol) for r in entropy.range_decoded(entropy.range_coded(df, block=block)).collect()]
+    assert sorted(got) == sorted((f, k // 2, s) for f, k, s in rows)
+    with pytest.raises(Exception, match="below 64"):
+        entropy.range_coded(df, 64).collect()
+
+
 def test_bit_entropy_values(spark):
     codes = spark.createDataFrame([(0, c) for c in (0, 1, 3, 7)], "frame int, code long")
     got = {r.code: r.e for r in entropy.bit_entropy(codes, 3, 1).collect()}
