@@ -174,6 +174,18 @@ def test_nearest_by_brute_force(spark, k, seed):
             assert got[p.point_id, j][0] == other and math.isclose(got[p.point_id, j][1], dist)
 
 
+def test_nearest_in_clusters_that_begin_with_finer_cells(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(2500, 3)), rng.normal(size=(1500, 3)) * 0.01 + 2, rng.normal(size=(20, 3)) * 40])
+    df = spark.createDataFrame([(0, k, *map(float, v)) for k, v in enumerate(x)], "frame long, point_id long, x double, y double, z double")
+    got = {(r.point_id, r["rank"]): (r.other_id, r.dist) for r in neighbours.nearest(df, df, 3).collect()}
+    assert len(got) == 3 * len(x)
+    for k, v in enumerate(x):
+        d = np.sqrt(((x - v) ** 2).sum(1))
+        best = np.lexsort((np.arange(len(x)), d))[:3]
+        assert [got[k, j + 1][0] for j in range(3)] == best.tolist() and np.allclose([got[k, j + 1][1] for j in range(3)], d[best])
+
+
 def test_nearest_of_nothing(spark):
     a = cloud(spark, 5, 1)
     assert neighbours.nearest(a, a.limit(0)).count() == 0 and neighbours.nearest(a.limit(0), a).count() == 0
