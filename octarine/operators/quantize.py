@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from octarine.functions import bits as B
-from octarine.functions.lineage import placed
+from octarine.functions.lineage import placed, spread
 
 AXES = ("x", "y", "z")
 
@@ -30,7 +30,7 @@ def quantize(points: DataFrame, bits: Sequence[int], axes: Sequence[str] = AXES,
         return _fixed(points, bits, axes, frame, offset, scale)
     stats = frame_stats(points, axes, frame).drop("n")
     q = {f"q{a}": ((F.col(a) + F.col(f"offset_{a}")) * (F.lit(((1 << b) - 1) * 0.5) / F.col(f"scale_{a}"))).cast("bigint") for a, b in zip(axes, bits, strict=True)}
-    return points.join(stats, frame).withColumns(q)
+    return spread(points, stats, frame).withColumns(q)
 
 
 def with_fixed(stats: DataFrame, axes: Sequence[str], offset: Sequence[float] | None, scale: Sequence[float] | None) -> DataFrame:
@@ -51,7 +51,7 @@ def _fixed(points: DataFrame, bits: Sequence[int], axes: Sequence[str], frame: s
     for a, b in zip(axes, bits, strict=True):
         v = F.floor((F.col(a) + F.col(f"offset_{a}")) * (F.lit(((1 << b) - 1) * 0.5) / F.col(f"scale_{a}")))
         q[f"q{a}"] = F.when((v < 0) | (v >= 1 << b), F.raise_error(F.lit(f"a value of {a} is outside of the given offset and scale")).cast("bigint")).otherwise(v.cast("bigint"))
-    return points.join(stats, frame).withColumns(q)
+    return spread(points, stats, frame).withColumns(q)
 
 
 def encode(points: DataFrame, bits: Sequence[int], axes: Sequence[str] = AXES, frame: str = "frame", order: str | Sequence[int] = "packed", offset: Sequence[float] | None = None, scale: Sequence[float] | None = None) -> DataFrame:

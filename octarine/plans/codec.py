@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from octarine.functions import bits as B
 from octarine.functions import geometry as G
-from octarine.functions.lineage import cut
+from octarine.functions.lineage import cut, spread
 from octarine.operators import coding, entropy, ntree, quantize, sequences
 
 
@@ -93,7 +93,7 @@ def reordered(codes: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """Codes with their bits in the order of how rare they are, and each frame's permutation that brings them back."""
     order = quantize.bit_order(quantize.bit_counts(codes, width, ["frame"]), ["frame"])
     new = B.total([F.shiftleft(F.call_function("shiftrightunsigned", F.col("code"), F.get("p", F.lit(j)).cast("int")).bitwiseAND(F.lit(1).cast("bigint")), j) for j in range(width)])
-    return codes.join(order, "frame").select("frame", new.alias("code")), order
+    return spread(codes, order, "frame").select("frame", new.alias("code")), order
 
 
 def compress(points: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -110,7 +110,7 @@ def compress(points: DataFrame, cfg: Config = Config()) -> DataFrame:
         if cfg.chunk > 1 << cfg.chunk_bits:
             raise ValueError(f"{cfg.chunk} frames need more than {cfg.chunk_bits} bits")
         placed = sequences.chunks(kept.select("frame").distinct(), cfg.chunk, "frame")
-        kept = kept.join(placed, "frame").withColumn("frame", F.col("chunk")).drop("chunk")
+        kept = spread(kept, placed, "frame").withColumn("frame", F.col("chunk")).drop("chunk")
         names = placed.groupBy(F.col("chunk").alias("frame")).agg(F.sort_array(F.collect_list(F.struct("slot", F.col("frame").alias("name")))).alias("frames"))
     codes = quantize.encode(kept, cfg.bits, cfg.axes, order=cfg.order, offset=cfg.offset, scale=cfg.scale)
     if cfg.chunk > 1:

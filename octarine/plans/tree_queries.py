@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from octarine.functions import bits as B
-from octarine.functions.lineage import cut, numbered
+from octarine.functions.lineage import cut, numbered, spread
 from octarine.operators import coding, dyntree, entropy, ntree, quantize, reports
 from octarine.plans import views as V
 
@@ -98,7 +98,7 @@ def bit_sort_absolute(spark, d):
 @query(f"{_BITS}, r as (select frame, bit, row_number() over (partition by frame order by ones, bit) - 1 k from o) select c.frame, c.code, cast(sum(((c.code >> bit::int) & 1) << k::int) as bigint) sorted_code, true round_trip from c join r on r.frame = c.frame group by all")
 def bit_sorted_codes(spark, d):
     codes, order = _codes(spark, d), quantize.bit_order(_ordered(spark, d), ["frame"]).select("frame", "p")
-    met = codes.join(order, "frame")
+    met = spread(codes, order, "frame")
     new = B.total([F.shiftleft(F.call_function("shiftrightunsigned", F.col("code"), F.get("p", F.lit(j)).cast("int")).bitwiseAND(F.lit(1).cast("bigint")), j) for j in range(WIDE)])
     out = met.withColumn("sorted_code", new)
     return out.select("frame", "code", "sorted_code", (B.permute_by(F.col("sorted_code"), F.col("p"), WIDE) == F.col("code")).alias("round_trip"))

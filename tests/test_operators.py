@@ -186,6 +186,19 @@ def test_nearest_in_clusters_that_begin_with_finer_cells(spark):
         assert [got[k, j + 1][0] for j in range(3)] == best.tolist() and np.allclose([got[k, j + 1][1] for j in range(3)], d[best])
 
 
+def test_rows_of_one_frame_are_dealt_to_many_tasks(spark):
+    own = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(own, ("false", "-1", "16"), strict=True):
+            spark.conf.set(k, v)
+        df = spark.range(2000).select(F.lit("a").alias("frame"), *[F.col("id").cast("double").alias(a) for a in "xyz"])
+        got = quantize.encode(df, (8, 8, 8)).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+    assert sum(r.n for r in got) == 2000 and max(r.n for r in got) < 600  # a join by frame brought all to one
+
+
 def test_nearest_of_nothing(spark):
     a = cloud(spark, 5, 1)
     assert neighbours.nearest(a, a.limit(0)).count() == 0 and neighbours.nearest(a.limit(0), a).count() == 0
