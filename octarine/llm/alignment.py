@@ -7,9 +7,9 @@ import json
 import os
 import uuid
 from array import array
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate, chain, count
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -32,28 +32,6 @@ CACHE, BLOCK = 250_000, 6 << 20
 LOW = 17
 
 
-def slices(a_ends: Sequence[int], b_ends: Sequence[int]) -> list[tuple[int, int, int, int]]:
-    """(from, to, from, to): the groups of tokens of a and b between the ends that both have; ends are cumulative and grow."""
-    at_a, at_b = dict(zip(a_ends, count(1))), dict(zip(b_ends, count(1)))
-    out, i, j = [], 0, 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        out.append((i, i := at_a[end], j, j := at_b[end]))
-    return out
-
-
-def links(group: tuple[int, int, int, int], a_ends: Sequence[int], b_ends: Sequence[int]) -> list[tuple[int, int]]:
-    """The places of tokens of a group whose bytes overlap."""
-    i, a_to, j, b_to = group
-    if a_to - i == 1 or b_to - j == 1:
-        return [(x, y) for x in range(i, a_to) for y in range(j, b_to)]
-    out = []
-    while i < a_to:
-        out.append((i, j))
-        one, two = a_ends[i], b_ends[j]
-        i, j = i + (one <= two), j + (two <= one)
-    return out
-
-
 def byte_characters() -> dict[str, int]:
     """Byte-level vocabularies write a byte as a character: itself where that is seen, else the next one from 256 on."""
     seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -85,6 +63,7 @@ class Aligner:
             self.a_bytes[k] = bytes(map(byte_of.__getitem__, name))
         pieces = map(self.b.id_to_piece, range(self.b.vocab_size()))
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
         self.names = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
         with open(byte_bpe, encoding="utf-8") as file:
             told = json.load(file)
@@ -97,22 +76,36 @@ class Aligner:
 
     def _aligned(self, text: str, a: list[int], b: list[int]) -> Aligned | None:
         """None where the bytes of the tokens are not those of a space and the text."""
-        x, y = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
         wanted = (" " + text).encode()
-        if b"".join(x) != wanted or b"".join(y) != wanted:
+        if b"".join([self.a_bytes[k] for k in a]) != wanted or b"".join([self.b_bytes[k] for k in b]) != wanted:
             return None
-        a_ends, b_ends = list(accumulate(map(len, x))), list(accumulate(map(len, y)))
-        groups, names = slices(a_ends, b_ends), self.names
-        told, codes = [], array("q")
-        for g in groups:
-            i, k, j, m = g
-            if k - i == 1 and m - j == 1:
-                told.append(f"{names[a[i]]}|{names[b[j]]}")
-                codes.append(b[j] << LOW | a[i])
+        names, n_a, n_b = self.names, len(a), len(b)
+        if n_a == 1 or n_b == 1:  # one group, in which all overlap
+            told = f"{','.join([names[t] for t in a])}|{','.join([names[t] for t in b])}"
+            return Aligned(n_a, n_b, 1, n_a * n_b, told, array("q", [v << LOW | u for u in a for v in b]).tobytes())
+        # both side by side: the token that ends first is followed by its next, and a group ends where both do
+        a_sizes, b_sizes, told, codes = self.a_sizes, self.b_sizes, [], []
+        i = j = i_from = j_from = 0
+        lead = a_sizes[a[0]] - b_sizes[b[0]]
+        while True:
+            codes.append(b[j] << LOW | a[i])
+            if lead > 0:
+                j += 1
+                lead -= b_sizes[b[j]]
+            elif lead < 0:
+                i += 1
+                lead += a_sizes[a[i]]
             else:
-                told.append(f"{','.join([names[t] for t in a[i:k]])}|{','.join([names[t] for t in b[j:m]])}")
-                codes.extend([b[v] << LOW | a[u] for u, v in links(g, a_ends, b_ends)])
-        return Aligned(len(a), len(b), len(groups), len(codes), ";".join(told), codes.tobytes())
+                i, j = i + 1, j + 1
+                if i - i_from == 1 and j - j_from == 1:
+                    told.append(f"{names[a[i_from]]}|{names[b[j_from]]}")
+                else:
+                    told.append(f"{','.join([names[t] for t in a[i_from:i]])}|{','.join([names[t] for t in b[j_from:j]])}")
+                if i == n_a or j == n_b:
+                    break
+                i_from, j_from = i, j
+                lead = a_sizes[a[i]] - b_sizes[b[j]]
+        return Aligned(n_a, n_b, len(told), len(codes), ";".join(told), array("q", codes).tobytes())
 
     def _align(self, texts: list[str]) -> list[Aligned | None]:
         """Each text with a space before it."""
@@ -231,7 +224,7 @@ def _block(own: Aligner, number: int, ids: list[int | None], texts: list[str | N
     told = [m.text for m in met]
     digests = [hashlib.sha256(";".join(map(told.__getitem__, d)).encode()).hexdigest() if d else "" for d in docs]
     at, ends = np.fromiter(chain.from_iterable(docs), np.int32), np.cumsum([len(d) for d in docs], dtype=np.int64)
-    per_chunk = [np.fromiter((m[k] for m in met), np.int64, len(met)) for k in range(4)]
+    per_chunk = np.array([m[:4] for m in met], np.int64).reshape(-1, 4).T
     times = np.bincount(at, minlength=len(met))
     pairs, linked = np.unique(np.frombuffer(b"".join([m.codes for m in met]), np.int64), return_inverse=True)
     counts = np.bincount(linked, np.repeat(times, per_chunk[3]), len(pairs)).astype(np.int64)
