@@ -32,8 +32,8 @@ _UNMIX = np.uint64(pow(int(_MIX), -1, 1 << 64))
 SLICE, GROUP = 1 << 16, 1 << 22
 #: Texts that are looked up by a broadcast of their keys; more are joined by a shuffle.
 MOST_SENT = 1_000_000
-#: Longs of a text's parities. Texts that meet at a shingle before it counts as heavy, and the most heavy ones that all tasks hold. A block of sets has 1 << BLOCK_BITS keys.
-PARITIES, SHARED, MOST_HEAVY, BLOCK_BITS = 2, 16, 1 << 20, 7
+#: Longs of a text's parities. Texts that have a shingle before it counts as heavy, one text in how many is asked for that, and the most heavy ones that all tasks hold. A block of sets has 1 << BLOCK_BITS keys.
+PARITIES, SHARED, EVERY, MOST_HEAVY, BLOCK_BITS = 2, 16, 8, 1 << 20, 7
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -215,16 +215,19 @@ def _signed(x: list[int]) -> np.ndarray:
     return np.array(x, np.uint64).view(np.int64)
 
 
-def ordered(found: np.ndarray, heavy: np.ndarray, least: float) -> np.ndarray:
-    """The first shingles of a text, of which two texts of a similarity of least or more share one: all but so many as both must have, the heavy ones last.
+def ordered(found: np.ndarray, heavy: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles of a text, of which two texts of a similarity of least or more share one: all but so many as both must have, the heavy ones (sorted, and the place of each) last.
 
     Any order that is the same for all texts would do; with what many texts have at the end, few texts meet at one shingle.
     """
-    n = len(found)
+    n, (values, places) = len(found), heavy
     if not n:
         return found
-    known = np.isin(found, heavy) if len(heavy) else np.zeros(n, bool)
-    return np.concatenate([found[~known], found[known]])[: n - math.ceil(least * n - 1e-9) + 1]
+    if len(values):
+        at = np.minimum(np.searchsorted(values, found), len(values) - 1)
+        known = values[at] == found
+        found = np.concatenate([found[~known], found[known][np.argsort(places[at[known]])]])
+    return found[: n - math.ceil(least * n - 1e-9) + 1]
 
 
 def parities(found: np.ndarray) -> np.ndarray:
@@ -233,25 +236,31 @@ def parities(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def heavy_shingles(docs: DataFrame, least: float = LEAST, words: int = LIKE_WORDS) -> np.ndarray:
-    """Sorted: the shingles at which more than SHARED texts would meet if all were ordered by their hashes alone, no more than MOST_HEAVY of them. Ones that are left out cost time, no pairs."""
-    none = np.zeros(0, np.uint64)
+def heavy_shingles(docs: DataFrame, words: int = LIKE_WORDS) -> np.ndarray:
+    """The shingles that more than SHARED in all texts have, rarer ones first, no more than MOST_HEAVY of them; judged by all shingles of one text in EVERY, chosen by a hash.
+
+    They say only in which order a text's shingles are tried, so ones that are left out cost time, no pairs. A text's first shingles alone would not do: those that stand
+    behind the first in one order are first in the next, when heavy ones have gone to the end.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [ordered(shingles(words_of(x), words), none, least) for x in b.column(0).to_pylist()]
-            values, n = np.unique(np.concatenate([none, *found]), return_counts=True)
+            found = [shingles(words_of(x), words) for x in b.column(0).to_pylist()]
+            values, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n, pa.int64())], ["shingle", "n"])
 
     small_batches(docs.sparkSession)
-    counts = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > SHARED)
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(EVERY)) == 0)
+    counts = some.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > SHARED // EVERY)
     top = counts.orderBy(F.desc("n"), "shingle").limit(MOST_HEAVY).select("shingle").toPandas()["shingle"]
-    return np.sort(top.to_numpy(np.int64).view(np.uint64))
+    return top.to_numpy(np.int64).view(np.uint64)[::-1]
 
 
 def signatures(docs: DataFrame, least: float = LEAST, words: int = LIKE_WORDS) -> DataFrame:
     """(doc_id, text_key, key, n, odd, first) of each row of docs (doc_id, text): n is the number of its different shingles; see parities() and ordered()."""
-    heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, least, words))
+    last = heavy_shingles(docs, words)
+    places = np.argsort(last)
+    heavy = docs.sparkSession.sparkContext.broadcast((last[places], places))
     small_batches(docs.sparkSession)
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("text_key long, key long, n long, odd array<long>, first array<long>").fields])
 

@@ -56,3 +56,13 @@ def test_all_similar_pairs_are_linked(spark):
     assert linked <= {tuple(sorted((keys[a], keys[b]))) for a, b in pairs}
     assert parts(len(texts), [(first[a], first[b]) for a, b in linked] + [(first[k], x) for x, k in enumerate(keys)]) == want
     assert {x.doc_id for x in simhash.near_unique(df).collect()} == set(want)
+
+
+def test_no_first_shingle_is_of_a_passage_that_all_share(spark):
+    """A passage longer than what is a text's own: wherever its shingles' hashes lie, none of them is among a text's first fifth, at which texts meet."""
+    r = random.Random(5)
+    passage = [f"common{k}" for k in range(120)]
+    texts = [" ".join([f"own{r.random()}" for _ in range(80)] + passage) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    shared = simhash.signatures(df).selectExpr("explode(first) s").groupBy("s").count().where("count > 1")
+    assert shared.count() == 0
