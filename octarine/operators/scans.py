@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from octarine.functions.lineage import cut, placed
 
-#: Rows of a block.
-BLOCK = 1 << 16
+#: Rows of a block, and those whose counts are held at once.
+BLOCK, STEPS = 1 << 16, 1 << 10
 
 
 def _named(frame: T.StructField, *fields: tuple[str, T.DataType]) -> T.StructType:
@@ -116,6 +116,78 @@ def fading_cost(symbols: DataFrame, size: int, gate: float, frame: str = "frame"
     return rows.join(begun, [frame, "_block"]).groupBy(frame, "_block").applyInPandas(run, T.StructType([*symbols.schema.fields, T.StructField("cost", T.DoubleType())]))
 
 
+def stepped_cost(symbols: DataFrame, size: int, gate: float, frame: str = "frame", order: str = "point_id", symbol: str = "symbol", block: int = BLOCK) -> DataFrame:
+    """fading_cost() with others, as numbers of double precision that are rounded at each step have it, to the last bit.
+
+    What is not seen for long stops fading at some least doubles (25 of them at a gate of 0.98), or is zero; its cost is then that of this count, and infinite where its part of all counts is zero.
+    A step never puts a larger count below a smaller one. So where the least and the largest count that a block can begin with become the same number within it, that is what any count becomes; only the others, such as symbols
+    that a block doesn't have, are gone through from block to block, by their places.
+    """
+    rows, key, columns = _blocked(symbols, order, frame, block), symbols.schema[frame], symbols.columns
+    most = 2 / (1 - gate) + 1 if gate < 1 else math.inf
+
+    def faded(counts: np.ndarray, n: int) -> np.ndarray:
+        for k in range(n):
+            now = counts * gate
+            if k % 64 == 0 and np.array_equal(now, counts):
+                break
+            counts = now
+        return counts
+
+    def maps(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        s = pdf.sort_values("_k")[symbol].to_numpy(np.int64)
+        if len(s) and s.min() < 0:
+            raise ValueError("symbols are to be from 0")
+        both = np.repeat([[0.0], [most]], size, axis=1)
+        for v in s.tolist():
+            np.multiply(both, gate, out=both)
+            if v < size:
+                both[:, v] += 1
+        ends = np.where(both[0] == both[1], both[0], np.nan)
+        at = np.flatnonzero(np.isnan(ends)[np.minimum(s, size - 1)] & (s < size))
+        return pd.DataFrame([(k[0], k[1], len(s), ends.tolist(), at.astype("<i8").tobytes(), s[at].astype("<i8").tobytes())], columns=[frame, "_block", "n", "ends", "at", "seen"])
+
+    def starts(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, state, out = pdf.sort_values("_block"), np.ones(size), []
+        for r in pdf.itertuples(index=False):
+            out.append(state.tolist())
+            ends = np.array(r.ends, float)
+            open_ = np.flatnonzero(np.isnan(ends))
+            counts, before = state[open_], 0
+            for at, seen in zip(np.frombuffer(r.at, "<i8").tolist(), np.searchsorted(open_, np.frombuffer(r.seen, "<i8")).tolist(), strict=True):
+                counts, before = faded(counts, at + 1 - before) + 0.0, at + 1
+                counts[seen] += 1
+            ends[open_] = faded(counts, r.n - before)
+            state = ends
+        return pd.DataFrame({frame: [k[0]] * len(out), "_block": pdf["_block"], "_state": out})
+
+    doubles = T.ArrayType(T.DoubleType())
+    fields = [("_block", T.LongType()), ("n", T.LongType()), ("ends", doubles), ("at", T.BinaryType()), ("seen", T.BinaryType())]
+    small = rows.select(frame, "_block", "_k", symbol).groupBy(frame, "_block").applyInPandas(maps, _named(key, *fields))
+    begun = small.groupBy(frame).applyInPandas(starts, _named(key, ("_block", T.LongType()), ("_state", doubles)))
+
+    def run(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, out = pdf.sort_values("_k"), []
+        state, every = np.array(pdf["_state"].iloc[0], float), pdf[symbol].to_numpy(np.int64)
+        for at in range(0, len(every), STEPS):
+            s = every[at : at + STEPS]
+            counts = np.empty((len(s) + 1, size))
+            counts[0] = state
+            for t, v in enumerate(s.tolist()):
+                np.multiply(counts[t], gate, out=counts[t + 1])
+                if v < size:
+                    counts[t + 1, v] += 1
+            state, counts = counts[-1], counts[:-1]
+            total = np.zeros(len(s))
+            for c in counts.T:  # one after the other, as a sum over a list is
+                total += c
+            part = counts[np.arange(len(s)), np.minimum(s, size - 1)] / total
+            out += [None if v >= size else -math.log2(p) if p else math.inf for v, p in zip(s.tolist(), part.tolist(), strict=True)]
+        return pdf[columns].assign(cost=pd.Series(out, pdf.index, object))
+
+    return rows.join(begun, [frame, "_block"]).groupBy(frame, "_block").applyInPandas(run, T.StructType([*symbols.schema.fields, T.StructField("cost", T.DoubleType())]))
+
+
 def around(points: DataFrame, value: str, k: int, by: Sequence[str] = ("frame",), order: str = "point_id", name: str = "around") -> DataFrame:
     """points with name: the values from k/2 places before to k/2 after, without the own, in a circle over the rows of by.
 

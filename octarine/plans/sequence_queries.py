@@ -163,6 +163,6 @@ def range_round_trip(spark, d):
 
 @query(f"with recursive {V.VP}, s as (select frame, row_number() over (partition by frame order by point_id) k, point_id, trunc(y / 10)::bigint symbol from vp), e as (select frame, k, point_id, symbol, list_transform(range(64), lambda i: 1.0::double) counts from s where k = 1 union all select s.frame, s.k, s.point_id, s.symbol, list_transform(e.counts, lambda c, i: c * 0.98 + (i - 1 = e.symbol)::int) from e join s on s.frame = e.frame and s.k = e.k + 1) select frame, point_id, symbol, round(-log2(counts[symbol + 1] / list_sum(counts)), 6) as \"cost\" from e")
 def fading_cost(spark, d):
-    """Bits under counts that shrink with each symbol; null for symbols of 64 and above, which have no count."""
-    got = scans.fading_cost(_symbols(spark, d), 64, 0.98, others=True)
+    """Bits under counts that shrink with each symbol, as doubles; null for symbols of 64 and above, which have no count."""
+    got = scans.stepped_cost(_symbols(spark, d), 64, 0.98)
     return got.select("frame", "point_id", "symbol", F.round("cost", 6).alias("cost"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from octarine.operators import learning, scans
+from octarine.plans import sequence_queries
 
 
 def walk(seed, sizes=(1, 2, 3, 60, 147)):
@@ -67,6 +68,38 @@ def test_fading_counts_below_the_least_double(spark, block):
     assert got[1200] == pytest.approx(1200 + math.log2(sum(0.5**k for k in range(60))))
 
 
+def doubles(symbols, size, gate):
+    counts, out = np.ones(size), []
+    for s in symbols:
+        part = counts[s] / np.cumsum(counts)[-1] if s < size else None
+        out.append(part and (-math.log2(part)) if part != 0 else math.inf)
+        counts = counts * gate
+        if s < size:
+            counts[s] += 1
+    return out
+
+
+@pytest.mark.parametrize(("block", "gate"), [(7, 0.9), (97, 0.5), (97, 0.98), (1 << 16, 0.98)])
+def test_counts_in_doubles_to_the_last_bit(spark, block, gate):
+    r = random.Random(7)
+    frames = {"a": [r.choice([0, 1, 1, 2, 3, 9, 5]) for _ in range(400)], "b": [2] * 300 + [0, 1, 4, 2], "c": [8], "d": [r.randrange(2) for _ in range(50)]}
+    df = table(spark, [(f, k, 0.0, 0.0, 0.0, s) for f, own in frames.items() for k, s in enumerate(own)])
+    got = {(x.frame, x.point_id): x.cost for x in scans.stepped_cost(df, 5, gate, block=block).collect()}
+    assert got == {(f, k): c for f, own in frames.items() for k, c in enumerate(doubles(own, 5, gate))}
+    with pytest.raises(Exception, match="from 0"):
+        scans.stepped_cost(table(spark, [("a", 1, 0.0, 0.0, 0.0, -1)]), 5, 0.9).collect()
+
+
+def test_query_where_counts_stop_fading(spark, tmp_path):
+    symbols = [3] + [0, 1] * 18_700 + [3, 5, 3, 0, 70, 5]
+    rows = [("a", k, 10.0 * s + 1) for k, s in enumerate(symbols)]
+    spark.createDataFrame(rows, "event_type string, event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {x.point_id: x.cost for x in sequence_queries.fading_cost(spark, str(tmp_path)).collect()}
+    wanted = doubles(symbols, 64, 0.98)
+    assert wanted[-6] == math.inf
+    assert got == {k: c if c is None or math.isinf(c) else pytest.approx(c, abs=1e-6) for k, c in enumerate(wanted)}
+
+
 def slow_keys(x, m, o):
     mask = [k in (0, len(x) - 1) for k in range(len(x))]
     key = x[0]
