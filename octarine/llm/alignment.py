@@ -28,6 +28,8 @@ from octarine.llm.common import checkpoint_dir, give_back, small_batches, table
 BYTE_BPE, PIECE_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Entries of a worker's cache of chunks; what is dropped is computed again. Characters of the texts of one block.
 CACHE, BLOCK = 250_000, 6 << 20
+#: Bytes of blocks that a task holds while it writes or reads them.
+HELD = 16 << 20
 #: Bits of a pair's code that hold the first tokenizer's id.
 LOW = 17
 
@@ -258,34 +260,33 @@ def link_figures(docs: DataFrame, byte_bpe: str = BYTE_BPE, piece_bpe: str = PIE
 
     A block of texts is one row with its distinct pairs, so that the exchange grows with a block's vocabulary, not with its tokens. Pairs
     of a common token have a row in each block, summed before they are exchanged; the table of counts is bounded by the vocabularies. Blocks are written to the
-    shared checkpoint folder, so that their numbers hold if an executor is lost.
+    shared checkpoint folder, so that their numbers hold if an executor is lost. A block is some megabytes, and a writer looks at its size after a hundred rows only, a reader takes
+    thousands at once: so row groups are of HELD bytes, looked at after each row, and a block meets its counts alone.
     """
     spark, folder = docs.sparkSession, f"{checkpoint_dir(docs.sparkSession)}/alignment-{uuid.uuid4().hex}"
-    _blocks(docs, byte_bpe, piece_bpe, id, text).write.parquet(f"{folder}/blocks")
+    held = {"parquet.block.size": HELD, "parquet.column.statistics.enabled": False} | {f"parquet.{x}.size.row.check.{m}": 1 for x in ("block", "page") for m in ("min", "max")}
+    _blocks(docs, byte_bpe, piece_bpe, id, text).write.options(**held).parquet(f"{folder}/blocks")
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     rows = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("at", "pair")).select("block", "at", F.col("pair.pairs").alias("pair"), F.col("pair.counts").alias("n"))
     counts = rows.groupBy("pair").agg(F.sum("n").alias("count"))
     highest = F.max("count").over(Window.partitionBy(F.shiftright("pair", LOW)))
     counts.withColumn("best", F.col("count") == highest).write.parquet(f"{folder}/counts")
     counts = spark.read.schema("pair long, count long, best boolean").parquet(f"{folder}/counts")
-    told = rows.join(counts, "pair").groupBy("block").agg(F.collect_list(F.struct("at", "count", "best")).alias("told"))
-    met = blocks.drop("pairs", "counts").join(told.select("block", F.col("told.at").alias("at"), F.col("told.count").alias("count"), F.col("told.best").alias("best")), "block", "left")
     out = T._parse_datatype_string(f"{id} long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                at = np.array(r["at"] or [], np.int64)
-                count, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-                count[at], best[at] = r["count"] or [], r["best"] or []
-                linked, chunks = np.frombuffer(r["linked"], np.int32), np.frombuffer(r["chunks"], np.int32)
-                link_ends, ends = np.frombuffer(r["link_ends"], np.int64), np.frombuffer(r["chunk_ends"], np.int64)
-                sums = [_sums(_sums(v[linked], link_ends)[chunks], ends) for v in (best, count)]
-                longs = [r["ids"], r["n_a"], r["n_b"], r["n_groups"], r["n_links"], *sums]
-                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in longs], pa.array(r["digests"], pa.string())], out.names)
-
-    small_batches(spark, 1)  # blocks are some megabytes
-    return met.mapInArrow(run, out)
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        at = told["at"].to_numpy()
+        count, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        count[at], best[at] = told["count"].to_numpy(), told["best"].to_numpy()
+        one = lambda c, kind: np.frombuffer(block[c][0].as_py(), kind)
+        linked, chunks, link_ends, ends = one("linked", np.int32), one("chunks", np.int32), one("link_ends", np.int64), one("chunk_ends", np.int64)
+        sums = [pa.array(_sums(_sums(v[linked], link_ends)[chunks], ends)) for v in (best, count)]
+        kept = [block[c][0].values for c in ("ids", "n_a", "n_b", "n_groups", "n_links", "digests")]
+        return pa.Table.from_arrays([*kept[:5], *sums, kept[5]], out.names)
+
+    small_batches(spark)
+    told = rows.join(counts, "pair").select(F.col("block").alias("of"), "at", "count", "best")
+    return blocks.drop("pairs", "counts").groupBy("block").cogroup(told.groupBy("of")).applyInArrow(run, out)
 
 
 def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
