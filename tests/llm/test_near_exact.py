@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from octarine.llm import simhash
 
 WORDS = [f"w{k}" for k in range(3000)]
@@ -66,3 +69,17 @@ def test_no_first_shingle_is_of_a_passage_that_all_share(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     shared = simhash.signatures(df).selectExpr("explode(first) s").groupBy("s").count().where("count > 1")
     assert shared.count() == 0
+
+
+@pytest.mark.parametrize("every", [0, 1, 3])
+def test_which_shingles_count_as_heavy_changes_no_result(spark, monkeypatch, every):
+    """They are judged by some texts and are no more than so many; none of them, all, or any third of them put the shingles in another order, and the same documents stay."""
+    texts = crowds(6)
+    sets = sets_of(texts)
+    like = lambda x, y: x == y or (x and y and len(x & y) >= 0.8 * len(x | y) - 1e-9)
+    want = parts(len(sets), [(a, b) for b in range(len(sets)) for a in range(b) if like(sets[a], sets[b])])
+    found = np.array(sorted(set().union(*sets))[:: every or 1], np.uint64)[: None if every else 0]
+    random.Random(every).shuffle(order := found.tolist())
+    monkeypatch.setattr(simhash, "heavy_shingles", lambda docs, words: np.array(order, np.uint64))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x.doc_id for x in simhash.near_unique(df).collect()} == set(want)
